@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,14 +130,14 @@ class Ranks:
 
 
 class _Pieces(dict):
-    """Piece to ids, filled on demand."""
+    """Piece to the bytes of its ids (int32), filled on demand."""
 
     def __init__(self, ranks: Ranks):
         super().__init__()
         self.ranks = ranks
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        out = self[piece] = tuple(self.ranks.encode_piece(piece.encode()))
+    def __missing__(self, piece: str) -> bytes:
+        out = self[piece] = array("i", self.ranks.encode_piece(piece.encode())).tobytes()
         return out
 
 
@@ -146,16 +149,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
         split, pieces = regex.compile(pattern).findall, _Pieces(Ranks(ranks_path))
         for batch in blocks(batches, text):
-            out = []
+            out, offsets = [], [0]
             for s in batch.column(batch.schema.get_field_index(text)):
                 s = s.as_py()
-                out.append(pa.array(chain.from_iterable(map(pieces.__getitem__, split(s))), pa.int32()) if s else pa.array([], pa.int32()))
+                out.append(b"".join(map(pieces.__getitem__, split(s))) if s else b"")
+                offsets.append(offsets[-1] + len(out[-1]) // 4)
                 if len(pieces) > REMEMBERED:
                     pieces.clear()
-            offsets = [0]
-            for a in out:
-                offsets.append(offsets[-1] + len(a))
-            values = pa.concat_arrays(out) if out else pa.array([], pa.int32())
+            values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(out))])
             yield append(batch, {ids: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)})
 
     return df.mapInArrow(run, with_fields(df, [(ids, T.ArrayType(T.IntegerType()))]))
@@ -165,11 +166,17 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "d
     """Add ``out`` (binary), the bytes that ``ids`` stand for; null ids give no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Ranks(ranks_path)
+        vocabulary = pa.array(Ranks(ranks_path).bytes_of, pa.large_binary())
         for batch in blocks(batches, ids, 16 << 20):
             col = batch.column(batch.schema.get_field_index(ids))
-            found = [ranks.decode(x.values.to_pylist()) if x.is_valid else b"" for x in col]
-            yield append(batch, {out: pa.array(found, pa.binary())})
+            col = pc.if_else(col.is_valid(), col, pa.scalar([], col.type)) if col.null_count else col
+            # Taking the ids' bytes in order lays them end to end: each text is one stretch.
+            tokens = vocabulary.take(col.flatten())
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy())])
+            starts = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)[ends] if len(tokens) else np.zeros(len(ends), np.int64)
+            data = tokens.buffers()[2] if len(tokens) else pa.py_buffer(b"")
+            texts = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts.tobytes()), data])
+            yield append(batch, {out: texts.cast(pa.binary())})
 
     return df.mapInArrow(run, with_fields(df, [(out, T.BinaryType())]))
 
