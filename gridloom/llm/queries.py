@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import driver_path, table
+from . import bpe, mtree, toxicity, urlfilter
+from .common import driver_path, held_out, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +21,61 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(done).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five highest inner products of every 50th vector against all others."""
+    vectors = mtree.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return mtree.top_k(vectors, vectors.where(F.col("id") % 50 == 0))
+
+
+#: The rule list of op4: (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = """
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM u
+), r(verdict, h, p) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+    ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), m AS (
+  SELECT p.page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+  FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)
+  GROUP BY p.page_id
+)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).withColumn("held_out", held_out())
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op4_urlfilter": OP4_SQL}
