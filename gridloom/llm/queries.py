@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mtree, toxicity, urlfilter
-from .common import driver_path, held_out, table
+from . import bpe, decontaminate, mtree, simhash, toxicity, urlfilter
+from .common import driver_path, held_out, materialise, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +71,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return decontaminate.digests(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fps = materialise(simhash.fingerprints(docs).drop("text"), "fingerprints")
+    out = simhash.near_components(fps, 4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity}
+    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
