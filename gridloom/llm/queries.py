@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, mtree, simhash, toxicity, urlfilter
+from . import bpe, decontaminate, langid, mtree, pii, simhash, toxicity, urlfilter
 from .common import driver_path, held_out, materialise, table
 
 
@@ -86,9 +86,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.digests(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    said = langid.predict(docs.drop("lang"), langid.learn(docs))
+    return said.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash}
+    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
