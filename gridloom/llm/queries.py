@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, mtree, pii, simhash, toxicity, urlfilter
+from . import bpe, decontaminate, langid, mtree, pii, simhash, suffixdedup, toxicity, urlfilter
 from .common import driver_path, held_out, materialise, table
 
 
@@ -27,6 +27,12 @@ def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(vectors, vectors.where(F.col("id") % 50 == 0))
 
 
+def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove from every document the 200-byte strings that also start elsewhere."""
+    done = suffixdedup.digests(suffixdedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 #: The rule list of op4: (verdict, host, path).
 URL_RULES = [
     ("allow", "com", "/"),
@@ -101,7 +107,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
+    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op3_suffixdedup": op3_suffixdedup, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
