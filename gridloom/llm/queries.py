@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, mtree, pii, simhash, suffixdedup, toxicity, urlfilter
+from . import bpe, decontaminate, langid, lm, mtree, pii, simhash, suffixdedup, toxicity, urlfilter
 from .common import driver_path, held_out, materialise, table
 
 
@@ -77,6 +77,31 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean stupid-backoff log score of every document's words."""
+    scored = lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"))
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents)
+), p AS (
+  SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '') AS v FROM w
+), one AS (
+  SELECT w, count(*)::DOUBLE AS n FROM w GROUP BY w UNION ALL SELECT '', count(DISTINCT doc_id) FROM w
+), two AS (
+  SELECT v, w, count(*)::DOUBLE AS n FROM p GROUP BY v, w
+), s AS (
+  SELECT p.doc_id, CASE WHEN two.n >= 2 THEN ln(two.n / a.n) ELSE ln(0.4 * b.n / (SELECT count(*) FROM w)) END AS s
+  FROM p JOIN two USING (v, w) JOIN one a ON a.w = p.v JOIN one b ON b.w = p.w
+)
+SELECT d.doc_id, count(s.s)::BIGINT AS n_words, round(avg(s.s), 4) AS score FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -107,9 +132,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op3_suffixdedup": op3_suffixdedup, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
+    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op3_suffixdedup": op3_suffixdedup, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op4_urlfilter": OP4_SQL}
+    return {"op4_urlfilter": OP4_SQL, "op7_lm": OP7_SQL}
