@@ -130,9 +130,16 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op3_suffixdedup": op3_suffixdedup, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
+    return {"op1_bpe": op1_bpe, "op2_mtree": op2_mtree, "op3_suffixdedup": op3_suffixdedup, "op4_urlfilter": op4_urlfilter, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_langid": op10_langid, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
