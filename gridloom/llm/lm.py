@@ -30,7 +30,9 @@ from .common import blocks, materialise
 
 SEEN, BACKOFF = 2, 0.4
 #: Words with short numbers, and those whose pairs are counted in each task.
-HOT, TOP = 65_535, 256
+HOT, TOP = (1 << 18) - 1, 512
+#: Bits of a short number: two of them share a column.
+BITS = 18
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -62,7 +64,7 @@ class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > HOT + 300_000:
             for w in [w for w, k in self.items() if k < 0]:
                 del self[w]
         out = self[word] = -1 - (xxhash.xxh64_intdigest(word, 42) >> 1)
@@ -88,11 +90,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         numbers = _Numbers({w.encode(): k for k, (w, _) in enumerate(known.value)})
         counts = np.zeros(TOP * TOP, np.int64)
         for batch in blocks(batches, "text"):
+            held = [np.zeros(0, np.int64)]
             for ws in _words(batch, 0):
                 if ws:
                     a, b = numbers.pairs(ws)
                     own = (a >= 0) & (a < TOP) & (b >= 0) & (b < TOP)
-                    np.add.at(counts, a[own] * TOP + b[own], 1)
+                    held.append(a[own] * TOP + b[own])
+            np.add.at(counts, np.concatenate(held), 1)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
 
@@ -116,13 +120,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                 own = (a >= 0) & (a < TOP) & (b >= 0) & (b < TOP)
                 base = float(value[a[own], b[own]].sum())
                 a, b = a[~own], b[~own]
-                # One row of its own for the document: what is known already, and its words.
-                out.append((np.append(a, -1 - (int(key) & (2**62 - 1))), np.append(b, key), np.full(len(a) + 1, key), np.append(np.full(len(a), np.nan), base), np.append(np.zeros(len(a), np.int64), len(ws))))
-            a, b, doc, base, n = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(doc), pa.array(base, mask=np.isnan(base)), pa.array(n)], names=["a", "b", "doc", "base", "words"])
-
-    rows = texts.mapInArrow(explode, "a long, b long, doc long, base double, words long")
-    rows = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("a", "b")))
+                short = (a >= 0) & (b >= 0)
+                # One row of its own for the document: its words, and what is known already.
+                out.append((np.append(np.where(short, (a << BITS) | b, a), len(ws)), np.append(np.where(short, 0, b), key), np.full(len(a) + 1, key), np.append(np.full(len(a), np.nan), base)))
+            p, q, doc, base = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(doc), pa.array(base, mask=np.isnan(base))], names=["p", "q", "doc", "base"])
+
+    rows = texts.mapInArrow(explode, "p long, q long, doc long, base double")
+    rows = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("p", "q")))
+    rows = rows.withColumns(
+        {
+            "words": F.when(F.col("base").isNotNull(), F.col("p")).otherwise(0),
+            "a": F.when(F.col("q") == 0, F.shiftright("p", BITS)).otherwise(F.col("p")),
+            "b": F.when(F.col("q") == 0, F.col("p").bitwiseAND((1 << BITS) - 1)).otherwise(F.col("q")),
+        }
+    )
     seen, head = F.col("c") >= SEEN, F.col("base").isNotNull()
     open_ = F.when(~head, F.when(seen, F.col("a")).otherwise(F.col("b")))
     rows = rows.select(
