@@ -1 +1 @@
-"""gridloom.functions"""
+"""Pure Column functions: no DataFrames, no actions."""

@@ -1 +1 @@
-"""gridloom.operators"""
+"""DataFrame to DataFrame operators, all lazy."""

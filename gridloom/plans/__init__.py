@@ -1 +1 @@
-"""gridloom.plans"""
+"""Pipelines, fixtures over the star-schema tables, and the registered queries."""
