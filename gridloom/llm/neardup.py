@@ -109,6 +109,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     placed = texts.join(near, "fp", "left").select("node", F.coalesce("component", "fp").alias("component"))
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialise(placed.join(sizes, "component").select("node", "component", "size"), "near-members")
+    # Only the components' members are fetched.
     source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), node(F.col(id_col), F.coalesce(F.col(text), F.lit(""))).alias("node"))
     sets = source.join(members, "node").select("node", "component", "size", "text").mapInArrow(_sets, "node long, component long, size long, runs binary")
     parts = F.ceil(F.col("size") / (MEMBERS // 2)).cast("long")
@@ -132,13 +133,13 @@ def node(id_col, text):
 def drop(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates; same columns."""
     found = materialise(groups(docs, id_col, text), "near-groups")
-    kept = found.where("keep").select("node").distinct()
-    marked = docs.withColumn("node", node(F.col(id_col), F.coalesce(F.col(text), F.lit(""))))
-    repeated = found.where("keep").groupBy("node").count().where("count > 1").select("node")
-    out = marked.join(kept, "node", "left_semi")
+    kept = found.where("keep").select(F.col("node").alias("_gl_node")).distinct()
+    marked = docs.withColumn("_gl_node", node(F.col(id_col), F.coalesce(F.col(text), F.lit(""))))
+    repeated = found.where("keep").groupBy(F.col("node").alias("_gl_node")).count().where("count > 1").select("_gl_node")
+    out = marked.join(kept, "_gl_node", "left_semi")
     if repeated.limit(1).count():  # rows that repeat id and text leave one
-        once = out.join(repeated, "node", "left_semi").dropDuplicates(["node"])
-        out = out.join(repeated, "node", "left_anti").unionByName(once)
+        once = out.join(repeated, "_gl_node", "left_semi").dropDuplicates(["_gl_node"])
+        out = out.join(repeated, "_gl_node", "left_anti").unionByName(once)
     return out.select(docs.columns)
 
 

@@ -193,13 +193,13 @@ def digests(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts with entities generalised to [KIND] and disclosing terms removed; same columns."""
-    found = find(docs, id_col, text).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
-    met = docs.withColumn("key", row_key(id_col, text)).join(found, "key", "left").drop("key")
+    found = find(docs, id_col, text).where(F.size("spans") > 0).dropDuplicates(["key"]).select(F.col("key").alias("_gl_key"), F.col("spans").alias("_gl_spans"))
+    met = docs.withColumn("_gl_key", row_key(id_col, text)).join(found, "_gl_key", "left").drop("_gl_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text):
             out = []
-            spans = batch.column(batch.schema.get_field_index("spans"))
+            spans = batch.column(batch.schema.get_field_index("_gl_spans"))
             for row, s in enumerate(batch.column(batch.schema.get_field_index(text))):
                 s = s.as_py()
                 out.append(generalise(s, [(x["kind"], x["start"], x["end"]) for x in spans[row].as_py()]) if spans[row].is_valid and s else s)

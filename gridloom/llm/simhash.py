@@ -172,6 +172,8 @@ def _links(fps: np.ndarray, other: np.ndarray | None, distance: int) -> tuple[np
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """(a, b): links that connect what the distinct fingerprints ``fp`` within ``distance`` connect."""
     n = fps.count()
+    if n < 2:
+        return fps.sparkSession.createDataFrame([], "a long, b long")
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     plan = allocate(sample, n, distance)
 
@@ -234,6 +236,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
 
 def near_components(fps: DataFrame, distance: int, id_col: str = "doc_id") -> DataFrame:
     """Add component_id, the smallest id reachable, to rows with ``fp`` (written, hence stable)."""
+    fps = fps.drop("component_id")
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("first"))
     found = components(links(nodes.select("fp"), distance))
     of = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))

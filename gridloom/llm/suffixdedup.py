@@ -365,14 +365,15 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace ``text`` by its kept bytes (binary) and add n_bytes and removed (byte intervals)."""
     whole = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     key, check = _key(text)
-    met = whole.withColumns({"key": key, "check": check}).join(find(docs, text), "key", "left")
-    names = [c for c in docs.columns if c != text]
+    found = find(docs, text).select(F.col("key").alias("_gl_key"), F.col("found").alias("_gl_found"))
+    met = whole.withColumns({"_gl_key": key, "_gl_check": check}).join(found, "_gl_key", "left")
+    names = [c for c in docs.columns if c not in (text, "n_bytes", "removed")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text):
-            at = {c: batch.schema.get_field_index(c) for c in (text, "check", "found")}
+            at = {c: batch.schema.get_field_index(c) for c in (text, "_gl_check", "_gl_found")}
             kept, sizes, spans = [], [], []
-            for s, c, found in zip(batch.column(at[text]), batch.column(at["check"]), batch.column(at["found"])):
+            for s, c, found in zip(batch.column(at[text]), batch.column(at["_gl_check"]), batch.column(at["_gl_found"])):
                 data, c = s.as_py().encode(), c.as_py()
                 runs: list[list[int]] = []
                 for a, b in sorted((x["a"], x["b"]) for x in (found.as_py() or []) if x["check"] == c):
