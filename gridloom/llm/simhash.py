@@ -37,9 +37,9 @@ SEED = 42
 #: Fingerprints from which bit correlations and candidate counts are estimated.
 SAMPLE = 2_000
 #: Rows of a bucket that one task compares.
-BUCKET = 4_096
+BUCKET = 16_384
 #: What sending a probe costs, in comparisons of two fingerprints.
-PROBE_COST = 60.0
+PROBE_COST = 500.0
 
 
 def shingle_hashes(text: str | None, words: int, distinct: bool = False) -> list[int]:
@@ -189,34 +189,44 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
                         bucket = (keys ^ mask) | np.uint64(part << 56)
                         yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(x.view(np.int64))], names=["bucket", "fp"])
 
-    rows = materialise(fps.select("fp").mapInArrow(probe, "bucket long, fp long"), "probes")
-    sizes = rows.groupBy("bucket").count()
-    split = sizes.where(F.col("count") > BUCKET).select("bucket", F.ceil(F.col("count") / (BUCKET // 2)).cast("long").alias("parts"))
-    sized = rows.join(sizes.where("count > 1"), "bucket")
-    zero = F.lit(0).cast("long")
-    usual = sized.where(F.col("count") <= BUCKET).select("bucket", zero.alias("i"), zero.alias("j"), "fp")
-    own = rows.join(split, "bucket").withColumn("o", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    hot = own.select("bucket", "o", "fp", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"))
-    hot = hot.select("bucket", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), "fp")
-    met = usual.unionByName(hot).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, x in runs(batches):
-            part = (bucket >> 56) & 0xFF
-            home = plan.values(x, part) == np.uint64(bucket & ((1 << 56) - 1))
-            a, b = _links(x[home], None, distance) if home.any() else (x[:0], x[:0])
-            if plan.thresholds[part] > 0 and home.any() and not home.all():
-                c, d = _links(x[home], x[~home], distance)
-                a, b = np.concatenate([a, c]), np.concatenate([b, d])
+    def verify(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+        for bucket, x, over in runs(batches, most):
+            a, b = x[:0], x[:0]
+            if over:  # left for the next step, as rows of (bucket, fingerprint)
+                a, b = np.full(len(x), bucket, np.int64), x
+            elif len(x) > 1:
+                part = (bucket >> 56) & 0xFF
+                home = plan.values(x, part) == np.uint64(bucket & ((1 << 56) - 1))
+                if home.any():
+                    a, b = _links(x[home], None, distance)
+                    if plan.thresholds[part] > 0 and not home.all():
+                        c, d = _links(x[home], x[~home], distance)
+                        a, b = np.concatenate([a, c]), np.concatenate([b, d])
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    return met.mapInArrow(verify, "a long, b long")
-
-
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, fingerprints) of consecutive rows with the same first three columns."""
-    key, held = None, []
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), over))], names=["a", "b", "over"])
+
+    out, zero = "a long, b long, over boolean", F.lit(0).cast("long")
+    rows = fps.select("fp").mapInArrow(probe, "bucket long, fp long").select("bucket", zero.alias("i"), zero.alias("j"), "fp")
+    met = rows.repartition("bucket").sortWithinPartitions("bucket")
+    most = BUCKET
+    first = materialise(met.mapInArrow(lambda b: verify(b, most), out), "links")
+    found = first.where("NOT over").select("a", "b")
+    left = first.where("over").select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
+    if left.limit(1).count():
+        sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (BUCKET // 2)).cast("long").alias("parts"))
+        own = left.join(sizes, "bucket").withColumn("o", F.pmod(F.xxhash64("fp"), F.col("parts")))
+        pairs = own.withColumn("p", F.explode(F.sequence(zero, F.col("parts") - 1))).select("bucket", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), "fp")
+        dealt = pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        found = found.unionByName(dealt.mapInArrow(lambda b: verify(b, None), out).select("a", "b"))
+    return found
+
+
+def runs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(bucket, fingerprints, whether over ``most``) of consecutive rows with equal first three columns.
+
+    At most ``most`` rows and a batch are held; a bucket with more comes in pieces, all marked.
+    """
+    key, held, size, over = None, [], 0, False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -226,12 +236,17 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for i, j in itertools.pairwise(cuts):
             now = tuple(at[:, i].tolist())
             if now != key:
-                if held and (len(held) > 1 or len(held[0]) > 1):
-                    yield key[0], np.unique(np.concatenate(held))
-                key, held = now, []
+                if size:
+                    yield key[0], np.concatenate(held), over
+                key, held, size, over = now, [], 0, False
             held.append(x[i:j])
-    if held:
-        yield key[0], np.unique(np.concatenate(held))
+            size += j - i
+            if most and size > most:
+                over = True
+                yield key[0], np.concatenate(held), over
+                held, size = [], 0
+    if size:
+        yield key[0], np.concatenate(held), over
 
 
 def near_components(fps: DataFrame, distance: int, id_col: str = "doc_id") -> DataFrame:

@@ -1,0 +1,53 @@
+"""The registered queries and the pipeline over the small tables."""
+
+import duckdb
+import pytest
+
+from gridloom.llm import queries as Q
+
+KEYS = {
+    "op1_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op2_mtree": ["query_id", "rank", "vec_id", "score"],
+    "op3_suffixdedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op4_urlfilter": ["page_id", "host", "path", "rule", "verdict"],
+    "op5_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op6_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op7_lm": ["doc_id", "n_words", "score"],
+    "op8_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op9_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op10_langid": ["doc_id", "held_out", "lang_pred", "score"],
+}
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_query(spark, sf_dir, name):
+    out = Q.queries()[name](spark, sf_dir)
+    assert out.columns == KEYS[name]
+    table = {"op2": None, "op4": "pages"}.get(name.split("_")[0], "documents")
+    if table:
+        assert out.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("name", Q.oracle_sql())
+def test_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.sql(Q.oracle_sql()[name])
+    got = Q.queries()[name](spark, sf_dir).select(want.columns)
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == before.columns and docs.schema == before.schema
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] == sizes[4] > sizes[0] / 2
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert tokens.count() == sizes[-1] and tokens.where("NOT exact OR n_tokens <> size(token_ids)").count() == 0
