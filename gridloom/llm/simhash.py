@@ -35,7 +35,7 @@ from .components import components
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 #: Fingerprints from which bit correlations and candidate counts are estimated.
-SAMPLE = 2_000
+SAMPLE = 1_000
 #: Rows of a bucket that one task compares.
 BUCKET = 16_384
 #: What sending a probe costs, in comparisons of two fingerprints.

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import append, blocks, held_out, with_fields
 
 #: Labelled rows that the fit takes at most.
-SAMPLE = 10_000
+SAMPLE = 6_000
 #: Bytes of the dictionaries, and the share of toxic texts that a toxic word is in at least.
 TOXIC_BYTES, ORDINARY_BYTES, TOXIC_SHARE = 1024, 16_384, 0.02
 #: Follows each window and ends each dictionary: zstandard looks for no match in the last bytes.
