@@ -33,6 +33,8 @@ GRAMS = (1, 2, 3)
 PROFILE = 400
 #: Training texts of a language at most.
 SAMPLE = 2_000
+#: Sampled ids that are broadcast at most; beyond, texts are shuffled to them.
+BROADCAST = 1_000_000
 REMEMBERED_WORDS, REMEMBERED_GRAMS = 300_000, 1_000_000
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -115,7 +117,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
     order = Window.partitionBy(lang).orderBy(F.xxhash64(id_col), id_col)
     chosen = known.select(id_col, lang).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).select(id_col).distinct()
-    # SAMPLE ids a language: bounded, so left to the size threshold of joins.
+    languages = known.select(lang).distinct().count()
+    if languages * SAMPLE <= BROADCAST:
+        chosen = F.broadcast(chosen)  # SAMPLE ids a language at most
     texts = known.select(id_col, lang, text).join(chosen, id_col, "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
