@@ -23,7 +23,7 @@ def losses(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
 
     Each file is read whole (they hold one number an epoch), which gives lines their numbers.
     """
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    whole = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     named = whole.select(strings.stem(F.col("_metadata.file_name"), "csv").alias("lr"), F.posexplode(F.split(F.rtrim(F.regexp_replace("value", r"\s+$", "")), r"\r?\n")).alias("line", "text"))
     return named.select("lr", "line", F.col("text").try_cast("double").alias("loss"))
 

@@ -1 +1 @@
-"""gridloom.streaming"""
+"""Incremental forms of batch operators."""
