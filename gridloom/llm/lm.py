@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from .common import blocks, materialise
 
 SEEN, BACKOFF = 2, 0.4
 #: Words with short numbers, and those whose pairs are counted in each task.
-HOT, TOP = (1 << 18) - 1, 512
+HOT, TOP = (1 << 17) - 1, 512
 #: Bits of a short number: two of them share a column.
-BITS = 18
+BITS = 17
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -58,21 +59,32 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-class _Numbers(dict):
-    """Word to its number: 0 the start mark, then by frequency; others a negative hash."""
+def _rare(word: bytes) -> int:
+    """The number of a word that has no short one: a negative hash."""
+    import xxhash
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    return -1 - (xxhash.xxh64_intdigest(word, 42) >> 1)
 
-        if len(self) > HOT + 300_000:
-            for w in [w for w, k in self.items() if k < 0]:
-                del self[w]
-        out = self[word] = -1 - (xxhash.xxh64_intdigest(word, 42) >> 1)
-        return out
 
-    def pairs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.concatenate([[0], ids[:-1]]), ids
+def _short(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
+    """Short numbers by frequency, from 1; 0 for other words."""
+    return np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))
+
+
+def _frequent(words: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The ``most`` most frequent words at most: whole frequency classes, so that no task or driver sorts more."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    there = {r["level"]: r["count"] for r in words.groupBy(level.alias("level")).count().collect()}  # some hundred classes
+    total, least = 0, None
+    for k in sorted(there, reverse=True):
+        total += there[k]
+        if total > most:
+            break
+        least = k
+    if least is None:
+        return []
+    table = words.where(level >= least).select("word", "n").toArrow()
+    return sorted(zip(table["word"].to_pylist(), table["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,31 +95,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     words = materialise(texts.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = words.where("word <> ''").agg(F.sum("n")).first()[0] or 1
     starts = words.where("word = ''").agg(F.sum("n")).first()[0] or 1
-    frequent = [(r["word"], r["n"]) for r in words.where("word <> ''").orderBy(F.desc("n"), "word").limit(HOT).collect()]
+    frequent = _frequent(words.where("word <> ''"), HOT)
     known = sc.broadcast([("", starts), *frequent])
 
     def top_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers({w.encode(): k for k, (w, _) in enumerate(known.value)})
+        numbers = {w.encode(): k for k, (w, _) in enumerate(known.value[:TOP])}
+        numbers.pop(b"")
         counts = np.zeros(TOP * TOP, np.int64)
         for batch in blocks(batches, "text"):
             held = [np.zeros(0, np.int64)]
             for ws in _words(batch, 0):
                 if ws:
-                    a, b = numbers.pairs(ws)
-                    own = (a >= 0) & (a < TOP) & (b >= 0) & (b < TOP)
+                    b = _short(ws, numbers)
+                    a = np.concatenate([[0], b[:-1]])
+                    own = b > 0
+                    own[1:] &= a[1:] > 0
                     held.append(a[own] * TOP + b[own])
-            np.add.at(counts, np.concatenate(held), 1)
+            counts += np.bincount(np.concatenate(held), minlength=TOP * TOP)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
 
     counted = texts.select("text").mapInArrow(top_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # TOP * TOP rows at most
     top = np.zeros(TOP * TOP)
-    for r in counted.collect():  # TOP * TOP rows at most
-        top[r["pair"]] = r["n"]
+    top[found["pair"].to_numpy()] = found["n"].to_numpy()
     tops = sc.broadcast(top)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers({w.encode(): k for k, (w, _) in enumerate(known.value)})
+        numbers = {w.encode(): k for k, (w, _) in enumerate(known.value)}
+        numbers.pop(b"")
         single = np.log(np.array([n for _, n in known.value], float))
         single = np.concatenate([single, np.zeros(max(0, TOP - len(single)))])[:TOP]
         pair = np.log(np.maximum(tops.value, 1)).reshape(TOP, TOP)
@@ -116,7 +132,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             keys = batch.column(1).to_numpy()
             out: list[tuple] = []
             for key, ws in zip(keys, _words(batch, 0)):
-                a, b = numbers.pairs(ws) if ws else (np.zeros(0, np.int64),) * 2
+                b = _short(ws, numbers)
+                for i in np.flatnonzero(b == 0).tolist():
+                    b[i] = _rare(ws[i])
+                a = np.concatenate([[0], b[:-1]])[: len(b)]
                 own = (a >= 0) & (a < TOP) & (b >= 0) & (b < TOP)
                 base = float(value[a[own], b[own]].sum())
                 a, b = a[~own], b[~own]
@@ -146,7 +165,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         open_.alias("ref"),
     )
     # HOT + 1 rows: a bounded broadcast.
-    logs = docs.sparkSession.createDataFrame([(k, float(np.log(n))) for k, (_, n) in enumerate(known.value)], "ref long, hot double")
+    logs = docs.sparkSession.createDataFrame(pa.table({"ref": np.arange(len(frequent) + 1), "hot": np.log(np.array([starts, *(n for _, n in frequent)], float))}))
     rows = rows.join(F.broadcast(logs), "ref", "left")
     part = F.col("part") + F.coalesce(F.col("sign") * F.col("hot"), F.lit(0.0))
     rare = F.when(F.col("hot").isNull(), F.col("ref"))
