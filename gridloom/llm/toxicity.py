@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on words that toxic texts hold and ordinary ones
-do not, one on the words of ordinary texts.  Every word of a text, between spaces, is a
+Two zstandard dictionaries are trained, one on words and word beginnings that toxic texts hold
+and ordinary ones do not, one on the words of ordinary texts.  Every word of a text, between spaces, is a
 window; its compressed length under the ordinary dictionary less that under the toxic one is
 its gain.  A text's counts and shares of windows whose gain reaches each threshold are
 weighed by a logistic calibration, fitted on the same labelled sample.
@@ -32,7 +32,9 @@ from .common import append, blocks, held_out, with_fields
 #: Labelled rows that the fit takes at most.
 SAMPLE = 6_000
 #: Bytes of the dictionaries, and the share of toxic texts that a toxic word is in at least.
-TOXIC_BYTES, ORDINARY_BYTES, TOXIC_SHARE = 1024, 16_384, 0.02
+TOXIC_BYTES, ORDINARY_BYTES, TOXIC_SHARE = 1024, 16_384, 0.01
+#: Lengths of word beginnings that may mark toxic texts, beside whole words.
+BEGINNINGS = (4, 5, 6)
 #: Follows each window and ends each dictionary: zstandard looks for no match in the last bytes.
 CARRIER = bytes(range(0x80, 0xA0))
 LEVEL = 19
@@ -85,18 +87,58 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def _dictionary(words: list[bytes], size: int) -> bytes:
-    """Content of a trained dictionary, or the frequent words if there are too few samples."""
+def _dictionary(windows: list[bytes], size: int) -> bytes:
+    """Content of a trained dictionary, or the frequent windows if there are too few samples."""
     import zstandard
 
-    samples = [b" " + b" ".join(words[i : i + 2]) + b" " for i in range(0, len(words), 2)]
+    samples = [b"".join(windows[i : i + 2]) for i in range(0, len(windows), 2)]
     try:
         content = zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()[-size:]
     except zstandard.ZstdError:
-        content = (b" " + b" ".join(w for w, _ in reversed(Counter(words).most_common())) + b" ")[-size:]
+        content = b"".join(w for w, _ in reversed(Counter(windows).most_common()))[-size:]
     return content + CARRIER
 
 
+def _windows(text: str | None) -> set[bytes]:
+    """The words of a text as windows, and their beginnings."""
+    words = set(WORDS.findall((text or "").encode().lower()))
+    return {b" " + w + b" " for w in words} | {b" " + w[:k] for w in words for k in BEGINNINGS if len(w) > k}
+
+
+def _marks(toxic: list[str | None], ordinary: list[str | None]) -> list[bytes]:
+    """Windows of toxic words and word beginnings, each as often as toxic texts hold it."""
+    count: Counter = Counter()
+    for text in dict.fromkeys(toxic):  # copies of a text count once
+        count.update(_windows(text))
+    least = max(2, TOXIC_SHARE * len(toxic))
+    count = Counter({m: c for m, c in count.items() if c >= least})
+    usual: Counter = Counter()
+    for text in ordinary:
+        usual.update(count.keys() & _windows(text))
+    kept = {m: c for m, c in count.items() if usual[m] / len(ordinary) < 0.02 * c / len(toxic)}
+    # A beginning that one longer mark nearly accounts for says nothing new.
+    order = sorted(kept)
+    spent = set()
+    for i, m in enumerate(order):
+        for o in order[i + 1 :]:
+            if not o.startswith(m):
+                break
+            if kept[o] >= 0.6 * kept[m]:
+                spent.add(m)
+                break
+    return [m for m in order if m not in spent for _ in range(kept[m])]
+
+
+def _usual(texts: list[str | None]) -> list[bytes]:
+    """Windows of words that several ordinary texts hold, up to 50 times each."""
+    count: Counter = Counter()
+    for text in texts:
+        count.update(set(WORDS.findall((text or "").encode().lower())))
+        if len(count) > 400_000:
+            count = Counter({w: c for w, c in count.items() if c > 1})
+    return [b" " + w + b" " for w, c in sorted(count.items()) if c >= 2 for _ in range(min(c, 50))]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Newton steps on the penalised likelihood."""
     w = np.zeros(x.shape[1])
@@ -114,21 +156,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit_rows(rows: list[tuple[str, int]]) -> Model | None:
     """A model of (text, label) rows, in any order; None without rows of both classes."""
     rows = sorted(rows, key=lambda r: (r[1], r[0] or ""))
-    toxic_texts: set[frozenset[bytes]] = set()
-    of: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for text, label in rows:
-        words = frozenset(WORDS.findall((text or "").encode().lower()))
-        if label and words in toxic_texts:
-            continue
-        if label:
-            toxic_texts.add(words)
-        of[label].update(words)
-    n = {k: sum(r[1] == k for r in rows) for k in (0, 1)}
-    if not n[0] or not n[1]:
+    toxic_texts, others = [t for t, k in rows if k], [t for t, k in rows if not k]
+    if not toxic_texts or not others:
         return None
-    least = max(2, TOXIC_SHARE * n[1])
-    marks = [w for w, c in sorted(of[1].items()) if c >= least and of[0][w] / n[0] < 0.02 * c / n[1] for _ in range(c)]
-    usual = [w for w, c in sorted(of[0].items()) if c >= 2 for _ in range(min(c, 50))]
+    marks, usual = _marks(toxic_texts, others), _usual(others)
     order = random.Random(0)
     order.shuffle(marks)
     order.shuffle(usual)
