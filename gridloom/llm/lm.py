@@ -31,9 +31,9 @@ from .common import blocks, materialise
 
 SEEN, BACKOFF = 2, 0.4
 #: Words with short numbers, and those whose pairs are counted in each task.
-HOT, TOP = (1 << 17) - 1, 512
+HOT, TOP = (1 << 18) - 1, 512
 #: Bits of a short number: two of them share a column.
-BITS = 17
+BITS = 18
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
