@@ -69,6 +69,29 @@ def clip_to_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
     return F.aggregate(planes, ring, clip)
 
 
+def area_in_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Area of a simple ring's part inside a rectangle, without building that part.
+
+    Each side adds the signed area between itself, held to y0..y1, and y0 over its share of
+    x0..x1: one pass over the sides.
+    """
+
+    def under(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        left, right = F.greatest(F.least(a["x"], b["x"]), x0), F.least(F.greatest(a["x"], b["x"]), x1)
+        width, slope = right - left, F.try_divide(b["y"] - a["y"], b["x"] - a["x"])
+
+        def above(floor: Column) -> Column:
+            u, v = a["y"] + slope * (left - a["x"]) - floor, a["y"] + slope * (right - a["x"]) - floor
+            tip = F.greatest(u, v)
+            return F.when((u >= 0) & (v >= 0), width * (u + v) / 2).when(tip <= 0, 0.0).otherwise(tip * tip / (2 * F.abs(slope)))
+
+        part = above(y0) - above(y1)
+        return F.when(width <= 0, 0.0).when(a["x"] < b["x"], part).otherwise(-part)
+
+    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + under(e)))
+
+
 def box_overlap_area(a: Column, b: Column) -> Column:
     """Common area of two bounds."""
     w = F.least(a["maxx"], b["maxx"]) - F.greatest(a["minx"], b["minx"])

@@ -102,7 +102,7 @@ def coverage(shapes: DataFrame, pixel: float, height: str, ring: str | None = No
     met = shapes.withColumn("col", F.explode(cells("x"))).withColumn("row", F.explode(cells("y")))
     x0, y0 = F.col("col") * s, F.col("row") * s
     if ring:
-        area = G.area(G.clip_to_box(F.col(ring), x0, y0, x0 + s, y0 + s))
+        area = G.area_in_box(F.col(ring), x0, y0, x0 + s, y0 + s)
     else:
         area = G.box_overlap_area(b, F.struct(x0.alias("minx"), y0.alias("miny"), (x0 + s).alias("maxx"), (y0 + s).alias("maxy")))
     met = met.withColumn("_a", area).where("_a > 0").groupBy("row", "col")

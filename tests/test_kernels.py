@@ -35,6 +35,8 @@ def test_clip_areas_add_up(spark):
     cells = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9))))
     x, y = F.col("i") * 10, F.col("j") * 10
     part = G.area(G.clip_to_box(F.col("ring"), x, y, x + 10, y + 10))
+    direct = G.area_in_box(F.col("ring"), x, y, x + 10, y + 10)
+    assert cells.where(F.abs(direct - F.coalesce(part, F.lit(0.0))) > 1e-6).count() == 0
     sums = cells.groupBy("id").agg(F.sum(part).alias("a"), F.max(part).alias("most"))
     for r in sums.collect():
         assert math.isclose(r["a"], areas[r["id"]], rel_tol=1e-6) and r["most"] <= 100 + 1e-9
