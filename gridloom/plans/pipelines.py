@@ -110,3 +110,29 @@ def test_tiles(px: DataFrame, existing: DataFrame, size: int, n: int, height: in
     free = vector.outside_boxes(boxed, existing, float(2 * size), key="k").drop("bbox")
     whole = raster.valid_windows(px.withColumn("valid", F.col("cur") != 0), "valid", size, height, width)
     return sampling.sample(free.join(whole, ["row", "col"], "left_semi"), "k", n, seed).select("k", "row", "col")
+
+
+def validate(tiles: DataFrame, models: dict[str, inference.Predictor], real: str, key: str) -> DataFrame:
+    """(model, mean and median of per-tile mae and mse) of several models on one test set.
+
+    All models are chained-free predictors of the same tiles; their errors are array folds, so
+    that pixels never become rows.
+    """
+    latent = tiles.withColumn("latent", S.normals(F.col(key), 0, inference.LATENT).cast("array<float>"))
+    out = None
+    for name, model in models.items():
+        made = inference.predict(latent, [model], ["_made"])
+        gaps = F.zip_with("_made", real, lambda a, b: a.cast("double") - b.cast("double"))
+        n, zero = F.size("_made"), F.lit(0.0)
+        mae = F.aggregate(gaps, zero, lambda s, g: s + F.abs(g)) / n
+        mse = F.aggregate(gaps, zero, lambda s, g: s + g * g) / n
+        own = made.select(F.lit(name).alias("model"), mae.alias("mae"), mse.alias("mse"))
+        out = own if out is None else out.unionByName(own)
+    return tabular.model_summary(out, "model", ["mae", "mse"])
+
+
+def raster_growth(px: DataFrame, before: tuple[str, str], after: tuple[str, str], mask) -> DataFrame:
+    """(before, after, change): masked raster volumes (fraction, height in feet) and their change in percent."""
+    metres = lambda c: S.capped(S.feet_to_metres(F.col(c)), S.HEIGHT_CAP_M)
+    sums = [F.coalesce(F.sum(F.when(mask, S.raster_volume(S.capped(F.col(f), 1.0), metres(h)))), F.lit(0.0)).alias(n) for n, (f, h) in (("before", before), ("after", after))]
+    return px.agg(*sums).withColumn("change", S.percent_change(F.col("before"), F.col("after")))

@@ -556,9 +556,35 @@ def ml_unet_numpy(spark, d):
     return made.select("vec_id", F.size("made").alias("pixels"), F.round(F.array_max("made"), 4).alias("high"))
 
 
+@query(f"e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), t AS (SELECT m, vec_id, avg(abs(x * a + b - x)) AS mae, avg(pow(x * a + b - x, 2)) AS mse FROM e, (VALUES ('half', 0.5, 0.0), ('shifted', 1.0, 0.25)) v(m, a, b) GROUP BY 1, 2) SELECT m AS model, round(avg(mae), 4) AS mean_mae, round(median(mae), 4) AS median_mae, round(avg(mse), 4) AS mean_mse, round(median(mse), 4) AS median_mse FROM t GROUP BY 1")
+def ml_validate_models(spark, d):
+    tiles = X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("data"))
+    models = {"half": inference.Affine(0.5, 0.0), "shifted": inference.Affine(1.0, 0.25)}
+    out = P.validate(tiles, models, "data", "vec_id")
+    return out.select("model", *[F.round(c, 4).alias(c) for c in out.columns if c != "model"])
+
+
 # ---- pipelines
 
 
+@query(f"{BOTH}, v AS (SELECT sum(CASE WHEN proj <> cur THEN bf * least(bh * 0.3048, 75) * 900 END) AS b, sum(CASE WHEN proj <> cur AND bfp IS NOT NULL THEN least(bfp, 1) * least(bhp * 0.3048, 75) * 900 END) AS a FROM bo) SELECT round(b, 2) AS before, round(a, 2) AS after, {_r('(a - b) * 100 / b', 'change')} FROM v")
+def pipe_raster_growth(spark, d):
+    out = P.raster_growth(X.both(spark, d), ("bf", "bh"), ("bfp", "bhp"), F.col("proj") != F.col("cur"))
+    return out.select(F.round("before", 2).alias("before"), F.round("after", 2).alias("after"), r6("change", "change"))
+
+
+@query(f"{PX} SELECT row - 2 AS row, col - 10 AS col, cur AS value FROM px WHERE row >= 3 AND row < 8 AND col >= 11 AND col < 39")
+def jn_polygon_mask(spark, d):
+    px = X.pixels(spark, d).select("row", "col", F.col("cur").alias("value"))
+    return raster.clip_to_polygon(px, X.IDENTITY, G.box_ring(10.6, 2.6, 39.4, 8.4), nodata=None)
+
+
+@query(f"{PX} SELECT k, 1000.0 + col * 30 AS minx, 5000.0 - (row + 1) * 30 AS miny, 1030.0 + col * 30 AS maxx, 5000.0 - row * 30 AS maxy FROM px".replace("1000.0", "1000::DOUBLE").replace("5000.0", "5000::DOUBLE").replace("1030.0", "1030::DOUBLE"))
+def prj_pixel_bounds(spark, d):
+    t = {**X.IDENTITY, "a": 30.0, "c": 1000.0, "e": -30.0, "f": 5000.0}
+    return X.pixels(spark, d).select("k", G.pixel_bounds(F.col("row"), F.col("col"), t).alias("b")).select("k", "b.minx", "b.miny", "b.maxx", "b.maxy")
+
+
 @query(f"{BV}, {_CELLS}, sc AS (SELECT size, count(*) AS cells, avg(total) AS mean, var_samp(total) AS variance FROM ce WHERE total > 0 GROUP BY 1 UNION ALL SELECT sqrt(min(w * h)), count(*), avg(v), var_samp(v) FROM bv) SELECT {_r('size', 'size')}, cells, {_r('mean', 'mean')}, round(variance, 3) AS variance FROM sc")
 def pipe_taylor(spark, d):
     out = P.taylor(X.buildings(spark, d), [50, 100, 250])

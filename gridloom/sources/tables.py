@@ -60,3 +60,8 @@ def save(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "app
     """Parquet, partitioned (by state, layer, split): readers prune folders."""
     writer = df.write.mode(mode)
     (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a header: evaluation and scaling tables, loss curves."""
+    df.write.mode(mode).option("header", True).csv(path)

@@ -75,6 +75,21 @@ def gpkg(spark: SparkSession, path: str, layer: str | None = None, box: tuple[fl
     return _read(files(spark, path, "*.gpkg"), lambda p, c: _gpkg_rows(p, c, layer, box))
 
 
+def layers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, layer, srid) of GeoPackages, without reading features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for p, c in zip(b.column(0).to_pylist(), b.column(1)):
+                db = sqlite3.connect(":memory:")
+                db.deserialize(c.as_py())
+                rows += [(p, *r) for r in db.execute("SELECT table_name, srs_id FROM gpkg_geometry_columns")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["path", "layer", "srid"])
+
+    return files(spark, path, "*.gpkg").mapInArrow(run, "path string, layer string, srid int")
+
+
 def _read(content: DataFrame, rows_of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -210,6 +210,13 @@ def test_unet_against_loops():
     assert made.shape == (2, 1, 16, 16) and (np.abs(made) <= 1).all()
 
 
+def test_weights_round_trip(tmp_path):
+    net = unet.random_weights(3)
+    unet.save(net, str(tmp_path / "w.npz"))
+    x, z = np.ones((1, 1, 8, 8), np.float32), np.ones((1, 8), np.float32)
+    assert np.array_equal(unet.load(str(tmp_path / "w.npz"))(x, z), net(x, z))
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     takes = [[r["k"] for r in sampling.sample(df.repartition(n), "k", 37).collect()] for n in (1, 7)]

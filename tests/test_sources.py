@@ -53,6 +53,7 @@ def test_geopackage(spark, tmp_path):
     (tmp_path / "x.gpkg").write_bytes(vectors.write_gpkg(features(), "CA"))
     df = vectors.gpkg(spark, str(tmp_path), "CA")
     assert df.count() == 5 and vectors.gpkg(spark, str(tmp_path), "NV").count() == 0
+    assert [tuple(r)[1:] for r in vectors.layers(spark, str(tmp_path)).collect()] == [("CA", 4326)]
     some = vectors.gpkg(spark, str(tmp_path), box=(1.5, 0.2, 2.5, 0.4)).orderBy("minx").collect()
     assert [r["attributes"]["NAME"] for r in some] == ["n1", "n2"] and some[0]["srid"] == 4326
     assert [tuple(p) for p in some[0]["rings"][0]] == features()[1]["rings"][0]
