@@ -115,10 +115,15 @@ class _Words(dict):
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, dict[str, int]]:
     """Language to its profile (n-gram to rank), from rows that are not held out."""
     known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(id_col), id_col)
-    chosen = known.select(id_col, lang).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).select(id_col).distinct()
-    languages = known.select(lang).distinct().count()
-    if languages * SAMPLE <= BROADCAST:
+    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("_gl_n"))
+    languages = counts.count()
+    few = languages * SAMPLE <= BROADCAST
+    # The hash falls below the share of 4 * SAMPLE rows: a crowded language is thinned before it meets in a task.
+    ids = known.select(id_col, lang).withColumn("_gl_h", F.pmod(F.xxhash64(id_col), F.lit(1 << 40)))
+    thinned = ids.join(F.broadcast(counts) if few else counts, lang).where(F.col("_gl_h").cast("double") * F.col("_gl_n") < F.lit(4.0 * SAMPLE * (1 << 40)))
+    order = Window.partitionBy(lang).orderBy("_gl_h", id_col)
+    chosen = thinned.withColumn("_gl_r", F.row_number().over(order)).where(F.col("_gl_r") <= SAMPLE).select(id_col).distinct()
+    if few:
         chosen = F.broadcast(chosen)  # SAMPLE ids a language at most
     texts = known.select(id_col, lang, text).join(chosen, id_col, "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
