@@ -365,7 +365,8 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace ``text`` by its kept bytes (binary) and add n_bytes and removed (byte intervals)."""
     whole = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     key, check = _key(text)
-    found = find(docs, text).select(F.col("key").alias("_gl_key"), F.col("found").alias("_gl_found"))
+    # Written, so that the join below is between plain exchanges: copies crowding a key are split.
+    found = materialise(find(docs, text).select(F.col("key").alias("_gl_key"), F.col("found").alias("_gl_found")), "intervals")
     met = whole.withColumns({"_gl_key": key, "_gl_check": check}).join(found, "_gl_key", "left")
     names = [c for c in docs.columns if c not in (text, "n_bytes", "removed")]
 
