@@ -107,7 +107,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     texts = materialise(rows.groupBy("copy").agg(first().alias("first"), F.first("fp").alias("fp")).select("fp", "first", F.col("first.node").alias("node")), "near-texts")
     near = components(links(texts.select("fp").distinct(), DISTANCE)).withColumnRenamed("node", "fp")
     placed = texts.join(near, "fp", "left").select("node", F.coalesce("component", "fp").alias("component"))
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    placed = materialise(placed, "near-placed")
+    # Written, so that the join below is between plain exchanges: a crowded component is split.
+    sizes = materialise(placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
     members = materialise(placed.join(sizes, "component").select("node", "component", "size"), "near-members")
     # Only the components' members are fetched.
     source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), node(F.col(id_col), F.coalesce(F.col(text), F.lit(""))).alias("node"))
