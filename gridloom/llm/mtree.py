@@ -6,7 +6,8 @@ and a metric tree applies.  Every node is a page: its entries hold a routing vec
 covering radius and the distance to the parent's routing vector.  A search takes pages
 best first; |d(q,parent) - d(entry,parent)| - radius bounds an entry's distance from below
 before it is computed, and pages whose bound exceeds the k-th best distance are left.
-Bounds carry a slack and every reported score is an exact integer, so results are exact.
+Bounds carry a slack and every reported score is an exact integer, so results are exact (while
+the squared norms of the integer vectors stay under 2**52, in which doubles are exact).
 
 Vectors are dealt to shards near a bounded set of pivots.  Each block of queries meets each
 shard once (a stated query set against all rows, in blocks).
