@@ -32,7 +32,7 @@ from .common import append, blocks, held_out, with_fields
 #: Labelled rows that the fit takes at most.
 SAMPLE = 6_000
 #: Bytes of the dictionaries, and the share of toxic texts that a toxic word is in at least.
-TOXIC_BYTES, ORDINARY_BYTES, TOXIC_SHARE = 1024, 16_384, 0.01
+TOXIC_BYTES, ORDINARY_BYTES, TOXIC_SHARE = 1536, 16_384, 0.01
 #: Lengths of word beginnings that may mark toxic texts, beside whole words.
 BEGINNINGS = (4, 5, 6)
 #: Follows each window and ends each dictionary: zstandard looks for no match in the last bytes.
