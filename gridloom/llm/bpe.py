@@ -32,7 +32,7 @@ LEAF = 16
 #: Above every rank.
 NONE = 1 << 31
 #: Pieces remembered by a worker; beyond, it forgets all and goes on (only speed changes).
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 class Ranks:
@@ -91,7 +91,7 @@ class Ranks:
         """Whether two neighbouring tokens encode to themselves."""
         known = self._apart.get((a, b))
         if known is None:
-            if len(self._apart) > 4 * REMEMBERED:
+            if len(self._apart) > REMEMBERED:
                 self._apart.clear()
             known = self._apart[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
@@ -167,7 +167,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(Ranks(ranks_path).bytes_of, pa.large_binary())
-        for batch in blocks(batches, ids, 16 << 20):
+        for batch in blocks(batches, ids):
             col = batch.column(batch.schema.get_field_index(ids))
             col = pc.if_else(col.is_valid(), col, pa.scalar([], col.type)) if col.null_count else col
             # Taking the ids' bytes in order lays them end to end: each text is one stretch.

@@ -49,7 +49,7 @@ def with_fields(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.Struct
     return T.StructType(kept + [T.StructField(n, t) for n, t in fields])
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` has about ``most`` bytes in each."""
     for batch in batches:
         at = batch.schema.get_field_index(column)

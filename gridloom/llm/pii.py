@@ -142,7 +142,7 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             for s in batch.column(0):
                 if s.is_valid:
                     total.update(WORDS.findall(s.as_py().lower()))
-            if len(total) > 400_000:
+            if len(total) > 200_000:
                 yield _counted(total)
                 total = Counter()
         yield _counted(total)

@@ -40,7 +40,7 @@ CARRIER = bytes(range(0x80, 0xA0))
 LEVEL = 19
 #: Gains are clipped to this range; thresholds are its positive part.
 LOW, HIGH = -2, 10
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 WORDS = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
