@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontaminate, neardup, pii, toxicity
-from gridloom.llm.common import driver_path, materialise, table
+from gridloom.llm.common import bounded, driver_path, materialise, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -17,28 +17,33 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
+@bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return neardup.drop(docs)
 
 
+@bounded
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out."""
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
     return _counted(decontaminate.remove(found)).select(docs.columns)
 
 
+@bounded
 def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is generalised, disclosing terms are removed."""
     return _counted(pii.sanitise(docs)).select(docs.columns)
 
 
+@bounded
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as token ids, decoded again as a proof of the round trip."""
     import public_tokenizers

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BATCH = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded(f):
+    """For functions of a session first: Arrow batches hold BATCH rows at most, as texts can be long.
+
+    Batches are allocated outside the heap, several to a task; Spark's own limit of 10,000 rows
+    is some 35 MB of text each.
+    """
+
+    @wraps(f)
+    def run(spark: SparkSession, *rest):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+        return f(spark, *rest)
+
+    return run
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
