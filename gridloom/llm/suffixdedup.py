@@ -343,7 +343,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     open_ = rows.where("single > 0 AND contexts > 1 AND n = 1").select("gram", "key", "at", "contexts")
     partner = rows.where("single > 0 AND contexts > 1 AND n > 1").groupBy("gram", "context").agg(F.min(F.struct("key", "at")).alias("x"), F.first("contexts").alias("contexts"))
     asked = open_.unionByName(partner.select("gram", F.col("x.key").alias("key"), F.col("x.at").alias("at"), "contexts"))
-    asked = asked.groupBy("key").agg(F.collect_set(F.struct("gram", "at", "contexts")).alias("wanted"))
+    # Written for the same reason as the intervals below: copies crowding a key are split.
+    asked = materialise(asked.groupBy("key").agg(F.collect_set(F.struct("gram", "at", "contexts")).alias("wanted")), "asked")
     met = long.join(asked, "key").select("text", "key", "check", "wanted")
     some = lambda test: met.withColumn("wanted", F.filter("wanted", test)).where(F.size("wanted") > 0)
     contexts = some(lambda w: w["contexts"] <= GROUP).mapInArrow(_fetch(True), "gram long, key long, at long, context binary")
