@@ -11,7 +11,8 @@ texts of all rows.
 
 Defined cases: a null text counts as empty; an empty text, or one without letters, has no
 windows and scores as the calibration gives for none; without labelled rows of both classes
-every score is 0; labels repeated for an id count as toxic if one is; other columns pass.
+every score is 0; labels repeated for an id count as toxic if one is; rows repeated for an id
+are one row of the fit, and of several texts the one of least hash is taken; other columns pass.
 """
 
 from __future__ import annotations
@@ -176,9 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
-    # At most SAMPLE ids: a proven bound for the broadcast.
-    rows = docs.select(id_col, text).join(F.broadcast(chosen), id_col).select(text, "label")
-    found = [(r[0], min(1, r[1])) for r in rows.orderBy("label", text).limit(2 * SAMPLE).collect()]
+    # At most SAMPLE ids: a proven bound for the broadcast, and for the rows, as each id gives one.
+    rows = docs.select(id_col, F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text")).alias("found")).join(F.broadcast(chosen), id_col)
+    one = rows.groupBy(id_col).agg(F.min("found").alias("found"), F.first("label").alias("label"))
+    found = [(r[0], min(1, r[1])) for r in one.select("found.text", "label").collect()]
     return fit_rows(found)
 
 

@@ -48,6 +48,22 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_fit_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 300)
+    toxic = [int(i % 4 == 0) for i in range(400)]
+    rows = [(i, document(4 * t)) for i, t in enumerate(toxic)]
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    usual = next(i for i, t in enumerate(toxic) if not t and not held(i))
+    made = lambda more: toxicity.fit(spark.createDataFrame(more, "doc_id long, text string"), labels)
+    want = made(rows)
+    for more in (rows * 3, rows + [rows[usual]] * 700):  # every row repeated, and a hot key
+        got = made(more)
+        assert got is not None and (got.toxic, got.ordinary) == (want.toxic, want.ordinary)
+        assert (got.weights == want.weights).all()
+    # Several texts of an id are one row of the fit.
+    assert made(rows + [(usual, f"other {k}") for k in range(700)]) is not None
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
