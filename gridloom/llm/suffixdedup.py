@@ -39,6 +39,8 @@ SPAN, GRAM = 200, 72
 REACH = SPAN - GRAM + 1  # windows that may pick an anchor
 #: Contexts of a gram that one task sorts.
 GROUP = 4_096
+#: Texts that a task remembers as fetched, so that it fetches no copy again.
+FETCHED = 1 << 16
 #: Bytes of contexts that are sorted together.
 BUFFER = 2 << 20
 
@@ -268,9 +270,12 @@ def repeated(contexts: list[bytes], before: np.ndarray, after: np.ndarray, group
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts in the order of their grams to the intervals that their repeated windows cover."""
+    """Contexts in the order of their grams, keys and places to the intervals that their repeated windows cover.
+
+    Copies of a text that several tasks fetched follow each other and count once.
+    """
     held: list[tuple] = []
-    size, now = 0, None
+    size, now, last = 0, None, None
 
     def flush() -> pa.RecordBatch:
         gram, key, at, contexts = zip(*held)
@@ -281,6 +286,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] == last:
+                continue
+            last = row[:3]
             if row[0] != now:
                 if size > BUFFER:
                     yield flush()
@@ -300,12 +308,21 @@ def _intervals(key, a, b, check) -> pa.RecordBatch:
 
 
 def _fetch(whole: bool):
-    """Contexts of (text, key, check, wanted [gram, at]) rows, or their windows' hashes."""
+    """Contexts of (text, key, check, wanted [gram, at]) rows, or their windows' hashes.
+
+    A task fetches one of a text's copies: the others hold the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in blocks(batches, "text"):
             wanted = batch.column(3)
             for row, (k, c, data) in enumerate(_texts(batch)):
+                if (k, c) in seen:
+                    continue
+                if len(seen) >= FETCHED:
+                    seen.clear()
+                seen.add((k, c))
                 asked = wanted[row].as_py()
                 gram = np.array([w["gram"] for w in asked], np.int64)
                 at = np.array([w["at"] for w in asked], np.int64)
@@ -348,7 +365,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     met = long.join(asked, "key").select("text", "key", "check", "wanted")
     some = lambda test: met.withColumn("wanted", F.filter("wanted", test)).where(F.size("wanted") > 0)
     contexts = some(lambda w: w["contexts"] <= GROUP).mapInArrow(_fetch(True), "gram long, key long, at long, context binary")
-    sorted_ = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve, _INTERVAL)
+    sorted_ = contexts.repartition("gram").sortWithinPartitions("gram", "key", "at").mapInArrow(_resolve, _INTERVAL)
     found = sure.unionByName(sorted_)
     if rows.where(f"single > 0 AND contexts > {GROUP}").limit(1).count():
         windows = some(lambda w: w["contexts"] > GROUP).mapInArrow(_fetch(False), "one long, two long, key long, a long, check long")

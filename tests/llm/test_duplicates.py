@@ -5,7 +5,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from gridloom.llm import components, neardup, simhash, suffixdedup
 
@@ -44,6 +46,27 @@ def test_suffix_dedup(spark, monkeypatch):
     assert suffixdedup.remove(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_a_crowded_partner(spark, monkeypatch):
+    text = prose(700)
+    near = text[:340] + "#" + text[341:]
+    copies = 20_000
+    df = spark.createDataFrame([(0, near)], "doc_id long, text string").unionByName(spark.range(1, copies + 1).select("id", F.lit(text)).toDF("doc_id", "text"))
+    got = suffixdedup.digests(suffixdedup.remove(df)).groupBy(F.col("doc_id") == 0, "n_removed", "n_spans").count().collect()
+    assert {(r[0], r[1], r[2], r[3]) for r in got} == {(True, 699, 2, 1), (False, 700, 1, copies)}
+    # A task fetches a copy once, and what several tasks fetched is sorted once.
+    place, context, at, before, after = suffixdedup.anchors(np.frombuffer(text.encode(), np.uint8))
+    wanted = [{"gram": int(g), "at": int(p)} for g, p in zip(place.view(np.int64), suffixdedup._pack(at, before, after, 7))]
+    batch = pa.RecordBatch.from_pylist([{"text": text, "key": 1, "check": 7, "wanted": wanted}] * 500)
+    fetched = list(suffixdedup._fetch(True)(iter([batch] * 40)))
+    assert sum(b.num_rows for b in fetched) == len(wanted)
+    sizes = []
+    monkeypatch.setattr(suffixdedup, "repeated", lambda contexts, *_: sizes.append(len(contexts)) or (np.full(len(contexts), -1),) * 2)
+    one = fetched[0].sort_by([("gram", "ascending"), ("key", "ascending"), ("at", "ascending")]).to_pylist()
+    many = [r for r in one for _ in range(300)]
+    list(suffixdedup._resolve(iter([pa.RecordBatch.from_pylist(many)])))
+    assert sizes == [len(wanted)]
+
+
 def test_mergesort_sorts():
     rng = np.random.default_rng(0)
     texts = [bytes(rng.integers(97, 99, rng.integers(0, 12), dtype=np.uint8)) for _ in range(500)]
