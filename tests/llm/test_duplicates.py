@@ -161,3 +161,31 @@ def test_near_duplicates(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == want
         assert sum(r["doc_id"] is None for r in got) == 1
     assert neardup.drop(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_that_differ_in_a_block(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for k in range(90):
+        size = draw.randrange(120, 400)
+        doc = [draw.choice(words) for _ in range(size)]
+        block = [draw.choice(words) for _ in range(round(size * (1 / (0.81 + 0.14 * k / 90) - 1)))]
+        texts += [" ".join(doc), " ".join([doc + block, block + doc, doc[len(block) :]][k % 3])]
+    label = jaccard_groups(texts)
+    want = sorted(set(label))
+    assert len(want) < 100  # most pairs reach the threshold
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.drop(df).collect()) == want
+
+
+def test_bands_meet_at_the_threshold():
+    draw = np.random.default_rng(4)
+    for shared in (0.8, 0.9):
+        missed = 0
+        for _ in range(1000):
+            runs = draw.integers(0, 1 << 64, 200, dtype=np.uint64)
+            missed += not (neardup.bands(runs.tolist()) == neardup.bands(runs[: int(200 * shared)].tolist())).any()
+        assert missed <= 4
+    apart = [neardup.bands(draw.integers(0, 1 << 64, 200, dtype=np.uint64).tolist()) for _ in range(200)]
+    assert len(np.unique(np.concatenate(apart))) == 200 * neardup.BANDS
