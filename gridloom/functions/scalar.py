@@ -131,9 +131,33 @@ def reflect(i: Column, n: int) -> Column:
     return F.when(folded < n, folded).otherwise(F.lit(period) - folded)
 
 
+#: Hashes that order rows are below this; products of two numbers below it fit a long.
+ORDER_SPAN = 1 << 31
+
+
 def order_hash(key: Column, seed: int = 42) -> Column:
-    """A multiplicative hash that other engines compute alike: orders rows for sampling."""
-    return (key.cast("long") * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)
+    """A mixing hash below ORDER_SPAN that other engines compute alike: orders rows for sampling.
+
+    The seed enters before every multiplication, so that each seed gives an order of its own.
+    For a fixed upper half of the key and a fixed seed it is a permutation of the lower half.
+    """
+    m = F.lit(ORDER_SPAN)
+    k = key.cast("long")
+    high = F.pmod(F.shiftright(k, 31), m)
+    h = F.pmod(k, m).bitwiseXOR((high * 40503 + seed_term(seed, 0)) % m)
+    for step, (factor, shift) in enumerate(ORDER_ROUNDS, 1):
+        h = (h * F.lit(factor) + seed_term(seed, step)) % m
+        h = h.bitwiseXOR(F.shiftright(h, shift))
+    return h
+
+
+#: Odd multipliers and shifts of the rounds of ``order_hash``.
+ORDER_ROUNDS = ((1597334677, 15), (1812433253, 13), (747796405, 16))
+
+
+def seed_term(seed: int, step: int) -> int:
+    """What a seed adds in a round."""
+    return (seed + 1) * (2654435761, 2246822519, 3266489917, 668265263)[step] % ORDER_SPAN
 
 
 def uniform(key: Column, seed: int, dim: int) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import order_hash
+from ..functions.scalar import ORDER_SPAN, order_hash
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -52,7 +52,7 @@ def first_by_hash(df: DataFrame, by: str, key: str, seed: int = 42) -> DataFrame
     return df.groupBy(by).agg(F.min_by(F.col(key), F.struct(order_hash(F.col(key), seed), F.col(key))).alias(key))
 
 
-def global_rank(df: DataFrame, order: Column, key: str, span: int = 1 << 32, buckets: int = 1024) -> DataFrame:
+def global_rank(df: DataFrame, order: Column, key: str, span: int = ORDER_SPAN, buckets: int = 1024) -> DataFrame:
     """Add ``rank`` from 0 in the order of a hash in 0..span-1 (ties by key), without one task sorting all.
 
     Ranks within hash ranges plus the ranges' offsets: ``buckets`` rows are broadcast at most.

@@ -468,7 +468,11 @@ def win_epoch_ordinal(spark, d):
 
 
 def _hash(k: str, seed: int) -> str:
-    return f"(({k} * 2654435761 + {seed}) % 4294967296)"
+    h = f"xor({k} % {S.ORDER_SPAN}, ((CAST({k} AS BIGINT) >> 31) * 40503 + {S.seed_term(seed, 0)}) % {S.ORDER_SPAN})"
+    for step, (factor, shift) in enumerate(S.ORDER_ROUNDS, 1):
+        h = f"(({h} * {factor} + {S.seed_term(seed, step)}) % {S.ORDER_SPAN})"
+        h = f"xor({h}, {h} >> {shift})"
+    return f"({h})"
 
 
 @query(f"{PX}, t AS (SELECT k FROM px ORDER BY {_hash('k', 42)}, k LIMIT 200) SELECT k, CASE WHEN k IN (SELECT k FROM t) THEN 'test' ELSE 'train' END AS split FROM px")

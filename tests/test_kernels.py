@@ -232,6 +232,20 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert abs(normal[0]) < 0.02 and abs(normal[1] - 1) < 0.02
 
 
+def test_seeds_give_samples_of_their_own(spark):
+    df = spark.range(20_000).withColumn("k", F.col("id") + F.lit(16_000_000_000))  # keys of a national raster
+    takes = {seed: {r["k"] for r in sampling.sample(df, "k", 500, seed).collect()} for seed in (1000, 1001, 1002, 1003, 2000)}
+    for a in takes:
+        assert len(takes[a]) == 500
+        for b in takes:
+            assert a == b or len(takes[a] & takes[b]) < 40  # 12.5 expected
+    halves = sum(k < 16_000_010_000 for k in takes[1000])
+    assert 190 < halves < 310
+    batches = {e: {r["k"]: r["batch"] for r in sampling.minibatches(df, "k", e).select("k", "batch").collect()} for e in (1, 2, 50)}
+    for a, b in ((1, 2), (1, 50), (2, 50)):
+        assert sum(batches[a][k] == batches[b][k] for k in batches[a]) < 400  # 128 expected
+
+
 def test_missing_tile_raises(spark):
     target = spark.createDataFrame([(1, 1), (2, 1)], "seed int, tile int")
     source = spark.createDataFrame([(1, 1, 5)], "seed int, tile int, v int")
