@@ -136,11 +136,63 @@ def _sides_meet(e: Column, f: Column) -> Column:
     return cross | _on(a, b, c) | _on(a, b, d) | _on(c, d, a) | _on(c, d, b)
 
 
+def _near(edges: Column, box: Column) -> Column:
+    """Sides whose own bounds touch ``box``: one pass, so that only these are compared in pairs."""
+    low, high = (lambda e, k: F.least(e["a"][k], e["b"][k])), (lambda e, k: F.greatest(e["a"][k], e["b"][k]))
+    return F.filter(edges, lambda e: (low(e, "x") <= box["maxx"]) & (high(e, "x") >= box["minx"]) & (low(e, "y") <= box["maxy"]) & (high(e, "y") >= box["miny"]))
+
+
 def intersects(a: Column, b: Column) -> Column:
     """Whether two rings share a point: sides meet, or one holds the other."""
-    meet = F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: _sides_meet(e, f)))
-    first = lambda r: F.try_element_at(r, F.lit(1))
-    return meet | contains(a, first(b)["x"], first(b)["y"]) | contains(b, first(a)["x"], first(a)["y"])
+    near = F.transform(F.array(bounds(a)), lambda box: _near(_edges(b), box))[0]
+    meet = F.exists(_edges(a), lambda e: F.exists(near, lambda f: _sides_meet(e, f)))
+    return meet | contains(a, _first(b)["x"], _first(b)["y"]) | contains(b, _first(a)["x"], _first(a)["y"])
+
+
+def _first(ring: Column) -> Column:
+    return F.try_element_at(ring, F.lit(1))
+
+
+# Polygons of several rings (array of rings): holes, islands in them and separate parts, in any
+# order and direction.  A point is inside if an odd number of rings holds it.
+
+
+def rings_bounds(rings: Column) -> Column:
+    """(minx, miny, maxx, maxy) of all rings."""
+    return bounds(F.flatten(rings))
+
+
+def _all_edges(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, _edges))
+
+
+def rings_contain(rings: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside a polygon of several rings."""
+    return F.aggregate(rings, F.lit(0), lambda s, r: s + F.when(contains(r, x, y), 1).otherwise(0)) % 2 == 1
+
+
+def rings_intersect(ring: Column, rings: Column) -> Column:
+    """Whether a ring's area and a polygon of several rings share a point."""
+    near = F.transform(F.array(bounds(ring)), lambda box: _near(_all_edges(rings), box))[0]
+    meet = F.exists(_edges(ring), lambda e: F.exists(near, lambda f: _sides_meet(e, f)))
+    held = F.exists(rings, lambda r: contains(ring, _first(r)["x"], _first(r)["y"]))
+    return meet | held | rings_contain(rings, _first(ring)["x"], _first(ring)["y"])
+
+
+def _signs(rings: Column) -> Column:
+    """1 for rings that add area, -1 for holes: by the number of other rings around their first point."""
+    around = lambda r: F.aggregate(rings, F.lit(0), lambda s, o: s + F.when((o != r) & contains(o, _first(r)["x"], _first(r)["y"]), 1).otherwise(0))
+    return F.transform(rings, lambda r: F.when(around(r) % 2 == 1, -1.0).otherwise(1.0))
+
+
+def rings_area(rings: Column) -> Column:
+    """Area of a polygon of several rings that do not cross."""
+    return F.aggregate(F.zip_with(rings, _signs(rings), lambda r, s: area(r) * s), F.lit(0.0), lambda t, a: t + a)
+
+
+def rings_area_in_box(rings: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Area of its part inside a rectangle."""
+    return F.aggregate(F.zip_with(rings, _signs(rings), lambda r, s: area_in_box(r, x0, y0, x1, y1) * s), F.lit(0.0), lambda t, a: t + a)
 
 
 def pixel_bounds(row: Column, col: Column, t: dict[str, float]) -> Column:

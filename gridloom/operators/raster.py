@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions.scalar import reflect
@@ -56,8 +57,13 @@ def masked(value: str, mask: Column) -> Column:
 
 
 def clip_to_polygon(px: DataFrame, transform: dict[str, float], ring: Column, value: str = "value", nodata: float | None = 0) -> DataFrame:
-    """Crop to the polygon's bounds, re-based; outside of it ``nodata`` (or left out, if None)."""
-    box = F.broadcast(px.sparkSession.range(1).select(ring.alias("_ring")).select("_ring", G.bounds("_ring").alias("_box")))  # one row
+    """Crop to the polygon's bounds, re-based; outside of it ``nodata`` (or left out, if None).
+
+    ``ring`` is one ring, or an array of rings (holes, parts).
+    """
+    one = px.sparkSession.range(1).select(ring.alias("_ring"))
+    several = isinstance(one.schema["_ring"].dataType.elementType, T.ArrayType)
+    box = F.broadcast(one.select("_ring", (G.rings_bounds if several else G.bounds)(F.col("_ring")).alias("_box")))  # one row
     t = transform
     x, y = F.lit(t["c"]) + (F.col("col") + 0.5) * t["a"], F.lit(t["f"]) + (F.col("row") + 0.5) * t["e"]
     to_col = lambda v: (v - t["c"]) / t["a"]
@@ -70,7 +76,7 @@ def clip_to_polygon(px: DataFrame, transform: dict[str, float], ring: Column, va
         "_r1": F.ceil(F.greatest(to_row(b["miny"]), to_row(b["maxy"]))),
     }
     met = px.join(box).withColumns(ends).where("row >= _r0 AND row < _r1 AND col >= _c0 AND col < _c1")
-    inside = G.contains(F.col("_ring"), x, y)
+    inside = (G.rings_contain if several else G.contains)(F.col("_ring"), x, y)
     met = met.where(inside) if nodata is None else met.withColumn(value, F.when(inside, F.col(value)).otherwise(F.lit(nodata)))
     based = {"row": (F.col("row") - F.greatest("_r0", F.lit(0))).cast("int"), "col": (F.col("col") - F.greatest("_c0", F.lit(0))).cast("int")}
     return met.withColumns(based).drop("_ring", "_box", *ends)
@@ -127,14 +133,21 @@ def valid_windows(px: DataFrame, valid: str, size: int, height: int, width: int)
 def window_values(px: DataFrame, windows: DataFrame, size: int, value: str = "value") -> DataFrame:
     """(row, col, value): the distinct values inside each window.
 
-    Pixels are dealt by size-aligned blocks and windows to the up to four blocks they touch, so
-    the join is an equi-join that reads each pixel once.
+    Sets of runs of 1, 2, 4... pixels are united with those that follow, across and then down,
+    so that a window costs some 2 log2(size) unions of small sets; the only rows made are those
+    of the result.  Pixels must be dense, since positions count rows.
     """
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    asked = windows.select("row", "col", F.inline(steps)).select("row", "col", (F.floor(F.col("row") / size) + F.col("i")).alias("br"), (F.floor(F.col("col") / size) + F.col("j")).alias("bc"))
-    held = px.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("value"), F.floor(F.col("row") / size).alias("br"), F.floor(F.col("col") / size).alias("bc"))
-    inside = F.col("r").between(F.col("row"), F.col("row") + size - 1) & F.col("c").between(F.col("col"), F.col("col") + size - 1)
-    return asked.join(held, ["br", "bc"]).where(inside).select("row", "col", "value").distinct()
+
+    def united(df: DataFrame, part: str, order: str) -> DataFrame:
+        along, run = Window.partitionBy(part).orderBy(order), 1
+        while run < size:
+            step = min(run, size - run)
+            df = df.withColumn("_v", F.array_union("_v", F.coalesce(F.lead("_v", step).over(along), F.col("_v"))))
+            run += step
+        return df
+
+    sets = united(united(px.select("row", "col", F.array(F.col(value)).alias("_v")), "row", "col"), "col", "row")
+    return windows.select("row", "col").join(sets, ["row", "col"]).select("row", "col", F.explode("_v").alias("value"))
 
 
 def neighbours(tiles: DataFrame, step: int) -> DataFrame:

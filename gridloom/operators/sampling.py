@@ -31,19 +31,25 @@ def split(df: DataFrame, key: str, n: int, seed: int = 42, names: tuple[str, str
     return df.join(chosen, key, "left").withColumn("split", F.when(F.col("_s"), names[0]).otherwise(names[1])).drop("_s")
 
 
-def covering_sample(positions: DataFrame, key: str, n: int, seed: int = 42, value: str = "value") -> DataFrame:
+def covering_sample(positions: DataFrame, key: str, n: int, seed: int = 42, value: str = "value", keys: DataFrame | None = None) -> DataFrame:
     """(key): one position for each distinct value, then hash order up to ``n``.
 
-    ``positions`` has a row for each value of each position.  Raises if there are more values
-    than n; takes all positions if there are too few.
+    ``positions`` has a row for each value of each position; ``keys`` the positions themselves,
+    once each, where that is cheaper to have.  Raises if there are more values than n; takes all
+    positions if there are too few.
     """
     h = order_hash(F.col(key), seed)
-    firsts = positions.groupBy(value).agg(F.min(F.struct(h.alias("h"), F.col(key).alias("k"))).alias("x")).select(F.col("x.k").alias(key), F.lit(0).alias("_late")).distinct()
-    values = positions.select(value).distinct().count()
-    if values > n:
-        raise ValueError(f"{values} values do not fit into {n} positions")
-    every = positions.select(key).distinct().join(firsts, key, "left")
-    ranked = every.withColumns({"_late": F.coalesce("_late", F.lit(1)), "_h": order_hash(F.col(key), seed)})
+    firsts = positions.groupBy(value).agg(F.min(F.struct(h.alias("h"), F.col(key).alias("k"))).alias("x")).limit(n + 1).collect()  # n + 1 rows at most
+    if len(firsts) > n:
+        raise ValueError(f"more than {n} values do not fit into {n} positions")
+    every = positions.select(key).distinct() if keys is None else keys.select(key)
+    kept = sorted({r["x"]["k"] for r in firsts})
+    late = F.when(F.col(key).isin(kept), 0).otherwise(1) if len(kept) <= 1000 else None
+    if late is None:
+        known = positions.sparkSession.createDataFrame([(k, 0) for k in kept], f"{key} {every.schema[key].dataType.simpleString()}, _late int")
+        every = every.join(F.broadcast(known), key, "left")  # n rows at most
+        late = F.coalesce("_late", F.lit(1))
+    ranked = every.withColumns({"_late": late, "_h": order_hash(F.col(key), seed)})
     return ranked.orderBy("_late", "_h", key).limit(n).select(key)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 
@@ -86,10 +87,25 @@ def outside_boxes(candidates: DataFrame, existing: DataFrame, size: float, key:
     return join_by_cells(candidates, existing, size, G.boxes_overlap, "left_anti", left_key=key)
 
 
-def within_polygons(shapes: DataFrame, polygons: DataFrame, size: float, ring: str = "ring", polygon: str = "polygon") -> DataFrame:
-    """Shapes with each polygon that they intersect."""
-    test = lambda a, b: G.boxes_touch(a, b) & G.intersects(F.col(ring), F.col(polygon))
-    return join_by_cells(shapes, polygons, size, test)
+def polygon_cells(polygons: DataFrame, box: str = "box", most: int = 64) -> float:
+    """A cell size for joins with polygons: a quarter of their mean side, and no polygon over ``most`` cells wide."""
+    b = F.col(box)
+    side = F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"])
+    mean, longest = polygons.agg(F.avg(side), F.max(side)).first()  # one row
+    return max((mean or 0.0) / 4, (longest or 0.0) / most) or 1.0
+
+
+def within_polygons(shapes: DataFrame, polygons: DataFrame, size: float | None = None, ring: str = "ring", polygon: str = "polygon", key: str = "metro", box: str = "box") -> DataFrame:
+    """Shapes with each polygon (a ring, or an array of rings: holes and parts) that they intersect.
+
+    Cells follow the polygons' own size, and only keys and bounds are sent to them; outlines
+    join the pairs whose bounds touch.  ``key`` tells polygons apart.
+    """
+    size = size or polygon_cells(polygons, box)
+    several = isinstance(polygons.schema[polygon].dataType.elementType, T.ArrayType)
+    pairs = join_by_cells(shapes, polygons.select(key, box), size, G.boxes_touch, right_box=box)
+    met = pairs.join(polygons.drop(box), key)
+    return met.where((G.rings_intersect if several else G.intersects)(F.col(ring), F.col(polygon)))
 
 
 def coverage(shapes: DataFrame, pixel: float, height: str, ring: str | None = None, box: str = "bbox") -> DataFrame:
@@ -101,7 +117,9 @@ def coverage(shapes: DataFrame, pixel: float, height: str, ring: str | None = No
     cells = lambda a: F.sequence(F.floor(b[f"min{a}"] / s), F.greatest(F.floor(b[f"min{a}"] / s), (F.ceil(b[f"max{a}"] / s) - 1).cast("long")))
     met = shapes.withColumn("col", F.explode(cells("x"))).withColumn("row", F.explode(cells("y")))
     x0, y0 = F.col("col") * s, F.col("row") * s
-    if ring:
+    if ring and isinstance(shapes.schema[ring].dataType.elementType, T.ArrayType):
+        area = G.rings_area_in_box(F.col(ring), x0, y0, x0 + s, y0 + s)
+    elif ring:
         area = G.area_in_box(F.col(ring), x0, y0, x0 + s, y0 + s)
     else:
         area = G.box_overlap_area(b, F.struct(x0.alias("minx"), y0.alias("miny"), (x0 + s).alias("maxx"), (y0 + s).alias("maxy")))
@@ -110,9 +128,21 @@ def coverage(shapes: DataFrame, pixel: float, height: str, ring: str | None = No
     return out.select("row", "col", F.least(F.col("_w") / (s * s), F.lit(1.0)).alias("fraction"), (F.col("_s") / F.col("_w")).alias("height"))
 
 
-def burn(shapes: DataFrame, pixel: float, value: str, order: str, box: str = "bbox") -> DataFrame:
-    """(row, col, value): every touched pixel takes the value of the last shape in order."""
+def burn(shapes: DataFrame, pixel: float, value: str, order: str, box: str = "bbox", ring: str | None = None, touched_too: bool = True) -> DataFrame:
+    """(row, col, value): a pixel takes the value of the last shape in order that burns it.
+
+    Without ``ring`` shapes are their bounds.  With it, a pixel counts if the shape touches it,
+    or, without ``touched_too``, if it holds the pixel's centre.
+    """
     b, s = F.col(box), F.lit(float(pixel))
     cells = lambda a: F.sequence(F.floor(b[f"min{a}"] / s), F.floor(b[f"max{a}"] / s))
     met = shapes.withColumn("col", F.explode(cells("x"))).withColumn("row", F.explode(cells("y")))
+    if ring:
+        several = isinstance(shapes.schema[ring].dataType.elementType, T.ArrayType)
+        x0, y0 = F.col("col") * s, F.col("row") * s
+        if touched_too:
+            pixel_ring = G.box_ring(x0, y0, x0 + s, y0 + s)
+            met = met.where(G.rings_intersect(pixel_ring, F.col(ring)) if several else G.intersects(pixel_ring, F.col(ring)))
+        else:
+            met = met.where((G.rings_contain if several else G.contains)(F.col(ring), x0 + s / 2, y0 + s / 2))
     return met.groupBy("row", "col").agg(F.max_by(value, order).alias("value"))

@@ -37,7 +37,7 @@ def taylor_fit(scaling: DataFrame, critical: float | None = None) -> DataFrame:
     return stats.ols(logs, "x", "y", critical=critical)
 
 
-def metro_volumes(buildings: DataFrame, metros: DataFrame, size: float = 50.0, cap_multistate: bool = False) -> DataFrame:
+def metro_volumes(buildings: DataFrame, metros: DataFrame, size: float | None = None, cap_multistate: bool = False) -> DataFrame:
     """(metro, name, vols): volume of the buildings that touch each metro.
 
     Heights are capped in single-state metros, and in the others if ``cap_multistate``.
@@ -94,7 +94,7 @@ def training_tiles(px: DataFrame, height: int, width: int, size: int, n: int, he
     windows = raster.valid_windows(px.withColumn("valid", F.col("cur") > 0), "valid", size, height, width)
     values = raster.window_values(px.select("row", "col", F.col("cur").alias("value")), windows, size)
     keyed = values.withColumn("k", F.col("row").cast("long") * width + F.col("col"))
-    chosen = sampling.covering_sample(keyed, "k", n, seed)
+    chosen = sampling.covering_sample(keyed, "k", n, seed, keys=windows.select((F.col("row").cast("long") * width + F.col("col")).alias("k")))
     split = sampling.split(chosen, "k", held_out, seed + 1)
     return split.select("k", F.floor(F.col("k") / width).cast("int").alias("row"), (F.col("k") % width).cast("int").alias("col"), "split")
 

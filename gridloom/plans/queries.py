@@ -308,7 +308,7 @@ def jn_bbox_anti(spark, d):
 
 @query(f"{BV}, {ME} SELECT id, metro FROM bv JOIN me ON x0 <= x + 200 AND x <= x1 AND y0 <= y + 200 AND y <= y1")
 def jn_metro_semi(spark, d):
-    return vector.within_polygons(X.buildings(spark, d), X.metros(spark, d), 50.0).select("id", "metro")
+    return vector.within_polygons(X.buildings(spark, d), X.metros(spark, d)).select("id", "metro")
 
 
 @query(f"{ME}, {PO} SELECT metro, name, CAST(pop AS BIGINT) AS pop FROM me LEFT JOIN po USING (metro)")
