@@ -26,10 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where a session has none (local tests), a folder of the machine is made and set.
+    Where a local session has none (tests), a folder of the machine is made and set; on a
+    cluster that would lose rows silently, so it raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share (master {master})")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,14 +54,14 @@ def bounded(f):
     return run
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Cuts the lineage: lost executors cost a reread, not the work before it.
     """
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(to)
+    df.write.parquet(to, compression=compression)
     return spark.read.schema(df.schema).parquet(to)
 
 

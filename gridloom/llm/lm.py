@@ -1,180 +1,246 @@
-"""Stupid-backoff language-model scores, computed relationally.
+"""Stupid-backoff language-model scores of a corpus over itself, computed relationally.
 
-Counts of words and of word pairs are gathered over all documents.  A word scores
-ln(c(previous, word) / c(previous)) where the pair occurs at least SEEN times, else
-ln(BACKOFF * c(word) / all words); a document's score is the mean over its words.  The first
-word follows a start mark, which counts once a document with words.
+For ORDER words a word scores ln(c(its n-gram) / c(the n-gram's context)) with the longest
+n-gram that occurs at least SEEN times, plus ln BACKOFF for each order it backs off, and
+ln(c(word) / all words) plus ORDER - 1 of them if no pair does; a document's score is the mean
+over its words.  The first words follow start marks, whose count is that of documents with
+words.  SEEN prunes the model: every scored n-gram occurs, so that one occurrence says nothing.
 
-Tokens are exploded to (document, previous, word) and dealt by the hash of the pair, where the
-count of each pair meets its occurrences; only word counts that are then still open are joined.
-The HOT most frequent words have short numbers and are a bounded broadcast; pairs of the TOP
-most frequent ones (bounded too) are counted and scored without being exploded, so no frequent
-pair crowds a task.
+1. Texts are tokenised once, into blocks of some BLOCK words, which are written: word hashes,
+   the words' places in them, and the ids.
+2. Every block's distinct n-grams of all orders, with their counts, are dealt to buckets by hash:
+   one packed row for each bucket.  A frequent n-gram is one entry of a block, however often
+   it occurs there, so no key crowds a bucket.
+3. A bucket's rows are a partition of the count table and, at once, what is to be joined to it:
+   counts are summed by n-gram and each block's n-grams get their totals, one packed row a block.
+4. Totals meet their blocks, which sum the scores of their documents.
+
+N-grams are told apart by BITS bits of hash: at 30 GB some 1 in 10 million meets another.
 
 Defined cases: texts without words (null, empty) have 0 words and a null score; repeated rows
-count as often as they stand there and score alike; ids may be null; empty tables give no rows.
+count as often as they stand there and score alike; ids may be null and of any type; very long
+texts stay whole in one block, which grows with them; empty tables give no rows; columns but
+the id and the text take no part.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks, materialise
 
-SEEN, BACKOFF = 2, 0.4
-#: Words with short numbers, and those whose pairs are counted in each task.
-HOT, TOP = (1 << 18) - 1, 512
-#: Bits of a short number: two of them share a column.
-BITS = 18
-WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def _words(batch: pa.RecordBatch, at: int) -> Iterator[list[bytes]]:
-    for s in batch.column(at):
-        yield WORDS.findall(s.as_py().encode().lower()) if s.is_valid else []
-
+ORDER, SEEN, BACKOFF = 3, 2, 0.4
+#: Words of a block, and n-grams that a bucket gets at most, about.
+BLOCK, BUCKET = 1 << 20, 1 << 22
+BITS = 56
+#: What stands between words, which are runs of digits, letters and characters beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of words of each text, distinct words, the place of each word in them)."""
+    parts = pc.split_pattern_regex(pc.ascii_lower(texts.fill_null("")), BETWEEN)
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
+    coded = pc.dictionary_encode(parts.flatten())
+    at, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # before a first separator or behind a last one
+        own = at != empty
+        at, of = at[own], of[own]
+    return np.bincount(of, minlength=len(texts)), words, at
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) rows to blocks."""
+    import xxhash
+    from pyspark import TaskContext
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
+    task, made = TaskContext.get().partitionId(), 0
+    place: dict[str, int] = {}
+    hashes: list[int] = []
+    ids: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
+    words: list[np.ndarray] = []
+    held = 0
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+        n, w = np.concatenate(sizes).astype(np.uint32), np.concatenate(words).astype(np.uint32)
+        own = pa.concat_arrays(ids)
+        listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+        binary = [pa.array([x.tobytes()], pa.binary()) for x in (n, w, np.array(hashes, np.uint64))]
+        numbers = [pa.array([x], pa.int64()) for x in ((task << 32) + made, len(w), int((n > 0).sum()))]
+        return pa.RecordBatch.from_arrays([*numbers, listed, *binary], names=["block", "total", "starts", "ids", "sizes", "words", "hashes"])
 
     for batch in blocks(batches, "text"):
-        for words in _words(batch, 0):
-            if words:
-                total.update(words)
-                total[b""] += 1  # the start mark: no word is empty
-        if len(total) > 300_000:
+        n, known, at = tokens(batch.column(1))
+        to = np.zeros(len(known), np.int64)
+        for k, w in enumerate(known.to_pylist()):
+            found = place.get(w)
+            if found is None:
+                found = place[w] = len(hashes)
+                hashes.append(xxhash.xxh64_intdigest(w.encode(), 42))
+            to[k] = found
+        ids.append(batch.column(0))
+        sizes.append(n)
+        words.append(to[at])
+        held += len(at)
+        if held >= BLOCK:
             yield flush()
-            total = Counter()
-    yield flush()
+            made, held = made + 1, 0
+            place, hashes, ids, sizes, words = {}, [], [], [], []
+    if ids:
+        yield flush()
 
 
-def _rare(word: bytes) -> int:
-    """The number of a word that has no short one: a negative hash."""
-    import xxhash
+def _mix(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def grams(sizes: np.ndarray, words: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
+    """Hashes (order x words) of the n-grams that end at each word; start marks stand before texts."""
+    sizes = sizes[sizes > 0].astype(np.int64)
+    front = order - 1
+    at = np.arange(len(words)) + np.repeat(front * np.arange(1, len(sizes) + 1), sizes)
+    one = np.zeros(len(words) + front * len(sizes), np.uint64)
+    one[at] = hashes[words]
+    last, out = one, [_mix(one[at])]
+    for n in range(2, order + 1):
+        before = np.concatenate([np.zeros(1, np.uint64), last[:-1]])
+        last = _mix(before * np.uint64(0x9E3779B97F4A7C15) + one + np.uint64(n))
+        out.append(last[at])
+    return np.stack(out) >> np.uint64(64 - BITS)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
-    return -1 - (xxhash.xxh64_intdigest(word, 42) >> 1)
 
+def unpack(data: bytes) -> np.ndarray:
+    """``pack`` undone."""
+    import zstandard
 
-def _short(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
-    """Short numbers by frequency, from 1; 0 for other words."""
-    return np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
 
 
-def _frequent(words: DataFrame, most: int) -> list[tuple[str, int]]:
-    """The ``most`` most frequent words at most: whole frequency classes, so that no task or driver sorts more."""
-    level = F.floor(F.log2(F.col("n").cast("double")) * 16)
-    there = {r["level"]: r["count"] for r in words.groupBy(level.alias("level")).count().collect()}  # some hundred classes
-    total, least = 0, None
-    for k in sorted(there, reverse=True):
-        total += there[k]
-        if total > most:
-            break
-        least = k
-    if least is None:
-        return []
-    table = words.where(level >= least).select("word", "n").toArrow()
-    return sorted(zip(table["word"].to_pylist(), table["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+def _loaded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["sizes"], np.uint32), np.frombuffer(row["words"], np.uint32), np.frombuffer(row["hashes"], np.uint64)
+
+
+def _deal(bits: int, order: int):
+    """Blocks to rows of their distinct n-grams, one for each bucket (the highest ``bits`` of the hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found, n = np.unique(grams(*_loaded(row), order), return_counts=True)
+                bucket = (found >> np.uint64(BITS - bits)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for i, j in zip(cuts, [*cuts[1:], len(found)]):
+                    packed = pack(np.diff(found[i:j], prepend=np.uint64(0))), pack(n[i:j])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i])]), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in packed)], names=["bucket", "block", "grams", "n"])
+
+    return run
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their buckets: counts are summed, and each block's n-grams get the sums."""
+    now, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        parts = [np.cumsum(unpack(r["grams"]), dtype=np.uint64) for r in held]
+        found, at = np.unique(np.concatenate(parts), return_inverse=True)
+        # Counts are exact in doubles below 2**53.
+        total = np.bincount(at, np.concatenate([unpack(r["n"]) for r in held]).astype(np.float64), len(found)).astype(np.uint64)[at]
+        ends = np.cumsum([len(p) for p in parts])
+        packed = [pack(x) for x in np.split(total, ends[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array([r["block"] for r in held]), pa.array([now] * len(held), pa.int64()), pa.array(packed, pa.binary())], names=["block", "bucket", "totals"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != now:
+                if held:
+                    yield flush()
+                now, held = row["bucket"], []
+            held.append(row)
+    if held:
+        yield flush()
+
+
+def word_scores(count: np.ndarray, sizes: np.ndarray, total: int, starts: int) -> np.ndarray:
+    """Scores of a block's words by the counts (order x words) of the n-grams that end at them."""
+    order = len(count)
+    log = np.log(count.astype(np.float64))
+    out = log[0] - math.log(max(1, total)) + (order - 1) * math.log(BACKOFF)
+    sizes = sizes[sizes > 0].astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    for n in range(2, order + 1):
+        context = np.concatenate([[0.0], log[n - 2][:-1]])
+        context[first] = math.log(max(1, starts))  # start marks alone
+        out = np.where(count[n - 1] >= SEEN, log[n - 1] - context + (order - n) * math.log(BACKOFF), out)
+    return out
+
+
+def _scores(order: int, total: int, starts: int):
+    """Blocks, each followed by its rows of totals, to (id, n_words, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, totals = None, None, []
+
+        def flush() -> pa.RecordBatch:
+            sizes, words, hashes = block
+            if len(words):
+                _, at = np.unique(grams(sizes, words, hashes, order), return_inverse=True)
+                count = np.concatenate(totals)[at.reshape(order, -1)]
+                own = sizes > 0
+                ends = np.cumsum(sizes[own], dtype=np.int64)
+                sums = np.add.reduceat(word_scores(count, sizes, total, starts), ends - sizes[own])
+                mean = np.full(len(sizes), np.nan)
+                mean[own] = sums / sizes[own]
+            else:
+                mean = np.full(len(sizes), np.nan)
+            return pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(mean, mask=sizes == 0)], names=["id", "n_words", "score"])
+
+        for batch in batches:
+            for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                if row["kind"] == 0:
+                    if block is not None:
+                        yield flush()
+                    block, ids, totals = _loaded(row), batch.column("ids")[k].values, []
+                else:
+                    totals.append(unpack(row["totals"]))
+        if block is not None:
+            yield flush()
+
+    return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(id, n_words, score) of every document; scores are means of natural logarithms."""
-    sc = docs.sparkSession.sparkContext
-    docs = docs.select(id_col, F.col(text).alias("text")).withColumn("key", F.xxhash64(id_col, "text"))
-    texts = docs.select("text", "key")
-    words = materialise(texts.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = words.where("word <> ''").agg(F.sum("n")).first()[0] or 1
-    starts = words.where("word = ''").agg(F.sum("n")).first()[0] or 1
-    frequent = _frequent(words.where("word <> ''"), HOT)
-    known = sc.broadcast([("", starts), *frequent])
-
-    def top_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {w.encode(): k for k, (w, _) in enumerate(known.value[:TOP])}
-        numbers.pop(b"")
-        counts = np.zeros(TOP * TOP, np.int64)
-        for batch in blocks(batches, "text"):
-            held = [np.zeros(0, np.int64)]
-            for ws in _words(batch, 0):
-                if ws:
-                    b = _short(ws, numbers)
-                    a = np.concatenate([[0], b[:-1]])
-                    own = b > 0
-                    own[1:] &= a[1:] > 0
-                    held.append(a[own] * TOP + b[own])
-            counts += np.bincount(np.concatenate(held), minlength=TOP * TOP)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
-
-    counted = texts.select("text").mapInArrow(top_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # TOP * TOP rows at most
-    top = np.zeros(TOP * TOP)
-    top[found["pair"].to_numpy()] = found["n"].to_numpy()
-    tops = sc.broadcast(top)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {w.encode(): k for k, (w, _) in enumerate(known.value)}
-        numbers.pop(b"")
-        single = np.log(np.array([n for _, n in known.value], float))
-        single = np.concatenate([single, np.zeros(max(0, TOP - len(single)))])[:TOP]
-        pair = np.log(np.maximum(tops.value, 1)).reshape(TOP, TOP)
-        value = np.where(tops.value.reshape(TOP, TOP) >= SEEN, pair - single[:, None], np.log(BACKOFF) - np.log(total) + single[None, :])
-        for batch in blocks(batches, "text", 2 << 20):
-            keys = batch.column(1).to_numpy()
-            out: list[tuple] = []
-            for key, ws in zip(keys, _words(batch, 0)):
-                b = _short(ws, numbers)
-                for i in np.flatnonzero(b == 0).tolist():
-                    b[i] = _rare(ws[i])
-                a = np.concatenate([[0], b[:-1]])[: len(b)]
-                own = (a >= 0) & (a < TOP) & (b >= 0) & (b < TOP)
-                base = float(value[a[own], b[own]].sum())
-                a, b = a[~own], b[~own]
-                short = (a >= 0) & (b >= 0)
-                # One row of its own for the document: its words, and what is known already.
-                out.append((np.append(np.where(short, (a << BITS) | b, a), len(ws)), np.append(np.where(short, 0, b), key), np.full(len(a) + 1, key), np.append(np.full(len(a), np.nan), base)))
-            p, q, doc, base = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(doc), pa.array(base, mask=np.isnan(base))], names=["p", "q", "doc", "base"])
-
-    rows = texts.mapInArrow(explode, "p long, q long, doc long, base double")
-    rows = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("p", "q")))
-    rows = rows.withColumns(
-        {
-            "words": F.when(F.col("base").isNotNull(), F.col("p")).otherwise(0),
-            "a": F.when(F.col("q") == 0, F.shiftright("p", BITS)).otherwise(F.col("p")),
-            "b": F.when(F.col("q") == 0, F.col("p").bitwiseAND((1 << BITS) - 1)).otherwise(F.col("q")),
-        }
-    )
-    seen, head = F.col("c") >= SEEN, F.col("base").isNotNull()
-    open_ = F.when(~head, F.when(seen, F.col("a")).otherwise(F.col("b")))
-    rows = rows.select(
-        "doc",
-        "words",
-        head.cast("long").alias("rows"),
-        F.when(head, F.col("base")).when(seen, F.ln("c")).otherwise(F.lit(float(np.log(BACKOFF) - np.log(total)))).alias("part"),
-        F.when(head, 0).when(seen, -1).otherwise(1).alias("sign"),
-        open_.alias("ref"),
-    )
-    # HOT + 1 rows: a bounded broadcast.
-    logs = docs.sparkSession.createDataFrame(pa.table({"ref": np.arange(len(frequent) + 1), "hot": np.log(np.array([starts, *(n for _, n in frequent)], float))}))
-    rows = rows.join(F.broadcast(logs), "ref", "left")
-    part = F.col("part") + F.coalesce(F.col("sign") * F.col("hot"), F.lit(0.0))
-    rare = F.when(F.col("hot").isNull(), F.col("ref"))
-    sums = rows.select("doc", rare.alias("ref"), part.alias("part"), "sign", "words", "rows").groupBy("doc", "ref")
-    sums = materialise(sums.agg(F.sum("part").alias("part"), F.sum("sign").alias("sign"), F.sum("words").alias("words"), F.sum("rows").alias("rows")), "lm-sums")
-    id_of = (-1 - F.shiftrightunsigned(F.xxhash64("word"), 1)).alias("ref")
-    counts = words.where("word <> ''").select(id_of, F.ln("n").alias("log")).groupBy("ref").agg(F.max("log").alias("log"))
-    rest = sums.where("ref IS NOT NULL").join(counts, "ref").select("doc", (F.col("part") + F.col("sign") * F.col("log")).alias("part"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("rows"))
-    both = sums.where("ref IS NULL").select("doc", "part", "words", "rows").unionByName(rest)
-    scored = both.groupBy("doc").agg(F.sum("part").alias("part"), F.sum("words").alias("words"), F.sum("rows").alias("rows"))
-    scored = scored.select(F.col("doc").alias("key"), (F.col("words") / F.col("rows")).cast("long").alias("n_words"), F.when(F.col("words") > 0, F.col("part") / F.col("words")).alias("score"))
-    return docs.select(id_col, "key").join(scored, "key").select(id_col, "n_words", "score")
+    kind = docs.schema[id_col].dataType
+    fields = [("block", T.LongType()), ("total", T.LongType()), ("starts", T.LongType()), ("ids", T.ArrayType(kind)), ("sizes", T.BinaryType()), ("words", T.BinaryType()), ("hashes", T.BinaryType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    made = materialise(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_tokenise, schema), "lm-blocks", compression="zstd")
+    total, starts = made.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("starts"), F.lit(0))).first()
+    bits = max(4, math.ceil(math.log2(max(1, total * order / BUCKET))))
+    dealt = made.select("block", "sizes", "words", "hashes").mapInArrow(_deal(bits, order), "bucket long, block long, grams binary, n binary")
+    totals = dealt.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_total, "block long, bucket long, totals binary")
+    first = made.select("block", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("bucket"), "ids", "sizes", "words", "hashes", F.lit(None).cast("binary").alias("totals"))
+    none = {n: F.lit(None).cast(first.schema[n].dataType) for n in ("ids", "sizes", "words", "hashes")}
+    then = totals.select("block", F.lit(1).alias("kind"), "bucket", *[c.alias(n) for n, c in none.items()], "totals")
+    met = first.unionByName(then).repartition("block").sortWithinPartitions("block", "kind", "bucket")
+    out = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])
+    return met.mapInArrow(_scores(order, total, starts), out).withColumnRenamed("id", id_col)

@@ -89,14 +89,18 @@ WITH w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
     FROM documents)
 ), p AS (
-  SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '') AS v FROM w
+  SELECT doc_id, w, coalesce(lag(w) OVER o, '') AS v, coalesce(lag(w, 2) OVER o, '') AS u FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), docs AS (
+  SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM w
 ), one AS (
-  SELECT w, count(*)::DOUBLE AS n FROM w GROUP BY w UNION ALL SELECT '', count(DISTINCT doc_id) FROM w
+  SELECT w, count(*)::DOUBLE AS n FROM w GROUP BY w UNION ALL SELECT '', n FROM docs
 ), two AS (
-  SELECT v, w, count(*)::DOUBLE AS n FROM p GROUP BY v, w
+  SELECT v, w, count(*)::DOUBLE AS n FROM p GROUP BY v, w UNION ALL SELECT '', '', n FROM docs
+), three AS (
+  SELECT u, v, w, count(*)::DOUBLE AS n FROM p GROUP BY u, v, w
 ), s AS (
-  SELECT p.doc_id, CASE WHEN two.n >= 2 THEN ln(two.n / a.n) ELSE ln(0.4 * b.n / (SELECT count(*) FROM w)) END AS s
-  FROM p JOIN two USING (v, w) JOIN one a ON a.w = p.v JOIN one b ON b.w = p.w
+  SELECT p.doc_id, CASE WHEN three.n >= 2 THEN ln(three.n / c.n) WHEN two.n >= 2 THEN ln(two.n / a.n) + ln(0.4) ELSE ln(b.n / (SELECT count(*) FROM w)) + 2 * ln(0.4) END AS s
+  FROM p JOIN three USING (u, v, w) JOIN two ON two.v = p.v AND two.w = p.w JOIN two c ON c.v = p.u AND c.w = p.v JOIN one a ON a.w = p.v JOIN one b ON b.w = p.w
 )
 SELECT d.doc_id, count(s.s)::BIGINT AS n_words, round(avg(s.s), 4) AS score FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """

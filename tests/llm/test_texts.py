@@ -136,8 +136,8 @@ def test_generalise_overlaps():
 def test_lm(spark, monkeypatch):
     import duckdb
 
-    monkeypatch.setattr(lm, "HOT", 60)
-    monkeypatch.setattr(lm, "TOP", 8)
+    monkeypatch.setattr(lm, "BLOCK", 900)
+    monkeypatch.setattr(lm, "BUCKET", 300)
     texts = [" ".join(DRAW.choice(WORDS[: 5 + i]) for _ in range(DRAW.randrange(1, 60))) for i in range(150)]
     texts += [None, "", "...", "The the THE", "é É", "solo", "a b " * 5000] + [texts[0]] * 3
     rows = list(enumerate(texts))
@@ -150,6 +150,45 @@ def test_lm(spark, monkeypatch):
         assert got[doc_id]["n_words"] == n
         assert (score is None and got[doc_id]["score"] is None) or math.isclose(got[doc_id]["score"], score, abs_tol=1e-4)
     assert lm.score(df.limit(0)).count() == 0
+    for order in (1, 2):  # other orders against counting
+        for doc_id, n, score in counted(texts, order):
+            r = {r["doc_id"]: r for r in lm.score(df, order=order).collect()}[doc_id] if doc_id == 0 else None
+            assert r is None or (r["n_words"] == n and math.isclose(r["score"], score, abs_tol=1e-9))
+    # Any type of id, and null ones.
+    odd = spark.createDataFrame([("x", "a b", 1), (None, "a b", 2), (None, None, 3)], "id string, body string, score int")
+    assert sorted((r["id"] or "", r["n_words"]) for r in lm.score(odd, "id", "body").collect()) == [("", 0), ("", 2), ("x", 2)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abAÉé9._ \x00\n", max_size=30), min_size=1, max_size=5))
+def test_tokens(texts):
+    n, known, at = lm.tokens(lm.pa.array(texts, lm.pa.string()))
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t)) for t in texts]
+    assert n.tolist() == [len(w) for w in words] and [known[k].as_py() for k in at.tolist()] == [w for t in words for w in t]
+
+
+def counted(texts, order):
+    """(number, words, score) of each text by plain counting."""
+    padded = [["", ""] + decontaminate_words(t) for t in texts]
+    total = sum(len(p) - 2 for p in padded)
+    count = Counter(tuple(p[i - n + 1 : i + 1]) for p in padded for i in range(2, len(p)) for n in range(1, order + 1))
+    starts = sum(len(p) > 2 for p in padded)
+    for k, p in enumerate(padded):
+        scores = []
+        for i in range(2, len(p)):
+            for n in range(order, 0, -1):
+                c = count[tuple(p[i - n + 1 : i + 1])]
+                if n == 1:
+                    scores.append(math.log(c / total) + (order - 1) * math.log(0.4))
+                elif c >= 2:
+                    context = tuple(p[i - n + 1 : i])
+                    scores.append(math.log(c / (count[context] if any(context) else starts)) + (order - n) * math.log(0.4))
+                    break
+        yield k, len(p) - 2, sum(scores) / len(scores) if scores else None
+
+
+def decontaminate_words(text):
+    return [w.decode() for w in decontaminate.words_of(text)]
 
 
 def brute(docs, items, window):
