@@ -39,7 +39,7 @@ from .common import blocks, materialise
 
 ORDER, SEEN, BACKOFF = 3, 2, 0.4
 #: Words of a block, and n-grams that a bucket gets at most, about.
-BLOCK, BUCKET = 1 << 20, 1 << 22
+BLOCK, BUCKET = 1 << 20, 1 << 21
 BITS = 56
 #: What stands between words, which are runs of digits, letters and characters beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,10 +72,10 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
 
     def flush() -> pa.RecordBatch:
-        n, w = np.concatenate(sizes).astype(np.uint32), np.concatenate(words).astype(np.uint32)
+        n, w = np.concatenate(sizes), np.concatenate(words)
         own = pa.concat_arrays(ids)
         listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-        binary = [pa.array([x.tobytes()], pa.binary()) for x in (n, w, np.array(hashes, np.uint64))]
+        binary = [pa.array([x], pa.binary()) for x in (pack(n), pack(w), np.array(hashes, np.uint64).tobytes())]
         numbers = [pa.array([x], pa.int64()) for x in ((task << 32) + made, len(w), int((n > 0).sum()))]
         return pa.RecordBatch.from_arrays([*numbers, listed, *binary], names=["block", "total", "starts", "ids", "sizes", "words", "hashes"])
 
@@ -108,7 +108,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def grams(sizes: np.ndarray, words: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
     """Hashes (order x words) of the n-grams that end at each word; start marks stand before texts."""
-    sizes = sizes[sizes > 0].astype(np.int64)
+    sizes = sizes[sizes > 0]
     front = order - 1
     at = np.arange(len(words)) + np.repeat(front * np.arange(1, len(sizes) + 1), sizes)
     one = np.zeros(len(words) + front * len(sizes), np.uint64)
@@ -137,7 +137,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _loaded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["sizes"], np.uint32), np.frombuffer(row["words"], np.uint32), np.frombuffer(row["hashes"], np.uint64)
+    return unpack(row["sizes"]).astype(np.int64), unpack(row["words"]).astype(np.int64), np.frombuffer(row["hashes"], np.uint64)
 
 
 def _deal(bits: int, order: int):
@@ -185,7 +185,7 @@ def word_scores(count: np.ndarray, sizes: np.ndarray, total: int, starts: int) -
     order = len(count)
     log = np.log(count.astype(np.float64))
     out = log[0] - math.log(max(1, total)) + (order - 1) * math.log(BACKOFF)
-    sizes = sizes[sizes > 0].astype(np.int64)
+    sizes = sizes[sizes > 0]
     first = np.cumsum(sizes) - sizes
     for n in range(2, order + 1):
         context = np.concatenate([[0.0], log[n - 2][:-1]])
@@ -212,7 +212,7 @@ def _scores(order: int, total: int, starts: int):
                 mean[own] = sums / sizes[own]
             else:
                 mean = np.full(len(sizes), np.nan)
-            return pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(mean, mask=sizes == 0)], names=["id", "n_words", "score"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(mean, mask=sizes == 0)], names=["id", "n_words", "score"])
 
         for batch in batches:
             for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
@@ -233,7 +233,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
     kind = docs.schema[id_col].dataType
     fields = [("block", T.LongType()), ("total", T.LongType()), ("starts", T.LongType()), ("ids", T.ArrayType(kind)), ("sizes", T.BinaryType()), ("words", T.BinaryType()), ("hashes", T.BinaryType())]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
-    made = materialise(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_tokenise, schema), "lm-blocks", compression="zstd")
+    made = materialise(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_tokenise, schema), "lm-blocks")
     total, starts = made.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("starts"), F.lit(0))).first()
     bits = max(4, math.ceil(math.log2(max(1, total * order / BUCKET))))
     dealt = made.select("block", "sizes", "words", "hashes").mapInArrow(_deal(bits, order), "bucket long, block long, grams binary, n binary")
