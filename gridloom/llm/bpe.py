@@ -32,6 +32,8 @@ LEAF = 16
 #: Above every rank.
 NONE = 1 << 31
 #: Pieces remembered by a worker; beyond, it forgets all and goes on (only speed changes).
+#: Tokens of a leaf of the decoding tree.
+DECODED = 4_096
 REMEMBERED = 120_000
 
 
@@ -125,8 +127,15 @@ class Ranks:
         return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
 
     def decode(self, ids: list[int]) -> bytes:
-        """Concatenation is associative: one pass equals any tree."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Leaves of some tokens, concatenated in pairs up the tree."""
+        return concatenated([b"".join(map(self.bytes_of.__getitem__, ids[i : i + DECODED])) for i in range(0, len(ids), DECODED)])
+
+
+def concatenated(parts: list[bytes]) -> bytes:
+    """Neighbours joined in pairs, level by level."""
+    while len(parts) > 1:
+        parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0] if parts else b""
 
 
 class _Pieces(dict):
@@ -170,13 +179,16 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "d
         for batch in blocks(batches, ids):
             col = batch.column(batch.schema.get_field_index(ids))
             col = pc.if_else(col.is_valid(), col, pa.scalar([], col.type)) if col.null_count else col
-            # Taking the ids' bytes in order lays them end to end: each text is one stretch.
+            # The leaves: taking the ids' bytes in order lays them end to end.
             tokens = vocabulary.take(col.flatten())
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy())])
-            starts = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)[ends] if len(tokens) else np.zeros(len(ends), np.int64)
-            data = tokens.buffers()[2] if len(tokens) else pa.py_buffer(b"")
-            texts = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts.tobytes()), data])
-            yield append(batch, {out: texts.cast(pa.binary())})
+            ends = np.cumsum(pc.list_value_length(col).to_numpy())
+            place = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1) if len(tokens) else np.zeros(1, np.int64)
+            data = memoryview(tokens.buffers()[2]) if len(tokens) else memoryview(b"")
+            texts = []
+            for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                cuts = place[[*range(i, j, DECODED), j]].tolist()
+                texts.append(concatenated([bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]))
+            yield append(batch, {out: pa.array(texts, pa.binary())})
 
     return df.mapInArrow(run, with_fields(df, [(out, T.BinaryType())]))
 

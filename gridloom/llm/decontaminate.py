@@ -6,15 +6,18 @@ tracked: where it reaches the window length, the last WINDOW words are inside an
 states tell which items.  An item shorter than the window is one window by itself.
 
 The automaton is built from the items (deduplicated) in shards of at most SHARD_WORDS words;
-each shard is a bounded broadcast, and documents stream through one shard after another.
+each shard is a bounded broadcast.  With several, each shard has tasks of its own, which hold one
+automaton and yield rows only for texts that are hit; these are brought together by text.
 
-Defined cases: null documents and items have no words; items without words are never hit; a
-repeated item text counts for each of its ids; rows are independent; empty tables work; other
-columns pass, but for the ones named in ``scan``.
+Defined cases: null documents and items have no words; items without words are never hit; an
+item without an id hits words, but is not listed; a repeated item text counts for each of its
+ids; rows are independent; very long texts are taken whole; ids of documents are not used; empty
+tables work; other columns pass, but for the ones named in ``scan``, which are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, blocks, with_fields
+from .common import append, blocks, materialise, with_fields
 
 WINDOW = 10
 #: Words of the items in one automaton: some 100 MB in a worker at most.
@@ -110,95 +113,61 @@ class Automaton:
         ends.append(set())
         return len(self.link) - 1
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Maximal runs [start, end) of hit words, and the numbers of the items found."""
-        step, link, length, window, short = self.next, self.link, self.length, self.window, self.short
-        runs: list[list[int]] = []
-        items: set[int] = set()
-        state = held = 0
-        if self.vocabulary.isdisjoint(words):
-            return [], items
-        start = step[0]
-        for i, w in enumerate(words):
-            to = step[state].get(w)
-            if to is None:
-                if w not in start:
-                    state = held = 0
-                    continue
-                while to is None:
-                    state = link[state]
-                    held = length[state]
-                    to = step[state].get(w)
-            state = to
-            held += 1
-            reach = 0
-            if held >= window:
-                reach = window
-                items.update(self.found[self.at_window[state]])
-            if short[state]:
-                for n, k in short[state]:
-                    if n <= held:
-                        items.add(k)
-                        reach = max(reach, n)
-            if reach:
-                a = i + 1 - reach
-                while runs and a <= runs[-1][0]:
-                    runs.pop()
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = i + 1
-                else:
-                    runs.append([a, i + 1])
-        return [(a, b) for a, b in runs], items
-
-
-def _shards(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[list[bytes], frozenset]]]:
-    """Items in lists of at most SHARD_WORDS words, streamed to the driver shard by shard."""
-    rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).groupBy(text).agg(F.collect_set(F.col(item_id).cast("string")).alias("ids"))
-    held: dict[tuple, set] = {}
-    size = 0
-    for r in rows.sort(text).toLocalIterator():
-        words = tuple(words_of(r[0]))
-        if not words:
-            continue
-        if words not in held:
-            if held and size + len(words) > SHARD_WORDS:
-                yield [(list(w), frozenset(i)) for w, i in held.items()]
-                held, size = {}, 0
-            held[words] = set()
-            size += len(words)
-        held[words].update(r["ids"])
-    yield [(list(w), frozenset(i)) for w, i in held.items()]
+    _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FIELDS = [
+    ("n_words", T.LongType()),
+    ("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    ("hit_items", T.ArrayType(T.StringType())),
+]
+
+
+def _scanner(shard, text: str, sparse: bool):
+    """Adds the columns of ``scan``; with ``sparse`` only texts that are hit come out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(shard.value)
+        for batch in blocks(batches, text):
+            counts, spans, ids = [], [], []
+            for s in batch.column(batch.schema.get_field_index(text)):
+                words = words_of(s.as_py())
+                runs, found = automaton.scan(words)
+                counts.append(len(words))
+                spans.append([{"start": a, "end": b} for a, b in runs])
+                ids.append(sorted(set().union(*(automaton.ids[k] for k in found))))
+            out = append(batch, {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(ids, pa.list_(pa.string()))})
+            yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if sparse else out
+
+    return run
 
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Add n_words, hit_spans (word numbers [start, end), maximal) and hit_items (sorted)."""
-    spark = docs.sparkSession
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    fields = [("n_words", T.LongType()), ("hit_spans", span), ("hit_items", T.ArrayType(T.StringType()))]
-    out = docs
-    for n, shard in enumerate(_shards(items, item_id, item_text)):
-        known = spark.sparkContext.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], known=known, first=n == 0) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(known.value)
-            for batch in blocks(batches, text):
-                at = {k: batch.schema.get_field_index(k) for k in (text, "hit_spans", "hit_items")}
-                counts, spans, ids = [], [], []
-                for row, s in enumerate(batch.column(at[text])):
-                    words = words_of(s.as_py())
-                    runs, found = automaton.scan(words)
-                    names = set().union(*(automaton.ids[k] for k in found))
-                    if not first:
-                        runs = join_runs(runs + [(x["start"], x["end"]) for x in batch.column(at["hit_spans"])[row].as_py()])
-                        names |= set(batch.column(at["hit_items"])[row].as_py())
-                    counts.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in runs])
-                    ids.append(sorted(names))
-                yield append(batch, {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, spans_type), "hit_items": pa.array(ids, pa.list_(pa.string()))})
-
-        out = out.mapInArrow(run, with_fields(out, fields))
-    return out
+    sc = docs.sparkSession.sparkContext
+    shards = _shards(items, item_id, item_text)
+    first = next(shards)
+    second = next(shards, None)
+    if second is None:
+        return docs.mapInArrow(_scanner(sc.broadcast(first), text, False), with_fields(docs, _FIELDS))
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    texts, hits = docs.select(F.col(text)), None
+    for shard in itertools.chain([first, second], shards):
+        own = texts.mapInArrow(_scanner(sc.broadcast(shard), text, True), with_fields(texts, _FIELDS))
+        own = own.select(key.alias("_gl_key"), "hit_spans", "hit_items").dropDuplicates(["_gl_key"])
+        hits = own if hits is None else hits.unionByName(own)
+    # One row a shard and text at most.
+    gathered = materialise(hits.groupBy("_gl_key").agg(F.flatten(F.collect_list("hit_spans")).alias("_gl_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("_gl_items")), "hits")
+    met = docs.withColumn("_gl_key", key).join(gathered, "_gl_key", "left").drop("_gl_key")
+    names = [c for c in docs.columns if c not in {n for n, _ in _FIELDS}]
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text):
+            at = {c: batch.column(batch.schema.get_field_index(c)) for c in (text, "_gl_spans", "_gl_items")}
+            counts = [len(words_of(s.as_py())) for s in at[text]]
+            spans = [[{"start": a, "end": b} for a, b in join_runs([(x["start"], x["end"]) for x in s.as_py() or []])] for s in at["_gl_spans"]]
+            ids = [s.as_py() or [] for s in at["_gl_items"]]
+            yield append(batch.select(names), {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(ids, pa.list_(pa.string()))})
+
+    return met.mapInArrow(close, with_fields(docs, _FIELDS))
 
 
 def join_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

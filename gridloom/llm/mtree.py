@@ -9,13 +9,16 @@ before it is computed, and pages whose bound exceeds the k-th best distance are
 Bounds carry a slack and every reported score is an exact integer, so results are exact (while
 the squared norms of the integer vectors stay under 2**52, in which doubles are exact).
 
-Vectors are dealt to shards near a bounded set of pivots.  Each block of queries meets each
-shard once (a stated query set against all rows, in blocks).
-
-Defined cases: vectors that are null, of another length than most, or hold null or
-non-finite components take no part, neither as query nor as candidate; rows with a null id
-take no part; ties go to the smaller id; repeated rows are candidates each, but a query never
-meets rows of its own id; fewer candidates than k give fewer rows; empty tables give none.
+Vectors are dealt to shards near a bounded set of pivots, as many as the session has cores for
+at least, if that leaves them LEAST vectors.  Each block of queries meets each shard once (a
+stated query set against all rows, in blocks): first the shard of its own pivot, whose k-th best
+score then bounds the search in all others.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part, neither
+as query nor as candidate; vectors of different lengths have no inner product and raise; rows
+with a null id take no part; ties go to the smaller id; repeated rows are candidates each, and one
+query, but a query never meets rows of its own id; fewer candidates than k give fewer rows; very
+long vectors only make pages larger; empty tables give none; other columns take no part.
 """
 
 from __future__ import annotations
@@ -30,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Entries of a leaf page, and of an inner page.
 LEAF, FANOUT = 128, 24
 #: Vectors of one tree, vectors of one shard, queries of one block.
 TREE, SHARD, BLOCK = 16_384, 65_536, 4_096
+#: Vectors of a shard at least.
+LEAST = 2_048
 #: Pivots that deal vectors to shards: a bounded sample, whatever the table's size.
 PIVOTS = 64
 
@@ -98,14 +105,25 @@ def build(vectors: np.ndarray, ids: np.ndarray) -> tuple[_Page, float]:
     return _Page(x[roots], np.array([e[1] for e in level]), None, children=[e[2] for e in level]), top
 
 
-def search(root: _Page, top: float, q: np.ndarray, q_id: int, best: list[tuple[int, int]], k: int) -> None:
-    """Bring ``best`` (a heap of (score, -id), worst first) up to date with a tree."""
+def search(root: _Page, top: float, q: np.ndarray, q_id: int, best: list[tuple[int, int]], k: int, least: int | None = None) -> None:
+    """Bring ``best`` (a heap of (score, -id), worst first) up to date with a tree.
+
+    ``least``: a score that k others are known to reach; nothing below it is needed.
+    """
     norm = float((q.astype(np.float64) ** 2).sum())
     q64 = np.append(q.astype(np.float64), 0.0)
     slack = 1e-6 * (norm + top + 1.0)
     ticket = itertools.count()
     heap = [(0.0, next(ticket), root, None)]
-    reach = lambda: np.sqrt(max(0.0, norm + top - 2.0 * best[0][0]) + slack) if len(best) == k else np.inf
+
+    def needed() -> int | None:
+        own = best[0][0] if len(best) == k else None
+        return own if least is None else least if own is None else max(own, least)
+
+    def reach() -> float:
+        bound = needed()
+        return np.inf if bound is None else float(np.sqrt(max(0.0, norm + top - 2.0 * bound) + slack))
+
     while heap:
         low, _, page, d_parent = heapq.heappop(heap)
         limit = reach()
@@ -118,8 +136,9 @@ def search(root: _Page, top: float, q: np.ndarray, q_id: int, best: list[tuple[i
             continue
         if page.children is None:
             scores = np.rint(page.vectors[rows] @ q64).astype(np.int64)
-            if len(best) == k:
-                keep = scores >= best[0][0]
+            bound = needed()
+            if bound is not None:
+                keep = scores >= bound
                 rows, scores = rows[keep], scores[keep]
             for s, i in zip(scores.tolist(), page.ids[rows].tolist(), strict=True):
                 if i != q_id:
@@ -152,13 +171,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both sides are (id, v array<long>) as ``integer_vectors`` gives them.
     """
     spark = vectors.sparkSession
-    counts = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not counts:
+    widths = vectors.select(F.size("v").alias("d")).unionByName(queries.select(F.size("v").alias("d"))).agg(F.min("d"), F.max("d")).first()
+    n = vectors.count()
+    if not n or widths[0] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width, n = counts[0]["d"], counts[0]["count"]
-    vectors, queries = (x.where(F.size("v") == width) for x in (vectors, queries))
-    shards = -(-n // SHARD)
-    chunks = max(1, -(-queries.count() // BLOCK))
+    if widths[0] != widths[1]:
+        raise ValueError(f"vectors of {widths[0]} to {widths[1]} components have no inner product")
+    queries = queries.select("id", "v").distinct()
+    asked_n, cores = queries.count(), max(1, spark.sparkContext.defaultParallelism)
+    shards = max(-(-n // SHARD), min(cores, n // LEAST), 1)
+    shard_size = -(-n // shards)
+    shards = -(-n // shard_size)
+    chunks = max(-(-asked_n // BLOCK), min(-(-2 * cores // shards), asked_n // 64), 1)
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
     pivots = np.array([r["v"] for r in sample], dtype=np.float64)
 
@@ -168,26 +192,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             near = np.argmax(_matrix(b.column(1)) @ pivots.T - half, axis=1) if b.num_rows else np.array([], int)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32))], names=["id", "v", "pivot"])
 
-    dealt = vectors.mapInArrow(deal, "id long, v array<long>, pivot int")
+    dealt = vectors.select("id", "v").mapInArrow(deal, "id long, v array<long>, pivot int")
     # A shard is a range of (pivot, hash): neighbours stay together, a crowded pivot is split.
     sizes = {r["pivot"]: r["count"] for r in dealt.groupBy("pivot").count().collect()}  # PIVOTS rows at most
     start = np.cumsum([0] + [sizes.get(p, 0) for p in range(len(pivots))])
     at = lambda xs: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in xs]), F.col("pivot") + 1)
     place = at(start[:-1]) + F.pmod(F.xxhash64("id"), at([max(1, sizes.get(p, 0)) for p in range(len(pivots))]))
-    order = dealt.withColumn("shard", F.floor(place / SHARD)).repartition("shard")
-    built = order.sortWithinPartitions("shard", "pivot", "id").mapInArrow(_plant, "shard long, tree binary")
-    chunk = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(chunks))
-    asked = queries.select(chunk.alias("chunk"), F.col("id"), "v").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-    asked = asked.select("shard", "chunk", F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("tree"))
-    trees = built.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
-    trees = trees.select("shard", "chunk", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<long>").alias("v"), "tree")
-    both = asked.unionByName(trees).repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "kind", "id")
+    order = dealt.withColumn("shard", F.floor(place / shard_size)).repartition("shard")
+    built = materialise(order.sortWithinPartitions("shard", "pivot", "id").mapInArrow(_plant, "shard long, tree binary"), "trees")
+    home = F.least(F.floor(place / shard_size), F.lit(shards - 1)).cast("long")
+    chunk = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(chunks)).cast("long")
+    asked = queries.mapInArrow(deal, "id long, v array<long>, pivot int").select(chunk.alias("chunk"), "id", "v", home.alias("home"))
+    every = F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")
+    trees = built.withColumn("chunk", F.explode(every)).select("shard", "chunk", F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("v", "array<long>"), ("least", "long"))], "tree")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, asked, best = None, [], {}
 
         def flush():
-            rows = [(q, -i, s) for (q, _), h in zip(asked, best.values(), strict=True) for s, i in h]
+            rows = [(q, -i, s) for (q, *_), h in zip(asked, best.values(), strict=True) for s, i in h]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
@@ -200,15 +223,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     now, asked, best = key, [], {}
                 if b.column(2)[row].as_py() == 0:
                     best[len(asked)] = []
-                    asked.append((b.column(3)[row].as_py(), b.column(4)[row].values.to_numpy()))
+                    asked.append((b.column(3)[row].as_py(), b.column(4)[row].values.to_numpy(), b.column(5)[row].as_py()))
                 elif asked:
-                    root, top = pickle.loads(b.column(5)[row].as_py())
-                    for at, (i, v) in enumerate(asked):
-                        search(root, top, v, i, best[at], k)
+                    root, top = pickle.loads(b.column(6)[row].as_py())
+                    for at, (i, v, least) in enumerate(asked):
+                        search(root, top, v, i, best[at], k, least)
         if asked:
             yield flush()
 
-    found = both.mapInArrow(meet, "query_id long, vec_id long, score long")
+    def searched(asked: DataFrame) -> DataFrame:
+        rows = asked.select("shard", "chunk", F.lit(0).alias("kind"), "id", "v", "least", F.lit(None).cast("binary").alias("tree"))
+        both = rows.unionByName(trees).repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "kind", "id")
+        return both.mapInArrow(meet, "query_id long, vec_id long, score long")
+
+    first = materialise(searched(asked.withColumns({"shard": F.col("home"), "least": F.lit(None).cast("long")})), "nearest")
+    found = first
+    if shards > 1:
+        # The k-th best of the nearest shard: a row a query.
+        known = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"), lambda s: s != F.col("home"))
+        found = first.unionByName(searched(asked.join(known, "id", "left").withColumn("shard", F.explode(others))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

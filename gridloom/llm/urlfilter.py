@@ -38,13 +38,17 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All (suffix of host) || (prefix of path) with a listed path's length, longest first."""
-    labels = F.split(host, r"\.", -1)
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+def keys(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """All (suffix of host) || (prefix of path) with a listed number of labels and path length, longest first.
+
+    Only listed numbers make suffixes: the work is linear in the host, however many labels it has.
+    """
+    own = F.split(host, r"\.", -1)
+    n = F.size(own)
+    suffixes = F.array(*[F.when(n >= k, F.array_join(F.slice(own, -k, k), ".")) for k in labels]).cast("array<string>")
     starts = F.array(*[F.when(F.length(path) >= x, F.substring(path, 1, x)) for x in lengths]).cast("array<string>")
-    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(F.filter(starts, lambda p: p.isNotNull()), lambda p: F.concat(s, p))))
+    there = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    pairs = F.flatten(F.transform(there(suffixes), lambda s: F.transform(there(starts), lambda p: F.concat(s, p))))
     none = F.array().cast("array<string>")
     return F.when(host == "", none).otherwise(F.array_sort(pairs, lambda a, b: F.length(b) - F.length(a)))
 
@@ -107,6 +111,7 @@ def cascade(listed: DataFrame, universe: DataFrame, universe_size: int) -> Casca
         raise ValueError(f"{n} listed keys; a cascade holds at most {MOST_RULES}")
     first = 1.44 * (LEVEL_BITS + max(0.0, math.log2(max(1, universe_size) / n)))
     levels = [_level(listed, n, first, 0)]
+    # Few keys: those that level 1 lets pass by mistake.
     wrong = universe.select("key").where(levels[0].passes(F.col("key"))).distinct().join(listed, "key", "left_anti").persist()
     inside, outside = listed.persist(), wrong
     sets = [outside, inside]  # level 2 encodes outside and is tested with inside
@@ -114,6 +119,8 @@ def cascade(listed: DataFrame, universe: DataFrame, universe_size: int) -> Casca
         levels.append(_level(sets[0], count, 3.0, len(levels)))
         passed = sets[1].where(levels[-1].passes(F.col("key")))
         sets = [passed, sets[0]]
+    inside.unpersist()
+    outside.unpersist()
     if count:
         raise ValueError("the cascade did not close")
     return Cascade(levels)
@@ -125,7 +132,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     host, path = split_url(F.col(url))
     pages = pages.withColumns({"host": host, "path": path})
     lengths = sorted({len(p) for _, _, p in rules})
-    of = keys(F.col("host"), F.col("path"), lengths)
+    of = keys(F.col("host"), F.col("path"), lengths, sorted({h.count(".") + 1 for _, h, _ in rules}))
     most = pages.count()
     universe = pages.select(F.explode(of).alias("key"))
     both = {}

@@ -196,7 +196,7 @@ def brute(docs, items, window):
     for i, t in items:
         w = decontaminate.words_of(t)
         for k in range(max(1, len(w) - window + 1)) if w else ():
-            runs.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+            runs.setdefault(tuple(w[k : k + window]), set()).update([str(i)] if i is not None else [])
     lengths = sorted({len(r) for r in runs})
     for t in docs:
         w, hit, found = decontaminate.words_of(t), set(), set()
@@ -226,18 +226,20 @@ def test_automaton(items, docs):
 def test_decontaminate(spark, monkeypatch):
     items = [(i, " ".join(DRAW.choice(WORDS[:30]) for _ in range(n))) for i, n in enumerate((3, 9, 10, 11, 30, 30, 60))] + [(7, None), (8, ""), (9, "..."), (None, "lost item"), (10, "unique")]
     items.append((11, items[4][1]))
-    texts = [None, "", " ".join(WORDS[40:90]), items[4][1], "X " + items[4][1].upper() + " y", items[0][1] + " " + items[5][1], " ".join(items[6][1].split()[20:29]), "unique", items[3][1] * 2000]
+    texts = [None, "", " ".join(WORDS[40:90]), items[4][1], "X " + items[4][1].upper() + " y", items[0][1] + " " + items[5][1], " ".join(items[6][1].split()[20:29]), "unique", items[3][1] * 2000, "a LOST item here"]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_hits long")
     bench = spark.createDataFrame(items, "item_id long, text string")
     for shard in (decontaminate.SHARD_WORDS, 40):
         monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
         found = decontaminate.scan(df, bench)
         got = {r["doc_id"]: r for r in decontaminate.digests(found).collect()}
-        for i, (n, hit, ids) in enumerate(brute(texts, [x for x in items if x[0] is not None], 10)):
+        for i, (n, hit, ids) in enumerate(brute(texts, items, 10)):
             r = got[i]
             assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, len(hit), len(ids), bool(hit)), i
             assert r["items_sha256"] == hashlib.sha256(",".join(ids).encode()).hexdigest()
     out = {r["doc_id"]: r for r in decontaminate.remove(found).collect()}
+    halved = {r["doc_id"]: r["text"] for r in decontaminate.remove(found, longest=0.5).collect()}
+    assert halved[4] == "" and halved[2] == texts[2] and halved[9] == "" and out[9]["text"] == "a  here"
     assert out[4]["text"] == "X  y" and out[3]["text"] == "" and out[2]["text"] == texts[2] and out[0]["text"] is None and out[4]["n_hits"] == 5
     assert decontaminate.scan(df.limit(0), bench).count() == 0
     assert {r["contaminated"] for r in decontaminate.digests(decontaminate.scan(df, bench.limit(0))).collect()} == {False}
