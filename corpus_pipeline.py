@@ -1,10 +1,22 @@
 """A training corpus from ``documents``: five stages, each one operator of ``gridloom.llm``.
 
-Every stage is written as Parquet and read again as the next one's input.
+Every stage is written as Parquet and read again as the next one's input.  All stages but the last
+return the columns that they get; the last drops ``text`` and adds token_ids, n_tokens and exact
+(in place of columns of these names).  n_chars, where it is there, follows changed texts.
+
+Defined cases: a null text stays null up to the last stage, which gives it no tokens; null and
+empty texts are copies of each other, so that one document of all of these stays (as of any group
+of near-duplicates, the smallest id); null ids stay, last in their group; rows that repeat id and
+text leave one; ties in a group cannot occur but between such rows; very long texts are taken
+whole; an empty table gives no rows; without labels no document is toxic, without benchmark items
+no passage is cut; other columns pass through all stages, also where they have names that a stage
+uses on its way (score, hit_spans...), but for the three that the last stage makes.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +24,32 @@ from gridloom.llm import bpe, decontaminate, neardup, pii, toxicity
 from gridloom.llm.common import bounded, driver_path, materialise, table
 
 
+#: A document with a larger share of its words in benchmark windows is emptied.
+MOST_COVERED = 0.5
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars brought up to date with a changed text."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def _free(*names: str):
+    """For stages: the stage uses these names; columns of the input that have them are put aside and back."""
+
+    def wrap(stage):
+        @wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            aside = {n: f"_kept_{n}" for n in names if n in docs.columns}
+            out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+            return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
+
+        return run
+
+    return wrap
+
+
 @bounded
+@_free("score", "predicted")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -31,10 +63,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 @bounded
+@_free("n_words", "hit_spans", "hit_items")
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out."""
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    return _counted(decontaminate.remove(found)).select(docs.columns)
+    return _counted(decontaminate.remove(found, longest=MOST_COVERED)).select(docs.columns)
 
 
 @bounded
@@ -51,7 +84,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = driver_path("byte_bpe_50k.tiktoken")
     ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     back = bpe.decode(ids, ranks).withColumn("exact", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
-    return back.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "exact")
+    return back.withColumn("n_tokens", F.size("token_ids").cast("long")).drop("text", "decoded")
 
 
 STAGES = [
