@@ -113,7 +113,67 @@ class Automaton:
         ends.append(set())
         return len(self.link) - 1
 
-    _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Maximal runs [start, end) of hit words, and the numbers of the items found."""
+        step, link, length, window, short = self.next, self.link, self.length, self.window, self.short
+        runs: list[list[int]] = []
+        items: set[int] = set()
+        state = held = 0
+        if self.vocabulary.isdisjoint(words):
+            return [], items
+        start = step[0]
+        for i, w in enumerate(words):
+            to = step[state].get(w)
+            if to is None:
+                if w not in start:
+                    state = held = 0
+                    continue
+                while to is None:
+                    state = link[state]
+                    held = length[state]
+                    to = step[state].get(w)
+            state = to
+            held += 1
+            reach = 0
+            if held >= window:
+                reach = window
+                items.update(self.found[self.at_window[state]])
+            if short[state]:
+                for n, k in short[state]:
+                    if n <= held:
+                        items.add(k)
+                        reach = max(reach, n)
+            if reach:
+                a = i + 1 - reach
+                while runs and a <= runs[-1][0]:
+                    runs.pop()
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = i + 1
+                else:
+                    runs.append([a, i + 1])
+        return [(a, b) for a, b in runs], items
+
+
+def _shards(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[list[bytes], frozenset]]]:
+    """Items in lists of at most SHARD_WORDS words, streamed to the driver shard by shard."""
+    rows = items.where(F.col(text).isNotNull()).groupBy(text).agg(F.collect_set(F.col(item_id).cast("string")).alias("ids"))
+    held: dict[tuple, set] = {}
+    size = 0
+    for r in rows.sort(text).toLocalIterator():
+        words = tuple(words_of(r[0]))
+        if not words:
+            continue
+        if words not in held:
+            if held and size + len(words) > SHARD_WORDS:
+                yield [(list(w), frozenset(i)) for w, i in held.items()]
+                held, size = {}, 0
+            held[words] = set()
+            size += len(words)
+        held[words].update(r["ids"])
+    yield [(list(w), frozenset(i)) for w, i in held.items()]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _FIELDS = [
     ("n_words", T.LongType()),
     ("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),

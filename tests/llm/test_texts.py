@@ -239,7 +239,7 @@ def test_decontaminate(spark, monkeypatch):
             assert r["items_sha256"] == hashlib.sha256(",".join(ids).encode()).hexdigest()
     out = {r["doc_id"]: r for r in decontaminate.remove(found).collect()}
     halved = {r["doc_id"]: r["text"] for r in decontaminate.remove(found, longest=0.5).collect()}
-    assert halved[4] == "" and halved[2] == texts[2] and halved[9] == "" and out[9]["text"] == "a  here"
+    assert halved[4] == "" and halved[2] == texts[2] and halved[9] == "a  here" and out[9]["text"] == "a  here"
     assert out[4]["text"] == "X  y" and out[3]["text"] == "" and out[2]["text"] == texts[2] and out[0]["text"] is None and out[4]["n_hits"] == 5
     assert decontaminate.scan(df.limit(0), bench).count() == 0
     assert {r["contaminated"] for r in decontaminate.digests(decontaminate.scan(df, bench.limit(0))).collect()} == {False}
