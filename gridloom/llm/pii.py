@@ -1,21 +1,26 @@
 """Personal data and information-theoretic sanitisation.
 
 Four patterns find protected entities.  Corpus counts over all texts then say how strongly a
-term reveals them: for a term t and the windows of CONTEXT words on either side of entities,
-its disclosure is PMI(t, entity) = log2(P(entity near t) / P(entity near any word)).  Terms
-near entities whose support, disclosure and probability exceed the thresholds are spans too.
+term reveals one: of a term's occurrences n, j stand within CONTEXT words of the entity, and its
+disclosure is the pointwise mutual information log2((j / n) / P(a word stands near the entity)).
+Terms near entities are spans too if that exceeds BITS, and the lower bound of the Wilson interval
+of j / n PROBABILITY, for one entity or for all of them together: some rare words that never
+stand elsewhere pass (4 of 4 does, 3 of 3 does not), frequent ones only if most occurrences are near.
 ``sanitise`` generalises entities to their kind and removes disclosing terms.
 
 Counts are pre-aggregated in each task, then summed by term; terms near entities meet their
 scores in a join.  Nothing that grows with the corpus is broadcast or collected.
 
 Defined cases: null texts count as empty; rows are told apart by id and text, and repeated
-rows get equal results; ids may be null; empty tables give no rows; other columns pass.
+rows get equal results and count as often as they stand there; ids may be null; very long texts
+are taken whole, in one pass; a word as near to two entities belongs to the first; words inside
+entities are no terms; empty tables give no rows; other columns pass ``sanitise``.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Words on either side of an entity.
 CONTEXT = 4
-#: Times near entities, bits of disclosure, and probability of an entity nearby, at least.
-SUPPORT, BITS, PROBABILITY = 20, 4.0, 0.5
+#: Bits of disclosure, and probability of an entity nearby (at 95 % confidence), at least.
+BITS, PROBABILITY, DEVIATES = 4.0, 0.5, 1.96
 WORDS = re.compile(r"[^\W\d_]{3,}")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -42,9 +47,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_NEAR = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_NEAR = T.StructType([T.StructField("term", T.StringType()), T.StructField("entity", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_NEAR_ARROW = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_NEAR_ARROW = pa.list_(pa.struct([("term", pa.string()), ("entity", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def luhn(digits: str) -> bool:
@@ -88,28 +93,26 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def near(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Terms within CONTEXT words of an entity, outside of every entity, each occurrence once."""
-    places: dict[int, tuple[str, int, int]] = {}
-    for _, start, end in found:
-        before = list(WORDS.finditer(text, max(0, start - 40 * CONTEXT), start))[-CONTEXT:]
-        after = []
-        for m in WORDS.finditer(text, end, end + 40 * CONTEXT):
-            after.append(m)
-            if len(after) == CONTEXT:
-                break
-        for m in before + after:
-            places[m.start()] = (m[0].lower(), *m.span())
-    inside = sorted((a, b) for _, a, b in found)
-    out, k, reach = [], 0, -1
-    for start in sorted(places):
-        term, a, b = places[start]
-        while k < len(inside) and inside[k][0] < b:
-            reach = max(reach, inside[k][1])
-            k += 1
-        if a >= reach:
-            out.append((term, a, b))
-    return out
+def near(text: str, found: list[tuple[str, int, int]]) -> tuple[list[tuple[str, int, int, int]], list[str]]:
+    """(term, entity, start, end) within CONTEXT words of an entity, and the words inside entities.
+
+    Each occurrence counts once, for its nearest entity by words; words are those of the whole text.
+    """
+    import xxhash
+
+    words = [m.span() for m in WORDS.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    # Words that overlap an entity: inside or across its border.
+    taken = {k for _, a, b in found for k in range(bisect_right(ends, a), bisect_left(starts, b))}
+    best: dict[int, tuple[int, int]] = {}
+    for at, (_, a, b) in enumerate(found):
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        for apart in range(CONTEXT):
+            for k in (before - 1 - apart, after + apart):
+                if 0 <= k < len(words) and k not in taken and best.get(k, (CONTEXT, 0))[0] > apart:
+                    best[k] = (apart, at)
+    name = [xxhash.xxh64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass"), 42) - (1 << 63) for _, a, b in found]
+    return [(text[starts[k] : ends[k]].lower(), name[at], starts[k], ends[k]) for k, (_, at) in sorted(best.items())], [text[starts[k] : ends[k]].lower() for k in sorted(taken)]
 
 
 def row_key(id_col: str, text: str) -> Column:
@@ -118,19 +121,21 @@ def row_key(id_col: str, text: str) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``entities`` and ``near`` (terms in the context of entities) of each whole text."""
+    """Add ``entities``, ``near`` (terms in the context of entities) and ``inside`` (words in entities) of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text):
-            spans, terms = [], []
+            spans, terms, inside = [], [], []
             for s in batch.column(batch.schema.get_field_index(text)):
                 s = s.as_py() or ""
                 found = entities(s)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                terms.append([{"term": t, "start": a, "end": b} for t, a, b in near(s, found)] if found else [])
-            yield append(batch, {"entities": pa.array(spans, _SPAN_ARROW), "near": pa.array(terms, _NEAR_ARROW)})
+                close, own = near(s, found) if found else ([], [])
+                terms.append([{"term": t, "entity": e, "start": a, "end": b} for t, e, a, b in close])
+                inside.append(own)
+            yield append(batch, {"entities": pa.array(spans, _SPAN_ARROW), "near": pa.array(terms, _NEAR_ARROW), "inside": pa.array(inside, pa.list_(pa.string()))})
 
-    return docs.mapInArrow(run, with_fields(docs, [("entities", T.ArrayType(_SPAN)), ("near", T.ArrayType(_NEAR))]))
+    return docs.mapInArrow(run, with_fields(docs, [("entities", T.ArrayType(_SPAN)), ("near", T.ArrayType(_NEAR)), ("inside", T.ArrayType(T.StringType()))]))
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -141,7 +146,7 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in blocks(batches, text):
             for s in batch.column(0):
                 if s.is_valid:
-                    total.update(WORDS.findall(s.as_py().lower()))
+                    total.update(WORDS.findall(s.as_py()))
             if len(total) > 200_000:
                 yield _counted(total)
                 total = Counter()
@@ -150,19 +155,33 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _counted(total: Counter) -> pa.RecordBatch:
+def _counted(found: Counter) -> pa.RecordBatch:
+    total: Counter = Counter()
+    for word, n in found.items():  # lower-cased as terms are: after matching
+        total[word.lower()] += n
     return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
 
+def _sure(j: Column, n: Column) -> Column:
+    """The lower bound of the Wilson interval of j / n."""
+    z2 = F.lit(DEVIATES * DEVIATES)
+    p = j / n
+    return (p + z2 / (2 * n) - F.lit(DEVIATES) * F.sqrt(F.greatest(p * (1 - p) / n + z2 / (4 * n * n), F.lit(0.0)))) / (1 + z2 / n)
+
+
 def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text") -> DataFrame:
-    """(term, disclosure): terms that exceed the thresholds."""
-    close = scanned.select(F.explode("near").alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("j"))
-    counts = materialise(term_counts(docs, text), "term-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    nearby = close.agg(F.sum("j")).first()[0] or 1
-    both = close.where(F.col("j") >= SUPPORT).join(counts, "term")
-    share = F.col("j") / F.col("n")
-    return both.where(share >= PROBABILITY).select("term", F.log2(share / F.lit(nearby / total)).alias("disclosure")).where(F.col("disclosure") >= BITS)
+    """(term, disclosure): terms that exceed the thresholds, for one entity or for all together."""
+    pairs = scanned.select(F.explode("near").alias("x")).groupBy(F.col("x.term").alias("term"), F.col("x.entity").alias("entity")).agg(F.count(F.lit(1)).alias("j"))
+    pairs = materialise(pairs, "near-terms")
+    inside = scanned.select(F.explode("inside").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
+    counts = materialise(term_counts(docs, text).unionByName(inside).groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
+    total, nearby = counts.agg(F.sum("n")).first()[0] or 1, pairs.agg(F.sum("j")).first()[0] or 1
+    of = pairs.groupBy("entity").agg(F.sum("j").alias("e"))
+    one = pairs.join(of, "entity").select("term", "j", "e")
+    every = pairs.groupBy("term").agg(F.sum("j").alias("j")).select("term", "j", F.lit(nearby).cast("long").alias("e"))
+    met = one.unionByName(every).join(counts, "term").where(_sure(F.col("j"), F.col("n")) >= PROBABILITY)
+    bits = F.log2((F.col("j") / F.col("n")) / (F.col("e") / F.lit(total)))
+    return met.select("term", bits.alias("disclosure")).where(F.col("disclosure") >= BITS).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -106,7 +106,7 @@ def test_pii(spark):
         if i % 10 == 0:
             words[20:20] = [marked[i // 10 % 2], f"user{i}@mail.example.org", "é" * 3]
         rows.append((i, " ".join(words), "k", "s"))
-    rows += [(1900, None, "k", "s"), (1901, "", "k", "s"), (1902, "call +1 (212) 555-0100 now", "k", "s"), (1902, "call +1 (212) 555-0100 now", "k", "s"), (None, "10.0.0.1 or 300.1.1.1", "k", "s"), (1903, "x" * 300_000 + " 4111 1111 1111 1111", "k", "s")]
+    rows += [(1900, None, "k", "s"), (1901, "", "k", "s"), (1902, "call +1 (212) 555-0100 now", "k", "s"), (1902, "call +1 (212) 555-0100 now", "k", "s"), (None, "10.0.0.1 or 300.1.1.1", "k", "s"), (1903, "x" * 20_000 + " 4111 1111 1111 1111", "k", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, key string, spans string")
     got = pii.digests(pii.find(df)).collect()
     assert len(got) == len(rows)
@@ -121,6 +121,8 @@ def test_pii(spark):
     terms = [(r["doc_id"], s) for r in got for s in r["spans"].split(",") if s.startswith("term")]
     texts = {i: t for i, t, *_ in rows}
     assert {texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for i, s in terms} >= set(marked)
+    want = {(i, f"term:{a}:{b}") for i, a, b in disclosed(rows)}
+    assert set(terms) == want and len(want) > 90
     clean = pii.sanitise(df)
     assert clean.columns == df.columns and clean.count() == len(rows)
     out = {r["doc_id"]: r for r in clean.collect()}
@@ -129,6 +131,46 @@ def test_pii(spark):
     assert pii.find(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0
 
 
+def disclosed(rows):
+    """Places of disclosing terms by plain counting."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    count, pairs, places = Counter(), Counter(), []
+    for i, text, *_ in rows:
+        text = text or ""
+        spans = base(text)
+        words = [m for m in word.finditer(text) if not any(m.start() < b and a < m.end() for _, a, b in spans)]
+        every = [m.span() for m in word.finditer(text)]
+        count.update(m[0].lower() for m in words)
+        for m in words:
+            def apart(a, b, m=m):
+                return sum(b <= x and y <= m.start() for x, y in every) if m.start() >= b else sum(m.end() <= x and y <= a for x, y in every)
+
+            near = [(apart(a, b), k) for k, (_, a, b) in enumerate(spans)]
+            if near and min(near)[0] < 4:
+                _, a, b = spans[min(near)[1]]
+                pairs[m[0].lower(), text[a:b].lower()] += 1
+                places.append((i, m[0].lower(), m.start(), m.end()))
+    total, z = sum(count.values()), 1.96
+    entity, near = Counter(), Counter()
+    for (t, e), j in pairs.items():
+        entity[e] += j
+        near[t] += j
+    def passes(j, n, e):
+        p = j / n
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        return low >= 0.5 and math.log2(p / (e / total)) >= 4
+
+    bad = {t for (t, e), j in pairs.items() if passes(j, count[t], entity[e])} | {t for t, j in near.items() if passes(j, count[t], sum(near.values()))}
+    return [(i, a, b) for i, t, a, b in places if t in bad]
+
+
+def test_near_takes_whole_words():
+    long = "w" * 300
+    text = f"one two {long} confidential a@b.org {'z' * 200} three İstanbul four five"
+    terms, inside = pii.near(text, pii.entities(text))
+    assert [t for t, *_ in terms] == ["one", "two", long, "confidential", "z" * 200, "three", "İstanbul".lower(), "four"] and inside == ["org"]
+
+
 def test_generalise_overlaps():
     assert pii.generalise("abcdefgh", [("email", 1, 4), ("card", 2, 6), ("term", 6, 7)]) == "a[EMAIL]h"
 
