@@ -5,17 +5,19 @@ string picks an anchor inside it, the GRAM-byte substring of least hash, from it
 alone, so equal strings pick equal anchors at equal places.  An anchor stands for the run of
 windows that pick it, some SPAN + 64 bytes of context, and anchors are some 65 bytes apart.
 
-1. Anchors are counted by (gram hash, context hash).  Where a context occurs twice, all its
-   windows are repeated.
+1. Anchors are counted by (gram hash, context digest).  Where a context occurs twice, all its
+   windows are repeated.  Digests are BLAKE2 of the bytes and the anchor's place in them, which,
+   unlike polynomial hashes, no structure of the texts can make collide.
 2. Contexts that differ but share the gram are fetched, and within each gram's group the
    suffixes from the anchor on, and the reversed prefixes before it, are mergesorted.  Prefix
    polynomial hashes and binary search give common extensions, so a comparison takes
    log(SPAN) steps; neighbours' extensions are verified on the bytes.  Windows are equal
    exactly if both of their sides are in the same class of neighbours.
-3. Groups of over GROUP contexts are not sorted in one task: their windows' hashes are counted
-   by Spark instead, whatever their number.
+3. Groups of over GROUP contexts are not sorted in one task: 128-bit BLAKE2 digests of their
+   windows are counted by Spark instead, whatever their number.
 
-Texts are known by hashes of their content (80 bits), so copies of a text share the work.
+Texts are known by hashes of their content (80 bits), so copies of a text share the work.  What
+is gathered of a text (anchors asked for, merged intervals) is at most some times its own size.
 
 Defined cases: null texts count as empty; texts under SPAN bytes keep all; repeated rows are
 copies of each other, hence removed where they have SPAN bytes; empty tables give no rows;
@@ -24,6 +26,7 @@ other columns pass.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -89,6 +92,10 @@ class Hashes:
         return low
 
 
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     """(gram hash, context hash, place, windows before, windows after) of a text's anchors.
 
@@ -112,7 +119,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.concatenate([first[1:], [n]]) - 1
     place = picked[first]
     size = last - first + SPAN
-    context = _mix(h.of(first, size) ^ _mix((size * 1024 + (place - first)).astype(np.uint64)))
+    whole = data.tobytes()
+    context = np.array([_digest(whole[a : a + n] + bytes([p])) for a, n, p in zip(first.tolist(), size.tolist(), (place - first).tolist())], np.uint64)
     return grams[place], context, place, place - first, place - last
 
 
@@ -334,9 +342,8 @@ def _fetch(whole: bool):
                     yield pa.RecordBatch.from_arrays([_long(gram), _long(np.full(len(at), k)), _long(at), pa.array(cut, pa.binary())], names=["gram", "key", "at", "context"])
                 elif len(at):
                     start = np.unique(np.concatenate([np.arange(p - b, p - a + 1) for p, b, a in zip(place, before, after)]))
-                    x = np.frombuffer(data, np.uint8)
-                    one = _mix(Hashes(x).of(start, SPAN))
-                    two = _mix(Hashes(x ^ np.uint8(0x55)).of(start, SPAN))
+                    digests = b"".join(hashlib.blake2b(data[i : i + SPAN], digest_size=16).digest() for i in start.tolist())
+                    one, two = np.frombuffer(digests, np.uint64).reshape(-1, 2).T.copy()
                     yield pa.RecordBatch.from_arrays([_long(one), _long(two), _long(np.full(len(start), k)), _long(start), _long(np.full(len(start), c))], names=["one", "two", "key", "a", "check"])
 
     return run
@@ -372,7 +379,30 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         windows = materialise(windows, "windows")
         twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
         found = found.unionByName(windows.join(twice, ["one", "two"]).select("key", "a", (F.col("a") + SPAN).alias("b"), "check"))
-    return found.groupBy("key").agg(F.collect_set(F.struct("a", "b", "check")).alias("found"))
+    ordered = found.repartition("key").sortWithinPartitions("key", "check", "a")
+    return ordered.mapInArrow(_merge, "key long, found array<struct<a:long,b:long,check:long>>")
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals in the order of their texts to one row a key: overlapping and touching ones are one."""
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("check", pa.int64())]))
+    keys: list[int] = []
+    held: list[list[dict]] = []
+    for batch in batches:
+        for key, a, b, check in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if not keys or keys[-1] != key:
+                if len(keys) >= 500:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, kind)], names=["key", "found"])
+                    keys, held = [], []
+                keys.append(key)
+                held.append([])
+            last = held[-1][-1] if held[-1] else None
+            if last and last["check"] == check and a <= last["b"]:
+                last["b"] = max(last["b"], b)
+            else:
+                held[-1].append({"a": a, "b": b, "check": check})
+    if keys:
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, kind)], names=["key", "found"])
 
 
 def _key(text: str):
