@@ -15,7 +15,8 @@ words.  SEEN prunes the model: every scored n-gram occurs, so that one occurrenc
    counts are summed by n-gram and each block's n-grams get their totals, one packed row a block.
 4. Totals meet their blocks, which sum the scores of their documents.
 
-N-grams are told apart by BITS bits of hash: at 30 GB some 1 in 10 million meets another.
+N-grams are told apart by hashes of as many bits (LEAST_BITS to 64) as leave one of 2 ** SPARE
+n-grams to meet another: some one in a million, at any size up to some 10 TB of text.
 
 Defined cases: texts without words (null, empty) have 0 words and a null score; repeated rows
 count as often as they stand there and score alike; ids may be null and of any type; very long
@@ -40,7 +41,7 @@ from .common import blocks, materialise
 ORDER, SEEN, BACKOFF = 3, 2, 0.4
 #: Words of a block, and n-grams that a bucket gets at most, about.
 BLOCK, BUCKET = 1 << 20, 1 << 21
-BITS = 56
+LEAST_BITS, SPARE = 52, 20
 #: What stands between words, which are runs of digits, letters and characters beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -106,8 +107,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(sizes: np.ndarray, words: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
-    """Hashes (order x words) of the n-grams that end at each word; start marks stand before texts."""
+def grams(sizes: np.ndarray, words: np.ndarray, hashes: np.ndarray, order: int, width: int) -> np.ndarray:
+    """Hashes of ``width`` bits (order x words) of the n-grams that end at each word; start marks stand before texts."""
     sizes = sizes[sizes > 0]
     front = order - 1
     at = np.arange(len(words)) + np.repeat(front * np.arange(1, len(sizes) + 1), sizes)
@@ -118,7 +119,7 @@ def grams(sizes: np.ndarray, words: np.ndarray, hashes: np.ndarray, order: int)
         before = np.concatenate([np.zeros(1, np.uint64), last[:-1]])
         last = _mix(before * np.uint64(0x9E3779B97F4A7C15) + one + np.uint64(n))
         out.append(last[at])
-    return np.stack(out) >> np.uint64(64 - BITS)
+    return np.stack(out) >> np.uint64(64 - width)
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -140,14 +141,14 @@ def _loaded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unpack(row["sizes"]).astype(np.int64), unpack(row["words"]).astype(np.int64), np.frombuffer(row["hashes"], np.uint64)
 
 
-def _deal(bits: int, order: int):
+def _deal(bits: int, order: int, width: int):
     """Blocks to rows of their distinct n-grams, one for each bucket (the highest ``bits`` of the hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found, n = np.unique(grams(*_loaded(row), order), return_counts=True)
-                bucket = (found >> np.uint64(BITS - bits)).astype(np.int64)
+                found, n = np.unique(grams(*_loaded(row), order, width), return_counts=True)
+                bucket = (found >> np.uint64(width - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 for i, j in zip(cuts, [*cuts[1:], len(found)]):
                     packed = pack(np.diff(found[i:j], prepend=np.uint64(0))), pack(n[i:j])
@@ -194,7 +195,7 @@ def word_scores(count: np.ndarray, sizes: np.ndarray, total: int, starts: int) -
     return out
 
 
-def _scores(order: int, total: int, starts: int):
+def _scores(order: int, width: int, total: int, starts: int):
     """Blocks, each followed by its rows of totals, to (id, n_words, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +204,7 @@ def _scores(order: int, total: int, starts: int):
         def flush() -> pa.RecordBatch:
             sizes, words, hashes = block
             if len(words):
-                _, at = np.unique(grams(sizes, words, hashes, order), return_inverse=True)
+                _, at = np.unique(grams(sizes, words, hashes, order, width), return_inverse=True)
                 count = np.concatenate(totals)[at.reshape(order, -1)]
                 own = sizes > 0
                 ends = np.cumsum(sizes[own], dtype=np.int64)
@@ -236,11 +237,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
     made = materialise(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_tokenise, schema), "lm-blocks")
     total, starts = made.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("starts"), F.lit(0))).first()
     bits = max(4, math.ceil(math.log2(max(1, total * order / BUCKET))))
-    dealt = made.select("block", "sizes", "words", "hashes").mapInArrow(_deal(bits, order), "bucket long, block long, grams binary, n binary")
+    width = min(64, max(LEAST_BITS, math.ceil(math.log2(max(1, total * order))) + SPARE))
+    dealt = made.select("block", "sizes", "words", "hashes").mapInArrow(_deal(bits, order, width), "bucket long, block long, grams binary, n binary")
     totals = dealt.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_total, "block long, bucket long, totals binary")
     first = made.select("block", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("bucket"), "ids", "sizes", "words", "hashes", F.lit(None).cast("binary").alias("totals"))
     none = {n: F.lit(None).cast(first.schema[n].dataType) for n in ("ids", "sizes", "words", "hashes")}
     then = totals.select("block", F.lit(1).alias("kind"), "bucket", *[c.alias(n) for n, c in none.items()], "totals")
     met = first.unionByName(then).repartition("block").sortWithinPartitions("block", "kind", "bucket")
     out = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])
-    return met.mapInArrow(_scores(order, total, starts), out).withColumnRenamed("id", id_col)
+    return met.mapInArrow(_scores(order, width, total, starts), out).withColumnRenamed("id", id_col)
