@@ -6,8 +6,8 @@ alone, so equal strings pick equal anchors at equal places.  An anchor stands fo
 windows that pick it, some SPAN + 64 bytes of context, and anchors are some 65 bytes apart.
 
 1. Anchors are counted by (gram hash, context digest).  Where a context occurs twice, all its
-   windows are repeated.  Digests are BLAKE2 of the bytes and the anchor's place in them, which,
-   unlike polynomial hashes, no structure of the texts can make collide.
+   windows are repeated.  Digests are XXH3 of the bytes and the anchor's place in them, a hash of
+   another kind than the gram's: repetitive texts, a weakness of polynomials, don't make both collide.
 2. Contexts that differ but share the gram are fetched, and within each gram's group the
    suffixes from the anchor on, and the reversed prefixes before it, are mergesorted.  Prefix
    polynomial hashes and binary search give common extensions, so a comparison takes
@@ -93,7 +93,9 @@ class Hashes:
 
 
 def _digest(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(data)
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
