@@ -103,11 +103,14 @@ def prj_guarded_arithmetic(spark, d):
     return bo.select("k", r6(S.percent_change(F.col("bf"), F.col("bfp")), "change"), r6(S.guarded_divide(S.zero_if_missing(F.col("bhp")), F.col("bh")), "ratio"), r6(S.guarded_ln(F.col("bf")), "log"), r6(S.raster_volume(F.col("bf"), F.col("bh")), "volume"))
 
 
-@query(f"{PX}, f AS (SELECT regr_slope(bh, bf) AS s, regr_intercept(bh, bf) / 100 AS i FROM px) SELECT {_r('p', 'x')}, {_r('pow(p, s / 100) * exp(i)', 'y')} FROM f, (SELECT pow(10.0, g * 2.0 / 99) AS p FROM generate_series(0, 99) t(g))")
+_PXM = "m AS (SELECT count(*) AS n, regr_sxx(bh, bf) AS sxx, regr_syy(bh, bf) AS syy, regr_sxy(bh, bf) AS sxy, regr_intercept(bh, bf) / 100 AS i FROM px), f AS (SELECT i, sxy / sxx / 100 AS s, 2.5758 * sqrt((syy - sxy / sxx * sxy) / (n - 2) / sxx) / 100 AS w FROM m)"
+
+
+@query(f"{PX}, {_PXM} SELECT {_r('p', 'x')}, {_r('pow(p, s) * exp(i)', 'y')}, {_r('pow(p, s - w) * exp(i)', 'y_low')}, {_r('pow(p, s + w) * exp(i)', 'y_high')} FROM f, (SELECT pow(10.0, g * 2.0 / 99) AS p FROM generate_series(0, 99) t(g))")
 def prj_power_band(spark, d):
-    fit = stats.ols(X.pixels(spark, d), "bf", "bh").select((F.col("slope") / 100).alias("slope"), (F.col("intercept") / 100).alias("intercept"))
-    fit = fit.withColumns({"slope_low": F.col("slope"), "slope_high": F.col("slope")})
-    return stats.fitted_band(fit).select(r6("x", "x"), r6("y", "y"))
+    fit = stats.ols(X.pixels(spark, d), "bf", "bh", critical=2.5758)
+    fit = fit.select(*[(F.col(c) / 100).alias(c) for c in ("slope", "intercept", "slope_low", "slope_high")])
+    return stats.fitted_band(fit).select(*[r6(c, c) for c in ("x", "y", "y_low", "y_high")])
 
 
 # ---- strings
@@ -331,18 +334,60 @@ def jn_tile_layers(spark, d):
     return met.select("tr", "tc", r6("target", "target"), r6("source", "source"))
 
 
-@query("x AS (SELECT unnest(generate_series(0, 9)) AS ix), y AS (SELECT unnest(generate_series(0, 9)) AS iy) SELECT iy * 10 + ix + 1 AS id, ix, iy, CAST(ix * 100 AS DOUBLE) AS cell_minx, CAST(iy * 100 + 100 AS DOUBLE) AS cell_maxy FROM x, y")
+_NET = """e AS (SELECT min(x0) AS gx, min(y0) AS gy, max(x1) AS hx, max(y1) AS hy FROM bv), n AS (SELECT *, CAST({f}((hx - gx) / 100){p} AS BIGINT) AS nx, CAST({f}((hy - gy) / 100){p} AS BIGINT) AS ny FROM e),
+c AS (SELECT n.*, ix, iy FROM n, LATERAL (SELECT unnest(generate_series(0, nx - 1)) AS ix), LATERAL (SELECT unnest(generate_series(0, ny - 1)) AS iy))
+SELECT iy * nx + ix + 1 AS id, ix, iy, gx + ix * 100 AS cell_minx, gy + iy * 100 + 100 AS cell_maxy FROM c"""
+
+
+@query(f"{BV}, {_NET.format(f='ceil', p='')}")
 def geo_fishnet_open(spark, d):
-    return vector.fishnet(_square(spark), 100.0).select("id", "ix", "iy", "cell_minx", "cell_maxy")
+    return vector.fishnet(X.extent(X.buildings(spark, d)), 100.0).select("id", "ix", "iy", "cell_minx", "cell_maxy")
 
 
-@query("x AS (SELECT unnest(generate_series(0, 10)) AS ix), y AS (SELECT unnest(generate_series(0, 10)) AS iy) SELECT iy * 11 + ix + 1 AS id, ix, iy, CAST(ix * 100 AS DOUBLE) AS cell_minx, CAST(iy * 100 + 100 AS DOUBLE) AS cell_maxy FROM x, y")
+@query(f"{BV}, {_NET.format(f='floor', p=' + 1')}")
 def geo_fishnet_closed(spark, d):
-    return vector.fishnet(_square(spark), 100.0, closed=True).select("id", "ix", "iy", "cell_minx", "cell_maxy")
+    return vector.fishnet(X.extent(X.buildings(spark, d)), 100.0, closed=True).select("id", "ix", "iy", "cell_minx", "cell_maxy")
+
+
+def _triangles(spark, d) -> DataFrame:
+    """Each building's lower left half."""
+    return X.buildings(spark, d).withColumn("ring", F.concat(F.slice("ring", 1, 2), F.slice("ring", 4, 1), F.slice("ring", 1, 1)))
+
+
+# The area of a right triangle beyond (u, v) from its corner; four of them make its part in a pixel.
+_BEYOND = "pow(greatest(1 - greatest({u}, 0) / w - greatest({v}, 0) / h, 0), 2) * w * h / 2"
+_PART = " ".join(sign + _BEYOND.format(u=f"(col * 10 + {i} - x0)", v=f"(row * 10 + {j} - y0)") for sign, i, j in (("", 0, 0), ("- ", 10, 0), ("- ", 0, 10), ("+ ", 10, 10)))
+_TRI = f"tr AS (SELECT row, col, id, height_ft, {_PART} AS a FROM (SELECT *, unnest(generate_series(CAST(floor(y0 / 10) AS BIGINT), CAST(floor(y1 / 10) AS BIGINT))) AS row FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / 10) AS BIGINT), CAST(floor(x1 / 10) AS BIGINT))) AS col FROM bv)))"
+
+
+@query(f"{BV}, {_TRI} SELECT row, col, {_r('least(sum(a) / 100, 1)', 'fraction')}, {_r('sum(a * height_ft) / sum(a)', 'height')} FROM tr WHERE a > 1e-9 GROUP BY 1, 2")
+def geo_triangle_cover(spark, d):
+    out = vector.coverage(_triangles(spark, d), 10.0, "height_ft", ring="ring").where("fraction > 1e-11")
+    return out.select("row", "col", r6("fraction", "fraction"), r6("height", "height"))
+
+
+@query(f"{BV} SELECT id, x0 <= 505 AND y0 <= 700 AND x1 >= 300 AND y1 >= 100 AND (greatest(x0, 300) - x0) * h + (greatest(y0, 100) - y0) * w <= w * h AS meets FROM bv")
+def geo_triangle_intersects(spark, d):
+    return _triangles(spark, d).select("id", G.intersects(F.col("ring"), G.box_ring(300, 100, 505, 700)).alias("meets"))
+
+
+@query(f"{BV} SELECT id, {_r('w * h * 0.75', 'area')}, x0 + w / 4 > 500 OR x0 + w * 0.75 <= 500 OR y0 + h / 4 > 500 OR y0 + h * 0.75 <= 500 AS solid FROM bv")
+def geo_ring_with_hole(spark, d):
+    """Buildings with a courtyard of half their sides: area, and whether (500, 500) is not in the yard or is in no building."""
+    x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    yard = G.box_ring(x0 + w / 4, y0 + h / 4, x0 + w * 0.75, y0 + h * 0.75)
+    b = X.buildings(spark, d).withColumn("rings", F.array(F.col("ring"), yard))
+    in_yard = G.contains(F.col("ring"), F.lit(500.0), F.lit(500.0)) & ~G.rings_contain(F.col("rings"), F.lit(500.0), F.lit(500.0))
+    return b.select("id", r6(G.rings_area(F.col("rings")), "area"), (~in_yard).alias("solid"))
 
 
-def _square(spark):
-    return spark.range(1).select(F.lit(0.0).alias("minx"), F.lit(0.0).alias("miny"), F.lit(1000.0).alias("maxx"), F.lit(1000.0).alias("maxy"))
+@query(f"{BV}, {ME} SELECT id, metro FROM bv JOIN me ON x0 <= x + 200 AND x <= x1 AND y0 <= y + 200 AND y <= y1 AND NOT (x0 > x + 50 AND x1 < x + 150 AND y0 > y + 50 AND y1 < y + 150)")
+def jn_metro_with_hole(spark, d):
+    """Metros with a lake in their middle: buildings wholly in it are not theirs."""
+    b = F.col("box")
+    lake = G.box_ring(b["minx"] + 50, b["miny"] + 50, b["minx"] + 150, b["miny"] + 150)
+    metros = X.metros(spark, d).withColumn("polygon", F.array(F.col("polygon"), lake))
+    return vector.within_polygons(X.buildings(spark, d), metros).select("id", "metro")
 
 
 @query(f"{BU} SELECT id, {_r('w * h / 2', 'triangle')}, {_r('w * h', 'rectangle')} FROM bu")
@@ -627,12 +672,13 @@ def pipe_infer_affine(spark, d):
     return out.select("row", "col", (F.round("bf", 4) + F.lit(0.0)).alias("bf"))
 
 
-@query(f"{PX}, {BV}, cv AS (SELECT 1) SELECT row, col, cur FROM px WHERE row < 5".replace(f", {BV}, cv AS (SELECT 1)", ""))
+@query(f"{PX} SELECT row, col, cur FROM px")
 def src_geotiff_roundtrip(spark, d):
-    """Tiles of the raster's first rows written as GeoTIFF bytes and read again."""
+    """Tiles of the whole raster written as GeoTIFF bytes and read again."""
     from ..sources import rasters, tiff
 
-    px = X.pixels(spark, d).where("row < 5").withColumns({"win_row": F.lit(0), "win_col": F.floor(F.col("col") / 5).cast("int") * 5})
+    five = lambda c: F.floor(F.col(c) / 5).cast("int") * 5
+    px = X.pixels(spark, d).withColumns({"win_row": five("row"), "win_col": five("col")})
     tiles = raster.to_tiles(px, 5, "cur").withColumn("name", F.concat_ws("_", F.lit("tile"), "win_row", "win_col"))
     made = rasters.encoded(tiles, {**X.IDENTITY, "e": -1.0})
 

@@ -49,10 +49,17 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a whole result is there: jobs that died on the way leave no _SUCCESS file."""
+    # Readers skip names that start with an underscore, so the store itself is asked.
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """Read a result that is there, else make and write it; a lost race leaves the other's files."""
-    if not exists(spark, path):
-        make().write.mode("ignore").parquet(path)
+    """Read a finished result that is there, else make and write it, over the remains of a job that died."""
+    if not finished(spark, path):
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -62,6 +69,6 @@ def save(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "app
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header: evaluation and scaling tables, loss curves."""
-    df.write.mode(mode).option("header", True).csv(path)
+def save_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True) -> None:
+    """CSV, with a header (evaluation and scaling tables) or without (loss curves: one number a line)."""
+    df.write.mode(mode).option("header", header).csv(path)

@@ -114,3 +114,18 @@ def test_arriving_tiles(spark, tmp_path):
         stream.ingest(spark, str(into), str(tmp_path / "out"), str(tmp_path / "state"))
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r["name"], r["mean"]) for r in out.collect()) == [(f"t{k}", float(k)) for k in range(3)]
+
+
+def test_half_written_results_are_made_again(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    path = str(tmp_path / "kept")
+    assert [tables.cached(spark, path, make).count() for _ in range(2)] == [3, 3] and len(made) == 1
+    (tmp_path / "kept" / "_SUCCESS").unlink()
+    assert tables.cached(spark, path, make).count() == 3 and len(made) == 2
+    tables.save_csv(spark.range(2), str(tmp_path / "plain"), header=False)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "plain")).collect()) == ["0", "1"]
