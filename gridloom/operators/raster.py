@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,6 +90,16 @@ def aligned(a: dict, b: dict, tolerance: float = 1e-6) -> bool:
     return same and all(abs(a["transform"][k] - b["transform"][k]) <= tolerance for k in "abcdef")
 
 
+def aligned_to(meta: DataFrame, reference: dict, tolerance: float = 1e-6) -> DataFrame:
+    """Add ``aligned``: whether each row of rasters' metadata describes the reference's grid.
+
+    Rows without a transform are not aligned; a missing srid equals only a missing one.
+    """
+    same = [F.col(k).eqNullSafe(F.lit(reference[k])) for k in ("srid", "height", "width")]
+    near = [F.abs(F.col("transform")[k] - F.lit(reference["transform"][k])) <= tolerance for k in "abcdef"]
+    return meta.withColumn("aligned", F.coalesce(reduce(and_, same + near), F.lit(False)))
+
+
 def warp(px: DataFrame, source: dict[str, float], target: dict[str, float], height: int, width: int, method: str = "bilinear", value: str = "value") -> DataFrame:
     """Resample onto another grid of the same reference system.
 

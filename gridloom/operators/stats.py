@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hexagon, histogram_bin, missing
@@ -71,6 +73,24 @@ def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = (), critical: float |
     return out.drop("_sxx", "_syy", "_sxy", "_mx")
 
 
+def inference(fit: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """``ols`` rows with p_value of the slope and t-based slope_low, slope_high, intercept_low, intercept_high.
+
+    NULL where there are fewer than three points; with a perfect fit p is 0.  Rows are fits, not data.
+    """
+    p, q = F.pandas_udf(_p_values, "double"), F.pandas_udf(lambda n: n.map(lambda v: t_quantile((1 + confidence) / 2, v - 2) if v > 2 else None), "double")
+    t = F.try_divide(F.col("slope"), F.col("stderr"))
+    perfect = (F.col("n") > 2) & (F.col("stderr") == 0)
+    out = fit.withColumns({"p_value": F.when(perfect, 0.0).otherwise(p(t, "n")), "_q": q("n")})
+    for c, e in (("slope", "stderr"), ("intercept", "intercept_stderr")):
+        out = out.withColumns({f"{c}_low": F.col(c) - F.col("_q") * F.col(e), f"{c}_high": F.col(c) + F.col("_q") * F.col(e)})
+    return out.drop("_q")
+
+
+def _p_values(t: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([_incomplete_beta((m - 2) / 2, 0.5, (m - 2) / (m - 2 + v * v)) if m > 2 and v == v else None for v, m in zip(t, n)], dtype="float64")
+
+
 def robust_ols(df: DataFrame, x: str, y: str) -> DataFrame:
     """(slope, intercept, slope_hc0, intercept_hc0): ordinary fit, sandwich (HC0) standard errors.
 
@@ -110,6 +130,15 @@ def value_positions(px: DataFrame, value: str = "value") -> DataFrame:
     return px.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "col")).alias("_f")).select(value, "n", F.col("_f.row").alias("first_row"), F.col("_f.col").alias("first_col"))
 
 
+def positions(px: DataFrame, value: str = "value") -> DataFrame:
+    """(value, row, col, ordinal): every position of every value, one row each instead of a list a value.
+
+    Ordinals count from 0 within a raster row, so that a value of any frequency stays spread out.
+    """
+    at = F.row_number().over(Window.partitionBy(value, "row").orderBy("col")) - 1
+    return px.select(value, "row", "col").withColumn("ordinal", at)
+
+
 def discriminator_loss(df: DataFrame, by: Sequence[str], fake: str, real: str, kind: str = "logits") -> DataFrame:
     """(by, d_loss): mean of the two terms, with logits (softplus) or least squares."""
     if kind == "logits":
@@ -134,6 +163,7 @@ def t_cdf(t: float, df: float) -> float:
     return 1 - tail if t > 0 else tail
 
 
+@lru_cache(maxsize=4096)
 def t_quantile(p: float, df: float) -> float:
     """Its inverse, by bisection."""
     low, high = -1e6, 1e6

@@ -75,6 +75,18 @@ def nth(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).offset(n).limit(1)
 
 
+def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows in order (a top-n, not a sort)."""
+    return df.orderBy(*order).limit(n)
+
+
+def epochs(df: DataFrame, runs: Sequence[str] | None = None, last: int | None = None, only: int | None = None) -> DataFrame:
+    """Rows of some runs, of epochs up to ``last``, or of one epoch."""
+    own = df.where(F.col("lr").isin(*runs)) if runs else df
+    own = own.where(F.col("epoch") <= last) if last is not None else own
+    return own.where(F.col("epoch") == only) if only is not None else own
+
+
 def model_summary(tiles: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
     """Mean and exact median of per-tile metrics for each model."""
     both = [f(m).alias(f"{k}_{m}") for m in metrics for k, f in (("mean", F.avg), ("median", F.median))]

@@ -8,6 +8,7 @@ is needed afterwards.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,12 @@ def cells_of(shapes: DataFrame, sizes: Sequence[float], extent: DataFrame, box:
     return met.drop("_minx", "_miny", "_maxx", "_maxy")
 
 
+def cells_left(shapes: DataFrame, sizes: Sequence[float], extent: DataFrame, box: str = "bbox", ring: str | None = None) -> DataFrame:
+    """Left join: every cell (size, ix, iy) of the closed fishnets, with each shape that touches it or NULLs."""
+    nets = [fishnet(extent, float(s), closed=True).select(F.lit(float(s)).alias("size"), "ix", "iy") for s in sizes]
+    return reduce(DataFrame.unionByName, nets).join(cells_of(shapes, sizes, extent, box, ring), ["size", "ix", "iy"], "left")
+
+
 def cell_scaling(cells: DataFrame, value: str) -> DataFrame:
     """(size, cells, mean, variance) of positive cell totals: sample variance across cells."""
     totals = cells.groupBy("size", "ix", "iy").agg(F.sum(value).alias("total")).where("total > 0")

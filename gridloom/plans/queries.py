@@ -14,6 +14,7 @@ from ..functions import geometry as G
 from ..functions import scalar as S
 from ..functions import strings
 from ..operators import inference, raster, sampling, stats, tabular, unet, vector
+from ..sources import rasters, vectors
 from . import fixtures as X
 from . import pipelines as P
 
@@ -585,6 +586,130 @@ def agg_epoch_mean(spark, d):
     return tabular.epoch_means(batches).select("lr", "epoch", r6("loss", "loss"))
 
 
+# ---- variants of the operators above
+
+
+@query('p AS (SELECT p_name AS "P_NAME", p_size FROM part) SELECT * FROM p')
+def prj_tolerant(spark, d):
+    return tabular.drop_first_column(tabular.keep_columns(X.table(spark, d, "part"), ["p_partkey", "P_NAME", "absent", "p_size"]))
+
+
+@query("c AS (SELECT p_partkey AS id, string_split(CASE p_size % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) || '/x' WHEN 1 THEN p_size || '/' || (p_size + 1) ELSE 'none' END, '/') AS t FROM part) SELECT id, t[1] AS lat, t[2] AS lon FROM c")
+def str_centroid_text(spark, d):
+    p, s = X.table(spark, d, "part"), F.col("p_size")
+    t = F.when(s % 3 == 0, F.concat(s.cast("string"), F.lit("/x"))).when(s % 3 == 1, F.concat_ws("/", s.cast("string"), (s + 1).cast("string"))).otherwise("none")
+    lat, lon = strings.centroid(t, numeric=False)
+    return p.select(F.col("p_partkey").alias("id"), lat.alias("lat"), lon.alias("lon"))
+
+
+@query(f"{BU} SELECT id, 5 AS points, 6 AS always, {_r('w * h', 'area')} FROM bu")
+def str_ring_always(spark, d):
+    text = F.concat_ws("_", "footprint", F.element_at(F.split("footprint", "_"), 1))
+    b = X.buildings(spark, d).select("id", strings.ring(text).alias("g"), strings.ring(text, always_close=True).alias("a"))
+    return b.select("id", F.size("g").alias("points"), F.size("a").alias("always"), r6(G.area(F.col("a")), "area"))
+
+
+@query(f"{PX}, {_XY}, {_M}, f AS (SELECT sxy / sxx AS s, 2.5758 * {_SE} AS w FROM m) SELECT printf('%.2f [%.2f, %.2f]', s, s - w, s + w) AS label FROM f")
+def str_slope_label(spark, d):
+    fit = stats.ols(_xy(spark, d), "x", "y", critical=2.5758)
+    return fit.select(strings.slope_label(F.col("slope"), F.col("slope_low"), F.col("slope_high")).alias("label"))
+
+
+@query(f"{ME} SELECT metro, name FROM me WHERE metro % 3 <> 0 AND n_regionkey <> 2")
+def flt_metro_kind(spark, d):
+    kind = X.metros(spark, d).withColumn("lsad", F.when(F.col("metro") % 3 == 0, "M2").otherwise("M1"))
+    return tabular.metros(kind, lsad="lsad").select("metro", "name")
+
+
+@query(f"{LO}, e AS (SELECT lr, row_number() OVER (PARTITION BY lr ORDER BY line) - 1 AS epoch, loss FROM lo) SELECT lr, epoch, {_r('loss', 'loss')} FROM e WHERE lr IN ('click', 'view') AND epoch <= 99 UNION ALL SELECT lr, epoch, {_r('loss', 'loss')} FROM e WHERE epoch = 120")
+def flt_epochs(spark, d):
+    known = tabular.with_epoch(X.losses(spark, d), "lr", "line")
+    some = tabular.epochs(known, ["click", "view"], last=99).unionByName(tabular.epochs(known, only=120))
+    return some.select("lr", F.col("epoch").cast("long").alias("epoch"), r6("loss", "loss"))
+
+
+@query("p AS (SELECT p_partkey AS id, p_name FROM part ORDER BY p_name, p_partkey LIMIT 8) SELECT * FROM p")
+def srt_head(spark, d):
+    return tabular.head(X.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), ["p_name", "id"], 8)
+
+
+@query(f"{PX}, t AS (SELECT k FROM px ORDER BY {_hash('k', 11)}, k LIMIT 4) SELECT k FROM t")
+def smp_indices(spark, d):
+    return sampling.sample(X.pixels(spark, d).select("k"), "k", 4, 11)
+
+
+@query(f"{BV}, {_CELLS} SELECT size, ix, iy, count(id) AS n, {_r('sum(v)', 'total')} FROM cx JOIN cy USING (size) LEFT JOIN bv ON bv.x0 <= cx.hi AND bv.x1 >= cx.lo AND bv.y0 <= cy.hi AND bv.y1 >= cy.lo GROUP BY 1, 2, 3")
+def jn_cells_empty(spark, d):
+    own = P.building_volumes(X.buildings(spark, d)).select("id", "volume", F.col("box").alias("bbox"))
+    cells = vector.cells_left(own, [50, 100, 250], X.extent(own))
+    return cells.groupBy("size", "ix", "iy").agg(F.count("id").alias("n"), r6(F.sum("volume"), "total"))
+
+
+@query(f"{PX} SELECT cur, row, col, row_number() OVER (PARTITION BY cur, row ORDER BY col) - 1 AS ordinal FROM px")
+def agg_positions(spark, d):
+    return stats.positions(X.pixels(spark, d), "cur").withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+_FOUR = "g AS (SELECT CAST(floor(k / 4) AS BIGINT) AS g, count(*) AS n, avg(bf) AS mx, regr_slope(bh, bf) AS s, regr_intercept(bh, bf) AS i, regr_sxx(bh, bf) AS sxx, regr_syy(bh, bf) AS syy, regr_sxy(bh, bf) AS sxy FROM px GROUP BY 1), f AS (SELECT *, sqrt(greatest(syy - s * sxy, 0) / 2 / sxx) AS se FROM g WHERE n = 4 AND sxx > 0)"
+_Q2 = "0.9 * sqrt(2 / (1 - 0.81))"
+
+
+@query(f"{PX}, {_FOUR} SELECT g, round(1 - abs(s / se) / sqrt(pow(s / se, 2) + 2), 5) AS p_value, round(s - {_Q2} * se, 3) AS slope_low, round(s + {_Q2} * se, 3) AS slope_high, round(i + {_Q2} * se * sqrt(sxx / 4 + mx * mx), 3) AS intercept_high FROM f")
+def agg_t_inference(spark, d):
+    """Fits over four pixels each: with two degrees of freedom t has a closed form."""
+    px = X.pixels(spark, d).withColumn("g", F.floor(F.col("k") / 4))
+    fit = stats.inference(stats.ols(px, "bf", "bh", ["g"]).where("n = 4 AND slope IS NOT NULL"), 0.9)
+    return fit.select("g", F.round("p_value", 5).alias("p_value"), *[F.round(c, 3).alias(c) for c in ("slope_low", "slope_high", "intercept_high")])
+
+
+@query("s AS (SELECT s_suppkey AS id, s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 4 <= 1 AS aligned FROM supplier) SELECT * FROM s")
+def geo_aligned(spark, d):
+    k = F.col("s_suppkey")
+    terms = {**X.IDENTITY, "a": 30.0, "e": -30.0}
+    own = F.struct(*[(F.lit(v) + (k % 4 * 9e-7 if n == "c" else 0.0)).alias(n) for n, v in terms.items()])
+    meta = X.table(spark, d, "supplier").select(
+        k.alias("id"), F.when(k % 7 != 0, 102003).alias("srid"), F.when(k % 5 == 0, 99).otherwise(100).alias("height"), F.lit(100).alias("width"), own.alias("transform")
+    )
+    return raster.aligned_to(meta, {"srid": 102003, "height": 100, "width": 100, "transform": terms}).select("id", "aligned")
+
+
+# ---- files
+
+
+def _encoded(spark, d) -> DataFrame:
+    """Tiles of 5 x 5 pixels, two bands, in a system whose code 16 bits do not hold."""
+    five = lambda c: F.floor(F.col(c) / 5).cast("int") * 5
+    px = X.pixels(spark, d).withColumns({"win_row": five("row"), "win_col": five("col")})
+    tiles = raster.to_tiles(px, 5, "cur").join(raster.to_tiles(px, 5, "bf").withColumnRenamed("data", "more"), ["win_row", "win_col", "size"])
+    named = tiles.withColumn("name", F.concat_ws("_", "win_row", "win_col"))
+    grid = {**X.IDENTITY, "a": 30.0, "c": 1000.0, "e": -30.0, "f": 5000.0}
+    return rasters.encoded(named, grid, dtype="f8", srid=102003, data=["data", "more"]).withColumnRenamed("name", "path")
+
+
+@query(f"{PX} SELECT row, col, band, CASE band WHEN 1 THEN cur ELSE bf END AS value FROM px, (VALUES (1), (2)) b(band) WHERE row % 5 BETWEEN 1 AND 3 AND col % 5 BETWEEN 2 AND 3")
+def src_geotiff_window(spark, d):
+    """A window of every tile of the raster, read from two bands."""
+    read = rasters.pixels(rasters.decoded(_encoded(spark, d), 2, (1, 2, 3, 2)))
+    at = F.split("path", "_")
+    return read.select((at[0].cast("int") + F.col("row")).alias("row"), (at[1].cast("int") + F.col("col")).alias("col"), "band", "value")
+
+
+@query(f"{PX} SELECT CAST(floor(row / 5) * 5 AS INTEGER) || '_' || CAST(floor(col / 5) * 5 AS INTEGER) AS path, 5 AS height, 2 AS bands, 102003 AS srid, 1000.0::DOUBLE + floor(col / 5) * 150 AS minx, 5000.0::DOUBLE - floor(row / 5) * 150 AS maxy FROM px GROUP BY ALL")
+def src_geotiff_metadata(spark, d):
+    meta = rasters.described(_encoded(spark, d))
+    return meta.join(rasters.bounds(meta), "path").select("path", "height", "bands", "srid", "minx", "maxy")
+
+
+@query(f"{BV} SELECT CAST(id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS height_ft, 102003 AS srid, x0 AS minx, y1 AS maxy FROM bv WHERE id % 3 = 1 AND x0 <= 600 AND x1 >= 200 AND y0 <= 900 AND y1 >= 100")
+def src_gpkg_box(spark, d):
+    """All buildings written as layered files, one layer read by box with one attribute."""
+    b = X.buildings(spark, d)
+    rows = b.select(F.concat(F.lit("city"), F.col("id") % 4).alias("file"), F.concat(F.lit("L"), F.col("id") % 3).alias("layer"), F.array("ring").alias("rings"), "id", "height_ft")
+    made = vectors.packed(rows, "file", "layer", srid=102003, most=100)
+    found = vectors.features(made, "L1", (200.0, 100.0, 600.0, 900.0), ["id"])
+    return found.select(F.col("attributes")["id"].alias("id"), F.col("attributes")["height_ft"].alias("height_ft"), "srid", "minx", "maxy")
+
+
 # ---- models
 
 
@@ -675,7 +800,7 @@ def pipe_infer_affine(spark, d):
 @query(f"{PX} SELECT row, col, cur FROM px")
 def src_geotiff_roundtrip(spark, d):
     """Tiles of the whole raster written as GeoTIFF bytes and read again."""
-    from ..sources import rasters, tiff
+    from ..sources import tiff
 
     five = lambda c: F.floor(F.col(c) / 5).cast("int") * 5
     px = X.pixels(spark, d).withColumns({"win_row": five("row"), "win_col": five("col")})

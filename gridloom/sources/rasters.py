@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -17,25 +21,51 @@ _META = "path string, height int, width int, bands int, dtype string, nodata dou
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
-    """(path, content) of all files below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
+    """(path, content) of all files below a folder; none where the folder is missing.
 
+    Contents are read only where they are used.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    try:
+        return reader.load(path).select("path", "content")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "path string, content binary")
+
+
+def _ranges(path: str):
+    """A function (start, size) to bytes over a file of any store that Arrow knows."""
+    store, place = pafs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe="/:@"))  # Spark's paths are not escaped
+    opened = store.open_input_file(place)
+    return lambda start, size: opened.read_at(size, start)
+
+
+def metadata(spark: SparkSession, path: str, pattern: str = "*.tif*", ranged: bool = False) -> DataFrame:
+    """One row a file; files that are no GeoTIFF have an error and no more.
+
+    ``ranged`` fetches headers only, from stores that Arrow knows; else files come whole.
+    """
+    found = files(spark, path, pattern)
+    return described(found.select("path") if ranged else found)
 
-def metadata(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
-    """One row a file; files that are no GeoTIFF have an error and no more."""
+
+def described(found: DataFrame) -> DataFrame:
+    """``metadata`` of (path, content), or of (path) alone by ranged reads."""
+    ranged = len(found.columns) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for p, c in zip(b.column(0).to_pylist(), b.column(1)):
+            for p, c in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1)):
                 try:
-                    rows.append({"path": p, "error": None, **tiff.metadata(c.as_py())})
+                    rows.append({"path": p, "error": None, **tiff.metadata(_ranges(p) if ranged else c.as_py())})
                 except Exception as e:  # noqa: BLE001  the error is the result
                     rows.append({"path": p, "error": repr(e)})
             yield from pa.Table.from_pylist(rows, schema).to_batches()
 
     schema = _arrow(_META)
-    return files(spark, path, pattern).mapInArrow(run, _META)
+    return found.mapInArrow(run, _META)
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -52,27 +82,71 @@ def bounds(meta: DataFrame) -> DataFrame:
     return meta.select("path", F.least(t["c"], x1).alias("minx"), F.least(t["f"], y1).alias("miny"), F.greatest(t["c"], x1).alias("maxx"), F.greatest(t["f"], y1).alias("maxy"))
 
 
-def blocks(spark: SparkSession, path: str, size: int = 256, pattern: str = "*.tif*") -> DataFrame:
-    """Blocks of size x size pixels, NaN and nodata as NULL."""
+def _cut(path: str, image: np.ndarray, nodata: float | None, top: int, left: int, size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Blocks of an image whose corner is at (top, left), NaN and nodata as NULL."""
+    image = image.astype(np.float64)
+    for band in range(image.shape[0]):
+        for r in range(0, image.shape[1], size):
+            for k in range(0, image.shape[2], size):
+                part = image[band, r : r + size, k : k + size]
+                gone = np.isnan(part) if nodata is None else np.isnan(part) | (part == nodata)
+                values = pa.array(part.ravel(), mask=gone.ravel())
+                cols = [[path], [band + 1], [top + r], [left + k], [part.shape[0]], [part.shape[1]]]
+                arrays = [pa.array(x, f.type) for x, f in zip(cols, schema)]
+                whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([*arrays, whole], schema=schema)
+
+
+def blocks(spark: SparkSession, path: str, size: int = 256, pattern: str = "*.tif*", window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Blocks of size x size pixels, NaN and nodata as NULL; a file is read by one task.
+
+    With ``window`` (row, column, height, width) only the strips and tiles in it are unpacked.
+    """
+    return decoded(files(spark, path, pattern), size, window)
+
+
+def decoded(found: DataFrame, size: int = 256, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """``blocks`` of (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, c in zip(b.column(0).to_pylist(), b.column(1)):
                 data = c.as_py()
-                image, nodata = tiff.read(data).astype(np.float64), tiff.metadata(data)["nodata"]
-                for band in range(image.shape[0]):
-                    for r in range(0, image.shape[1], size):
-                        for k in range(0, image.shape[2], size):
-                            part = image[band, r : r + size, k : k + size]
-                            gone = np.isnan(part) if nodata is None else np.isnan(part) | (part == nodata)
-                            values = pa.array(part.ravel(), mask=gone.ravel())
-                            cols = [[p], [band + 1], [r], [k], [part.shape[0]], [part.shape[1]]]
-                            arrays = [pa.array(x, f.type) for x, f in zip(cols, schema)]
-                            whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                            yield pa.RecordBatch.from_arrays([*arrays, whole], schema=schema)
+                top, left = (max(x, 0) for x in (window or (0, 0))[:2])
+                yield from _cut(p, tiff.read(data, window), tiff.metadata(data)["nodata"], top, left, size, schema)
 
     schema = _arrow(_BLOCK)
-    return files(spark, path, pattern).mapInArrow(run, _BLOCK)
+    return found.mapInArrow(run, _BLOCK)
+
+
+def windows(spark: SparkSession, path: str, size: int = 256, pattern: str = "*.tif*", window: tuple[int, int, int, int] | None = None, rows: int | None = None) -> DataFrame:
+    """``blocks`` for large rasters on stores that Arrow knows: every row of blocks is a task's own range read.
+
+    Headers are read first; then each band of ``rows`` pixel rows (a multiple of ``size``) in the
+    window is dealt out, and a task fetches only its strips and tiles.  No file is ever held whole.
+    """
+    rows = rows or size
+    if rows % size:
+        raise ValueError(f"{rows} rows are no multiple of {size}")
+    top, left, tall, wide = window or (0, 0, 2**31 - 1, 2**31 - 1)
+    found = metadata(spark, path, pattern, ranged=True)
+    whole = found.where(F.assert_true(F.col("error").isNull(), F.concat_ws(": ", "path", "error")).isNull())
+    last = F.least(F.col("height").cast("long"), F.lit(top + tall))
+    dealt = whole.where(last > top).select("path", F.explode(F.sequence(F.lit(max(top, 0)).cast("long"), last - 1, F.lit(rows).cast("long"))).alias("at"), last.alias("last"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, part = None, None
+        for b in batches:
+            for p, at, end in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if p != known:
+                    known, part = p, _ranges(p)
+                image = tiff.read(part, (at, left, min(rows, end - at), wide))
+                yield from _cut(p, image, tiff.metadata(part)["nodata"], at, max(left, 0), size, schema)
+
+    schema = _arrow(_BLOCK)
+    # A number of tasks, as the rows are too small for adaptive execution to see the work behind them.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "path", "at").sortWithinPartitions("path", "at").mapInArrow(run, _BLOCK)
 
 
 def pixels(blocks_: DataFrame) -> DataFrame:
@@ -81,20 +155,26 @@ def pixels(blocks_: DataFrame) -> DataFrame:
     return out.select("path", "band", (F.col("row0") + F.floor(F.col("i") / F.col("width"))).cast("int").alias("row"), (F.col("col0") + F.col("i") % F.col("width")).cast("int").alias("col"), "value")
 
 
-def encoded(tiles: DataFrame, transform: dict[str, float], name: str = "name", dtype: str = "f4", srid: int | None = None, nodata: float | None = None) -> DataFrame:
-    """(name, content): tiles (name, win_row, win_col, size, data) as GeoTIFF files with shifted transforms."""
+def encoded(
+    tiles: DataFrame, transform: dict[str, float], name: str = "name", dtype: str = "f4", srid: int | None = None, nodata: float | None = None, data: Sequence[str] = ("data",)
+) -> DataFrame:
+    """(name, content): tiles (name, win_row, win_col, size, data) as GeoTIFF files with shifted transforms.
+
+    Each column of ``data`` is a band.
+    """
     from ..functions.geometry import window_transform
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, out = [], []
-            for n, r, c, s, d in zip(*(b.column(k) for k in range(5))):
-                array = np.array([np.nan if v is None else v for v in d.as_py()], np.float64).astype(dtype).reshape(1, s.as_py(), s.as_py())
+            for n, r, c, s, *bands in zip(*(b.column(k) for k in range(b.num_columns))):
+                values = [[np.nan if v is None else v for v in d.as_py()] for d in bands]
+                array = np.array(values, np.float64).astype(dtype).reshape(len(bands), s.as_py(), s.as_py())
                 names.append(n.as_py())
                 out.append(tiff.write(array, window_transform(transform, r.as_py(), c.as_py()), srid, nodata))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], names=["name", "content"])
 
-    return tiles.select(F.col(name).alias("name"), "win_row", "win_col", "size", "data").mapInArrow(run, "name string, content binary")
+    return tiles.select(F.col(name).alias("name"), "win_row", "win_col", "size", *data).mapInArrow(run, "name string, content binary")
 
 
 class FileSink(DataSource):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,26 +54,46 @@ def _feature(path: str, layer: str, srid: int | None, attributes: dict, rings: l
     return {"path": path, "layer": layer, "srid": srid, "attributes": [(k, None if v is None else str(v)) for k, v in attributes.items()], "rings": [[{"x": x, "y": y} for x, y in r] for r in rings], **box}
 
 
-def _gpkg_rows(path: str, data: bytes, layer: str | None, box: tuple | None) -> Iterator[dict]:
+def _apart(box: tuple, minx: float, miny: float, maxx: float, maxy: float) -> bool:
+    return minx > box[2] or box[0] > maxx or miny > box[3] or box[1] > maxy
+
+
+def _gpkg_rows(path: str, data: bytes, layer: str | None, box: tuple | None, columns: Sequence[str] | None) -> Iterator[dict]:
     db = sqlite3.connect(":memory:")
     db.deserialize(data)
     for name, column, srid in db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns").fetchall():
         if layer not in (None, name):
             continue
-        cursor = db.execute('SELECT * FROM "{}"'.format(name.replace('"', '""')))
-        names = [d[0] for d in cursor.description]
-        for row in cursor:
-            values = dict(zip(names, row))
-            blob = values.pop(column)
-            rings = read_wkb(blob, 8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7])[0] if blob and not blob[3] & 0x10 else []
-            out = _feature(path, name, srid, values, rings)
-            if box is None or (rings and out["minx"] <= box[2] and box[0] <= out["maxx"] and out["miny"] <= box[3] and box[1] <= out["maxy"]):
+        quoted = _quoted(name)
+        there = [r[1] for r in db.execute(f"PRAGMA table_info({quoted})") if r[1] != column]
+        wanted = there if columns is None else [c for c in there if c in columns]
+        for blob, *values in db.execute(f"SELECT {', '.join(_quoted(c) for c in [column, *wanted])} FROM {quoted}"):
+            held = (0, 32, 48, 48, 64)[blob[3] >> 1 & 7] if blob else 0
+            if box and held:  # the header's bounds decide before the outline is decoded
+                minx, maxx, miny, maxy = struct.unpack_from(("<" if blob[3] & 1 else ">") + "4d", blob, 8)
+                if _apart(box, minx, miny, maxx, maxy):
+                    continue
+            rings = read_wkb(blob, 8 + held)[0] if blob and not blob[3] & 0x10 else []
+            out = _feature(path, name, srid, dict(zip(wanted, values)), rings)
+            if box is None or (rings and not _apart(box, out["minx"], out["miny"], out["maxx"], out["maxy"])):
                 yield out
 
 
-def gpkg(spark: SparkSession, path: str, layer: str | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Features of GeoPackages, of one layer or all, and of a bounding box or all."""
-    return _read(files(spark, path, "*.gpkg"), lambda p, c: _gpkg_rows(p, c, layer, box))
+def _quoted(name: str) -> str:
+    return '"{}"'.format(name.replace('"', '""'))
+
+
+def gpkg(spark: SparkSession, path: str, layer: str | None = None, box: tuple[float, float, float, float] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Features of GeoPackages: of one layer or all, of a bounding box or all, with some attributes or all.
+
+    Layer, columns and box are applied inside the file, before outlines are decoded.
+    """
+    return features(files(spark, path, "*.gpkg"), layer, box, columns)
+
+
+def features(found: DataFrame, layer: str | None = None, box: tuple[float, float, float, float] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """``gpkg`` of (path, content)."""
+    return _read(found, lambda p, c: _gpkg_rows(p, c, layer, box, columns))
 
 
 def layers(spark: SparkSession, path: str) -> DataFrame:
@@ -107,25 +128,70 @@ def _read(content: DataFrame, rows_of) -> DataFrame:
 
 
 def write_gpkg(features: list[dict], layer: str, srid: int = 4326) -> bytes:
-    """A GeoPackage of small results: rows of attributes with ``rings``."""
+    """A GeoPackage of one layer: rows of attributes with ``rings``."""
+    return write_layers({layer: features}, srid)
+
+
+def write_layers(layers_: dict[str, list[dict]], srid: int = 4326) -> bytes:
+    """A GeoPackage of several layers, each with bounds in its outlines' headers."""
     db = sqlite3.connect(":memory:")
-    columns = [k for k in features[0] if k != "rings"] if features else []
     db.executescript(
+        "PRAGMA application_id = 1196444487;"
+        "CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT, srs_id INTEGER PRIMARY KEY, organization TEXT, organization_coordsys_id INTEGER, definition TEXT);"
         "CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT, identifier TEXT, srs_id INTEGER);"
         "CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z INTEGER, m INTEGER);"
     )
-    db.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, ?)", (layer, layer, srid))
-    db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'POLYGON', ?, 0, 0)", (layer, srid))
-    quoted = ['"{}"'.format(c.replace('"', '""')) for c in ["fid", *columns, "geom"]]
-    name = '"{}"'.format(layer.replace('"', '""'))
-    db.execute(f"CREATE TABLE {name} ({', '.join(quoted)})")
-    for k, f in enumerate(features, 1):
-        blob = b"GP\0\1" + struct.pack("<i", srid) + write_wkb(f["rings"])
-        db.execute(f"INSERT INTO {name} VALUES ({', '.join('?' * len(quoted))})", (k, *(f[c] for c in columns), blob))
+    authority = "EPSG" if srid < 65536 else "ESRI"
+    db.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, ?, ?, 'undefined')", (f"{authority}:{srid}", srid, authority, srid))
+    for layer, features in layers_.items():
+        columns = [k for k in features[0] if k != "rings"] if features else []
+        db.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, ?)", (layer, layer, srid))
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'POLYGON', ?, 0, 0)", (layer, srid))
+        names = [_quoted(c) for c in ["fid", *columns, "geom"]]
+        db.execute(f"CREATE TABLE {_quoted(layer)} ({', '.join(names)})")
+        for k, f in enumerate(features, 1):
+            points = [p for r in f["rings"] for p in r]
+            spans = [g(p[i] for p in points) for i in (0, 1) for g in (min, max)] if points else []
+            head = b"GP\0" + bytes([1 | 2 * bool(spans) | 16 * (not spans)]) + struct.pack("<i", srid) + struct.pack(f"<{len(spans)}d", *spans)
+            db.execute(f"INSERT INTO {_quoted(layer)} VALUES ({', '.join('?' * len(names))})", (k, *(f[c] for c in columns), head + write_wkb(f["rings"])))
     db.commit()
     return bytes(db.serialize())
 
 
+def packed(df: DataFrame, file: str, layer: str, rings: str = "rings", srid: int = 4326, most: int = 100_000) -> DataFrame:
+    """(name, content): the rows of each value of ``file`` as GeoPackages with a layer for each value of ``layer``.
+
+    Rows of a file and layer are dealt to parts of ``most`` rows or so (by a count and a hash), named
+    ``file.gpkg``, ``file-1.gpkg``..., so that no file grows with its rows; ``rasters.FileSink``
+    writes them.  Other columns are attributes.  Rows without file or layer have an empty name there.
+    """
+    plain = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (file, layer)})
+    sizes = plain.groupBy(file).agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
+    own = plain.join(sizes, file).withColumn("_part", F.pmod(F.xxhash64(*[c for c in plain.columns if c != rings], F.col(rings).cast("string")), F.col("_parts")))
+    others = [c for c in df.columns if c not in (file, layer, rings)]
+    sent = own.select(F.col(file).alias("_file"), "_part", F.col(layer).alias("_layer"), F.col(rings).alias("_rings"), *others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+
+        def flush() -> pa.RecordBatch:
+            name = f"{key[0]}{f'-{key[1]}' * bool(key[1])}.gpkg"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([write_layers(held, srid)], pa.binary())], names=["name", "content"])
+
+        for b in batches:
+            for row in b.to_pylist():
+                if (row["_file"], row["_part"]) != key:
+                    if held:
+                        yield flush()
+                    key, held = (row["_file"], row["_part"]), {}
+                outline = [[(p["x"], p["y"]) for p in r] for r in row["_rings"] or []]
+                held.setdefault(row["_layer"], []).append({**{c: row[c] for c in others}, "rings": outline})
+        if held:
+            yield flush()
+
+    return sent.repartition("_file", "_part").sortWithinPartitions("_file", "_part", "_layer").mapInArrow(run, "name string, content binary")
+
+
 def _shapes(data: bytes) -> list[list[list[tuple[float, float]]]]:
     out, at = [], 100
     while at + 8 <= len(data):
@@ -159,16 +225,39 @@ def _table(data: bytes) -> list[dict]:
     return rows
 
 
-def _shapefile_rows(path: str, shp: bytes, dbf: bytes | None) -> Iterator[dict]:
+# Names of coordinate systems in .prj files that carry no authority code.
+_SYSTEMS = {"GCS_WGS_1984": 4326, "GCS_North_American_1983": 4269, "USA_Contiguous_Albers_Equal_Area_Conic": 102003}
+
+
+def prj_code(text: str | None) -> int | None:
+    """The code of a system in well-known text: its outermost authority, or a known name."""
+    codes = re.findall(r'AUTHORITY\["[A-Z]+", ?"(\d+)"\]\]$', (text or "").strip())
+    name = re.match(r'\s*\w+\["([^"]*)"', text or "")
+    return int(codes[0]) if codes else _SYSTEMS.get(name[1]) if name else None
+
+
+def _shapefile_rows(path: str, shp: bytes, dbf: bytes | None, prj: bytes | None) -> Iterator[dict]:
     shapes = _shapes(shp)
-    layer = path.rsplit("/", 1)[-1].removesuffix(".shp")
+    layer, srid = path.rsplit("/", 1)[-1].removesuffix(".shp"), prj_code(prj.decode("latin-1") if prj else None)
     for rings, row in zip(shapes, _table(dbf) if dbf else [{}] * len(shapes)):
-        yield _feature(path, layer, None, row, rings)
+        yield _feature(path, layer, srid, row, rings)
 
 
 def shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Features of shapefiles; the attribute table beside each is joined by its name."""
-    both = files(spark, path, "*.{shp,dbf}").withColumn("stem", F.regexp_replace("path", r"\.(shp|dbf)$", ""))
-    shp, dbf = (both.where(F.col("path").endswith(e)) for e in (".shp", ".dbf"))
-    met = shp.select("stem", "path", F.col("content").alias("shp")).join(dbf.select("stem", F.col("content").alias("dbf")), "stem", "left")
-    return _read(met.select("path", "shp", "dbf"), _shapefile_rows)
+    """Features of shapefiles; the attribute table and the coordinate system beside each are joined by its name."""
+    every = files(spark, path, "*.{shp,dbf,prj}").withColumn("stem", F.regexp_replace("path", r"\.(shp|dbf|prj)$", ""))
+    met = every.where(F.col("path").endswith(".shp")).select("stem", "path", F.col("content").alias("shp"))
+    for kind in ("dbf", "prj"):
+        met = met.join(every.where(F.col("path").endswith(f".{kind}")).select("stem", F.col("content").alias(kind)), "stem", "left")
+    return _read(met.select("path", "shp", "dbf", "prj"), _shapefile_rows)
+
+
+def systems(spark: SparkSession, path: str) -> DataFrame:
+    """(path, srid) of shapefiles' coordinate systems, read from their .prj files alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [prj_code(c.as_py().decode("latin-1")) for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.int32())], names=["path", "srid"])
+
+    return files(spark, path, "*.prj").mapInArrow(run, "path string, srid int")

@@ -252,3 +252,16 @@ def test_missing_tile_raises(spark):
     with pytest.raises(Exception, match="no source tile"):
         tabular.tile_layers(target, source, ["seed", "tile"]).collect()
     assert tabular.keep_columns(source, ["V", "missing"]).columns == ["V"]
+
+
+def test_inference_of_fits(spark):
+    xs = [(float(i), 2.0 * i + (-1) ** i) for i in range(12)]
+    fit = stats.inference(stats.ols(spark.createDataFrame(xs, "x double, y double"), "x", "y")).first()
+    # Ten degrees of freedom: the 0.975 quantile is 2.228139.
+    assert abs(fit["slope_high"] - fit["slope"] - 2.228139 * fit["stderr"]) < 1e-6
+    t = fit["slope"] / fit["stderr"]
+    assert abs(fit["p_value"] - 2 * (1 - stats.t_cdf(t, 10))) < 1e-12
+    two = stats.inference(stats.ols(spark.createDataFrame(xs[:2], "x double, y double"), "x", "y")).first()
+    assert two["p_value"] is None and two["slope_low"] is None
+    line = stats.inference(stats.ols(spark.createDataFrame([(float(i), float(i)) for i in range(5)], "x double, y double"), "x", "y")).first()
+    assert line["p_value"] == 0.0 and line["slope_low"] == 1.0

@@ -1,6 +1,7 @@
 """Files written and read again."""
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -129,3 +130,133 @@ def test_half_written_results_are_made_again(spark, tmp_path):
     assert tables.cached(spark, path, make).count() == 3 and len(made) == 2
     tables.save_csv(spark.range(2), str(tmp_path / "plain"), header=False)
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "plain")).collect()) == ["0", "1"]
+
+
+def lzw(data):
+    """Packs with codes of 9 to 12 bits."""
+    bits, table, width, now = [], {bytes([i]): i for i in range(256)}, 9, b""
+    emit = lambda code: bits.append(format(code, f"0{width}b"))
+    emit(256)
+    n = 258
+    for i in range(len(data)):
+        more = now + data[i : i + 1]
+        if more in table:
+            now = more
+            continue
+        emit(table[now])
+        table[more], n, now = n, n + 1, data[i : i + 1]
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        if n == 4094:
+            emit(256)
+            table, width, n = {bytes([i]): i for i in range(256)}, 9, 258
+    if now:
+        emit(table[now])
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+    emit(257)
+    text = "".join(bits)
+    text += "0" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8, "big")
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 9), st.integers(1, 20_000), st.integers(1, 256))
+def test_lzw(seed, size, letters):
+    data = np.random.default_rng(seed).integers(0, letters, size).astype(np.uint8).tobytes()
+    assert tiff.unpack_lzw(lzw(data)) == data
+
+
+def bigtiff(image, tile, packing=1, predictor=1, order="<"):
+    """A tiled BigTIFF of (bands, height, width) with samples together."""
+    bands, height, width = image.shape
+    kind = image.dtype
+    whole = np.zeros((-(-height // tile) * tile, -(-width // tile) * tile, bands), kind)
+    whole[:height, :width] = image.transpose(1, 2, 0)
+    parts = []
+    for r in range(0, height, tile):
+        for c in range(0, width, tile):
+            block = whole[r : r + tile, c : c + tile]
+            if predictor == 2:
+                block = np.diff(block, axis=1, prepend=np.zeros((tile, 1, bands), kind))
+            raw = block.astype(kind.newbyteorder(order)).tobytes()
+            if predictor == 3:
+                planes = np.ascontiguousarray(block.astype(f">f{kind.itemsize}")).view(np.uint8).reshape(tile, tile * bands, kind.itemsize).transpose(0, 2, 1).reshape(tile, -1)
+                before = np.concatenate([np.zeros((tile, bands), np.uint8), planes[:, :-bands]], 1)
+                raw = (planes - before).tobytes()
+            parts.append(lzw(raw) if packing == 5 else zlib.compress(raw) if packing == 8 else raw)
+    at, starts = 16, []
+    for p in parts:
+        starts.append(at)
+        at += len(p)
+    n = {"u": 1, "i": 2, "f": 3}[kind.kind]
+    fields = [(256, "I", (width,)), (257, "I", (height,)), (258, "H", (kind.itemsize * 8,) * bands), (259, "H", (packing,)), (277, "H", (bands,)), (284, "H", (1,)), (317, "H", (predictor,)), (322, "I", (tile,)), (323, "I", (tile,)), (324, "Q", tuple(starts)), (325, "Q", tuple(map(len, parts))), (339, "H", (n,) * bands)]
+    base, entries, extra = at + 8 + 20 * len(fields) + 8, b"", b""
+    for tag, c, values in fields:
+        raw = struct.pack(f"{order}{len(values)}{c}", *values)
+        entries += struct.pack(order + "HHQ", tag, {"H": 3, "I": 4, "Q": 16}[c], len(values))
+        if len(raw) > 8:
+            entries += struct.pack(order + "Q", base + len(extra))
+            extra += raw
+        else:
+            entries += raw.ljust(8, b"\0")
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HHHQ", 43, 8, 0, at)
+    return head + b"".join(parts) + struct.pack(order + "Q", len(fields)) + entries + b"\0" * 8 + extra
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("packing", [1, 5, 8])
+@pytest.mark.parametrize("kind,predictor", [("u1", 1), ("u1", 2), ("i2", 2), ("f4", 3), ("f8", 3)])
+@pytest.mark.parametrize("bands", [1, 3])
+def test_tiled_windows(order, packing, kind, predictor, bands):
+    image = np.random.default_rng(1).integers(0, 100, (bands, 21, 35)).astype(kind)
+    data = bigtiff(image, 16, packing, predictor, order)
+    assert np.array_equal(tiff.read(data), image)
+    asked = []
+    part = lambda a, n: asked.append(n) or data[a : a + n]
+    assert np.array_equal(tiff.read(part, (17, 3, 9, 10)), image[:, 17:26, 3:13])
+    assert sum(asked) < len(data) * 0.7 or packing != 1
+    assert tiff.read(data, (30, 0, 5, 5)).shape == (bands, 0, 5)
+
+
+def test_large_codes():
+    data = tiff.write(np.zeros((1, 2, 2), "f4"), T, 102003)
+    assert tiff.metadata(data)["srid"] == 102003
+
+
+def test_ranged_windows(spark, tmp_path):
+    image = np.arange(50.0 * 40).reshape(1, 50, 40)
+    (tmp_path / "a b.tif").write_bytes(bigtiff(image, 16, 8))
+    (tmp_path / "c.tif").write_bytes(tiff.write(image, T, 32611, 7.0))
+    whole = {tuple(r) for r in rasters.pixels(rasters.blocks(spark, str(tmp_path), 8)).collect()}
+    assert len(whole) == 4000 and {tuple(r) for r in rasters.pixels(rasters.windows(spark, str(tmp_path), 8)).collect()} == whole
+    some = {r for r in whole if 5 <= r[2] < 31 and 3 <= r[3] < 12}
+    for read in (rasters.blocks(spark, str(tmp_path), 8, window=(5, 3, 26, 9)), rasters.windows(spark, str(tmp_path), 8, window=(5, 3, 26, 9))):
+        assert {tuple(r) for r in rasters.pixels(read).collect()} == some
+    ranged = rasters.metadata(spark, str(tmp_path), ranged=True).orderBy("path").collect()
+    assert ranged == rasters.metadata(spark, str(tmp_path)).orderBy("path").collect() and [r["height"] for r in ranged] == [50, 50]
+    assert rasters.metadata(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        rasters.windows(spark, str(tmp_path), 8, rows=12)
+
+
+def test_layered_geopackages(spark, tmp_path):
+    rows = [(f"f{i % 2}", f"L{i % 3}", i, [[(i, 0.0), (i + 1.0, 0.0), (i, 1.0)]]) for i in range(60)] + [(None, None, 99, None)]
+    df = spark.createDataFrame(rows, "file string, layer string, id int, rings array<array<struct<x:double,y:double>>>")
+    spark.dataSource.register(rasters.FileSink)
+    vectors.packed(df, "file", "layer", most=10).write.format("gridloom_files").mode("append").save(str(tmp_path / "g"))
+    back = vectors.gpkg(spark, str(tmp_path))
+    assert sorted(int(r["attributes"]["id"]) for r in back.collect()) == sorted(r[2] for r in rows)
+    assert {r["attributes"]["id"] for r in vectors.gpkg(spark, str(tmp_path), "L1", (3.5, 0, 9.5, 1)).collect()} == {"4", "7"}
+    assert vectors.gpkg(spark, str(tmp_path), columns=[]).first()["attributes"] == {}
+    assert len(list((tmp_path / "g").glob("f0*.gpkg"))) > 1
+
+
+def test_systems(spark, tmp_path):
+    shp, dbf = shapefile_bytes(features())
+    (tmp_path / "m.shp").write_bytes(shp)
+    (tmp_path / "m.dbf").write_bytes(dbf)
+    (tmp_path / "m.prj").write_text('PROJCS["USA_Contiguous_Albers_Equal_Area_Conic",GEOGCS["x",AUTHORITY["EPSG","4269"]],UNIT["m",1]]')
+    assert {r["srid"] for r in vectors.shapefile(spark, str(tmp_path)).collect()} == {102003}
+    assert [r["srid"] for r in vectors.systems(spark, str(tmp_path)).collect()] == [102003]
+    assert vectors.prj_code('GEOGCS["x",UNIT["d",0.1],AUTHORITY["EPSG","4326"]]') == 4326
+    assert vectors.prj_code('GEOGCS["unknown"]') is None and vectors.prj_code(None) is None
