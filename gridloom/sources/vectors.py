@@ -163,9 +163,9 @@ def packed(df: DataFrame, file: str, layer: str, rings: str = "rings", srid: int
 
     Rows of a file and layer are dealt to parts of ``most`` rows or so (by a count and a hash), named
     ``file.gpkg``, ``file-1.gpkg``..., so that no file grows with its rows; ``rasters.FileSink``
-    writes them.  Other columns are attributes.  Rows without file or layer have an empty name there.
+    writes them.  Other columns are attributes.  Rows without file or layer go to one named ``unnamed``.
     """
-    plain = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (file, layer)})
+    plain = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unnamed")) for c in (file, layer)})
     sizes = plain.groupBy(file).agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
     own = plain.join(sizes, file).withColumn("_part", F.pmod(F.xxhash64(*[c for c in plain.columns if c != rings], F.col(rings).cast("string")), F.col("_parts")))
     others = [c for c in df.columns if c not in (file, layer, rings)]

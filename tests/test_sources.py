@@ -240,7 +240,7 @@ def test_ranged_windows(spark, tmp_path):
 
 
 def test_layered_geopackages(spark, tmp_path):
-    rows = [(f"f{i % 2}", f"L{i % 3}", i, [[(i, 0.0), (i + 1.0, 0.0), (i, 1.0)]]) for i in range(60)] + [(None, None, 99, None)]
+    rows = [(f"f{i % 2}", f"L{i % 3}", i, [[(float(i), 0.0), (i + 1.0, 0.0), (float(i), 1.0)]]) for i in range(60)] + [(None, None, 99, None)]
     df = spark.createDataFrame(rows, "file string, layer string, id int, rings array<array<struct<x:double,y:double>>>")
     spark.dataSource.register(rasters.FileSink)
     vectors.packed(df, "file", "layer", most=10).write.format("gridloom_files").mode("append").save(str(tmp_path / "g"))
