@@ -6,12 +6,14 @@ the document's n-grams is from its rank in a profile (PROFILE if missing); the n
 wins.  N-grams are those of lower-cased words of letters between word marks; equal counts rank
 by a hash of the n-gram, the same for documents and profiles.
 
-Profiles are learned from at most SAMPLE texts a language (chosen by a hash of the id);
-predictions take whole texts of all rows.
+Profiles are learned from at most SAMPLE texts a language, one an id (ids are chosen by a hash;
+of several texts of an id the one of least hash is taken); predictions take whole texts of all
+rows.  The driver gets PROFILE rows a language.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text
-if nothing was learned; ties go to the smaller language name; repeated rows are independent;
-other columns pass, but for lang_pred and score, which are replaced.
+if nothing was learned; ties go to the smaller language name; repeated rows are predicted
+each and learned from once; rows with a null id are predicted, never learned from (held_out is
+null for them); other columns pass, but for lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -115,17 +117,20 @@ class _Words(dict):
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, dict[str, int]]:
     """Language to its profile (n-gram to rank), from rows that are not held out."""
     known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
-    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("_gl_n"))
+    # Ids, not rows, are counted and drawn: repeated rows of an id don't crowd out its language.
+    drawn = known.select(id_col, lang).distinct()
+    counts = drawn.groupBy(lang).agg(F.count(F.lit(1)).alias("_gl_n"))
     languages = counts.count()
     few = languages * SAMPLE <= BROADCAST
     # The hash falls below the share of 4 * SAMPLE rows: a crowded language is thinned before it meets in a task.
-    ids = known.select(id_col, lang).withColumn("_gl_h", F.pmod(F.xxhash64(id_col), F.lit(1 << 40)))
+    ids = drawn.withColumn("_gl_h", F.pmod(F.xxhash64(id_col), F.lit(1 << 40)))
     thinned = ids.join(F.broadcast(counts) if few else counts, lang).where(F.col("_gl_h").cast("double") * F.col("_gl_n") < F.lit(4.0 * SAMPLE * (1 << 40)))
     order = Window.partitionBy(lang).orderBy("_gl_h", id_col)
-    chosen = thinned.withColumn("_gl_r", F.row_number().over(order)).where(F.col("_gl_r") <= SAMPLE).select(id_col).distinct()
+    chosen = thinned.withColumn("_gl_r", F.row_number().over(order)).where(F.col("_gl_r") <= SAMPLE).select(id_col, lang)
     if few:
         chosen = F.broadcast(chosen)  # SAMPLE ids a language at most
-    texts = known.select(id_col, lang, text).join(chosen, id_col, "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = known.select(id_col, F.col(lang), F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text")).alias("found")).join(chosen, [id_col, lang], "left_semi")
+    texts = rows.groupBy(id_col, lang).agg(F.min("found").alias("found")).select(F.col(lang).alias("lang"), "found.text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):

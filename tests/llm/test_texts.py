@@ -48,6 +48,34 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    import zstandard
+
+    toxic = [int(DRAW.random() < 0.3) for _ in range(400)]
+    docs = spark.createDataFrame([(i, document(3 * t)) for i, t in enumerate(toxic)] + [(900, ""), (901, None), (902, "Vilest, 12 é!")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+
+    def length(window, content):
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=19, dict_data=known, write_content_size=False).compress(window))
+
+    seen = {}
+
+    def gain(word):
+        window = b" " + word + b" " + bytes(range(0x80, 0xA0))
+        if word not in seen:
+            seen[word] = min(10, length(window, model.ordinary) - length(window, model.toxic))
+        return seen[word]
+
+    for r in toxicity.score(docs, model).collect():
+        words = re.findall(rb"[a-z\x80-\xff]+", (r["text"] or "").encode().lower())
+        reached = [sum(gain(w) >= k for w in words) for k in range(1, 11)]
+        n = max(1, len(words))
+        x = [math.log(1 + c) for c in reached] + [math.log(1 + 100 * c / n) for c in reached] + [min(c, 1) for c in reached] + [math.log(n)]
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale))
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
 def test_toxicity_fit_of_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE", 300)
     toxic = [int(i % 4 == 0) for i in range(400)]
@@ -305,6 +333,39 @@ def test_languages(spark):
     assert langid.predict(df.limit(0), {}).count() == 0
 
 
+def ranking(texts):
+    """The 400 most frequent n-grams by counting every substring of every marked word."""
+    count = Counter()
+    for text in texts:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            marked = f"_{w}_"
+            count.update(marked[i:j] for i in range(len(marked)) for j in range(i + 1, min(i + 3, len(marked)) + 1) if marked[i:j] != "_")
+    return sorted(count, key=lambda g: (-count[g], zlib.crc32(g.encode())))[:400]
+
+
+def test_languages_by_brute_force(spark):
+    letters = {"xx": "abcdefghij", "yy": "cdefghijkl", "zz": "ghijklmnoé"}
+    word = lambda lang: "".join(DRAW.choice(letters[lang]) for _ in range(DRAW.randrange(1, 9)))
+    rows = [(i, " ".join(word(lang) for _ in range(DRAW.randrange(1, 80))), lang) for i in range(240) for lang in [["xx", "yy", "zz"][i % 3]]]
+    df = spark.createDataFrame(rows * 2 + [rows[1]] * 50, "doc_id long, text string, lang string")
+    profiles = {k: ranking([t for i, t, lang in rows if lang == k and not held(i)]) for k in letters}
+    learned = langid.learn(df)
+    assert {k: sorted(p, key=p.get) for k, p in learned.items()} == profiles
+    for r in langid.predict(df.distinct(), learned).collect():
+        own = ranking([r["text"]])
+        apart = {k: sum(abs(p.index(g) - i) if g in p else 400 for i, g in enumerate(own)) for k, p in profiles.items()}
+        order = sorted(apart, key=lambda k: (apart[k], k))
+        assert r["lang_pred"] == order[0] and r["score"] == apart[order[1]] / (apart[order[0]] + apart[order[1]])
+
+
+def test_languages_of_few_ids(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 5)
+    ids = [i for i in range(200) if not held(i)]
+    rows = [(ids[0], "aba cabab", "aa")] * 500 + [(i, "xyx zyx", "bb") for i in ids[1:]]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k: sorted(p, key=p.get) for k, p in learned.items()} == {"aa": ranking(["aba cabab"]), "bb": ranking(["xyx zyx"])}
+
+
 def test_ranking_counts_grams():
     words = langid._Words({"x": {}})
     text = "abba abc abba"
