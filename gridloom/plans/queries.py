@@ -654,12 +654,12 @@ _FOUR = "g AS (SELECT CAST(floor(k / 4) AS BIGINT) AS g, count(*) AS n, avg(bf)
 _Q2 = "0.9 * sqrt(2 / (1 - 0.81))"
 
 
-@query(f"{PX}, {_FOUR} SELECT g, round(1 - abs(s / se) / sqrt(pow(s / se, 2) + 2), 5) AS p_value, round(s - {_Q2} * se, 3) AS slope_low, round(s + {_Q2} * se, 3) AS slope_high, round(i + {_Q2} * se * sqrt(sxx / 4 + mx * mx), 3) AS intercept_high FROM f")
+@query(f"{PX}, {_FOUR} SELECT g, round(1 - abs(s / se) / sqrt(pow(s / se, 2) + 2), 5) AS p_value, round(s - {_Q2} * se, 3) + 0.0 AS slope_low, round(s + {_Q2} * se, 3) + 0.0 AS slope_high, round(i + {_Q2} * se * sqrt(sxx / 4 + mx * mx), 3) + 0.0 AS intercept_high FROM f")
 def agg_t_inference(spark, d):
     """Fits over four pixels each: with two degrees of freedom t has a closed form."""
     px = X.pixels(spark, d).withColumn("g", F.floor(F.col("k") / 4))
     fit = stats.inference(stats.ols(px, "bf", "bh", ["g"]).where("n = 4 AND slope IS NOT NULL"), 0.9)
-    return fit.select("g", F.round("p_value", 5).alias("p_value"), *[F.round(c, 3).alias(c) for c in ("slope_low", "slope_high", "intercept_high")])
+    return fit.select("g", F.round("p_value", 5).alias("p_value"), *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("slope_low", "slope_high", "intercept_high")])
 
 
 @query("s AS (SELECT s_suppkey AS id, s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 4 <= 1 AS aligned FROM supplier) SELECT * FROM s")
@@ -686,12 +686,12 @@ def _encoded(spark, d) -> DataFrame:
     return rasters.encoded(named, grid, dtype="f8", srid=102003, data=["data", "more"]).withColumnRenamed("name", "path")
 
 
-@query(f"{PX} SELECT row, col, band, CASE band WHEN 1 THEN cur ELSE bf END AS value FROM px, (VALUES (1), (2)) b(band) WHERE row % 5 BETWEEN 1 AND 3 AND col % 5 BETWEEN 2 AND 3")
+@query(f"{PX} SELECT row, col, band, {_r('CASE band WHEN 1 THEN cur ELSE bf END', 'value')} FROM px, (VALUES (1), (2)) b(band) WHERE row % 5 BETWEEN 1 AND 3 AND col % 5 BETWEEN 2 AND 3")
 def src_geotiff_window(spark, d):
     """A window of every tile of the raster, read from two bands."""
     read = rasters.pixels(rasters.decoded(_encoded(spark, d), 2, (1, 2, 3, 2)))
     at = F.split("path", "_")
-    return read.select((at[0].cast("int") + F.col("row")).alias("row"), (at[1].cast("int") + F.col("col")).alias("col"), "band", "value")
+    return read.select((at[0].cast("int") + F.col("row")).alias("row"), (at[1].cast("int") + F.col("col")).alias("col"), "band", r6("value", "value"))  # tiles hold 32-bit floats
 
 
 @query(f"{PX} SELECT CAST(floor(row / 5) * 5 AS INTEGER) || '_' || CAST(floor(col / 5) * 5 AS INTEGER) AS path, 5 AS height, 2 AS bands, 102003 AS srid, 1000.0::DOUBLE + floor(col / 5) * 150 AS minx, 5000.0::DOUBLE - floor(row / 5) * 150 AS maxy FROM px GROUP BY ALL")
