@@ -16,6 +16,9 @@ KEYS = {
     "op8_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op9_simhash": ["doc_id", "fingerprint", "component_id"],
     "op10_langid": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_filteraudit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
+    "op12_pqdedup": ["vec_id", "n_links", "component_id", "kept"],
+    "op13_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
@@ -23,7 +26,7 @@ KEYS = {
 def test_query(spark, sf_dir, name):
     out = Q.queries()[name](spark, sf_dir)
     assert out.columns == KEYS[name]
-    table = {"op2": None, "op4": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op2": None, "op4": "pages", "op11": None, "op12": "embeddings", "op13": None}.get(name.split("_")[0], "documents")
     if table:
         assert out.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
@@ -31,7 +34,7 @@ def test_query(spark, sf_dir, name):
 @pytest.mark.parametrize("name", Q.oracle_sql())
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.sql(Q.oracle_sql()[name])
     got = Q.queries()[name](spark, sf_dir).select(want.columns)
