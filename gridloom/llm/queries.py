@@ -205,14 +205,16 @@ WITH d AS (
   SELECT lang, CASE m WHEN 1 THEN w WHEN 2 THEN w || ' ' || x WHEN 3 THEN w || ' ' || x || ' ' || y ELSE w || ' ' || x || ' ' || y || ' ' || z END AS g
   FROM four CROSS JOIN (VALUES (1), (2), (3), (4)) AS m(m)
 ), f AS (
-  SELECT lang, string_split(g, ' ') AS g, count(*) AS f FROM g WHERE g IS NOT NULL GROUP BY lang, g.g HAVING count(*) >= 30
+  SELECT lang, g.g AS h, string_split(g.g, ' ') AS g, count(*) AS f FROM g WHERE g.g IS NOT NULL GROUP BY lang, g.g HAVING count(*) >= 30
 ), n AS (
   SELECT lang, count(*) AS n FROM words GROUP BY lang
 ), c AS (
   SELECT lang, g, f AS a FROM f WHERE len(g) > 1
+), halves AS (
+  SELECT lang, g, a, k, array_to_string(g[1:k], ' ') AS h1, array_to_string(g[k + 1:len(g)], ' ') AS h2 FROM c JOIN (VALUES (1), (2), (3)) AS k(k) ON k < len(g)
 ), cuts AS (
-  SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score
-  FROM c JOIN (VALUES (1), (2), (3)) AS k(k) ON k < len(g) JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:len(c.g)]
+  SELECT halves.lang, halves.g, a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score
+  FROM halves JOIN f x ON x.lang = halves.lang AND x.h = h1 JOIN f y ON y.lang = halves.lang AND y.h = h2
 ), lowest AS (
   SELECT lang, g, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
 ), inner_phrases AS (
