@@ -110,7 +110,7 @@ def test_vectors_of_defined_cases(spark):
     assert _near(spark, []) == [] and _near(spark, [(1, None)]) == [(1, 0, 1, True)]
 
 
-@pytest.mark.parametrize("block", [16_384, 40])
+@pytest.mark.parametrize("block", [65_536, 40])
 def test_vectors_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(pqdedup, "BLOCK", block)
     vectors = _clouds(3, 60, 16, 8) + [(1000 + i, _clouds(4, 1, 16, 1)[0][1]) for i in range(300)]
