@@ -130,13 +130,14 @@ def _on(a: Column, b: Column, c: Column) -> Column:
     return (_turn(a, b, c) == 0) & within("x") & within("y")
 
 
-def _sides_meet(e: Column, f: Column) -> Column:
+def sides_meet(e: Column, f: Column) -> Column:
+    """Whether two sides share a point."""
     a, b, c, d = e["a"], e["b"], f["a"], f["b"]
     cross = (_turn(a, b, c) * _turn(a, b, d) < 0) & (_turn(c, d, a) * _turn(c, d, b) < 0)
     return cross | _on(a, b, c) | _on(a, b, d) | _on(c, d, a) | _on(c, d, b)
 
 
-def _near(edges: Column, box: Column) -> Column:
+def near_sides(edges: Column, box: Column) -> Column:
     """Sides whose own bounds touch ``box``: one pass, so that only these are compared in pairs."""
     low, high = (lambda e, k: F.least(e["a"][k], e["b"][k])), (lambda e, k: F.greatest(e["a"][k], e["b"][k]))
     return F.filter(edges, lambda e: (low(e, "x") <= box["maxx"]) & (high(e, "x") >= box["minx"]) & (low(e, "y") <= box["maxy"]) & (high(e, "y") >= box["miny"]))
@@ -144,8 +145,8 @@ def _near(edges: Column, box: Column) -> Column:
 
 def intersects(a: Column, b: Column) -> Column:
     """Whether two rings share a point: sides meet, or one holds the other."""
-    near = F.transform(F.array(bounds(a)), lambda box: _near(_edges(b), box))[0]
-    meet = F.exists(_edges(a), lambda e: F.exists(near, lambda f: _sides_meet(e, f)))
+    near = F.transform(F.array(bounds(a)), lambda box: near_sides(_edges(b), box))[0]
+    meet = F.exists(_edges(a), lambda e: F.exists(near, lambda f: sides_meet(e, f)))
     return meet | contains(a, _first(b)["x"], _first(b)["y"]) | contains(b, _first(a)["x"], _first(a)["y"])
 
 
@@ -162,7 +163,8 @@ def rings_bounds(rings: Column) -> Column:
     return bounds(F.flatten(rings))
 
 
-def _all_edges(rings: Column) -> Column:
+def rings_edges(rings: Column) -> Column:
+    """(a, b) of each side of each ring."""
     return F.flatten(F.transform(rings, _edges))
 
 
@@ -173,16 +175,35 @@ def rings_contain(rings: Column, x: Column, y: Column) -> Column:
 
 def rings_intersect(ring: Column, rings: Column) -> Column:
     """Whether a ring's area and a polygon of several rings share a point."""
-    near = F.transform(F.array(bounds(ring)), lambda box: _near(_all_edges(rings), box))[0]
-    meet = F.exists(_edges(ring), lambda e: F.exists(near, lambda f: _sides_meet(e, f)))
+    near = F.transform(F.array(bounds(ring)), lambda box: near_sides(rings_edges(rings), box))[0]
+    meet = F.exists(_edges(ring), lambda e: F.exists(near, lambda f: sides_meet(e, f)))
     held = F.exists(rings, lambda r: contains(ring, _first(r)["x"], _first(r)["y"]))
     return meet | held | rings_contain(rings, _first(ring)["x"], _first(ring)["y"])
 
 
+def _interior(ring: Column) -> Column:
+    """A point inside a ring: in the middle of the lowest two crossings of a line between its lowest two heights."""
+    heights = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
+    between = F.transform(F.array(heights), lambda h: (F.try_element_at(h, F.lit(1)) + F.try_element_at(h, F.lit(2))) / 2)
+
+    def middle(y: Column) -> Column:
+        spanning = F.filter(_edges(ring), lambda e: (e["a"]["y"] <= y) != (e["b"]["y"] <= y))
+        xs = F.transform(spanning, lambda e: e["a"]["x"] + (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]))
+        return F.transform(F.array(F.array_sort(xs)), lambda v: F.struct(((F.try_element_at(v, F.lit(1)) + F.try_element_at(v, F.lit(2))) / 2).alias("x"), y.alias("y")))[0]
+
+    return F.transform(between, middle)[0]
+
+
 def _signs(rings: Column) -> Column:
-    """1 for rings that add area, -1 for holes: by the number of other rings around their first point."""
-    around = lambda r: F.aggregate(rings, F.lit(0), lambda s, o: s + F.when((o != r) & contains(o, _first(r)["x"], _first(r)["y"]), 1).otherwise(0))
-    return F.transform(rings, lambda r: F.when(around(r) % 2 == 1, -1.0).otherwise(1.0))
+    """1 for rings that add area, -1 for holes: by the number of larger rings around a point inside.
+
+    Rings may touch and share sides; of equal rings, the first is around the others.
+    """
+    known = F.transform(rings, lambda r, i: F.struct(r.alias("r"), area(r).alias("a"), _interior(r).alias("p"), i.alias("i")))
+    around = lambda all_, k: F.aggregate(
+        all_, F.lit(0), lambda s, o: s + F.when(((o["a"] > k["a"]) | ((o["a"] == k["a"]) & (o["i"] < k["i"]))) & contains(o["r"], k["p"]["x"], k["p"]["y"]), 1).otherwise(0)
+    )
+    return F.transform(F.array(known), lambda all_: F.transform(all_, lambda k: F.when(around(all_, k) % 2 == 1, -1.0).otherwise(1.0)))[0]
 
 
 def rings_area(rings: Column) -> Column:

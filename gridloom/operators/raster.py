@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions.scalar import reflect
+from . import polygon_index
 
 
 def window(px: DataFrame, row0: int, col0: int, height: int, width: int) -> DataFrame:
@@ -63,11 +64,9 @@ def clip_to_polygon(px: DataFrame, transform: dict[str, float], ring: Column, va
 
     ``ring`` is one ring, or an array of rings (holes, parts).
     """
-    one = px.sparkSession.range(1).select(ring.alias("_ring"))
+    one = px.sparkSession.range(1).select(F.lit(0).alias("_polygon"), ring.alias("_ring"))
     several = isinstance(one.schema["_ring"].dataType.elementType, T.ArrayType)
-    box = F.broadcast(one.select("_ring", (G.rings_bounds if several else G.bounds)(F.col("_ring")).alias("_box")))  # one row
     t = transform
-    x, y = F.lit(t["c"]) + (F.col("col") + 0.5) * t["a"], F.lit(t["f"]) + (F.col("row") + 0.5) * t["e"]
     to_col = lambda v: (v - t["c"]) / t["a"]
     to_row = lambda v: (v - t["f"]) / t["e"]
     b = F.col("_box")
@@ -77,11 +76,17 @@ def clip_to_polygon(px: DataFrame, transform: dict[str, float], ring: Column, va
         "_r0": F.floor(F.least(to_row(b["miny"]), to_row(b["maxy"]))),
         "_r1": F.ceil(F.greatest(to_row(b["miny"]), to_row(b["maxy"]))),
     }
-    met = px.join(box).withColumns(ends).where("row >= _r0 AND row < _r1 AND col >= _c0 AND col < _c1")
-    inside = (G.rings_contain if several else G.contains)(F.col("_ring"), x, y)
-    met = met.where(inside) if nodata is None else met.withColumn(value, F.when(inside, F.col(value)).otherwise(F.lit(nodata)))
+    box = F.broadcast(one.select((G.rings_bounds if several else G.bounds)(F.col("_ring")).alias("_box")).select(*[v.alias(k) for k, v in ends.items()]))  # one row
+    met = px.join(box).where("row >= _r0 AND row < _r1 AND col >= _c0 AND col < _c1")
+    # The pixels' centres meet the sides of their own cells of the polygon only.
+    centres = met.withColumns({"_x": F.lit(t["c"]) + (F.col("col") + 0.5) * t["a"], "_y": F.lit(t["f"]) + (F.col("row") + 0.5) * t["e"]})
+    if nodata is None:
+        met = polygon_index.points_within(centres, one, "_polygon", "_ring", "_x", "_y")
+    else:
+        met = polygon_index.points_within(centres, one, "_polygon", "_ring", "_x", "_y", outside=True)
+        met = met.withColumn(value, F.when(F.col("_polygon").isNotNull(), F.col(value)).otherwise(F.lit(nodata)))
     based = {"row": (F.col("row") - F.greatest("_r0", F.lit(0))).cast("int"), "col": (F.col("col") - F.greatest("_c0", F.lit(0))).cast("int")}
-    return met.withColumns(based).drop("_ring", "_box", *ends)
+    return met.withColumns(based).drop("_polygon", "_x", "_y", *ends)
 
 
 def aligned(a: dict, b: dict, tolerance: float = 1e-6) -> bool:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
+from . import polygon_index
 
 
 def fishnet_size(low: Column, high: Column, size: Column, closed: bool) -> Column:
@@ -94,25 +95,13 @@ def outside_boxes(candidates: DataFrame, existing: DataFrame, size: float, key:
     return join_by_cells(candidates, existing, size, G.boxes_overlap, "left_anti", left_key=key)
 
 
-def polygon_cells(polygons: DataFrame, box: str = "box", most: int = 64) -> float:
-    """A cell size for joins with polygons: a quarter of their mean side, and no polygon over ``most`` cells wide."""
-    b = F.col(box)
-    side = F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"])
-    mean, longest = polygons.agg(F.avg(side), F.max(side)).first()  # one row
-    return max((mean or 0.0) / 4, (longest or 0.0) / most) or 1.0
-
-
-def within_polygons(shapes: DataFrame, polygons: DataFrame, size: float | None = None, ring: str = "ring", polygon: str = "polygon", key: str = "metro", box: str = "box") -> DataFrame:
-    """Shapes with each polygon (a ring, or an array of rings: holes and parts) that they intersect.
+def within_polygons(shapes: DataFrame, polygons: DataFrame, ring: str = "ring", polygon: str = "polygon", key: str = "metro") -> DataFrame:
+    """Shapes with each polygon (a ring, or an array of rings: holes and parts) that they share a point with.
 
-    Cells follow the polygons' own size, and only keys and bounds are sent to them; outlines
-    join the pairs whose bounds touch.  ``key`` tells polygons apart.
+    By the polygons' index of sides and cells; their other columns follow by ``key``.
     """
-    size = size or polygon_cells(polygons, box)
-    several = isinstance(polygons.schema[polygon].dataType.elementType, T.ArrayType)
-    pairs = join_by_cells(shapes, polygons.select(key, box), size, G.boxes_touch, right_box=box)
-    met = pairs.join(polygons.drop(box), key)
-    return met.where((G.rings_intersect if several else G.intersects)(F.col(ring), F.col(polygon)))
+    found = polygon_index.shapes_meeting(shapes, polygons, key, polygon, ring)
+    return found.join(polygons.drop(polygon), key)
 
 
 def coverage(shapes: DataFrame, pixel: float, height: str, ring: str | None = None, box: str = "bbox") -> DataFrame:

@@ -37,13 +37,13 @@ def taylor_fit(scaling: DataFrame, critical: float | None = None) -> DataFrame:
     return stats.ols(logs, "x", "y", critical=critical)
 
 
-def metro_volumes(buildings: DataFrame, metros: DataFrame, size: float | None = None, cap_multistate: bool = False) -> DataFrame:
+def metro_volumes(buildings: DataFrame, metros: DataFrame, cap_multistate: bool = False) -> DataFrame:
     """(metro, name, vols): volume of the buildings that touch each metro.
 
     Heights are capped in single-state metros, and in the others if ``cap_multistate``.
     """
     known = tabular.metros(metros).withColumn("several", F.size("states") > 1)
-    met = vector.within_polygons(buildings, known, size)
+    met = vector.within_polygons(buildings, known)
     metres = S.feet_to_metres(F.col("height_ft"))
     capped = S.capped(metres, S.HEIGHT_CAP_M)
     h = capped if cap_multistate else F.when(F.col("several"), metres).otherwise(capped)

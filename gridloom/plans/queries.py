@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scalar as S
 from ..functions import strings
-from ..operators import inference, raster, sampling, stats, tabular, unet, vector
+from ..operators import inference, raster, repair, sampling, stats, tabular, unet, vector
 from ..sources import rasters, vectors
 from . import fixtures as X
 from . import pipelines as P
@@ -382,6 +382,58 @@ def geo_ring_with_hole(spark, d):
     return b.select("id", r6(G.rings_area(F.col("rings")), "area"), (~in_yard).alias("solid"))
 
 
+def _touching(spark, d) -> DataFrame:
+    """A plot w by h for each building, with a yard that touches its border and an annexe that touches its corner."""
+    x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    p = lambda *xy: F.array(*[G.point(x, y) for x, y in xy])
+    yard = p((x0, y0), (x0 + w / 2, y0 + h / 4), (x0 + w / 4, y0 + h / 2), (x0, y0))
+    annexe = G.box_ring(x0 + w, y0 + h, x0 + w * 2, y0 + h * 2)
+    beside = G.box_ring(x0 + w, y0, x0 + w * 2, y0 + h)
+    return X.buildings(spark, d).withColumns({"touching": F.array(yard, F.col("ring"), annexe, beside), "twice": F.array(F.col("ring"), F.col("ring"), annexe)})
+
+
+@query(f"{BU} SELECT id, {_r('w * h * (3 - 3.0 / 32)', 'area')}, {_r('w * h', 'once')}, {_r('w * h * (1 - 3.0 / 32)', 'boxed')} FROM bu")
+def geo_rings_touching(spark, d):
+    """Areas of parts and holes that share corners and sides; of a ring given twice, nothing is left."""
+    b = _touching(spark, d)
+    box = (F.col(c) for c in ("bbox.minx", "bbox.miny", "bbox.maxx", "bbox.maxy"))
+    return b.select("id", r6(G.rings_area(F.col("touching")), "area"), r6(G.rings_area(F.col("twice")), "once"), r6(G.rings_area_in_box(F.col("touching"), *box), "boxed"))
+
+
+@query(f"{BU} SELECT id, 2::INTEGER AS bow_rings, {_r('w * h / 2', 'bow')}, 2::INTEGER AS eight_rings, {_r('w * h * (1 - 0.125)', 'eight')}, {_r('w * h * 1.5', 'twice')}, {_r('w * h', 'spike')} FROM bu")
+def geo_repair(spark, d):
+    """Bow-ties, rings that come back to a corner around a hole, overlapping parts and spikes, repaired."""
+    x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    at = lambda *uv: F.array(*[G.point(x0 + w * u, y0 + h * v) for u, v in uv])
+    # Two triangles that meet in the middle; a square whose ring walks around a diamond from its corner.
+    bow = at((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))
+    eight = at((0, 0), (1, 0), (1, 1), (0, 1), (0, 0), (0.5, 0.25), (0.75, 0.5), (0.5, 0.75), (0.25, 0.5), (0.5, 0.25), (0, 0))
+    # The second part covers a quarter of the first, which is then outside.
+    twice = F.array(at((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), at((0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5), (0.5, 0.5)))
+    spike = at((0, 0), (1, 0), (1, 0.5), (3, 0.5), (1, 0.5), (1, 1), (0, 1), (0, 0))
+    b = X.buildings(spark, d).withColumns({"bow": F.array(bow), "eight": F.array(eight), "twice": twice, "spike": F.array(spike)})
+    names = ["bow", "eight", "twice", "spike"]
+    for n in names:
+        b = repair.repaired(b, n, n)
+    areas = [r6(G.rings_area(F.col(n)), n) for n in names]
+    return b.select("id", F.size("bow").alias("bow_rings"), areas[0], F.size("eight").alias("eight_rings"), *areas[1:])
+
+
+@query(f"{BV}, {ME} SELECT id, metro FROM bv JOIN me ON greatest(x0 - (x + 100), (x + 100) - x1, 0) + greatest(y0 - (y + 100), (y + 100) - y1, 0) <= 90 AND NOT (greatest((x + 100) - x0, x1 - (x + 100)) + greatest((y + 100) - y0, y1 - (y + 100)) < 40)")
+def jn_metro_edges(spark, d):
+    """Metros as diamonds of some 500 sides around a diamond lake: a building is theirs if any of it is on their land."""
+    b = F.col("box")
+    x, y = b["minx"] + 100, b["miny"] + 100
+
+    def diamond(radius: int) -> Column:
+        k = F.sequence(F.lit(0), F.lit(4 * radius))
+        along = lambda i: radius - F.abs(i % (4 * radius) - 2 * radius)  # noqa: E731  from -radius to radius and back
+        return F.transform(k, lambda i: G.point(x + along(i), y + along((i + 3 * radius) % (4 * radius))))
+
+    metros = X.metros(spark, d).withColumn("polygon", F.array(diamond(90), diamond(40)))
+    return vector.within_polygons(X.buildings(spark, d), metros).select("id", "metro")
+
+
 @query(f"{BV}, {ME} SELECT id, metro FROM bv JOIN me ON x0 <= x + 200 AND x <= x1 AND y0 <= y + 200 AND y <= y1 AND NOT (x0 > x + 50 AND x1 < x + 150 AND y0 > y + 50 AND y1 < y + 150)")
 def jn_metro_with_hole(spark, d):
     """Metros with a lake in their middle: buildings wholly in it are not theirs."""
