@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import projections
+
 
 def point(x, y) -> Column:
     """A point of two columns or numbers."""
@@ -288,12 +290,12 @@ def albers_inverse(x: Column, y: Column, rounds: int = 6) -> Column:
     return F.struct((F.lit(_LON0) + F.degrees(F.atan2(x, dy)) / F.lit(_N)).alias("x"), F.degrees(phi).alias("y"))
 
 
-def reproject(ring: Column, source: int, target: int) -> Column:
-    """A ring between EPSG:4326 and ESRI:102003; other pairs raise."""
+def reproject(ring: Column, source: int | str, target: int | str) -> Column:
+    """A ring in another system: numbers or well-known text that ``projections.system`` takes."""
     if source == target:
         return ring
     if (source, target) == (4326, 102003):
         return F.transform(ring, lambda p: albers(p["x"], p["y"]))
     if (source, target) == (102003, 4326):
         return F.transform(ring, lambda p: albers_inverse(p["x"], p["y"]))
-    raise ValueError(f"no transformation from {source} to {target}")
+    return F.transform(ring, lambda p: projections.between(source, target, p["x"], p["y"]))

@@ -1,9 +1,11 @@
 """Polygons of many sides as cells: each knows its own sides and whether its corner is inside.
 
 A polygon's cells are 1 / ACROSS of its longer side, a power of two, so that a few levels hold
-polygons of all sizes.  A shape goes to one cell a level, that of its lower-left corner; the sides
-go to every cell from which such a shape may reach them.  No expression meets all sides of a
-polygon for a pair: a ring is inside, or meets the border, by the sides of its one cell.
+polygons of all sizes.  A shape meets a polygon in cells of the polygon's level, or, if it is larger
+than these, of its own size: it goes to one cell a level, that of its lower-left corner, and the
+sides go to every cell from which a shape no larger than the cell may reach them.  No expression
+meets all sides of a polygon for a pair: a ring is inside, or meets the border, by the sides of
+its one cell.
 
 Whether a point is inside follows from the cell's corner: the parity of the sides left of the
 corner, changed by each side between the corner and the point, along the lower edge and then
@@ -47,19 +49,23 @@ def _spans(e: Column, axis: str, at: Column) -> Column:
     return (e["a"][axis] <= at) != (e["b"][axis] <= at)
 
 
-def index(polygons: DataFrame, key: str, polygon: str, wide: float = 0.0, high: float = 0.0) -> DataFrame:
-    """(key, level, ix, iy, inside, sides) of the cells of each polygon, those outside left out.
+def index(polygons: DataFrame, key: str, polygon: str, classes: list[int] | None = None) -> DataFrame:
+    """(key, own, level, ix, iy, inside, sides) of the cells of each polygon, those outside left out.
 
-    ``wide`` and ``high``: the largest shapes that will be asked for.  ``polygon`` is a ring or an
-    array of rings.
+    ``own`` is the polygon's level.  Without ``classes`` the cells serve points; with them,
+    shapes no larger than a cell, and a polygon also has cells of each class above its own level.
+    ``polygon`` is a ring or an array of rings.
     """
     several = isinstance(polygons.schema[polygon].dataType.elementType, T.ArrayType)
     rings = F.col(polygon) if several else F.array(polygon)
     known = polygons.select(key, rings.alias("_rings")).withColumn("_box", G.rings_bounds(F.col("_rings"))).where("_box.minx IS NOT NULL")
-    known = known.withColumn("level", _level(F.col("_box")))
+    known = known.withColumn("own", _level(F.col("_box")))
+    above = F.filter(F.array(*[F.lit(c) for c in classes or []]).cast("array<int>"), lambda c: c > F.col("own"))
+    known = known.withColumn("level", F.explode(F.concat(F.array("own"), above)))
     size = _size(F.col("level"))
+    wide = high = F.lit(0.0) if classes is None else size
     e = F.col("e")
-    sides = known.select(key, "level", F.explode(G.rings_edges(F.col("_rings"))).alias("e")).where("e.a <> e.b")
+    sides = known.select(key, "own", "level", F.explode(G.rings_edges(F.col("_rings"))).alias("e")).where("e.a <> e.b")
     # One column of cells after the other, each with the heights of the side there: long sides reach few cells.
     low, top = F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])
     dealt = sides.withColumn("ix", F.explode(F.sequence(_at(low - wide, size) - (low - wide == _at(low - wide, size) * size).cast("long"), _at(top, size))))
@@ -69,19 +75,19 @@ def index(polygons: DataFrame, key: str, polygon: str, wide: float = 0.0, high:
     slack = size * 1e-9
     y_low, y_high = F.least(*ys) - slack - high, F.greatest(*ys) + slack
     dealt = dealt.withColumn("iy", F.explode(F.sequence(_at(y_low, size), _at(y_high, size))))
-    own = dealt.groupBy(key, "level", "ix", "iy").agg(F.collect_list("e").alias("sides"))
+    held = dealt.groupBy(key, "own", "level", "ix", "iy").agg(F.collect_list("e").alias("sides"))
     # Crossings of the cells' lower edges change the parity of all corners to their right.
     rows = F.sequence(_at(F.least(e["a"]["y"], e["b"]["y"]), size), _at(F.greatest(e["a"]["y"], e["b"]["y"]), size))
     crossed = sides.withColumn("iy", F.explode(rows)).where(_spans(e, "y", F.col("iy") * size))
     # The first corner at or beyond the crossing.
-    crossed = crossed.select(key, "level", "iy", F.ceil(_crossing(e, "x", F.col("iy") * size) / size).cast("long").alias("ix")).groupBy(key, "level", "ix", "iy").agg(F.count(F.lit(1)).alias("_n"))
+    crossed = crossed.select(key, "own", "level", "iy", F.ceil(_crossing(e, "x", F.col("iy") * size) / size).cast("long").alias("ix")).groupBy(key, "own", "level", "ix", "iy").agg(F.count(F.lit(1)).alias("_n"))
     b = F.col("_box")
     cells = known.withColumn("ix", F.explode(F.sequence(_at(b["minx"] - wide, size) - 1, _at(b["maxx"], size) + 1)))
-    cells = cells.withColumn("iy", F.explode(F.sequence(_at(b["miny"] - high, size) - 1, _at(b["maxy"], size)))).select(key, "level", "ix", "iy")
-    at = [key, "level", "ix", "iy"]
-    row = Window.partitionBy(key, "level", "iy").orderBy("ix")
+    cells = cells.withColumn("iy", F.explode(F.sequence(_at(b["miny"] - high, size) - 1, _at(b["maxy"], size)))).select(key, "own", "level", "ix", "iy")
+    at = [key, "own", "level", "ix", "iy"]
+    row = Window.partitionBy(key, "own", "level", "iy").orderBy("ix")
     met = cells.join(crossed, at, "left").withColumn("inside", F.sum(F.coalesce("_n", F.lit(0))).over(row) % 2 == 1).drop("_n")
-    return met.join(own, at, "left").where("inside OR sides IS NOT NULL")
+    return met.join(held, at, "left").where("inside OR sides IS NOT NULL")
 
 
 def _inside(x: Column, y: Column, x0: Column, y0: Column, inside: Column, sides: Column) -> Column:
@@ -136,18 +142,22 @@ def points_within(points: DataFrame, polygons: DataFrame, key: str, polygon: str
 def shapes_meeting(shapes: DataFrame, polygons: DataFrame, key: str, polygon: str, ring: str = "ring") -> DataFrame:
     """Shapes (one ring each) with the key of each polygon that they share a point with.
 
-    One pass over the shapes' bounds finds the largest (two numbers); each shape is sent to one
-    cell a level and is joined there once.
+    One pass over the shapes' bounds finds their classes of size, powers of two; each shape is
+    sent to one cell a level and is joined there once.
     """
     levels = _levels(polygons, polygon)
     if not levels:
         return shapes.join(polygons.select(key).limit(0), how="cross")
-    boxed = shapes.withColumn("_b", G.bounds(F.col(ring)))
+    boxed = shapes.withColumn("_b", G.bounds(F.col(ring))).where("_b.minx IS NOT NULL")
     b = F.col("_b")
-    wide, high = boxed.agg(F.max(b["maxx"] - b["minx"]), F.max(b["maxy"] - b["miny"])).first()
-    cells = index(polygons, key, polygon, wide or 0.0, high or 0.0)
-    met = _dealt(boxed, levels, b["minx"], b["miny"]).join(cells, ["level", "ix", "iy"])
+    extent = F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"])
+    boxed = boxed.withColumn("_c", F.when(extent > _size(F.lit(levels[0])), F.ceil(F.log2(extent))).otherwise(levels[0]).cast("int"))
+    classes = sorted(boxed.agg(F.collect_set("_c")).first()[0])
+    at = F.array_distinct(F.transform(F.array(*[F.lit(v) for v in levels]), lambda v: F.greatest(v, F.col("_c"))))
+    dealt = boxed.withColumn("level", F.explode(at))
     size = _size(F.col("level"))
+    dealt = dealt.withColumns({"ix": _at(b["minx"], size), "iy": _at(b["miny"], size)})
+    met = dealt.join(index(polygons, key, polygon, classes), ["level", "ix", "iy"]).where("own = level OR _c = level")
     first = F.col(ring)[0]
     held = _inside(first["x"], first["y"], F.col("ix") * size, F.col("iy") * size, F.col("inside"), F.col("sides"))
     near = F.transform(F.array(b), lambda box: G.near_sides(F.coalesce(F.col("sides"), F.array().cast(_SIDES)), box))[0]

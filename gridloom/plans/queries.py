@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import projections
 from ..functions import scalar as S
 from ..functions import strings
-from ..operators import inference, raster, repair, sampling, stats, tabular, unet, vector
+from ..operators import inference, raster, repair, sampling, stats, tabular, unet, vector, warp
 from ..sources import rasters, vectors
 from . import fixtures as X
 from . import pipelines as P
@@ -871,3 +872,59 @@ def src_geotiff_roundtrip(spark, d):
                 yield pa.RecordBatch.from_arrays([pa.array((r - t["f"]).astype(np.int32)), pa.array((k + t["c"]).astype(np.int32)), pa.array(image.ravel().astype(np.int32))], names=["row", "col", "cur"])
 
     return made.mapInArrow(back, "row int, col int, cur int")
+
+
+# ---- reference systems
+
+#: GRS 80, and the conterminous US Albers cone, from their definitions.
+_CONE = """el AS (SELECT 6378137.0::DOUBLE AS a, sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257222101::DOUBLE AS f)),
+sp AS (SELECT a, e, sin(radians(37.5)) AS s0, sin(radians(29.5)) AS s1, sin(radians(45.5)) AS s2 FROM el),
+mq AS (SELECT a, e, (1 - s1 * s1) / (1 - e * e * s1 * s1) AS m1, (1 - s2 * s2) / (1 - e * e * s2 * s2) AS m2,
+  (1 - e * e) * (s0 / (1 - e * e * s0 * s0) - ln((1 - e * s0) / (1 + e * s0)) / (2 * e)) AS q0,
+  (1 - e * e) * (s1 / (1 - e * e * s1 * s1) - ln((1 - e * s1) / (1 + e * s1)) / (2 * e)) AS q1,
+  (1 - e * e) * (s2 / (1 - e * e * s2 * s2) - ln((1 - e * s2) / (1 + e * s2)) / (2 * e)) AS q2 FROM sp),
+co AS (SELECT a, e, (m1 - m2) / (q2 - q1) AS n, m1 + (m1 - m2) / (q2 - q1) * q1 AS c, q0 FROM mq),
+cone AS (SELECT a, e, n, c, a * sqrt(c - n * q0) / n AS rho0 FROM co)"""
+_BACK = ", ".join(
+    f"i{k + 1} AS (SELECT row, col, lon, e, q, s + pow(1 - e * e * s * s, 2) / 2 * (q / (1 - e * e) - s / (1 - e * e * s * s) + ln((1 - e * s) / (1 + e * s)) / (2 * e)) AS s FROM i{k})" for k in range(9)
+)
+_GRID = "gr AS (SELECT CAST(r.range AS INTEGER) AS row, CAST(c.range AS INTEGER) AS col FROM range(400) r, range(120) c)"
+_FAR = """xy AS (SELECT row, col, (-100000 + (col + 0.5) * 1000)::DOUBLE AS x, rho0 - (380000 - (row + 0.5) * 1000)::DOUBLE AS y, a, e, n, c FROM gr, cone),
+i0 AS (SELECT row, col, -96 + degrees(atan2(x, y) / n) AS lon, e, (c - (x * x + y * y) * n * n / (a * a)) / n AS q, (c - (x * x + y * y) * n * n / (a * a)) / n / 2 AS s FROM xy)"""
+
+
+@query(f"{PX}, {_CONE}, {_GRID}, {_FAR}, {_BACK}, uv AS (SELECT row, col, CAST(floor((lon + 96.5) / 0.01) AS INTEGER) AS u, CAST(floor((41 - degrees(asin(s))) / 0.01) AS INTEGER) AS v FROM i9) SELECT uv.row, uv.col, CAST(px.cur AS DOUBLE) AS value FROM uv LEFT JOIN px ON px.row = v AND px.col = u")
+def geo_warp_systems(spark, d):
+    """The raster as hundredths of a degree, seen on a grid of kilometres in an equal-area system; every pixel transformed."""
+    px = X.pixels(spark, d).select("row", "col", F.col("cur").alias("value"))
+    source, target = {**X.IDENTITY, "a": 0.01, "c": -96.5, "e": -0.01, "f": 41.0}, {**X.IDENTITY, "a": 1000.0, "c": -100_000.0, "e": -1000.0, "f": 380_000.0}
+    return warp.warp(px, source, 4326, target, 102003, 400, 120, "nearest", tolerance=0.0)
+
+
+_UTM = """tm AS (SELECT id, sinh(atanh(sin(la)) - e * atanh(e * sin(la))) AS t, radians(lon + 93) AS d, n, a FROM ll, (SELECT e, a, f / (2 - f) AS n FROM el, (SELECT 1 / 298.257222101::DOUBLE AS f))),
+te AS (SELECT id, n, a, atan2(t, cos(d)) AS p, asinh(sin(d) / sqrt(t * t + cos(d) * cos(d))) AS h FROM tm),
+tk AS (SELECT id, 0.9996 * a / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS r, p, h, n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 + 41 * pow(n, 4) / 180 AS a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 + 557 * pow(n, 4) / 1440 AS a2, 61 * pow(n, 3) / 240 - 103 * pow(n, 4) / 140 AS a3, 49561 * pow(n, 4) / 161280 AS a4 FROM te),
+ut AS (SELECT id, 500000 + r * (h + a1 * cos(2 * p) * sinh(2 * h) + a2 * cos(4 * p) * sinh(4 * h) + a3 * cos(6 * p) * sinh(6 * h) + a4 * cos(8 * p) * sinh(8 * h)) AS utm_x,
+  r * (p + a1 * sin(2 * p) * cosh(2 * h) + a2 * sin(4 * p) * cosh(4 * h) + a3 * sin(6 * p) * cosh(6 * h) + a4 * sin(8 * p) * cosh(8 * h)) AS utm_y FROM tk)"""
+_LCC = """ts AS (SELECT a, e, cos(p1) / sqrt(1 - pow(e * sin(p1), 2)) AS m1, cos(p2) / sqrt(1 - pow(e * sin(p2), 2)) AS m2,
+  tan(pi() / 4 - p0 / 2) / pow((1 - e * sin(p0)) / (1 + e * sin(p0)), e / 2) AS t0, tan(pi() / 4 - p1 / 2) / pow((1 - e * sin(p1)) / (1 + e * sin(p1)), e / 2) AS t1, tan(pi() / 4 - p2 / 2) / pow((1 - e * sin(p2)) / (1 + e * sin(p2)), e / 2) AS t2
+  FROM el, (SELECT radians(39) AS p0, radians(33) AS p1, radians(45) AS p2)),
+tn AS (SELECT a, e, t0, (ln(m1) - ln(m2)) / (ln(t1) - ln(t2)) AS n, m1, t1 FROM ts), tf AS (SELECT a, e, n, t0, m1 / (n * pow(t1, n)) AS g FROM tn),
+lc AS (SELECT id, a * g * pow(tan(pi() / 4 - la / 2) / pow((1 - e * sin(la)) / (1 + e * sin(la)), e / 2), n) AS rho, n * radians(lon + 96) AS th, a * g * pow(t0, n) AS rho0 FROM ll, tf)"""
+
+
+@query(f"{BU}, ll AS (SELECT id, -100 + x0 / 100 AS lon, radians(30 + y0 / 100) AS la FROM bu), {_CONE}, {_UTM}, {_LCC} SELECT id, round(utm_x, 3) AS utm_x, round(utm_y, 3) AS utm_y, round(rho * sin(th), 3) AS lcc_x, round(rho0 - rho * cos(th), 3) AS lcc_y, TRUE AS back FROM ut JOIN lc USING (id)")
+def geo_projections(spark, d):
+    """Buildings' corners in a transverse and a conformal conic system, and back within a millimetre."""
+    lon, lat = F.col("x0") / 100 - 100, F.col("y0") / 100 + 30
+    b = X.buildings(spark, d).select("id", lon.alias("lon"), lat.alias("lat")).withColumns({"u": projections.project(26915, F.col("lon"), F.col("lat")), "l": projections.project("ESRI:102004", F.col("lon"), F.col("lat"))})
+    back = [projections.unproject(s, F.col(f"{k}.x"), F.col(f"{k}.y")) for k, s in (("u", 26915), ("l", 102004))]
+    near = [(F.abs(p["x"] - F.col("lon")) < 8e-9) & (F.abs(p["y"] - F.col("lat")) < 8e-9) for p in back]
+    return b.select("id", *[F.round(F.col(f"{k}.{c}"), 3).alias(f"{n}_{c}") for k, n in (("u", "utm"), ("l", "lcc")) for c in "xy"], (near[0] & near[1]).alias("back"))
+
+
+@query(f"{BU}, q AS (SELECT id, x0, y0, w, h, CAST(c.range AS BIGINT) AS col, CAST(r.range AS BIGINT) AS row FROM bu, range(0, 110) c, range(0, 110) r WHERE c.range BETWEEN floor(x0 / 10) AND floor((x0 + w) / 10) AND r.range BETWEEN floor(y0 / 10) AND floor((y0 + h) / 10)), z AS (SELECT * FROM q WHERE greatest((col * 10 - x0) / w, 0) + greatest((row * 10 - y0) / h, 0) <= 1 AND col * 10 <= x0 + w AND row * 10 <= y0 + h) SELECT row, col, arg_max(id, id) AS value FROM z GROUP BY 1, 2")
+def geo_burn_rings(spark, d):
+    """Triangles burned by their rings: every pixel that they touch."""
+    t = _triangles(spark, d).withColumn("order", F.col("id"))
+    return vector.burn(t, 10.0, "id", "order", ring="ring")

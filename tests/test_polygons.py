@@ -166,7 +166,7 @@ def test_shapes_that_meet_large_polygons(spark, polygons):
 
 def test_no_expression_meets_all_sides_of_a_pair(spark, polygons):
     df = spark.createDataFrame([(1, rows([SQUARE])[0])], "id long, ring array<struct<x:double,y:double>>")
-    most = polygon_index.index(polygons, "metro", "polygon", 10.0, 10.0).agg(F.max(F.size("sides"))).first()[0]
+    most = polygon_index.index(polygons, "metro", "polygon", [4]).agg(F.max(F.size("sides"))).first()[0]
     assert most < 1_500
     plan = vector.within_polygons(df, polygons)._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[: plan.index("polygon_index")] if "polygon_index" in plan else plan
