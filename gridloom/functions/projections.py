@@ -266,46 +266,70 @@ def project(to: int | str | System, lon: Column, lat: Column) -> Column:
     return _point(x / s.unit + s.x0, y / s.unit + s.y0)
 
 
-def unproject(of: int | str | System, x: Column, y: Column, rounds: int = 9) -> Column:
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _from_isometric(s: System, psi: Column) -> Column:
+    """The latitude: Snyder's series in the conformal latitude to e^8, then a step of the exact fixed point."""
+    e2 = s.e2
+    if not e2:
+        return F.atan(F.sinh(psi))
+    terms = [e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520, 7 * e2**3 / 120 + 81 * e2**4 / 1120, 4279 * e2**4 / 161280]
+    phi = lambda chi: chi + sum((c * F.sin(2 * (j + 1) * chi) for j, c in enumerate(terms)), F.lit(0.0))
+    return let(psi, lambda k: F.atan(F.sinh(k + s.e * F.atanh(s.e * F.sin(let(F.atan(F.sinh(k)), phi))))))
+
+
+def _from_authalic(s: System, q: Column) -> Column:
+    """The latitude: Snyder's series in the authalic latitude to e^6, then a step of Newton's."""
+    beta, e2 = (lambda v: F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v / _q(s, math.pi / 2))))), s.e2
+    if not e2:
+        return beta(q)
+    terms = [e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360]
+
+    def newton(v: Column, phi: Column) -> Column:
+        def step(sin: Column) -> Column:
+            w = 1 - e2 * sin * sin
+            return phi + w * w / (2 * F.cos(phi)) * (v / (1 - e2) - sin / w - F.atanh(s.e * sin) / s.e)
+
+        return let(F.sin(phi), step)
+
+    series = lambda b: b + sum((c * F.sin(2 * (j + 1) * b) for j, c in enumerate(terms)), F.lit(0.0))
+    return let(q, lambda v: let(let(beta(v), series), lambda phi: newton(v, phi)))
+
+
+def unproject(of: int | str | System, x: Column, y: Column) -> Column:
     """A point of a system to longitude and latitude in degrees."""
     s = system(of)
     if s.method == "geographic":
         return _point(x.cast("double"), y.cast("double"))
     east, north = (x - s.x0) * s.unit, (y - s.y0) * s.unit
-    def sine(psi: Column) -> Column:
-        """Of the latitude, from the isometric one."""
-        if not s.e:
-            return F.tanh(psi)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.tanh(psi), lambda v, _: F.tanh(psi + s.e * F.atanh(s.e * v)))
-
     if s.method == "web":
-        turned, sin = east / s.axis, F.tanh(north / s.axis)
+        turned, lat = east / s.axis, F.atan(F.sinh(north / s.axis))
     elif s.method == "mercator":
-        turned, sin = east / _mercator(s), sine(north / _mercator(s))
+        turned, lat = east / _mercator(s), _from_isometric(s, north / _mercator(s))
     elif s.method == "transverse":
         radius, first, _, back = _series(s)
         xi, eta = north / (s.k0 * radius) + first, east / (s.k0 * radius)
-        xi1 = xi - sum((c * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, c in enumerate(back)), F.lit(0.0))
-        eta1 = eta - sum((c * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, c in enumerate(back)), F.lit(0.0))
-        turned = F.atan2(F.sinh(eta1), F.cos(xi1))
-        sin = sine(F.asinh(F.sin(xi1) / F.sqrt(F.sinh(eta1) * F.sinh(eta1) + F.cos(xi1) * F.cos(xi1))))
+
+        def sphere(p: Column) -> Column:
+            xi1 = p["x"] - sum((c * F.sin(2 * (j + 1) * p["x"]) * F.cosh(2 * (j + 1) * p["y"]) for j, c in enumerate(back)), F.lit(0.0))
+            eta1 = p["y"] - sum((c * F.cos(2 * (j + 1) * p["x"]) * F.sinh(2 * (j + 1) * p["y"]) for j, c in enumerate(back)), F.lit(0.0))
+            return let(_point(xi1, eta1), lambda z: _point(F.atan2(F.sinh(z["y"]), F.cos(z["x"])), F.asinh(F.sin(z["x"]) / F.sqrt(F.sinh(z["y"]) * F.sinh(z["y"]) + F.cos(z["x"]) * F.cos(z["x"])))))
+
+        around = let(_point(xi, eta), sphere)
+        turned, lat = around["x"], _from_isometric(s, around["y"])
     else:
         n, c, rho0 = _cone(s)
         dx, dy = math.copysign(1.0, n) * east / s.axis, math.copysign(1.0, n) * (rho0 - north / s.axis)
-        rho = F.sqrt(dx * dx + dy * dy)
         turned = F.atan2(dx, dy) / n
         if s.method == "albers":
-            q = (c - F.pow(rho * n, 2)) / n
-
-            def step(v: Column, _: Column) -> Column:
-                w = 1 - s.e2 * v * v
-                return v + w * w / 2 * (q / (1 - s.e2) - v / w - F.atanh(s.e * v) / s.e)
-
-            sin = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), q / 2, step) if s.e else q / 2
+            lat = _from_authalic(s, (c - (dx * dx + dy * dy) * (n * n)) / n)
         else:
-            sin = sine(F.ln(abs(c) / rho) / n)
-    lon = F.degrees(turned) + s.lon0
-    return _point(lon - 360 * F.floor((lon + 180) / 360), F.degrees(F.asin(sin)))
+            lat = _from_isometric(s, F.ln(abs(c) / F.sqrt(dx * dx + dy * dy)) / n)
+    lon = let(F.degrees(turned) + s.lon0, lambda v: v - 360 * F.floor((v + 180) / 360))
+    return _point(lon, F.degrees(lat))
 
 
 def between(source: int | str | System, target: int | str | System, x: Column, y: Column) -> Column:
@@ -313,5 +337,4 @@ def between(source: int | str | System, target: int | str | System, x: Column, y
     a, b = system(source), system(target)
     if a == b:
         return _point(x, y)
-    known = F.transform(F.array(unproject(a, x, y)), lambda p: project(b, p["x"], p["y"]))
-    return known[0]
+    return let(unproject(a, x, y), lambda p: project(b, p["x"], p["y"]))

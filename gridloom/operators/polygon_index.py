@@ -75,19 +75,21 @@ def index(polygons: DataFrame, key: str, polygon: str, classes: list[int] | None
     slack = size * 1e-9
     y_low, y_high = F.least(*ys) - slack - high, F.greatest(*ys) + slack
     dealt = dealt.withColumn("iy", F.explode(F.sequence(_at(y_low, size), _at(y_high, size))))
-    held = dealt.groupBy(key, "own", "level", "ix", "iy").agg(F.collect_list("e").alias("sides"))
-    # Crossings of the cells' lower edges change the parity of all corners to their right.
+    at = ["own", "level", "iy", "ix"]
+    # Crossings of the cells' lower edges change the parity of all corners to their right: of the first at or beyond them.
     rows = F.sequence(_at(F.least(e["a"]["y"], e["b"]["y"]), size), _at(F.greatest(e["a"]["y"], e["b"]["y"]), size))
     crossed = sides.withColumn("iy", F.explode(rows)).where(_spans(e, "y", F.col("iy") * size))
-    # The first corner at or beyond the crossing.
-    crossed = crossed.select(key, "own", "level", "iy", F.ceil(_crossing(e, "x", F.col("iy") * size) / size).cast("long").alias("ix")).groupBy(key, "own", "level", "ix", "iy").agg(F.count(F.lit(1)).alias("_n"))
+    crossed = crossed.select(key, "own", "level", "iy", F.ceil(_crossing(e, "x", F.col("iy") * size) / size).cast("long").alias("ix"), F.lit(None).cast(_SIDE).alias("e"), F.lit(1).alias("n"), F.lit(False).alias("cell"))
     b = F.col("_box")
     cells = known.withColumn("ix", F.explode(F.sequence(_at(b["minx"] - wide, size) - 1, _at(b["maxx"], size) + 1)))
-    cells = cells.withColumn("iy", F.explode(F.sequence(_at(b["miny"] - high, size) - 1, _at(b["maxy"], size)))).select(key, "own", "level", "ix", "iy")
-    at = [key, "own", "level", "ix", "iy"]
+    cells = cells.withColumn("iy", F.explode(F.sequence(_at(b["miny"] - high, size) - 1, _at(b["maxy"], size))))
+    cells = cells.select(key, *at, F.lit(None).cast(_SIDE).alias("e"), F.lit(0).alias("n"), F.lit(True).alias("cell"))
+    every = cells.unionByName(crossed).unionByName(dealt.select(key, *at, "e", F.lit(0).alias("n"), F.lit(False).alias("cell")))
+    # One exchange: rows of cells stay where they are for their cells' sides and for the sums along them.
+    met = every.repartition(key, "own", "level", "iy").groupBy(key, *at).agg(F.sum("n").alias("n"), F.collect_list("e").alias("sides"), F.max("cell").alias("cell"))
     row = Window.partitionBy(key, "own", "level", "iy").orderBy("ix")
-    met = cells.join(crossed, at, "left").withColumn("inside", F.sum(F.coalesce("_n", F.lit(0))).over(row) % 2 == 1).drop("_n")
-    return met.join(held, at, "left").where("inside OR sides IS NOT NULL")
+    out = met.withColumn("inside", F.sum("n").over(row) % 2 == 1).where("cell AND (inside OR size(sides) > 0)")
+    return out.select(key, "own", "level", "ix", "iy", "inside", "sides")
 
 
 def _inside(x: Column, y: Column, x0: Column, y0: Column, inside: Column, sides: Column) -> Column:
@@ -102,11 +104,11 @@ def _inside(x: Column, y: Column, x0: Column, y0: Column, inside: Column, sides:
         up = _spans(e, "x", x) & above & below
         return along.cast("int") + up.cast("int")
 
-    n = F.aggregate(F.coalesce(sides, F.array().cast(_SIDES)), F.lit(0), lambda s, e: s + changes(e))
+    n = F.aggregate(F.coalesce(sides, F.array().cast(f"array<{_SIDE}>")), F.lit(0), lambda s, e: s + changes(e))
     return (inside.cast("int") + n) % 2 == 1
 
 
-_SIDES = "array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"
+_SIDE = "struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>"
 
 
 def _dealt(shapes: DataFrame, levels: list[int], x: Column, y: Column) -> DataFrame:
@@ -160,7 +162,7 @@ def shapes_meeting(shapes: DataFrame, polygons: DataFrame, key: str, polygon: st
     met = dealt.join(index(polygons, key, polygon, classes), ["level", "ix", "iy"]).where("own = level OR _c = level")
     first = F.col(ring)[0]
     held = _inside(first["x"], first["y"], F.col("ix") * size, F.col("iy") * size, F.col("inside"), F.col("sides"))
-    near = F.transform(F.array(b), lambda box: G.near_sides(F.coalesce(F.col("sides"), F.array().cast(_SIDES)), box))[0]
+    near = F.transform(F.array(b), lambda box: G.near_sides(F.col("sides"), box))[0]
     meets = F.exists(G.rings_edges(F.array(ring)), lambda e: F.exists(near, lambda f: G.sides_meet(e, f)))
     # A part of the polygon within the shape has its sides in the shape's own cell.
     around = F.exists(near, lambda f: G.contains(F.col(ring), f["a"]["x"], f["a"]["y"]))

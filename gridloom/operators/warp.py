@@ -27,13 +27,16 @@ def place(target: dict[str, float], target_system, source: dict[str, float], sou
     a, b, c, d, e, f = (source[k] for k in "abcdef")
     det = a * e - b * d
 
+
     def pixel(p: Column) -> Column:
         dx, dy = p["x"] - c, p["y"] - f
-        u, v = (dx * e - dy * b) / det, (dy * a - dx * d) / det
-        ok = (F.abs(u) < 1e9) & (F.abs(v) < 1e9)  # NaN is larger than any number
-        return F.struct(F.when(ok, u).alias("u"), F.when(ok, v).alias("v"))
+        return F.struct(((dx * e - dy * b) / det).alias("u"), ((dy * a - dx * d) / det).alias("v"))
+
+    def known(p: Column) -> Column:
+        ok = (F.abs(p["u"]) < 1e9) & (F.abs(p["v"]) < 1e9)  # NaN is larger than any number
+        return F.struct(F.when(ok, p["u"]).alias("u"), F.when(ok, p["v"]).alias("v"))
 
-    return F.transform(F.array(at), pixel)[0]
+    return projections.let(projections.let(at, pixel), known)
 
 
 def pack(px: DataFrame, value: str = "value", size: int = BLOCK) -> DataFrame:
@@ -113,7 +116,8 @@ def warp(
         each = each.withColumns({"row": (first_row + r).cast("int"), "col": (first_col + c).cast("int")}).where((F.col("row") < height) & (F.col("col") < width))
         at = F.when(F.col("good"), _meshed(F.col("net"), r + 0.5, c + 0.5, mesh)).otherwise(exact(F.col("row") + 0.5, F.col("col") + 0.5))
         back = 0.0 if method == "nearest" else 0.5
-        each = each.withColumn("_at", at).withColumns({"u": F.col("_at.u") - back, "v": F.col("_at.v") - back})
+        # A generator, so that no filter above computes places again.
+        each = each.select("*", F.inline(F.array(at)).alias("_u", "_v")).withColumns({"u": F.col("_u") - back, "v": F.col("_v") - back})
         return each.withColumns({"sr_": F.coalesce(F.floor(F.col("v") / BLOCK).cast("int"), F.lit(-(1 << 30))), "sc_": F.coalesce(F.floor(F.col("u") / BLOCK).cast("int"), F.lit(-(1 << 30)))})
 
     numbered = spark.range(down * across).select(F.floor(F.col("id") / across).cast("int").alias("bi"), (F.col("id") % across).cast("int").alias("bj"))

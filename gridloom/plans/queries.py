@@ -412,12 +412,13 @@ def geo_repair(spark, d):
     # The second part covers a quarter of the first, which is then outside.
     twice = F.array(at((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), at((0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5), (0.5, 0.5)))
     spike = at((0, 0), (1, 0), (1, 0.5), (3, 0.5), (1, 0.5), (1, 1), (0, 1), (0, 0))
-    b = X.buildings(spark, d).withColumns({"bow": F.array(bow), "eight": F.array(eight), "twice": twice, "spike": F.array(spike)})
-    names = ["bow", "eight", "twice", "spike"]
-    for n in names:
-        b = repair.repaired(b, n, n)
-    areas = [r6(G.rings_area(F.col(n)), n) for n in names]
-    return b.select("id", F.size("bow").alias("bow_rings"), areas[0], F.size("eight").alias("eight_rings"), *areas[1:])
+    names = {"bow": F.array(bow), "eight": F.array(eight), "twice": twice, "spike": F.array(spike)}
+    each = X.buildings(spark, d).select("id", F.explode(F.create_map(*[v for n, r in names.items() for v in (F.lit(n), r)])).alias("name", "rings"))
+    # Few small files hold the buildings: repair is dealt to all cores.
+    made = repair.repaired(each.repartition("id", "name"), "rings").select("id", "name", F.size("rings").alias("n"), r6(G.rings_area(F.col("rings")), "area"))
+    of = lambda n, c: F.max(F.when(F.col("name") == n, F.col(c)))
+    counts = [of(n, "n").alias(f"{n}_rings") for n in ("bow", "eight")]
+    return made.groupBy("id").agg(*counts, *[of(n, "area").alias(n) for n in names])
 
 
 @query(f"{BV}, {ME} SELECT id, metro FROM bv JOIN me ON greatest(x0 - (x + 100), (x + 100) - x1, 0) + greatest(y0 - (y + 100), (y + 100) - y1, 0) <= 90 AND NOT (greatest((x + 100) - x0, x1 - (x + 100)) + greatest((y + 100) - y0, y1 - (y + 100)) < 40)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
@@ -16,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from . import tiff
 
-_BLOCK = "path string, band int, row0 int, col0 int, height int, width int, data array<double>"
+_BLOCK = "path string, band int, row0 int, col0 int, height int, width int, data array<double>, error string"
 _META = "path string, height int, width int, bands int, dtype string, nodata double, srid int, transform struct<a:double,b:double,c:double,d:double,e:double,f:double>, error string"
 
 
@@ -34,9 +36,14 @@ def files(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
         return spark.createDataFrame([], "path string, content binary")
 
 
+def _located(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store and place of one of Spark's paths, which are not escaped."""
+    return pafs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe="/:@"))
+
+
 def _ranges(path: str):
     """A function (start, size) to bytes over a file of any store that Arrow knows."""
-    store, place = pafs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe="/:@"))  # Spark's paths are not escaped
+    store, place = _located(path)
     opened = store.open_input_file(place)
     return lambda start, size: opened.read_at(size, start)
 
@@ -94,13 +101,18 @@ def _cut(path: str, image: np.ndarray, nodata: float | None, top: int, left: int
                 cols = [[path], [band + 1], [top + r], [left + k], [part.shape[0]], [part.shape[1]]]
                 arrays = [pa.array(x, f.type) for x, f in zip(cols, schema)]
                 whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([*arrays, whole], schema=schema)
+                yield pa.RecordBatch.from_arrays([*arrays, whole, pa.nulls(1, pa.string())], schema=schema)
+
+
+def _broken(path: str, error: Exception, schema: pa.Schema) -> pa.RecordBatch:
+    """The row of a file, or a part of one, that could not be read."""
+    return pa.RecordBatch.from_pylist([{"path": path, "error": repr(error)}], schema=schema)
 
 
 def blocks(spark: SparkSession, path: str, size: int = 256, pattern: str = "*.tif*", window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Blocks of size x size pixels, NaN and nodata as NULL; a file is read by one task.
 
-    With ``window`` (row, column, height, width) only the strips and tiles in it are unpacked.
+    A file that cannot be read is one row with its error and no data.  With ``window`` (row, column, height, width) only the strips and tiles in it are unpacked.
     """
     return decoded(files(spark, path, pattern), size, window)
 
@@ -113,37 +125,66 @@ def decoded(found: DataFrame, size: int = 256, window: tuple[int, int, int, int]
             for p, c in zip(b.column(0).to_pylist(), b.column(1)):
                 data = c.as_py()
                 top, left = (max(x, 0) for x in (window or (0, 0))[:2])
-                yield from _cut(p, tiff.read(data, window), tiff.metadata(data)["nodata"], top, left, size, schema)
+                try:
+                    image, nodata = tiff.read(data, window), tiff.metadata(data)["nodata"]
+                except Exception as e:  # noqa: BLE001  the error is the result
+                    yield _broken(p, e, schema)
+                    continue
+                yield from _cut(p, image, nodata, top, left, size, schema)
 
     schema = _arrow(_BLOCK)
     return found.mapInArrow(run, _BLOCK)
 
 
 def windows(spark: SparkSession, path: str, size: int = 256, pattern: str = "*.tif*", window: tuple[int, int, int, int] | None = None, rows: int | None = None) -> DataFrame:
-    """``blocks`` for large rasters on stores that Arrow knows: every row of blocks is a task's own range read.
+    """``blocks`` for large rasters on stores that Arrow knows: bands of rows are tasks' own range reads.
 
-    Headers are read first; then each band of ``rows`` pixel rows (a multiple of ``size``) in the
-    window is dealt out, and a task fetches only its strips and tiles.  No file is ever held whole.
+    Headers are read first; then bands of ``rows`` pixel rows in the window are dealt out, and a
+    task fetches only their strips and tiles.  Without ``rows`` a band is as high as whole pieces
+    (strips or tiles) of the file, so that none is fetched twice; no file is held whole but one
+    that is a single piece.  What cannot be read is a row with an error.
     """
-    rows = rows or size
-    if rows % size:
+    if rows and rows % size:
         raise ValueError(f"{rows} rows are no multiple of {size}")
     top, left, tall, wide = window or (0, 0, 2**31 - 1, 2**31 - 1)
-    found = metadata(spark, path, pattern, ranged=True)
-    whole = found.where(F.assert_true(F.col("error").isNull(), F.concat_ws(": ", "path", "error")).isNull())
-    last = F.least(F.col("height").cast("long"), F.lit(top + tall))
-    dealt = whole.where(last > top).select("path", F.explode(F.sequence(F.lit(max(top, 0)).cast("long"), last - 1, F.lit(rows).cast("long"))).alias("at"), last.alias("last"))
+    schema = _arrow(_BLOCK)
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                try:
+                    m = tiff.layout(_ranges(p))
+                except Exception as e:  # noqa: BLE001  the error is the result
+                    yield pa.RecordBatch.from_pylist([{"path": p, "error": repr(e)}], schema=band_schema)
+                    continue
+                # Blocks and pieces begin together every ``step`` rows.
+                step = rows or math.lcm(size, m["piece"])
+                first, last = max(top, 0), min(m["height"], top + tall)
+                starts = sorted({first, *range(first // step * step + step, last, step)}) if first < last else []
+                ends = [*starts[1:], last]
+                yield pa.RecordBatch.from_pylist([{"path": p, "at": i, "last": j} for i, j in zip(starts, ends)], schema=band_schema)
+
+    band_ddl = "path string, at long, last long, error string"
+    band_schema = _arrow(band_ddl)
+    dealt = files(spark, path, pattern).select("path").mapInArrow(bands, band_ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part = None, None
         for b in batches:
-            for p, at, end in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if p != known:
-                    known, part = p, _ranges(p)
-                image = tiff.read(part, (at, left, min(rows, end - at), wide))
-                yield from _cut(p, image, tiff.metadata(part)["nodata"], at, max(left, 0), size, schema)
+            for p, at, end, error in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if error:
+                    yield pa.RecordBatch.from_pylist([{"path": p, "error": error}], schema=schema)
+                    continue
+                try:
+                    if p != known:
+                        known, part = p, _ranges(p)
+                    image, nodata = tiff.read(part, (at, left, end - at, wide)), tiff.metadata(part)["nodata"]
+                except Exception as e:  # noqa: BLE001  the error is the result
+                    known = None
+                    yield _broken(p, e, schema)
+                    continue
+                yield from _cut(p, image, nodata, at, max(left, 0), size, schema)
 
-    schema = _arrow(_BLOCK)
     # A number of tasks, as the rows are too small for adaptive execution to see the work behind them.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(tasks, "path", "at").sortWithinPartitions("path", "at").mapInArrow(run, _BLOCK)
@@ -178,10 +219,14 @@ def encoded(
 
 
 class FileSink(DataSource):
-    """Writes (name, content) rows as files of a folder that all executors mount.
+    """Writes (name, content) rows as files of a folder, all of a job's or none.
 
     ``df.write.format("gridloom_files").mode("append").save(folder)`` after
-    ``spark.dataSource.register(FileSink)``.  Files of tasks that ran twice are the same.
+    ``spark.dataSource.register(FileSink)``, on any store that Arrow knows and all executors reach.
+    Tasks write beside the folder's files; the driver moves what finished tasks report.  Then
+    overwrite removes the files that were there; append replaces files of the same names, or, with
+    ``option("existing", "number")``, leaves them and numbers the new ones: name-1, name-2...
+    A job that fails leaves the folder as it was.
     """
 
     @classmethod
@@ -192,21 +237,64 @@ class FileSink(DataSource):
         return "name string, content binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _FileWriter(self.options["path"])
+        return _FileWriter(self.options["path"], overwrite, self.options.get("existing", "replace"))
+
+
+class _Staged(WriterCommitMessage):
+    def __init__(self, staged: list[tuple[str, str]]):
+        self.staged = staged
 
 
 class _FileWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str):
-        self.folder = folder.removeprefix("file://")
+    def __init__(self, folder: str, overwrite: bool, existing: str):
+        if existing not in ("replace", "number"):
+            raise ValueError(f"existing files are replaced or numbered, not {existing}")
+        self.folder, self.overwrite, self.existing = folder, overwrite, existing
+        self.staging = f".staging-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        import os
+    def _store(self) -> tuple[pafs.FileSystem, str]:
+        if "://" in self.folder or self.folder.startswith("file:"):
+            return _located(self.folder)
+        return pafs.LocalFileSystem(), self.folder
 
-        os.makedirs(self.folder, exist_ok=True)
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, root = self._store()
+        own = f"{root}/{self.staging}/{uuid.uuid4().hex}"  # a task that runs twice has two
+        store.create_dir(own, recursive=True)
+        staged: dict[str, str] = {}
         for b in iterator:
             for n, c in zip(b.column("name").to_pylist(), b.column("content")):
-                to = os.path.join(self.folder, os.path.basename(n))
-                with open(f"{to}.part-{os.getpid()}", "wb") as f:
+                name = n.rsplit("/", 1)[-1]
+                at = staged.setdefault(name, f"{own}/{len(staged)}")
+                with store.open_output_stream(at) as f:
                     f.write(c.as_py())
-                os.replace(f"{to}.part-{os.getpid()}", to)
-        return WriterCommitMessage()
+        return _Staged(list(staged.items()))
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, root = self._store()
+        store.create_dir(root, recursive=True)
+        there = {f.base_name for f in store.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.File}
+        taken = set() if self.overwrite else set(there)
+        made = set()
+        for name, at in (pair for m in messages if m for pair in m.staged):
+            to = name
+            if self.existing == "number" and not self.overwrite:
+                stem, dot, end = name.partition(".")
+                k = 0
+                while to in taken:
+                    k += 1
+                    to = f"{stem}-{k}{dot}{end}"
+                taken.add(to)
+            if to in there and not isinstance(store, pafs.LocalFileSystem):
+                store.delete_file(f"{root}/{to}")  # a local move replaces
+            store.move(at, f"{root}/{to}")
+            made.add(to)
+        if self.overwrite:
+            for old in there - made:
+                store.delete_file(f"{root}/{old}")
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, root = self._store()
+        if store.get_file_info(f"{root}/{self.staging}").type == pafs.FileType.Directory:
+            store.delete_dir(f"{root}/{self.staging}")

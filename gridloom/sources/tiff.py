@@ -78,6 +78,20 @@ def _described(t: dict[int, tuple]) -> dict:
     return {"height": t[HEIGHT][0], "width": t[WIDTH][0], "bands": t.get(SAMPLES, (1,))[0], "dtype": kind, "nodata": nodata, "srid": _srid(codes, t), "transform": transform}
 
 
+def _piece(t: dict[int, tuple], m: dict) -> tuple[int, int]:
+    """Height and width of a tile or strip."""
+    if TILES in t:
+        return t[TILE_HEIGHT][0], t[TILE_WIDTH][0]
+    return min(t.get(ROWS_PER_STRIP, (m["height"],))[0], m["height"]), m["width"]
+
+
+def layout(source: Source) -> dict:
+    """``metadata``, and the height of the file's strips or tiles as ``piece``: rows that are unpacked together."""
+    t = tags(source)[1]
+    m = _described(t)
+    return {**m, "piece": _piece(t, m)[0]}
+
+
 def _srid(codes: dict[int, int], t: dict[int, tuple]) -> int | None:
     """The system's code; codes that 16 bits cannot hold stand in the citation, as ``AUTHORITY:code``."""
     code = codes.get(3072, codes.get(2048))
@@ -143,7 +157,7 @@ def read(source: Source, window: tuple[int, int, int, int] | None = None) -> np.
         raise ValueError(f"compression {packing} with predictor {predictor} is not read")
     unpack = {NONE: bytes, LZW: unpack_lzw}.get(packing, zlib.decompress)
     tiled = TILES in t
-    bh, bw = (t[TILE_HEIGHT][0], t[TILE_WIDTH][0]) if tiled else (min(t.get(ROWS_PER_STRIP, (m["height"],))[0], m["height"]), m["width"])
+    bh, bw = _piece(t, m)
     starts, sizes = (t[TILES], t[TILE_BYTES]) if tiled else (t[STRIPS], t[STRIP_BYTES])
     together = t.get(PLANAR, (1,))[0] == 1
     top, left, tall, wide = window or (0, 0, m["height"], m["width"])
@@ -164,12 +178,17 @@ def read(source: Source, window: tuple[int, int, int, int] | None = None) -> np.
     return out
 
 
+#: Bytes of a strip, before it is packed.
+STRIP = 1 << 16
+
+
 def write(array: np.ndarray, transform: dict[str, float], srid: int | None = None, nodata: float | None = None, compress: bool = True) -> bytes:
-    """A one-strip GeoTIFF of (bands, height, width)."""
+    """A GeoTIFF of (bands, height, width), in strips of some STRIP bytes, band after band."""
     bands, height, width = array.shape
     kind, bits = {"u": 1, "i": 2, "f": 3}[array.dtype.kind], array.dtype.itemsize * 8
-    body = array.astype(array.dtype.newbyteorder("<")).tobytes()
-    planes = [body[i * len(body) // bands : (i + 1) * len(body) // bands] for i in range(bands)]
+    body = array.astype(array.dtype.newbyteorder("<"))
+    rows = max(1, min(height, STRIP // max(1, width * array.dtype.itemsize)))
+    planes = [body[i, r : r + rows].tobytes() for i in range(bands) for r in range(0, height, rows)]
     planes = [zlib.compress(p) if compress else p for p in planes]
     at, starts = 8, []
     for p in planes:
@@ -177,7 +196,7 @@ def write(array: np.ndarray, transform: dict[str, float], srid: int | None = Non
         at += len(p) + len(p) % 2
     fields = [
         (WIDTH, "I", (width,)), (HEIGHT, "I", (height,)), (BITS, "H", (bits,) * bands), (COMPRESSION, "H", (8 if compress else 1,)), (PHOTOMETRIC, "H", (1,)),
-        (STRIPS, "I", tuple(starts)), (SAMPLES, "H", (bands,)), (ROWS_PER_STRIP, "I", (height,)), (STRIP_BYTES, "I", tuple(map(len, planes))), (PLANAR, "H", (2 if bands > 1 else 1,)), (SAMPLE_FORMAT, "H", (kind,) * bands),
+        (STRIPS, "I", tuple(starts)), (SAMPLES, "H", (bands,)), (ROWS_PER_STRIP, "I", (rows,)), (STRIP_BYTES, "I", tuple(map(len, planes))), (PLANAR, "H", (2 if bands > 1 else 1,)), (SAMPLE_FORMAT, "H", (kind,) * bands),
         (PIXEL_SCALE, "d", (transform["a"], -transform["e"], 0.0)), (TIEPOINT, "d", (0.0, 0.0, 0.0, transform["c"], transform["f"], 0.0)),
     ]
     if srid and srid < 65536:
