@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +16,8 @@ from ..functions import geometry as G
 from ..functions import projections
 from ..functions import scalar as S
 from ..functions import strings
-from ..operators import inference, raster, repair, sampling, stats, tabular, unet, vector, warp
-from ..sources import rasters, vectors
+from ..operators import inference, raster, repair, sampling, stats, tabular, tiles, unet, vector, warp
+from ..sources import geotiff, rasters, vectors
 from . import fixtures as X
 from . import pipelines as P
 
@@ -748,6 +750,28 @@ def src_geotiff_window(spark, d):
     return read.select((at[0].cast("int") + F.col("row")).alias("row"), (at[1].cast("int") + F.col("col")).alias("col"), "band", r6("value", "value"))  # tiles hold 32-bit floats
 
 
+def _folder(spark) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or, on one machine without it, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        shared = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    return f"{shared.rstrip('/')}/gridloom/files-{uuid.uuid4().hex}"
+
+
+@query(f"{PX} SELECT CAST(floor(row / 5) * 5 AS INTEGER) + row % 5 AS row, col, {_r('bf', 'value')} FROM px WHERE row % 5 BETWEEN 1 AND 3 AND col % 5 > 2")
+def src_geotiff_where(spark, d):
+    """The raster's tiles written as files, and rows, columns and a band of them read by pushed filters."""
+    spark.dataSource.register(rasters.FileSink)
+    folder = _folder(spark)
+    named = _encoded(spark, d).select(F.concat("path", F.lit(".tif")).alias("name"), "content")
+    named.write.format("gridloom_files").mode("append").save(folder)
+    read = geotiff.where(spark, folder, "row >= 1 AND row < 4 AND col > 2 AND band = 2")
+    at = F.split(F.regexp_extract("path", r"([^/]*)\.tif$", 1), "_")
+    return read.select((at[0].cast("int") + F.col("row")).alias("row"), (at[1].cast("int") + F.col("col")).alias("col"), r6("value", "value"))
+
+
 @query(f"{PX} SELECT CAST(floor(row / 5) * 5 AS INTEGER) || '_' || CAST(floor(col / 5) * 5 AS INTEGER) AS path, 5 AS height, 2 AS bands, 102003 AS srid, 1000.0::DOUBLE + floor(col / 5) * 150 AS minx, 5000.0::DOUBLE - floor(row / 5) * 150 AS maxy FROM px GROUP BY ALL")
 def src_geotiff_metadata(spark, d):
     meta = rasters.described(_encoded(spark, d))
@@ -929,3 +953,38 @@ def geo_burn_rings(spark, d):
     """Triangles burned by their rings: every pixel that they touch."""
     t = _triangles(spark, d).withColumn("order", F.col("id"))
     return vector.burn(t, 10.0, "id", "order", ring="ring")
+
+
+# ---- rasters as tables of tiles
+
+
+def _tile_table(spark, px: DataFrame, value: str) -> str:
+    """A bucketed table of the tiles of one raster, of a name of its own; they stay until they are dropped."""
+    name = f"gridloom_tiles_{value}_{uuid.uuid4().hex}"
+    tiles.save(tiles.pack(px.select("row", "col", F.col(value).alias("value"))), name, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return name
+
+
+@query(f"{BOTH} SELECT row, col, {_r('CASE WHEN proj = cur THEN bf ELSE bfp END', 'bf')}, {_r('CASE WHEN (CASE WHEN proj = cur THEN bf ELSE bfp END) = 0 THEN 0 ELSE bhp END', 'bh')} FROM bo WHERE NOT ((CASE WHEN proj = cur THEN bf ELSE bfp END) IS NULL AND (CASE WHEN (CASE WHEN proj = cur THEN bf ELSE bfp END) = 0 THEN 0 ELSE bhp END) IS NULL)")
+def jn_tiles_positional(spark, d):
+    """Five rasters as bucketed tables of tiles, joined by place and overlaid pixel by pixel."""
+    px = X.both(spark, d)
+    names = ["bf", "cur", "proj", "bfp", "bhp"]
+    met = tiles.stack(spark, {n: _tile_table(spark, px, n) for n in names}, "left")
+    bf = lambda p: F.when(p["proj"].eqNullSafe(p["cur"]), p["bf"]).otherwise(p["bfp"])
+    out = tiles.combine(met, names, bf, "made")
+    out = tiles.combine(out, ["made", "bhp"], lambda p: F.when(p["made"] == 0, 0.0).otherwise(p["bhp"]), "high")
+    return tiles.unpack(out, ["made", "high"]).select("row", "col", r6("made", "bf"), r6("high", "bh"))
+
+
+@query(f"{PX}, v AS (SELECT a.row, a.col, count(*) AS n, bool_and(b.cur > 0) AS ok, count(DISTINCT b.cur) AS vals, min(b.cur) AS low FROM px a JOIN px b ON b.row BETWEEN a.row AND a.row + 2 AND b.col BETWEEN a.col AND a.col + 2 GROUP BY 1, 2) SELECT row, col, vals, CAST(low AS DOUBLE) AS low FROM v WHERE n = 9 AND ok")
+def win_tiles_cover(spark, d):
+    """Values of whole windows from tiles and their neighbours' borders."""
+    values = tiles.window_values(tiles.pack(X.pixels(spark, d).select("row", "col", F.col("cur").alias("value"))), 3)
+    return values.groupBy("row", "col").agg(F.count(F.lit(1)).alias("vals"), F.min("value").alias("low"))
+
+
+@query(f"{PX}, v AS (SELECT a.row, a.col FROM px a JOIN px b ON b.row BETWEEN a.row AND a.row + 2 AND b.col BETWEEN a.col AND a.col + 2 WHERE b.cur > 0 GROUP BY 1, 2 HAVING count(*) = 9) SELECT * FROM v")
+def win_tiles_valid(spark, d):
+    """Whole windows from a bucketed table of tiles: only borders are shuffled."""
+    return tiles.valid_windows(spark.table(_tile_table(spark, X.pixels(spark, d), "cur")), 3)

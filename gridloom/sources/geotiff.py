@@ -1,8 +1,10 @@
 """GeoTIFF files as a source of Spark's: filters on rows, columns and bands go into the files.
 
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
-    spark.dataSource.register(GeoTiff)
-    spark.read.format("geotiff").load(folder).where("row between 100 and 163 and col < 64 and band = 2")
+    geotiff.where(spark, folder, "row between 100 and 163 and col < 64 and band = 2")
+
+is ``spark.read.format("geotiff").load(folder).where(...)`` after ``register(spark)``.  Spark 4.1
+keeps what one query pushed into a loaded DataFrame for the next one that pushes nothing: load
+anew for each ``where``, as this function does.
 
 Pixels are rows (path, band, row, col, value); NaN and nodata are NULL.  A partition is a run of
 whole strips or rows of tiles, of some PART pixels; those that no filter admits are not planned,
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from . import tiff
@@ -23,12 +26,26 @@ from .rasters import _located, _ranges
 
 #: Pixels of all bands in a partition, if the file's pieces are no larger.
 PART = 1 << 22
+#: Small files in a partition.
+FILES = 100
 #: Pixels of a batch.
 BATCH = 1 << 16
 _SCHEMA = pa.schema([("path", pa.string()), ("band", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.float64())])
 _END = 2**31 - 1
 
 
+def register(spark: SparkSession) -> None:
+    """Make ``format("geotiff")`` known, and filters of Python sources pushed."""
+    spark.dataSource.register(GeoTiff)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+
+
+def where(spark: SparkSession, path: str, condition: Column | str) -> DataFrame:
+    """Pixels of all files below a folder (or of a file) that meet a condition."""
+    register(spark)
+    return spark.read.format("geotiff").load(path).where(condition)
+
+
 class GeoTiff(DataSource):
     """``format("geotiff")``; option ``strict`` (default true): whether a file that cannot be read fails the job, or is left out."""
 
@@ -44,8 +61,10 @@ class GeoTiff(DataSource):
 
 
 class _Rows(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    """Runs of rows (path, first, last): one of a large file, or those of several small ones."""
+
+    def __init__(self, runs: list[tuple[str, int, int]]):
+        self.runs = runs
 
 
 class _Reader(DataSourceReader):
@@ -79,6 +98,7 @@ class _Reader(DataSourceReader):
         found = [info] if info.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
         scheme = self.folder.split("://")[0] + "://" if "://" in self.folder else "file://"
         out: list[InputPartition] = []
+        small, held = [], 0
         for f in sorted(found, key=lambda f: f.path):
             if f.type != pafs.FileType.File or ".tif" not in f.base_name.lower():
                 continue
@@ -93,19 +113,32 @@ class _Reader(DataSourceReader):
             if first >= last or self.low["col"] >= m["width"] or self.low["band"] > m["bands"] or self.high["col"] < 0:
                 continue
             step = m["piece"] * max(1, PART // (m["piece"] * m["width"] * m["bands"]))
-            for at in range(first // step * step, last, step):
-                out.append(_Rows(path, max(at, first), min(at + step, last)))
-        return out
+            runs = [(path, max(at, first), min(at + step, last)) for at in range(first // step * step, last, step)]
+            if len(runs) > 1:
+                out += [_Rows([r]) for r in runs]
+                continue
+            small, held = small + runs, held + (last - first) * m["width"] * m["bands"]
+            if held >= PART or len(small) == FILES:
+                out.append(_Rows(small))
+                small, held = [], 0
+        return [*out, _Rows(small)] if small else out
+
+    def _wanted(self, band: int) -> bool:
+        return self.low["band"] <= band <= self.high["band"] and (self.bands is None or band in self.bands)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        part = _ranges(partition.path)
+        for run in partition.runs if partition else []:  # none, where there is nothing to read
+            yield from self._read(*run)
+
+    def _read(self, path: str, first: int, last: int) -> Iterator[pa.RecordBatch]:
+        part = _ranges(path)
         nodata = tiff.metadata(part)["nodata"]
         left = max(self.low["col"], 0)
-        image = tiff.read(part, (partition.first, left, partition.last - partition.first, max(self.high["col"] + 1 - left, 0)))
+        image = tiff.read(part, (first, left, last - first, max(self.high["col"] + 1 - left, 0)), self._wanted)
         wide = image.shape[2]
         rows = max(1, BATCH // max(1, wide))
         for band in range(1, len(image) + 1):
-            if not self.low["band"] <= band <= self.high["band"] or self.bands is not None and band not in self.bands or not wide:
+            if not wide or not self._wanted(band):
                 continue
             for r in range(0, image.shape[1], rows):
                 values = image[band - 1, r : r + rows].astype(np.float64)
@@ -113,9 +146,9 @@ class _Reader(DataSourceReader):
                 tall = len(values)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([partition.path] * values.size, pa.string()),
+                        pa.array([path] * values.size, pa.string()),
                         pa.array(np.full(values.size, band, np.int32)),
-                        pa.array(np.repeat(np.arange(tall, dtype=np.int32) + partition.first + r, wide)),
+                        pa.array(np.repeat(np.arange(tall, dtype=np.int32) + first + r, wide)),
                         pa.array(np.tile(np.arange(wide, dtype=np.int32) + left, tall)),
                         pa.array(values.ravel(), mask=gone.ravel()),
                     ],

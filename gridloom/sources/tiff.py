@@ -144,10 +144,11 @@ def _samples(raw: bytes, order: str, dtype: str, width: int, n: int, predictor:
     return np.add.accumulate(block.astype(kind), axis=1, dtype=kind) if predictor == DIFFERENCES else block
 
 
-def read(source: Source, window: tuple[int, int, int, int] | None = None) -> np.ndarray:
+def read(source: Source, window: tuple[int, int, int, int] | None = None, bands: Callable[[int], bool] | None = None) -> np.ndarray:
     """(bands, height, width) of the whole image or of ``window`` (row, column, height, width), cut to the image.
 
-    Only strips and tiles that meet the window are fetched and unpacked.
+    Only strips and tiles that meet the window are fetched and unpacked; where each band has its
+    own, ``bands`` (of a number from 1) says which are wanted, and the others stay zero.
     """
     part = _part(source)
     order, t = tags(part)
@@ -169,6 +170,8 @@ def read(source: Source, window: tuple[int, int, int, int] | None = None) -> np.
     across, down = -(-m["width"] // bw), -(-m["height"] // bh)
     n = m["bands"] if together else 1
     for plane in range(1 if together else m["bands"]):
+        if not together and bands is not None and not bands(plane + 1):
+            continue
         for i in range(top // bh, -(-bottom // bh)):
             for j in range(left // bw, -(-right // bw)):
                 k = plane * across * down + i * across + j
