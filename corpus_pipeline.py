@@ -82,9 +82,9 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = driver_path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    ids = bpe.encode(docs.withColumnsRenamed({"decoded": "_kept_decoded"}), ranks, public_tokenizers.PATTERN)
     back = bpe.decode(ids, ranks).withColumn("exact", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
-    return back.withColumn("n_tokens", F.size("token_ids").cast("long")).drop("text", "decoded")
+    return back.withColumn("n_tokens", F.size("token_ids").cast("long")).drop("text", "decoded").withColumnsRenamed({"_kept_decoded": "decoded"})
 
 
 STAGES = [

@@ -62,8 +62,8 @@ def test_pipeline_of_defined_cases(spark, tmp_path):
     words = [f"w{i * i}" for i in range(60)]
     text, other = " ".join(words), " ".join(f"v{i * 3}" for i in range(70))
     rows = [(1, text), (1, text), (4, text), (2, None), (3, ""), (None, other), (5, "long text " * 20_000), (6, " ".join(f"u{i}" for i in range(40)) + " a.b@c.org"), (7, " ".join([*words[:58], "x", "y"]))]
-    names = "doc_id long, text string, lang string, source string, n_chars long, score string, hit_spans string, size int, node long, fp string"
-    full = spark.createDataFrame([(i, t, None, "s", len(t or ""), "keep", None, 1, 2, "f") for i, t in rows], names)
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, hit_spans string, size int, node long, fp string, decoded string"
+    full = spark.createDataFrame([(i, t, None, "s", len(t or ""), "keep", None, 1, 2, "f", "d") for i, t in rows], names)
     for folder, docs in (("full", full), ("empty", full.limit(0))):
         docs.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
         spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{folder}/labels.parquet")
@@ -72,6 +72,6 @@ def test_pipeline_of_defined_cases(spark, tmp_path):
     assert set(out.columns) == set(full.columns) - {"text"} | {"token_ids", "n_tokens", "exact"}
     got = {r["doc_id"]: r for r in out.collect()}
     assert sorted(got, key=lambda i: (i is None, i)) == [1, 2, 5, 6, None] and out.count() == 5
-    assert all(r["exact"] and r["score"] == "keep" and r["node"] == 2 and r["fp"] == "f" for r in got.values())
+    assert all(r["exact"] and r["score"] == "keep" and r["node"] == 2 and r["fp"] == "f" and r["decoded"] == "d" for r in got.values())
     assert got[2]["n_tokens"] == 0 and got[5]["n_tokens"] > 20_000
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
