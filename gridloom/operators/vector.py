@@ -69,9 +69,9 @@ def cell_scaling(cells: DataFrame, value: str) -> DataFrame:
     return totals.groupBy("size").agg(F.count(F.lit(1)).alias("cells"), F.avg("total").alias("mean"), F.var_samp("total").alias("variance"))
 
 
-def shape_scaling(shapes: DataFrame, area: str, value: str) -> DataFrame:
-    """The same row for single shapes: its size is the square root of the least area."""
-    return shapes.agg(F.sqrt(F.min(area)).alias("size"), F.count(value).alias("cells"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"))
+def shape_aggregates(area: str, value: str) -> list[Column]:
+    """The columns of ``cell_scaling`` for single shapes: their size is the square root of the least area."""
+    return [F.sqrt(F.min(area)).alias("size"), F.count(value).alias("cells"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance")]
 
 
 def join_by_cells(left: DataFrame, right: DataFrame, size: float, test: Callable[[Column, Column], Column], how: str = "inner", left_box: str = "bbox", right_box: str = "box", left_key: str = "id") -> DataFrame:

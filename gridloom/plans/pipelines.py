@@ -11,7 +11,6 @@ from ..functions import geometry as G
 from ..functions import scalar as S
 from ..functions import strings
 from ..operators import inference, raster, sampling, stats, tabular, vector
-from . import fixtures
 
 
 def building_volumes(buildings: DataFrame) -> DataFrame:
@@ -27,8 +26,14 @@ def taylor(buildings: DataFrame, sizes: Sequence[float]) -> DataFrame:
     A building counts whole in every cell that it touches.
     """
     own = building_volumes(buildings).select("id", "area", "volume", F.col("box").alias("bbox"))
-    cells = vector.cells_of(own, sizes, fixtures.extent(own))
-    return vector.cell_scaling(cells, "volume").unionByName(vector.shape_scaling(own, "area", "volume"))
+    # One pass for all that needs every building first: the extent and the buildings' own row.
+    box = F.col("bbox")
+    ends = [F.min(box["minx"]).alias("minx"), F.min(box["miny"]).alias("miny"), F.max(box["maxx"]).alias("maxx"), F.max(box["maxy"]).alias("maxy")]
+    single = vector.shape_aggregates("area", "volume")
+    known = own.agg(*ends, *single).first()
+    one = own.sparkSession.range(1).select(*[F.lit(v).cast(t).alias(n) for n, v, t in zip(known.__fields__, known, ["double"] * 5 + ["bigint"] + ["double"] * 2)])
+    cells = vector.cells_of(own, sizes, one.select("minx", "miny", "maxx", "maxy"))
+    return vector.cell_scaling(cells, "volume").unionByName(one.select("size", "cells", "mean", "variance"))
 
 
 def taylor_fit(scaling: DataFrame, critical: float | None = None) -> DataFrame:
@@ -66,15 +71,13 @@ def changed_pixels(px: DataFrame) -> DataFrame:
 
 
 def evaluate(px: DataFrame) -> DataFrame:
-    """One row: n, r and the regressions of observed on predicted fractions and heights."""
-    own = changed_pixels(px)
-    out = None
-    for kind, real, made in (("bf", "bf", "bfp"), ("bh", "bh", "bhp")):
-        fit = stats.ols(own, made, real).select(F.lit(kind).alias("kind"), "n", "slope", "intercept", "r2")
-        r = stats.pairs(own, made, real).agg(stats.correlation(made, real).alias("r"))
-        row = fit.join(F.broadcast(r))  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(kind, n, slope, intercept, r2, r): regressions of observed on predicted fractions and heights, in one pass."""
+    rows = [F.struct(F.lit(kind).alias("kind"), F.col(made).cast("double").alias("made"), F.col(real).cast("double").alias("real")) for kind, real, made in (("bf", "bf", "bfp"), ("bh", "bh", "bhp"))]
+    each = stats.pairs(changed_pixels(px).select(F.inline(F.array(*rows))), "made", "real")
+    y, x = F.col("real"), F.col("made")
+    return each.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), stats.correlation("made", "real").alias("r")
+    )
 
 
 def infer_and_override(px: DataFrame, height: int, width: int, predictors, size: int, stride: int) -> DataFrame:
