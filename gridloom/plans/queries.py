@@ -17,7 +17,7 @@ from ..functions import projections
 from ..functions import scalar as S
 from ..functions import strings
 from ..operators import inference, raster, repair, sampling, stats, tabular, tiles, unet, vector, warp
-from ..sources import geotiff, rasters, vectors
+from ..sources import geotiff, rasters, tables, vectors
 from . import fixtures as X
 from . import pipelines as P
 
@@ -988,3 +988,14 @@ def win_tiles_cover(spark, d):
 def win_tiles_valid(spark, d):
     """Whole windows from a bucketed table of tiles: only borders are shuffled."""
     return tiles.valid_windows(spark.table(_tile_table(spark, X.pixels(spark, d), "cur")), 3)
+
+
+@query(f"{LO} SELECT lr, CAST(row_number() OVER (PARTITION BY lr ORDER BY line) - 1 AS INTEGER) AS line, loss FROM lo")
+def src_loss_lines(spark, d):
+    """Loss curves as files of one number a line, numbered by the lines of their splits."""
+    spark.dataSource.register(rasters.FileSink)
+    folder = _folder(spark)
+    curve = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "loss"))), lambda p: p["loss"].cast("string")), "\n")
+    files = X.losses(spark, d).groupBy("lr").agg(curve.alias("text")).select(F.concat("lr", F.lit(".csv")).alias("name"), F.concat("text", F.lit("\n")).cast("binary").alias("content"))
+    files.write.format("gridloom_files").mode("append").save(folder)
+    return tables.losses(spark, folder)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..operators.tabular import keep_columns
 
+# The columns of the building files.
 BUILDING_COLUMNS = ["ID", "State_Abbr", "Area", "Area2D", "Height", "NumFloors", "WWR_surfaces", "BuildingType", "Standard", "lat", "lon", "geometry"]
 
 
@@ -18,14 +19,28 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, drop_first: b
     return df.select(df.columns[1:]) if drop_first else df
 
 
-def losses(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """(lr, line, loss) of files with one number a line and no header; ``lr`` is the file's name.
+def lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, name, line, value): the lines of text files with their numbers from 0; blank lines at a file's end are left out.
 
-    Each file is read whole (they hold one number an epoch), which gives lines their numbers.
+    Files are read in splits, never whole, and twice: lines are counted by split, a few numbers a
+    split are summed in order, and each line adds its place in its split.  Both readings deal the
+    same splits to the same partitions, as they plan the same files.
     """
-    whole = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    named = whole.select(strings.stem(F.col("_metadata.file_name"), "csv").alias("lr"), F.posexplode(F.split(F.rtrim(F.regexp_replace("value", r"\s+$", "")), r"\r?\n")).alias("line", "text"))
-    return named.select("lr", "line", F.col("text").try_cast("double").alias("loss"))
+    raw = spark.read.option("pathGlobFilter", pattern).text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("_at"))
+    filled = F.max(F.when(F.trim(F.regexp_replace("value", r"\s+", "")) != "", F.col("_at")))
+    splits = raw.groupBy("path", "start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), filled.alias("_filled"))
+    # One row a split, ordered within its file.
+    file = Window.partitionBy("path")
+    splits = splits.withColumn("_before", F.sum("_n").over(file.orderBy("start")) - F.col("_n"))
+    splits = splits.withColumn("_last", F.max(F.col("_before") + F.col("_filled") - F.col("_first")).over(file)).drop("_n", "_filled")
+    line = F.col("_before") + F.col("_at") - F.col("_first")
+    return raw.join(splits, ["path", "start"]).where(line <= F.col("_last")).select("path", "name", line.alias("line"), "value")
+
+
+def losses(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """(lr, line, loss) of files with one number a line and no header; ``lr`` is the file's name."""
+    return lines(spark, path, pattern).select(strings.stem(F.col("name"), "csv").alias("lr"), F.col("line").cast("int").alias("line"), F.col("value").try_cast("double").alias("loss"))
 
 
 def buildings(spark: SparkSession, path: str) -> DataFrame:

@@ -158,3 +158,21 @@ def test_layers_are_appended(spark, tmp_path):
         made(ids).write.format("gridloom_files").option("existing", "number").mode("append").save(str(tmp_path / "g"))
     assert names(tmp_path / "g") == ["f-1.gpkg", "f-2.gpkg", "f.gpkg"]
     assert sorted(int(r["attributes"]["id"]) for r in vectors.gpkg(spark, str(tmp_path), "L").collect()) == list(range(11))
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    from gridloom.sources import tables
+
+    texts = {"a.csv": "".join(f"{i}.5\n" for i in range(2_000)), "b.csv": "7\r\n\r\n8\r\n\r\n \r\n", "c.csv": "", "d.csv": "\n\n", "e.csv": "1\n2", "f.txt": "no"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = [("a", i, i + 0.5) for i in range(2_000)] + [("b", 0, 7.0), ("b", 1, None), ("b", 2, 8.0), ("e", 0, 1.0), ("e", 1, 2.0)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        found = tables.losses(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path / "a.csv")).select("_metadata.file_block_start").distinct().count() > 10
+        assert sorted(map(tuple, found.collect()), key=lambda r: r[:2]) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
