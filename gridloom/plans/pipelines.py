@@ -56,10 +56,11 @@ def metro_volumes(buildings: DataFrame, metros: DataFrame, cap_multistate: bool
 
 
 def volume_population(volumes: DataFrame, population: DataFrame) -> DataFrame:
-    """ln volume on ln population with classical and robust errors; one row."""
+    """ln volume on ln population with classical and robust errors, t intervals (95 %) and the slope's p-value; one row."""
     met = tabular.with_population(volumes.where("vols > 0"), population, "metro")
     logs = met.select(S.guarded_ln(F.col("pop").cast("double")).alias("x"), S.guarded_ln(F.col("vols")).alias("y"))
-    classical = stats.ols(logs, "x", "y").select("n", "slope", "intercept", "r2", "stderr")
+    ends = [f"{c}_{e}" for c in ("slope", "intercept") for e in ("low", "high")]
+    classical = stats.inference(stats.ols(logs, "x", "y")).select("n", "slope", "intercept", "r2", "stderr", "p_value", *ends)
     robust = stats.robust_ols(logs, "x", "y").select("slope_hc0", "intercept_hc0")
     return classical.join(F.broadcast(robust))  # one row each
 

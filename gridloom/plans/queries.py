@@ -863,6 +863,21 @@ def pipe_volume_pop(spark, d):
     return fit.select("n", r6("slope", "slope"), r6("r2", "r2"), r6("slope_hc0", "slope_hc0"))
 
 
+# Quantiles of Student's t at 0.975, for 1 to 23 degrees of freedom.
+_T975 = (
+    12.7062047364, 4.30265272991, 3.18244630528, 2.7764451052, 2.57058183661, 2.44691184879, 2.36462425101, 2.30600413503, 2.26215716274, 2.22813885196, 2.20098516008, 2.17881282966,
+    2.16036865646, 2.14478668792, 2.13144954556, 2.11990529922, 2.10981557783, 2.10092204024, 2.09302405441, 2.08596344727, 2.07961384473, 2.0738730679, 2.06865761042,
+)
+_TQ = f"(CASE n - 2 {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(_T975, 1))} END)"
+
+
+@query(f"{BV}, {ME}, {PO}, {_MV}, xy AS (SELECT ln(CAST(pop AS DOUBLE)) AS x, ln(vols) AS y FROM mv JOIN po USING (metro) WHERE vols > 0), {_M}, f AS (SELECT n, sxy / sxx AS s, my - sxy / sxx * mx AS i, {_TQ} * {_SE} AS hs, {_TQ} * {_SE} * sqrt(sxx / n + mx * mx) AS hi FROM m) SELECT n, round(s - hs, 5) AS slope_low, round(s + hs, 5) AS slope_high, round(i - hi, 4) AS intercept_low, round(i + hi, 4) AS intercept_high FROM f")
+def pipe_volume_pop_interval(spark, d):
+    """The population regression's 95 % intervals."""
+    fit = P.volume_population(P.metro_volumes(X.buildings(spark, d), X.metros(spark, d)), X.population(spark, d))
+    return fit.select("n", *[F.round(f"slope_{e}", 5).alias(f"slope_{e}") for e in ("low", "high")], *[F.round(f"intercept_{e}", 4).alias(f"intercept_{e}") for e in ("low", "high")])
+
+
 @query(f"{BOTH}, c AS (SELECT * FROM bo WHERE proj <> cur AND proj IN (22, 23, 24)), u AS (SELECT 'bf' AS kind, bfp AS p, bf AS t FROM c UNION ALL SELECT 'bh', bhp, bh FROM c) SELECT kind, count(*) AS n, {_r('regr_slope(t, p)', 'slope')}, {_r('regr_intercept(t, p)', 'intercept')}, {_r('corr(t, p)', 'r')} FROM u WHERE p IS NOT NULL GROUP BY 1")
 def pipe_eval_changed(spark, d):
     return P.evaluate(X.both(spark, d)).select("kind", "n", r6("slope", "slope"), r6("intercept", "intercept"), r6("r", "r"))

@@ -79,7 +79,7 @@ def test_albers_round_trip(spark):
     assert abs(rows[0]["p"]["x"]) < 1e-6 and abs(rows[0]["p"]["y"]) < 1e-6
     assert all(math.isclose(r["q"]["x"], r["lon"], abs_tol=1e-9) and math.isclose(r["q"]["y"], r["lat"], abs_tol=1e-9) for r in rows)
     with pytest.raises(ValueError):
-        G.reproject(F.col("ring"), 4326, 3857)
+        G.reproject(F.col("ring"), 4326, 27700)
 
 
 def test_footprints(spark):
