@@ -167,7 +167,7 @@ def system(code: int | str | System) -> System:
     """A system by number (EPSG or ESRI, those below), as well-known text, or as it is."""
     if isinstance(code, System):
         return code
-    if isinstance(code, str) and not re.fullmatch(r"(?:(?:EPSG|ESRI):)?\d+", code):
+    if isinstance(code, str) and not re.match(r"(?:(?:EPSG|ESRI):)?\d+$", code):
         return parse(code)
     number = int(str(code).split(":")[-1])
     nad83 = System(axis=GRS80[0], flattening=1 / GRS80[1])

@@ -95,10 +95,11 @@ def outside_boxes(candidates: DataFrame, existing: DataFrame, size: float, key:
     return join_by_cells(candidates, existing, size, G.boxes_overlap, "left_anti", left_key=key)
 
 
-def within_polygons(shapes: DataFrame, polygons: DataFrame, ring: str = "ring", polygon: str = "polygon", key: str = "metro") -> DataFrame:
+def within_polygons(shapes: DataFrame, polygons: DataFrame, size: float | None = None, ring: str = "ring", polygon: str = "polygon", key: str = "metro") -> DataFrame:
     """Shapes with each polygon (a ring, or an array of rings: holes and parts) that they share a point with.
 
-    By the polygons' index of sides and cells; their other columns follow by ``key``.
+    By the polygons' index of sides and cells; their other columns follow by ``key``.  Cells follow
+    the polygons: ``size`` is taken for earlier callers and changes nothing.
     """
     found = polygon_index.shapes_meeting(shapes, polygons, key, polygon, ring)
     return found.join(polygons.drop(polygon), key)
