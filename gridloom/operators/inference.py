@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,10 +93,29 @@ def windows_of(px: DataFrame, height: int, width: int, size: int, stride: int, v
     return held.select((F.col("wr") * stride).alias("win_row"), (F.col("wc") * stride).alias("win_col"), F.lit(size).alias("size"), data.alias("data"))
 
 
-def infer(px: DataFrame, height: int, width: int, predictors: Sequence[Predictor], outputs: Sequence[str], size: int = 256, stride: int = 64, seed: int = 0, value: str = "value") -> DataFrame:
-    """(row, col, outputs): overlap-averaged sliding-window predictions of a raster."""
-    tiles = windows_of(px, height, width, size, stride, value).withColumn("latent", normals(F.concat_ws(",", "win_row", "win_col"), seed, LATENT).cast("array<float>"))
+def infer(
+    px: DataFrame,
+    height: int,
+    width: int,
+    predictors: Sequence[Predictor],
+    outputs: Sequence[str],
+    size: int = 256,
+    stride: int = 64,
+    seed: int = 0,
+    value: str = "value",
+    decode: dict[str, Callable[[Column], Column]] | None = None,
+    latent: Column | None = None,
+) -> DataFrame:
+    """(row, col, outputs): overlap-averaged sliding-window predictions of a raster.
+
+    ``decode`` turns an output into the quantity whose windows are averaged: a mean of decoded
+    values is not the decoded mean unless the code is linear.  ``latent`` is an array of LATENT
+    numbers from win_row and win_col; without it, normal numbers by the window and the seed.
+    """
+    decode = decode or {}
+    drawn = normals(F.concat_ws(",", "win_row", "win_col"), seed, LATENT) if latent is None else latent
+    tiles = windows_of(px, height, width, size, stride, value).withColumn("latent", drawn.cast("array<float>"))
     made = predict(tiles, predictors, outputs)
     zipped = made.select("win_row", "win_col", F.posexplode(F.arrays_zip(*outputs)).alias("_i", "_v"))
     at = [(F.col("win_row") + F.floor(F.col("_i") / size)).cast("int").alias("row"), (F.col("win_col") + F.col("_i") % size).cast("int").alias("col")]
-    return raster.overlap_average(zipped.select(*at, *[F.col("_v")[o].cast("double").alias(o) for o in outputs]), height, width, outputs)
+    return raster.overlap_average(zipped.select(*at, *[decode.get(o, lambda c: c)(F.col("_v")[o].cast("double")).alias(o) for o in outputs]), height, width, outputs)

@@ -81,14 +81,18 @@ def evaluate(px: DataFrame) -> DataFrame:
     )
 
 
-def infer_and_override(px: DataFrame, height: int, width: int, predictors, size: int, stride: int) -> DataFrame:
-    """(row, col, bf, bh): chained predictions; unchanged pixels keep what was observed, no height without fraction."""
+def infer_and_override(px: DataFrame, height: int, width: int, predictors, size: int, stride: int, latent=None) -> DataFrame:
+    """(row, col, bf, bh): chained predictions; unchanged pixels keep what was observed, no height without fraction.
+
+    Fractions and metres are averaged over windows, not their codes: heights are coded by their
+    logarithm.
+    """
     coded = px.select("row", "col", S.to_model(S.valid_class(F.col("proj")), S.MAX_CLASS).alias("value"))
-    made = inference.infer(coded, height, width, predictors, ["bf_model", "bh_model"], size, stride)
+    made = inference.infer(coded, height, width, predictors, ["bf_model", "bh_model"], size, stride, decode={"bf_model": S.from_model, "bh_model": S.height_from_model}, latent=latent)
     met = px.join(made, ["row", "col"])
     same = F.col("proj").eqNullSafe(F.col("cur"))
-    bf = F.when(same, F.col("bf")).otherwise(S.from_model(F.col("bf_model")))
-    bh = F.when(same, S.capped(S.feet_to_metres(F.col("bh")), S.HEIGHT_CAP_M)).otherwise(S.height_from_model(F.col("bh_model")))
+    bf = F.when(same, F.col("bf")).otherwise(F.col("bf_model"))
+    bh = F.when(same, S.capped(S.feet_to_metres(F.col("bh")), S.HEIGHT_CAP_M)).otherwise(F.col("bh_model"))
     out = met.select("row", "col", bf.alias("bf"), bh.alias("_bh"))
     return out.select("row", "col", "bf", F.when(F.col("bf") == 0, 0.0).otherwise(F.col("_bh")).alias("bh"))
 
@@ -116,16 +120,18 @@ def test_tiles(px: DataFrame, existing: DataFrame, size: int, n: int, height: in
     return sampling.sample(free.join(whole, ["row", "col"], "left_semi"), "k", n, seed).select("k", "row", "col")
 
 
-def validate(tiles: DataFrame, models: dict[str, inference.Predictor], real: str, key: str) -> DataFrame:
+def validate(tiles: DataFrame, models: dict[str, inference.Predictor], real: str, key: str, latent=None) -> DataFrame:
     """(model, mean and median of per-tile mae and mse) of several models on one test set.
 
     All models are chained-free predictors of the same tiles; their errors are array folds, so
-    that pixels never become rows.
+    that pixels never become rows.  All models of a tile get one latent vector: ``latent``, or
+    normal numbers by the key.
     """
-    latent = tiles.withColumn("latent", S.normals(F.col(key), 0, inference.LATENT).cast("array<float>"))
+    drawn = S.normals(F.col(key), 0, inference.LATENT) if latent is None else latent
+    tiles = tiles.withColumn("latent", drawn.cast("array<float>"))
     out = None
     for name, model in models.items():
-        made = inference.predict(latent, [model], ["_made"])
+        made = inference.predict(tiles, [model], ["_made"])
         gaps = F.zip_with("_made", real, lambda a, b: a.cast("double") - b.cast("double"))
         n, zero = F.size("_made"), F.lit(0.0)
         mae = F.aggregate(gaps, zero, lambda s, g: s + F.abs(g)) / n

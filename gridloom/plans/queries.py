@@ -19,6 +19,7 @@ from ..functions import strings
 from ..operators import inference, raster, repair, sampling, stats, tabular, tiles, unet, vector, warp
 from ..sources import geotiff, rasters, tables, vectors
 from . import fixtures as X
+from . import oracles
 from . import pipelines as P
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -800,6 +801,42 @@ def ml_losses(spark, d):
     return a.join(b, "cur").join(c, "cur").select("cur", *[r6(x, x) for x in ("d_logits", "d_squares", "g_logits")])
 
 
+def _net_input(tiles: str, side: int, latent: str) -> str:
+    """A table tc of channels: tiles te (t, y, x, v), then latent numbers by channel c."""
+    return f"te AS MATERIALIZED ({tiles}), tc AS MATERIALIZED (SELECT t, 0 AS c, y, x, v FROM te UNION ALL SELECT t, c, y, x, {latent} FROM te, (SELECT unnest(range(1, 9)) AS c))"
+
+
+_VEC_TILES = "SELECT vec_id AS t, i // 8 AS y, i % 8 AS x, e::DOUBLE AS v FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings)"
+_VEC_INPUT = _net_input(_VEC_TILES, 8, "((t * 3 + c * 7) % 11 - 5) / 5.0::DOUBLE")
+
+
+def _vec_tiles(spark, d):
+    """Embeddings as 8 x 8 tiles with latent vectors by formula."""
+    latent = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda c: ((F.col("vec_id") * 3 + c * 7) % 11 - 5) / 5)
+    return X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("data"), latent.cast("array<float>").alias("latent"))
+
+
+@query(f"{_VEC_INPUT}, {oracles.unet('net', 'tc', 8, 3)} SELECT t AS vec_id, count(*) AS pixels, round(avg(v), 3) + 0.0 AS mean, round(min(v), 3) + 0.0 AS low, round(max(v), 3) + 0.0 AS high FROM net GROUP BY 1")
+def ml_unet_forward(spark, d):
+    """The generator over tiles, against joins of pixels with weights."""
+    made = inference.predict(_vec_tiles(spark, d), [unet.fixed_weights(3)], ["made"])
+    mean = F.aggregate("made", F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size("made")
+    stat = {"mean": mean, "low": F.array_min("made").cast("double"), "high": F.array_max("made").cast("double")}
+    return made.select("vec_id", F.size("made").cast("long").alias("pixels"), *[(F.round(c, 3) + F.lit(0.0)).alias(n) for n, c in stat.items()])
+
+
+@query(
+    f"""{_VEC_INPUT}, {oracles.unet('n0', 'tc', 8, 3)}, {oracles.unet('n1', 'tc', 8, 2, salt=5)},
+    g AS (SELECT m, t, avg(abs(made - v)) AS mae, avg(pow(made - v, 2)) AS mse FROM (SELECT 'deep' AS m, t, y, x, v AS made FROM n0 UNION ALL SELECT 'flat', t, y, x, v FROM n1) JOIN te USING (t, y, x) GROUP BY 1, 2)
+    SELECT m AS model, round(avg(mae), 4) AS mean_mae, round(median(mae), 4) AS median_mae, round(avg(mse), 4) AS mean_mse, round(median(mse), 4) AS median_mse FROM g GROUP BY 1"""
+)
+def ml_validate_nets(spark, d):
+    """Two generators on one test set."""
+    models = {"deep": unet.fixed_weights(3), "flat": unet.fixed_weights(2, salt=5)}
+    out = P.validate(_vec_tiles(spark, d), models, "data", "vec_id", latent=F.col("latent"))
+    return out.select("model", *[F.round(c, 4).alias(c) for c in out.columns if c != "model"])
+
+
 @query()
 def ml_unet_numpy(spark, d):
     """Embeddings as 8 x 8 tiles through a small net; rows only (random weights)."""
@@ -890,6 +927,28 @@ def pipe_infer_affine(spark, d):
     return out.select("row", "col", (F.round("bf", 4) + F.lit(0.0)).alias("bf"))
 
 
+_RASTER_TILES = """SELECT wr * 1000 + wc AS t, r - wr AS y, c - wc AS x, CAST(CAST(proj / 95.0::DOUBLE * 2 - 1 AS FLOAT) AS DOUBLE) AS v
+  FROM (SELECT unnest(range(0, ph - 7, 4)) AS wr FROM hp), (SELECT unnest(range(0, 93, 4)) AS wc), mr, (SELECT unnest(range(100)) AS c), px
+  WHERE r BETWEEN wr AND wr + 7 AND c BETWEEN wc AND wc + 7 AND px.row = mr.source AND px.col = c"""
+
+
+@query(
+    f"""{BOTH}, hp AS (SELECT h, h + ((8 - h) % 4 + 4) % 4 AS ph FROM (SELECT count(*) // 100 AS h FROM px)),
+    mr AS (SELECT r, CASE WHEN r < h THEN r ELSE 2 * (h - 1) - r END AS source FROM (SELECT h, unnest(range(ph)) AS r FROM hp)),
+    {_net_input(_RASTER_TILES, 8, "((t // 1000 + t % 1000 * 3 + c * 7) % 11 - 5) / 5.0::DOUBLE")}, {oracles.unet('n0', 'tc', 8, 3)},
+    td AS MATERIALIZED (SELECT t, 0 AS c, y, x, v FROM n0 UNION ALL SELECT t, c, y, x, v FROM tc WHERE c > 0), {oracles.unet('n1', 'td', 8, 2, salt=5)},
+    av AS (SELECT n0.t // 1000 + n0.y AS row, n0.t % 1000 + n0.x AS col, avg((n0.v + 1) / 2) AS f, avg(exp((n1.v + 1) * ln(75) / 2)) AS m FROM n0 JOIN n1 USING (t, y, x) GROUP BY 1, 2),
+    ov AS (SELECT row, CASE WHEN proj = cur THEN bf ELSE f END AS f, CASE WHEN proj = cur THEN least(bh * 0.3048::DOUBLE, 75) ELSE m END AS m FROM px JOIN av USING (row, col))
+    SELECT row, count(*) AS pixels, round(avg(f), 3) AS bf, round(avg(CASE WHEN f = 0 THEN 0 ELSE m END), 3) AS bh FROM ov GROUP BY 1"""
+)
+def pipe_infer_unet(spark, d):
+    """Fractions, then heights, by two chained generators over overlapping windows, one latent vector a window."""
+    px, h = X.pixels(spark, d), X.height(spark, d)
+    latent = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda c: ((F.col("win_row") + F.col("win_col") * 3 + c * 7) % 11 - 5) / 5)
+    out = P.infer_and_override(px, h, X.WIDTH, [unet.fixed_weights(3), unet.fixed_weights(2, salt=5)], 8, 4, latent=latent)
+    return out.groupBy("row").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.avg("bf"), 3).alias("bf"), F.round(F.avg("bh"), 3).alias("bh"))
+
+
 @query(f"{PX} SELECT row, col, cur FROM px")
 def src_geotiff_roundtrip(spark, d):
     """Tiles of the whole raster written as GeoTIFF bytes and read again."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import uuid
 from collections.abc import Iterator, Sequence
@@ -41,11 +42,16 @@ def _located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe="/:@"))
 
 
+def opened(path: str) -> pa.NativeFile:
+    """A file of any store that Arrow knows, for reading at any place."""
+    store, place = _located(path if ":" in path else os.path.abspath(path))
+    return store.open_input_file(place)
+
+
 def _ranges(path: str):
     """A function (start, size) to bytes over a file of any store that Arrow knows."""
-    store, place = _located(path)
-    opened = store.open_input_file(place)
-    return lambda start, size: opened.read_at(size, start)
+    f = opened(path)
+    return lambda start, size: f.read_at(size, start)
 
 
 def metadata(spark: SparkSession, path: str, pattern: str = "*.tif*", ranged: bool = False) -> DataFrame:
