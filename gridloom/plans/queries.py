@@ -789,6 +789,18 @@ def src_gpkg_box(spark, d):
     return found.select(F.col("attributes")["id"].alias("id"), F.col("attributes")["height_ft"].alias("height_ft"), "srid", "minx", "maxy")
 
 
+@query(f"{BV} SELECT 'city' || id % 2 AS file, CAST(id AS VARCHAR) AS id, CAST(height_ft AS VARCHAR) AS height_ft, x0 AS minx, y0 AS miny, x1 AS maxx, y1 AS maxy FROM bv WHERE x0 <= 420 AND x1 >= 150 AND y0 <= 700 AND y1 >= 250")
+def src_gpkg_tree(spark, d):
+    """All buildings written as files, read where they lie: pieces of the features that R-trees give for a box."""
+    spark.dataSource.register(rasters.FileSink)
+    folder = _folder(spark)
+    rows = X.buildings(spark, d).select(F.concat(F.lit("city"), F.col("id") % 2).alias("file"), F.lit("structures").alias("layer"), F.array("ring").alias("rings"), "id", "height_ft")
+    vectors.packed(rows, "file", "layer", srid=102003).write.format("gridloom_files").mode("append").save(folder)
+    found = vectors.gpkg(spark, folder, "structures", (150.0, 250.0, 420.0, 700.0), ["id", "height_ft"], most=100)
+    name = F.regexp_extract("path", r"([^/]*)\.gpkg$", 1)
+    return found.select(F.regexp_extract(name, "^[a-z0-9]*", 0).alias("file"), *[F.col("attributes")[k].alias(k) for k in ("id", "height_ft")], "minx", "miny", "maxx", "maxy")
+
+
 # ---- models
 
 

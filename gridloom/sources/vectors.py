@@ -6,6 +6,8 @@ import re
 import sqlite3
 import struct
 from collections.abc import Iterator, Sequence
+from contextlib import closing
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,23 +60,80 @@ def _apart(box: tuple, minx: float, miny: float, maxx: float, maxy: float) -> bo
     return minx > box[2] or box[0] > maxx or miny > box[3] or box[1] > maxy
 
 
-def _gpkg_rows(path: str, data: bytes, layer: str | None, box: tuple | None, columns: Sequence[str] | None) -> Iterator[dict]:
+def _database(path: str, content: bytes | None = None) -> sqlite3.Connection:
+    """A GeoPackage in memory or, without content, where it lies: then only pages that are asked for are read."""
+    if content is None:
+        return sqlite3.connect(f"file:{quote(re.sub('^file:/+', '/', path))}?mode=ro&immutable=1", uri=True)
     db = sqlite3.connect(":memory:")
-    db.deserialize(data)
-    for name, column, srid in db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns").fetchall():
-        if layer not in (None, name):
+    db.deserialize(content)
+    return db
+
+
+def _geometries(db: sqlite3.Connection, layer: str | None) -> list[tuple]:
+    every = db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns").fetchall()
+    return [g for g in every if layer in (None, g[0])]
+
+
+def _indexed(db: sqlite3.Connection, name: str, column: str, box: tuple | None) -> tuple[str, tuple] | None:
+    """A subquery for the ids that the layer's R-tree gives for a box, if the file declares that it has one."""
+    tree = f"rtree_{name}_{column}"
+    try:
+        stated = db.execute("SELECT count(*) FROM gpkg_extensions WHERE extension_name = 'gpkg_rtree_index' AND table_name = ? AND column_name = ?", (name, column)).fetchone()[0]
+        if box is None or not stated:
+            return None
+        db.execute(f"SELECT id FROM {_quoted(tree)} LIMIT 1")
+    except sqlite3.OperationalError:  # no extensions, no such tree, or SQLite without the module
+        return None
+    return f"SELECT id FROM {_quoted(tree)} WHERE maxx >= ? AND minx <= ? AND maxy >= ? AND miny <= ?", (box[0], box[2], box[1], box[3])
+
+
+def _key(db: sqlite3.Connection, name: str) -> str | None:
+    """The column that is a table's row number; None for views."""
+    kind = db.execute("SELECT type FROM sqlite_master WHERE name = ?", (name,)).fetchone()
+    keys = [r[1] for r in db.execute(f"PRAGMA table_info({_quoted(name)})") if r[5] and (r[2] or "").upper() == "INTEGER"]
+    return None if kind != ("table",) else _quoted(keys[0]) if len(keys) == 1 else "rowid"
+
+
+def _gpkg_pieces(db: sqlite3.Connection, layer: str | None, box: tuple | None, most: int) -> Iterator[tuple]:
+    """(layer, first, last) of ranges of some ``most`` row numbers, of those only that the R-tree gives."""
+    for name, column, _ in _geometries(db, layer):
+        key = _key(db, name)
+        if key is None:
+            yield name, None, None
+            continue
+        tree = _indexed(db, name, column, box)
+        if tree:
+            ends = [r[0] for r in db.execute(f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS k, count(*) OVER () AS n FROM ({tree[0]})) WHERE k % ? = 0 OR k = n ORDER BY id", (*tree[1], most))]
+            yield from ((name, a + 1, b) for a, b in zip([-(1 << 63), *ends], ends))
+            continue
+        low, high = db.execute(f"SELECT min({key}), max({key}) FROM {_quoted(name)}").fetchone()
+        if low is None:
             continue
-        quoted = _quoted(name)
+        step = max(most, (high - low) // 4096 + 1)
+        for first in range(low, high + 1, step):
+            yield name, first, min(first + step - 1, high)
+
+
+def _gpkg_rows(db: sqlite3.Connection, path: str, layer: str | None, box: tuple | None, columns: Sequence[str] | None, first: int | None = None, last: int | None = None) -> Iterator[dict]:
+    for name, column, srid in _geometries(db, layer):
+        quoted, key = _quoted(name), _key(db, name)
         there = [r[1] for r in db.execute(f"PRAGMA table_info({quoted})") if r[1] != column]
         wanted = there if columns is None else [c for c in there if c in columns]
-        for blob, *values in db.execute(f"SELECT {', '.join(_quoted(c) for c in [column, *wanted])} FROM {quoted}"):
+        where, values = [], []
+        tree = _indexed(db, name, column, box) if key else None
+        if first is not None:
+            where, values = [f"{key} BETWEEN ? AND ?"], [first, last]
+        if tree:
+            where, values = [*where, f"{key} IN ({tree[0]})"], [*values, *tree[1]]
+        asked = f"SELECT {', '.join(_quoted(c) for c in [column, *wanted])} FROM {quoted}" + f" WHERE {' AND '.join(where)}" * bool(where)
+        for blob, *found in db.execute(asked, values):
             held = (0, 32, 48, 48, 64)[blob[3] >> 1 & 7] if blob else 0
             if box and held:  # the header's bounds decide before the outline is decoded
                 minx, maxx, miny, maxy = struct.unpack_from(("<" if blob[3] & 1 else ">") + "4d", blob, 8)
                 if _apart(box, minx, miny, maxx, maxy):
                     continue
             rings = read_wkb(blob, 8 + held)[0] if blob and not blob[3] & 0x10 else []
-            out = _feature(path, name, srid, dict(zip(wanted, values)), rings)
+            out = _feature(path, name, srid, dict(zip(wanted, found)), rings)
             if box is None or (rings and not _apart(box, out["minx"], out["miny"], out["maxx"], out["maxy"])):
                 yield out
 
@@ -83,32 +142,61 @@ def _quoted(name: str) -> str:
     return '"{}"'.format(name.replace('"', '""'))
 
 
-def gpkg(spark: SparkSession, path: str, layer: str | None = None, box: tuple[float, float, float, float] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+def gpkg(
+    spark: SparkSession, path: str, layer: str | None = None, box: tuple[float, float, float, float] | None = None, columns: Sequence[str] | None = None, most: int = 50_000
+) -> DataFrame:
     """Features of GeoPackages: of one layer or all, of a bounding box or all, with some attributes or all.
 
-    Layer, columns and box are applied inside the file, before outlines are decoded.
+    Layer, columns and box are applied inside the file, before outlines are decoded.  Files on mounted
+    folders are opened where they lie, dealt to tasks by some ``most`` row numbers, and read by pages:
+    with a box and an R-tree, those of the features that it gives.  Files of other stores are fetched
+    whole, one task each.
     """
-    return features(files(spark, path, "*.gpkg"), layer, box, columns)
+    found = files(spark, path, "*.gpkg")
+    if not mounted(spark, path):
+        return features(found, layer, box, columns)
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                with closing(_database(p)) as db:
+                    rows = [(p, *x) for x in _gpkg_pieces(db, layer, box, most)]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["path", "layer", "first", "last"])
+
+    def rows_of(p: str, name: str, first: int | None, last: int | None) -> Iterator[dict]:
+        with closing(_database(p)) as db:
+            yield from _gpkg_rows(db, p, name, box, columns, first, last)
+
+    pieces = found.select("path").mapInArrow(plan, "path string, layer string, first long, last long")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _read(pieces.repartition(tasks), rows_of)
+
+
+def mounted(spark: SparkSession, path: str) -> bool:
+    """Whether a path lies in a folder that all machines see as their own."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
 
 
 def features(found: DataFrame, layer: str | None = None, box: tuple[float, float, float, float] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """``gpkg`` of (path, content)."""
-    return _read(found, lambda p, c: _gpkg_rows(p, c, layer, box, columns))
+    return _read(found, lambda p, c: _gpkg_rows(_database(p, c), p, layer, box, columns))
 
 
 def layers(spark: SparkSession, path: str) -> DataFrame:
     """(path, layer, srid) of GeoPackages, without reading features."""
+    found = files(spark, path, "*.gpkg")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for p, c in zip(b.column(0).to_pylist(), b.column(1)):
-                db = sqlite3.connect(":memory:")
-                db.deserialize(c.as_py())
-                rows += [(p, *r) for r in db.execute("SELECT table_name, srs_id FROM gpkg_geometry_columns")]
+            for p, *content in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
+                with closing(_database(p, *content)) as db:
+                    rows += [(p, name, srid) for name, _, srid in _geometries(db, None)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["path", "layer", "srid"])
 
-    return files(spark, path, "*.gpkg").mapInArrow(run, "path string, layer string, srid int")
+    return (found.select("path") if mounted(spark, path) else found).mapInArrow(run, "path string, layer string, srid int")
 
 
 def _read(content: DataFrame, rows_of) -> DataFrame:
@@ -133,7 +221,7 @@ def write_gpkg(features: list[dict], layer: str, srid: int = 4326) -> bytes:
 
 
 def write_layers(layers_: dict[str, list[dict]], srid: int = 4326) -> bytes:
-    """A GeoPackage of several layers, each with bounds in its outlines' headers."""
+    """A GeoPackage of several layers, each with bounds in its outlines' headers and, if SQLite can, an R-tree."""
     db = sqlite3.connect(":memory:")
     db.executescript(
         "PRAGMA application_id = 1196444487;"
@@ -148,16 +236,41 @@ def write_layers(layers_: dict[str, list[dict]], srid: int = 4326) -> bytes:
         db.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, ?)", (layer, layer, srid))
         db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'POLYGON', ?, 0, 0)", (layer, srid))
         names = [_quoted(c) for c in ["fid", *columns, "geom"]]
-        db.execute(f"CREATE TABLE {_quoted(layer)} ({', '.join(names)})")
+        db.execute(f"CREATE TABLE {_quoted(layer)} ({', '.join([names[0] + ' INTEGER PRIMARY KEY NOT NULL', *names[1:]])})")
+        tree = _make_tree(db, layer)
         for k, f in enumerate(features, 1):
             points = [p for r in f["rings"] for p in r]
             spans = [g(p[i] for p in points) for i in (0, 1) for g in (min, max)] if points else []
             head = b"GP\0" + bytes([1 | 2 * bool(spans) | 16 * (not spans)]) + struct.pack("<i", srid) + struct.pack(f"<{len(spans)}d", *spans)
             db.execute(f"INSERT INTO {_quoted(layer)} VALUES ({', '.join('?' * len(names))})", (k, *(f[c] for c in columns), head + write_wkb(f["rings"])))
+            if tree and spans:
+                db.execute(f"INSERT INTO {tree} VALUES (?, ?, ?, ?, ?)", (k, *spans))
+        if tree:
+            _keep_tree(db, layer, tree)
     db.commit()
     return bytes(db.serialize())
 
 
+def _make_tree(db: sqlite3.Connection, layer: str) -> str | None:
+    """The (quoted) name of a new R-tree of a layer, declared as an extension; None if SQLite has none."""
+    tree = _quoted(f"rtree_{layer}_geom")
+    try:
+        db.execute(f"CREATE VIRTUAL TABLE {tree} USING rtree(id, minx, maxx, miny, maxy)")
+    except sqlite3.OperationalError:
+        return None
+    db.execute("CREATE TABLE IF NOT EXISTS gpkg_extensions (table_name TEXT, column_name TEXT, extension_name TEXT, definition TEXT, scope TEXT)")
+    db.execute("INSERT INTO gpkg_extensions VALUES (?, 'geom', 'gpkg_rtree_index', 'http://www.geopackage.org/spec120/#extension_rtree', 'write-only')", (layer,))
+    return tree
+
+
+def _keep_tree(db: sqlite3.Connection, layer: str, tree: str) -> None:
+    """Triggers by which other programs keep the R-tree; their functions are those programs' own."""
+    add = f"INSERT OR REPLACE INTO {tree} SELECT NEW.fid, ST_MinX(NEW.geom), ST_MaxX(NEW.geom), ST_MinY(NEW.geom), ST_MaxY(NEW.geom) WHERE NEW.geom IS NOT NULL AND NOT ST_IsEmpty(NEW.geom);"
+    remove = f"DELETE FROM {tree} WHERE id = OLD.fid;"
+    for event, done in (("insert", add), ("update", remove + add), ("delete", remove)):
+        db.execute(f"CREATE TRIGGER {_quoted(f'rtree_{layer}_geom_{event}')} AFTER {event.upper()} ON {_quoted(layer)} BEGIN {done} END")
+
+
 def packed(df: DataFrame, file: str, layer: str, rings: str = "rings", srid: int = 4326, most: int = 100_000) -> DataFrame:
     """(name, content): the rows of each value of ``file`` as GeoPackages with a layer for each value of ``layer``.
 
