@@ -1,24 +1,29 @@
 """Personal data and information-theoretic sanitisation.
 
-Four patterns find protected entities.  Corpus counts over all texts then say how strongly a
-term reveals one: of a term's occurrences n, j stand within CONTEXT words of the entity, and its
-disclosure is the pointwise mutual information log2((j / n) / P(a word stands near the entity)).
+Four patterns find protected entities.  Co-occurrence over the whole corpus then says how strongly
+a term reveals one.  Evidence is distinct texts, so that neither copies nor a passage that a text
+repeats add any: a text counts once for a term that stands within CONTEXT words of the entity, and
+once for one that stands elsewhere in it.  Of a term's counts n, j are near the entity, and its
+disclosure is the pointwise mutual information log2((j / n) / P(a count is near the entity)).
 Terms near entities are spans too if that exceeds BITS, and the lower bound of the Wilson interval
-of j / n PROBABILITY, for one entity or for all of them together: some rare words that never
-stand elsewhere pass (4 of 4 does, 3 of 3 does not), frequent ones only if most occurrences are near.
+of j / n PROBABILITY, for one entity or for all of them together: rare words that never stand
+elsewhere pass from 4 distinct texts on, frequent ones only if most counts are near.  A word that
+stands beside an entity in fewer texts is left: any word that occurs once would be such a one.
 ``sanitise`` generalises entities to their kind and removes disclosing terms.
 
-Counts are pre-aggregated in each task, then summed by term; terms near entities meet their
-scores in a join.  Nothing that grows with the corpus is broadcast or collected.
+Distinct texts come from an aggregation with map-side combining; counts are pre-aggregated in each
+task, then summed by term and entity; terms near entities meet their scores in a join.  Nothing
+that grows with the corpus is broadcast or collected.
 
 Defined cases: null texts count as empty; rows are told apart by id and text, and repeated
-rows get equal results and count as often as they stand there; ids may be null; very long texts
-are taken whole, in one pass; a word as near to two entities belongs to the first; words inside
-entities are no terms; empty tables give no rows; other columns pass ``sanitise``.
+rows get equal results and count once; ids may be null; very long texts are taken whole, in one
+pass; a word as near to two entities belongs to the first; words inside entities are no terms;
+empty tables give no rows; other columns pass ``sanitise``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -121,45 +126,65 @@ def row_key(id_col: str, text: str) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``entities``, ``near`` (terms in the context of entities) and ``inside`` (words in entities) of each whole text."""
+    """Add ``entities`` and ``near`` (terms in the context of entities) of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text):
-            spans, terms, inside = [], [], []
+            spans, terms = [], []
             for s in batch.column(batch.schema.get_field_index(text)):
                 s = s.as_py() or ""
                 found = entities(s)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                close, own = near(s, found) if found else ([], [])
+                close = near(s, found)[0] if found else []
                 terms.append([{"term": t, "entity": e, "start": a, "end": b} for t, e, a, b in close])
-                inside.append(own)
-            yield append(batch, {"entities": pa.array(spans, _SPAN_ARROW), "near": pa.array(terms, _NEAR_ARROW), "inside": pa.array(inside, pa.list_(pa.string()))})
+            yield append(batch, {"entities": pa.array(spans, _SPAN_ARROW), "near": pa.array(terms, _NEAR_ARROW)})
 
-    return docs.mapInArrow(run, with_fields(docs, [("entities", T.ArrayType(_SPAN)), ("near", T.ArrayType(_NEAR)), ("inside", T.ArrayType(T.StringType()))]))
+    return docs.mapInArrow(run, with_fields(docs, [("entities", T.ArrayType(_SPAN)), ("near", T.ArrayType(_NEAR))]))
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): occurrences of each term in all texts."""
+def evidence(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, entity, n, j) over distinct texts.
+
+    Without entity: n counts of a term, near any entity or elsewhere, j of them near one.  With it:
+    j texts that hold the term near that entity.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        apart: Counter = Counter()
+        close: Counter = Counter()
         for batch in blocks(batches, text):
             for s in batch.column(0):
-                if s.is_valid:
-                    total.update(WORDS.findall(s.as_py()))
-            if len(total) > 200_000:
-                yield _counted(total)
-                total = Counter()
-        yield _counted(total)
-
-    return docs.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def _counted(found: Counter) -> pa.RecordBatch:
-    total: Counter = Counter()
-    for word, n in found.items():  # lower-cased as terms are: after matching
-        total[word.lower()] += n
-    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+                elsewhere, pairs = places(s.as_py())
+                apart.update(elsewhere)
+                close.update(pairs)
+                close.update((t, None) for t in {t for t, _ in pairs})
+            if len(apart) + len(close) > 200_000:
+                yield _counted(apart, close)
+                apart, close = Counter(), Counter()
+        yield _counted(apart, close)
+
+    own = docs.select(text).where(F.col(text).isNotNull()).distinct()
+    return own.mapInArrow(run, "term string, entity long, n long, j long").groupBy("term", "entity").agg(F.sum("n").alias("n"), F.sum("j").alias("j"))
+
+
+def places(text: str) -> tuple[set[str], set[tuple[str, int]]]:
+    """A text's terms that stand away from all entities, and (term, entity) pairs that stand near; a term may be both."""
+    found = entities(text)
+    if not found:
+        return {w.lower() for w in set(WORDS.findall(text))}, set()
+    close, inside = near(text, found)
+    left = Counter(w.lower() for w in WORDS.findall(text))
+    left.subtract(inside)
+    left.subtract(t for t, *_ in close)
+    return {t for t, n in left.items() if n > 0}, {(t, e) for t, e, *_ in close}
+
+
+def _counted(apart: Counter, close: Counter) -> pa.RecordBatch:
+    terms = [*apart, *(t for t, _ in close)]
+    entity = [None] * len(apart) + [e for _, e in close]
+    n = [*apart.values(), *(c if e is None else 0 for (_, e), c in close.items())]
+    j = [0] * len(apart) + list(close.values())
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(entity, pa.int64()), pa.array(n, pa.int64()), pa.array(j, pa.int64())], names=["term", "entity", "n", "j"])
 
 
 def _sure(j: Column, n: Column) -> Column:
@@ -169,17 +194,18 @@ def _sure(j: Column, n: Column) -> Column:
     return (p + z2 / (2 * n) - F.lit(DEVIATES) * F.sqrt(F.greatest(p * (1 - p) / n + z2 / (4 * n * n), F.lit(0.0)))) / (1 + z2 / n)
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text") -> DataFrame:
+def disclosing(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, disclosure): terms that exceed the thresholds, for one entity or for all together."""
-    pairs = scanned.select(F.explode("near").alias("x")).groupBy(F.col("x.term").alias("term"), F.col("x.entity").alias("entity")).agg(F.count(F.lit(1)).alias("j"))
-    pairs = materialise(pairs, "near-terms")
-    inside = scanned.select(F.explode("inside").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
-    counts = materialise(term_counts(docs, text).unionByName(inside).groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
-    total, nearby = counts.agg(F.sum("n")).first()[0] or 1, pairs.agg(F.sum("j")).first()[0] or 1
+    known = materialise(evidence(docs, text), "evidence")
+    terms, pairs = known.where("entity IS NULL"), known.where("entity IS NOT NULL")
+    sums = terms.agg(F.sum("n").alias("n"), F.sum("j").alias("j")).first()
+    total, nearby = sums["n"] or 1, sums["j"] or 1
+    # The bound of j of j is j / (j + z^2): fewer counts cannot pass, however rare the term.
+    least = math.ceil(PROBABILITY * DEVIATES**2 / (1 - PROBABILITY))
     of = pairs.groupBy("entity").agg(F.sum("j").alias("e"))
-    one = pairs.join(of, "entity").select("term", "j", "e")
-    every = pairs.groupBy("term").agg(F.sum("j").alias("j")).select("term", "j", F.lit(nearby).cast("long").alias("e"))
-    met = one.unionByName(every).join(counts, "term").where(_sure(F.col("j"), F.col("n")) >= PROBABILITY)
+    one = pairs.where(F.col("j") >= least).drop("n").join(of, "entity").join(terms.select("term", "n"), "term").select("term", "n", "j", "e")
+    every = terms.where(F.col("j") >= least).select("term", "n", "j", F.lit(nearby).cast("long").alias("e"))
+    met = one.unionByName(every).where(_sure(F.col("j"), F.col("n")) >= PROBABILITY)
     bits = F.log2((F.col("j") / F.col("n")) / (F.col("e") / F.lit(total)))
     return met.select("term", bits.alias("disclosure")).where(F.col("disclosure") >= BITS).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
@@ -188,7 +214,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """(id, key, entities, spans): base spans, and all spans with disclosing terms, in order."""
     docs = docs.select(id_col, text).withColumn("key", row_key(id_col, text))
     scanned = materialise(scan(docs, text).drop(text), "entities")
-    risky = disclosing(docs, scanned, text)
+    risky = disclosing(docs, text)
     terms = scanned.dropDuplicates(["key"]).select("key", F.explode("near").alias("x")).select("key", F.col("x.term").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
     hit = terms.join(risky.select("term"), "term").groupBy("key").agg(F.collect_list(F.struct(F.lit(TERM).alias("kind"), "start", "end")).alias("terms"))
     none = F.array().cast(hit.schema["terms"].dataType)

@@ -162,27 +162,34 @@ def test_pii(spark):
 def disclosed(rows):
     """Places of disclosing terms by plain counting."""
     word = re.compile(r"[^\W\d_]{3,}")
-    count, pairs, places = Counter(), Counter(), []
+    count, pairs, near, places, seen = Counter(), Counter(), Counter(), [], set()
     for i, text, *_ in rows:
         text = text or ""
+        new = text not in seen
+        seen.add(text)
+        beside, away = set(), set()
         spans = base(text)
         words = [m for m in word.finditer(text) if not any(m.start() < b and a < m.end() for _, a, b in spans)]
         every = [m.span() for m in word.finditer(text)]
-        count.update(m[0].lower() for m in words)
         for m in words:
             def apart(a, b, m=m):
                 return sum(b <= x and y <= m.start() for x, y in every) if m.start() >= b else sum(m.end() <= x and y <= a for x, y in every)
 
-            near = [(apart(a, b), k) for k, (_, a, b) in enumerate(spans)]
-            if near and min(near)[0] < 4:
-                _, a, b = spans[min(near)[1]]
-                pairs[m[0].lower(), text[a:b].lower()] += 1
+            gaps = [(apart(a, b), k) for k, (_, a, b) in enumerate(spans)]
+            if gaps and min(gaps)[0] < 4:
+                _, a, b = spans[min(gaps)[1]]
+                beside.add((m[0].lower(), text[a:b].lower()))
                 places.append((i, m[0].lower(), m.start(), m.end()))
+            else:
+                away.add(m[0].lower())
+        if new:
+            pairs.update(beside)
+            near.update({t for t, _ in beside})
+            count.update([*away, *{t for t, _ in beside}])
     total, z = sum(count.values()), 1.96
-    entity, near = Counter(), Counter()
+    entity = Counter()
     for (t, e), j in pairs.items():
         entity[e] += j
-        near[t] += j
     def passes(j, n, e):
         p = j / n
         low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
@@ -192,6 +199,21 @@ def disclosed(rows):
     return [(i, a, b) for i, t, a, b in places if t in bad]
 
 
+def test_disclosure_is_not_repetition(spark):
+    """Copies and repeated passages are no evidence; distinct texts are, from four on."""
+    plain = [" ".join(DRAW.choice(WORDS) for _ in range(30)) for _ in range(400)]
+    passage = "the quiet harbour ledger jane@mail.example.org keeps every other secret"
+    own = [f"{a} zebulon pat@mail.example.org {b}" for a, b in zip(plain[:4], plain[4:8])]
+    few = [f"{a} ottoline kim@mail.example.org {b}" for a, b in zip(plain[8:11], plain[11:14])]
+    both = [f"{plain[20 + k]} wainscot lou@mail.example.org {plain[30 + k]} wainscot wainscot" for k in range(4)]
+    rows = [*enumerate(plain), *[(1000 + k, passage) for k in range(5)], (1100, " and ".join([passage] * 9)), *[(1200 + k, t) for k, t in enumerate(own)], *[(1300 + k, t) for k, t in enumerate(few * 4)], *[(1400 + k, t) for k, t in enumerate(both)]]
+    found = pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    texts = dict(rows)
+    said = {(r["doc_id"], texts[r["doc_id"]][int(a) : int(b)]) for r in found for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"}
+    assert said == {(1200 + k, "zebulon") for k in range(4)}
+    assert said == {(i, texts[i][a:b]) for i, a, b in disclosed(rows)}
+
+
 def test_near_takes_whole_words():
     long = "w" * 300
     text = f"one two {long} confidential a@b.org {'z' * 200} three İstanbul four five"
