@@ -11,7 +11,8 @@ elsewhere pass from 4 distinct texts on, frequent ones only if most counts are n
 stands beside an entity in fewer texts is left: any word that occurs once would be such a one.
 ``sanitise`` generalises entities to their kind and removes disclosing terms.
 
-Distinct texts come from an aggregation with map-side combining; counts are pre-aggregated in each
+Not texts, but the packed terms of each are shuffled to find the distinct ones, with map-side
+combining; counts are pre-aggregated in each
 task, then summed by term and entity; terms near entities meet their scores in a join.  Nothing
 that grows with the corpus is broadcast or collected.
 
@@ -143,28 +144,47 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def evidence(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, entity, n, j) over distinct texts.
+    """(term, entity, n, j) over distinct texts, told apart by what counts of them and 128 bits of the text.
 
     Without entity: n counts of a term, near any entity or elsewhere, j of them near one.  With it:
     j texts that hold the term near that entity.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart: Counter = Counter()
-        close: Counter = Counter()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=6, write_content_size=True)
         for batch in blocks(batches, text):
+            out = []
             for s in batch.column(0):
-                elsewhere, pairs = places(s.as_py())
-                apart.update(elsewhere)
-                close.update(pairs)
-                close.update((t, None) for t in {t for t, _ in pairs})
-            if len(apart) + len(close) > 200_000:
-                yield _counted(apart, close)
-                apart, close = Counter(), Counter()
+                if s.is_valid:
+                    elsewhere, pairs = places(s.as_py())
+                    said = " ".join(sorted(elsewhere)) + "\n" + " ".join(f"{t} {e}" for t, e in sorted(pairs))
+                    out.append(xxhash.xxh3_128_digest(s.as_buffer()) + press.compress(said.encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["packed"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
+        apart: Counter = Counter()
+        close: Counter = Counter()
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                elsewhere, _, pairs = unpress.decompress(packed[16:]).decode("utf-8", "surrogatepass").partition("\n")
+                apart.update(elsewhere.split())
+                if pairs:
+                    flat = pairs.split()
+                    close.update((t, int(e)) for t, e in zip(flat[::2], flat[1::2]))
+                    close.update((t, None) for t in set(flat[::2]))
+                if len(apart) + len(close) > 200_000:
+                    yield _counted(apart, close)
+                    apart, close = Counter(), Counter()
         yield _counted(apart, close)
 
-    own = docs.select(text).where(F.col(text).isNotNull()).distinct()
-    return own.mapInArrow(run, "term string, entity long, n long, j long").groupBy("term", "entity").agg(F.sum("n").alias("n"), F.sum("j").alias("j"))
+    own = docs.select(text).mapInArrow(pack, "packed binary").distinct()
+    return own.mapInArrow(count, "term string, entity long, n long, j long").groupBy("term", "entity").agg(F.sum("n").alias("n"), F.sum("j").alias("j"))
 
 
 def places(text: str) -> tuple[set[str], set[tuple[str, int]]]:
