@@ -22,9 +22,13 @@ def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def correlation(x: str, y: str) -> Column:
-    """Pearson's r; NULL where a side is constant."""
+    """Pearson's r; NULL where a side is constant.
+
+    Constant by its ends: merged over partitions, the variance of equal values is not always 0.
+    """
     spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
-    return F.try_divide(F.covar_pop(x, y), spread)
+    varied = (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
+    return F.when(varied, F.try_divide(F.covar_pop(x, y), spread))
 
 
 def errors(df: DataFrame, by: Sequence[str], predicted: str, real: str) -> DataFrame:
