@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import stats
+from gridloom.operators import stats, vector
+from gridloom.plans import fixtures
 
 
 def test_correlation_with_a_constant_over_partitions(spark):
@@ -11,3 +12,8 @@ def test_correlation_with_a_constant_over_partitions(spark):
     assert rows.agg(F.var_pop("one")).first()[0] > 0
     got = rows.agg(stats.correlation("v", "one").alias("a"), stats.correlation("one", "v").alias("b"), stats.correlation("v", "v").alias("c")).first()
     assert got["a"] is None and got["b"] is None and abs(got["c"] - 1) < 1e-12
+
+
+def test_buildings_are_dealt_to_all_cores(spark, sf_dir):
+    parts = fixtures.buildings(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
