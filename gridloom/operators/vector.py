@@ -91,8 +91,14 @@ def join_by_cells(left: DataFrame, right: DataFrame, size: float, test: Callable
 
 
 def outside_boxes(candidates: DataFrame, existing: DataFrame, size: float, key: str = "id") -> DataFrame:
-    """Candidates whose bounds overlap no existing bounds; touching is no overlap."""
-    return join_by_cells(candidates, existing, size, G.boxes_overlap, "left_anti", left_key=key)
+    """Candidates whose bounds overlap no existing bounds; touching is no overlap.
+
+    Bounds of any number of copies are compared once: different bounds meet, and the candidates
+    follow by theirs (``key`` is taken for earlier callers and changes nothing).
+    """
+    each = candidates.select("bbox").where("bbox IS NOT NULL").distinct()
+    met = join_by_cells(each, existing.select("box").distinct(), size, G.boxes_overlap)
+    return candidates.join(met.select("bbox").distinct(), "bbox", "left_anti").select(*candidates.columns)
 
 
 def within_polygons(shapes: DataFrame, polygons: DataFrame, size: float | None = None, ring: str = "ring", polygon: str = "polygon", key: str = "metro") -> DataFrame:

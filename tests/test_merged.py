@@ -17,3 +17,16 @@ def test_correlation_with_a_constant_over_partitions(spark):
 def test_buildings_are_dealt_to_all_cores(spark, sf_dir):
     parts = fixtures.buildings(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_copies_of_bounds_are_compared_once(spark, monkeypatch):
+    box = lambda x: F.struct(x.alias("minx"), F.lit(0.0).alias("miny"), (x + 1.0).alias("maxx"), F.lit(1.0).alias("maxy"))
+    k = F.col("id")
+    own = spark.range(400).select("id", box((k % 4).cast("double") * 2).alias("bbox")).unionByName(spark.range(400, 401).select("id", F.lit(None).cast("struct<minx:double,miny:double,maxx:double,maxy:double>").alias("bbox")))
+    there = spark.range(300).select(box((k % 2).cast("double") * 4 + 0.5).alias("box"))
+    met = []
+    join = vector.join_by_cells
+    monkeypatch.setattr(vector, "join_by_cells", lambda *a, **k: met.append((a[0].count(), a[1].count())) or join(*a, **k))
+    free = {r[0] for r in vector.outside_boxes(own, there, 50.0).select("id").collect()}
+    assert free == {i for i in range(400) if i % 4 in (1, 3)} | {400}
+    assert met == [(4, 2)]
