@@ -1,8 +1,11 @@
 """Operators over rows that lie in several partitions, and at places that many shapes share."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.operators import stats, vector
+from gridloom.functions import noding
+from gridloom.operators import repair, stats, vector
 from gridloom.plans import fixtures
 
 
@@ -30,3 +33,16 @@ def test_copies_of_bounds_are_compared_once(spark, monkeypatch):
     free = {r[0] for r in vector.outside_boxes(own, there, 50.0).select("id").collect()}
     assert free == {i for i in range(400) if i % 4 in (1, 3)} | {400}
     assert met == [(4, 2)]
+
+
+def test_polygons_repaired_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    polygons = [[rng.integers(0, 5, (rng.integers(0, 8), 2)).astype(float) + k for _ in range(k % 4)] for k in range(120)]
+    each = [noding.even_odd(p) for p in polygons]
+    rows = [[[{"x": float(x), "y": float(y)} for x, y in r] for r in p] for p in polygons] + [None, [[{"x": 0.0, "y": None}]]]
+    column = pa.array(rows, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    for points in (1, 50, 1 << 16):
+        monkeypatch.setattr(repair, "POINTS", points)
+        got = repair._repaired(column, True).to_pylist()
+        assert got[-2:] == [None, []]
+        assert [[[tuple(p.values()) for p in r] for r in g] for g in got[:-2]] == [[[tuple(p) for p in r.tolist()] for r in e] for e in each]
