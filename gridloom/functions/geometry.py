@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import projections
+from . import nesting, projections
 
 
 def point(x, y) -> Column:
@@ -183,29 +183,9 @@ def rings_intersect(ring: Column, rings: Column) -> Column:
     return meet | held | rings_contain(rings, _first(ring)["x"], _first(ring)["y"])
 
 
-def _interior(ring: Column) -> Column:
-    """A point inside a ring: in the middle of the lowest two crossings of a line between its lowest two heights."""
-    heights = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
-    between = F.transform(F.array(heights), lambda h: (F.try_element_at(h, F.lit(1)) + F.try_element_at(h, F.lit(2))) / 2)
-
-    def middle(y: Column) -> Column:
-        spanning = F.filter(_edges(ring), lambda e: (e["a"]["y"] <= y) != (e["b"]["y"] <= y))
-        xs = F.transform(spanning, lambda e: e["a"]["x"] + (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]))
-        return F.transform(F.array(F.array_sort(xs)), lambda v: F.struct(((F.try_element_at(v, F.lit(1)) + F.try_element_at(v, F.lit(2))) / 2).alias("x"), y.alias("y")))[0]
-
-    return F.transform(between, middle)[0]
-
-
 def _signs(rings: Column) -> Column:
-    """1 for rings that add area, -1 for holes: by the number of larger rings around a point inside.
-
-    Rings may touch and share sides; of equal rings, the first is around the others.
-    """
-    known = F.transform(rings, lambda r, i: F.struct(r.alias("r"), area(r).alias("a"), _interior(r).alias("p"), i.alias("i")))
-    around = lambda all_, k: F.aggregate(
-        all_, F.lit(0), lambda s, o: s + F.when(((o["a"] > k["a"]) | ((o["a"] == k["a"]) & (o["i"] < k["i"]))) & contains(o["r"], k["p"]["x"], k["p"]["y"]), 1).otherwise(0)
-    )
-    return F.transform(F.array(known), lambda all_: F.transform(all_, lambda k: F.when(around(all_, k) % 2 == 1, -1.0).otherwise(1.0)))[0]
+    """1 for rings that add area, -1 for holes: once a polygon, in batches of them (``nesting.signs``)."""
+    return F.arrow_udf(lambda v: nesting.signs(v), "array<double>")(rings)
 
 
 def rings_area(rings: Column) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.functions import noding
+from gridloom.functions import nesting, noding
 from gridloom.operators import repair, stats, vector
 from gridloom.plans import fixtures
 
@@ -35,6 +35,21 @@ def test_copies_of_bounds_are_compared_once(spark, monkeypatch):
     assert met == [(4, 2)]
 
 
+def _square(x, y, side):
+    return [{"x": x + u * side, "y": y + v * side} for u, v in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0))]
+
+
+def test_signs_of_many_polygons(monkeypatch):
+    island = [_square(4, 4, 1), _square(0, 0, 10), _square(2, 2, 5), _square(20, 0, 3)]
+    polygons = [island, None, [], [_square(0, 0, 1)] * 3, [_square(1, 1, 2), [{"x": 0.0, "y": 0.0}]]]
+    want = [[1, 1, -1, 1], None, [], [1, -1, 1], [1, 1]]
+    made = pa.array(polygons, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    assert nesting.signs(made).to_pylist() == want
+    monkeypatch.setattr(noding, "PAIRS", 2)
+    assert nesting.signs(made).to_pylist() == want
+    assert nesting.signs(made.slice(2, 2)).to_pylist() == want[2:4]
+
+
 def test_polygons_repaired_together(monkeypatch):
     rng = np.random.default_rng(5)
     polygons = [[rng.integers(0, 5, (rng.integers(0, 8), 2)).astype(float) + k for _ in range(k % 4)] for k in range(120)]
