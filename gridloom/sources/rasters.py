@@ -7,6 +7,8 @@ import os
 import re
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from urllib.parse import quote
 
 import numpy as np
@@ -19,6 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from . import tiff
 
+#: Files of a remote store moved at a time when a job is committed.
+MOVES = 16
+
 _BLOCK = "path string, band int, row0 int, col0 int, height int, width int, data array<double>, error string"
 _META = "path string, height int, width int, bands int, dtype string, nodata double, srid int, transform struct<a:double,b:double,c:double,d:double,e:double,f:double>, error string"
 
@@ -247,8 +252,10 @@ class FileSink(DataSource):
 
 
 class _Staged(WriterCommitMessage):
-    def __init__(self, staged: list[tuple[str, str]]):
-        self.staged = staged
+    """A task's folder and the names of the files 0, 1, 2... in it."""
+
+    def __init__(self, own: str, names: list[str]):
+        self.own, self.names = own, names
 
 
 class _FileWriter(DataSourceArrowWriter):
@@ -274,29 +281,42 @@ class _FileWriter(DataSourceArrowWriter):
                 at = staged.setdefault(name, f"{own}/{len(staged)}")
                 with store.open_output_stream(at) as f:
                     f.write(c.as_py())
-        return _Staged(list(staged.items()))
+        return _Staged(own, list(staged))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = self._store()
         store.create_dir(root, recursive=True)
         there = {f.base_name for f in store.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.File}
         taken = set() if self.overwrite else set(there)
-        made = set()
-        for name, at in (pair for m in messages if m for pair in m.staged):
-            to = name
-            if self.existing == "number" and not self.overwrite:
-                stem, dot, end = name.partition(".")
-                k = 0
-                while to in taken:
-                    k += 1
-                    to = f"{stem}-{k}{dot}{end}"
-                taken.add(to)
+        made: dict[str, tuple[str, int]] = {}  # of files of one name, the last is left
+        for m in messages:
+            for k, name in enumerate(m.names if m else ()):
+                to = name
+                if self.existing == "number" and not self.overwrite:
+                    stem, dot, end = name.partition(".")
+                    n = 0
+                    while to in taken:
+                        n += 1
+                        to = f"{stem}-{n}{dot}{end}"
+                    taken.add(to)
+                made[to] = m.own, k
+
+        def move(to: str) -> None:
+            own, k = made[to]
             if to in there and not isinstance(store, pafs.LocalFileSystem):
                 store.delete_file(f"{root}/{to}")  # a local move replaces
-            store.move(at, f"{root}/{to}")
-            made.add(to)
+            store.move(f"{own}/{k}", f"{root}/{to}")
+
+        if isinstance(store, pafs.LocalFileSystem):
+            for to in made:
+                move(to)
+        else:  # stores that answer slowly
+            names = iter(made)
+            with ThreadPoolExecutor(MOVES) as pool:
+                while some := list(islice(names, 10_000)):
+                    list(pool.map(move, some))
         if self.overwrite:
-            for old in there - made:
+            for old in there - made.keys():
                 store.delete_file(f"{root}/{old}")
         self.abort(messages)
 

@@ -176,3 +176,21 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_small_files_are_read_by_tasks_alone(tmp_path, image, monkeypatch):
+    for k in range(7):
+        (tmp_path / f"{k}.tif").write_bytes(tiff.write(image[:, : 5 + k, :9].copy(), T))
+    monkeypatch.setattr(geotiff, "FILES", 3)
+    reader = geotiff.GeoTiff({"path": str(tmp_path)}).reader(None)
+    list(reader.pushFilters([GreaterThanOrEqual(("row",), 9), EqualTo(("band",), 2), LessThan(("col",), 4)]))
+    asked = counting(monkeypatch, geotiff)
+    parts = reader.partitions()
+    assert not asked and [len(p.names) for p in parts] == [3, 3, 1]
+    batches = [list(reader.read(p)) for p in parts]
+    # One fetch a file, and one batch for all files of a task.
+    assert len(asked) == 7 and [len(b) for b in batches] == [0, 1, 1]
+    got = pa.Table.from_batches([b for own in batches for b in own])
+    assert got.num_rows == (1 + 2) * 4 and (got["value"].to_numpy() == image[1, got["row"].to_numpy(), got["col"].to_numpy()]).all()
+    monkeypatch.setattr(geotiff, "TASKS", 1)
+    assert [len(p.names) for p in reader.partitions()] == [7]
