@@ -55,18 +55,20 @@ def entropy(df: DataFrame, by: Sequence[str], value: str, low: float, high: floa
 def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = (), critical: float | None = None) -> DataFrame:
     """(by, n, slope, intercept, r2, stderr, ...) of y on x; with ``critical`` the interval too.
 
-    ``critical`` is the t quantile of the interval (``t_quantile``).
+    ``critical`` is the t quantile of the interval (``t_quantile``).  Constant x: NULL; constant y:
+    slope and errors are 0.  Constant by its ends, as in ``correlation``.
     """
     own = pairs(df, x, y)
-    sxx, syy, sxy = (F.regr_sxx(F.col(y), F.col(x)), F.regr_syy(F.col(y), F.col(x)), F.regr_sxy(F.col(y), F.col(x)))
+    a, b, zero = F.col(x), F.col(y), F.lit(0.0)
+    level, flat = F.min(x) == F.max(x), F.min(y) == F.max(y)
     out = own.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.regr_slope(F.col(y), F.col(x)).alias("slope"),
-        F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
-        F.regr_r2(F.col(y), F.col(x)).alias("r2"),
-        sxx.alias("_sxx"),
-        syy.alias("_syy"),
-        sxy.alias("_sxy"),
+        F.when(~level, F.when(flat, zero).otherwise(F.regr_slope(b, a))).alias("slope"),
+        F.when(~level, F.when(flat, F.min(y).cast("double")).otherwise(F.regr_intercept(b, a))).alias("intercept"),
+        F.when(~level, F.when(flat, F.lit(1.0)).otherwise(F.regr_r2(b, a))).alias("r2"),
+        F.when(level, zero).otherwise(F.regr_sxx(b, a)).alias("_sxx"),
+        F.when(flat, zero).otherwise(F.regr_syy(b, a)).alias("_syy"),
+        F.when(level | flat, zero).otherwise(F.regr_sxy(b, a)).alias("_sxy"),
         F.avg(x).alias("_mx"),
     )
     rest = F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0)) / F.nullif(F.col("n") - 2, F.lit(0))
@@ -80,12 +82,13 @@ def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = (), critical: float |
 def inference(fit: DataFrame, confidence: float = 0.95) -> DataFrame:
     """``ols`` rows with p_value of the slope and t-based slope_low, slope_high, intercept_low, intercept_high.
 
-    NULL where there are fewer than three points; with a perfect fit p is 0.  Rows are fits, not data.
+    NULL where there are fewer than three points; with a perfect fit p is 0, but NaN if its slope is 0
+    (0 by 0: a constant y).  Rows are fits, not data.
     """
     p, q = F.pandas_udf(_p_values, "double"), F.pandas_udf(lambda n: n.map(lambda v: t_quantile((1 + confidence) / 2, v - 2) if v > 2 else None), "double")
     t = F.try_divide(F.col("slope"), F.col("stderr"))
     perfect = (F.col("n") > 2) & (F.col("stderr") == 0)
-    out = fit.withColumns({"p_value": F.when(perfect, 0.0).otherwise(p(t, "n")), "_q": q("n")})
+    out = fit.withColumns({"p_value": F.when(perfect, F.when(F.col("slope") == 0, float("nan")).otherwise(0.0)).otherwise(p(t, "n")), "_q": q("n")})
     for c, e in (("slope", "stderr"), ("intercept", "intercept_stderr")):
         out = out.withColumns({f"{c}_low": F.col(c) - F.col("_q") * F.col(e), f"{c}_high": F.col(c) + F.col("_q") * F.col(e)})
     return out.drop("_q")

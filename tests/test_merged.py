@@ -1,5 +1,8 @@
 """Operators over rows that lie in several partitions, and at places that many shapes share."""
 
+import math
+
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import nesting, noding
 from gridloom.operators import repair, stats, vector
 from gridloom.plans import fixtures
+from gridloom.plans.queries import QUERIES
 
 
 def test_correlation_with_a_constant_over_partitions(spark):
@@ -17,6 +21,31 @@ def test_correlation_with_a_constant_over_partitions(spark):
     assert got["a"] is None and got["b"] is None and abs(got["c"] - 1) < 1e-12
 
 
+def test_fits_of_constants_over_partitions(spark):
+    # Three rows of a group in each partition: a third of these numbers, times three, is not the number.
+    off = lambda v: v / 3 * 3 != v
+    x, y = next(v / 1000 for v in range(1, 1000) if off(v / 1000)), next(v / 10 for v in range(3001, 4000) if off(v / 10))
+    k = F.col("id").cast("double")
+    rows = spark.range(0, 12, 1, 2).withColumn("g", F.col("id") % 2)
+    df = rows.select("g", F.when(F.col("g") == 0, x).otherwise(k).alias("x"), F.when(F.col("g") == 1, y).otherwise(k).alias("y"))
+    fixed, flat = stats.inference(stats.ols(df, "x", "y", ["g"])).orderBy("g").collect()
+    assert fixed["n"] == flat["n"] == 6 and fixed["slope"] is None and fixed["p_value"] is None
+    assert flat["slope"] == 0 and flat["intercept"] == y and flat["stderr"] == 0 and math.isnan(flat["p_value"])
+
+
+def test_flat_fit_as_in_sql(spark, tmp_path):
+    # Four pixels of one height, four of one fraction, four that vary.
+    prices = [2399.5, 1599.5, 1999.5, 3199.5, 2000.5, 3001.5, 4002.5, 5003.5, 1700.5, 2950.5, 44444.5, 4217.5]
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT unnest(range(12)) AS o_orderkey, 1::BIGINT AS o_custkey, unnest({prices})::DOUBLE AS o_totalprice) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    query, sql = QUERIES["agg_t_inference"]
+    want = con.sql(sql)
+    got = query(spark, str(tmp_path)).select(want.columns).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want.fetchall()))
+    assert [math.isnan(r["p_value"]) for r in sorted(got)] == [True, False]
+
+
 def test_buildings_are_dealt_to_all_cores(spark, sf_dir):
     parts = fixtures.buildings(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
