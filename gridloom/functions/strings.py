@@ -18,16 +18,20 @@ def ring(c: Column, always_close: bool = False) -> Column:
 
     NULL if a point is malformed or there are fewer than three; closed if open, or always.
     """
-    points = F.transform(
-        F.filter(F.split(c, "_"), lambda p: p != ""),
-        lambda p: F.struct(F.try_element_at(F.split(p, "/"), F.lit(2)).try_cast("double").alias("x"), F.try_element_at(F.split(p, "/"), F.lit(1)).try_cast("double").alias("y")),
-    )
-    bad = F.exists(points, lambda p: p["x"].isNull() | p["y"].isNull())
-    first, last = F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(-1))
-    closed = F.concat(points, F.array(first))
-    if not always_close:
-        closed = F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), points).otherwise(closed)
-    return F.when((F.size(points) >= 3) & ~bad, closed)
+    parts = F.transform(F.filter(F.split(c, "_"), lambda p: p != ""), lambda p: F.split(p, "/"))
+    number = lambda p, i: F.try_element_at(p, F.lit(i)).try_cast("double")
+
+    def closed(points: Column) -> Column:
+        bad = F.exists(points, lambda p: p["x"].isNull() | p["y"].isNull())
+        first, last = F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(-1))
+        out = F.concat(points, F.array(first))
+        if not always_close:
+            out = F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), points).otherwise(out)
+        return F.when((F.size(points) >= 3) & ~bad, out)
+
+    # An array of one: the text is split once, not wherever its points are named.
+    points = F.transform(parts, lambda p: F.struct(number(p, 2).alias("x"), number(p, 1).alias("y")))
+    return F.element_at(F.transform(F.array(points), closed), 1)
 
 
 def states(name: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import nesting, noding
 from gridloom.operators import repair, stats, vector
-from gridloom.plans import fixtures
+from gridloom.plans import fixtures, pipelines
 from gridloom.plans.queries import QUERIES
 
 
@@ -51,6 +51,18 @@ def test_buildings_are_dealt_to_all_cores(spark, sf_dir):
     assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_footprints_are_parsed_once_and_after_dealing(spark, sf_dir):
+    for name, passes in (("jn_cells_left", 2), ("pipe_taylor", 1)):  # the extent is a pass of its own
+        plan = QUERIES[name][0](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(", _, -1)") == passes
+        assert not any("split(" in line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter"))
+
+
+def test_texts_that_are_no_footprints(spark):
+    df = spark.createDataFrame([(1, "0.0/0.0_0.0/2.0_3.0/2.0"), (2, None), (3, ""), (4, "0/0_1/x_1/1"), (5, "0/0_1/1")], "id int, footprint string").withColumn("height_ft", F.lit(10.0))
+    assert [(r["id"], r["area"]) for r in pipelines.building_volumes(df).collect()] == [(1, 3.0)]
+
+
 def test_copies_of_bounds_are_compared_once(spark, monkeypatch):
     box = lambda x: F.struct(x.alias("minx"), F.lit(0.0).alias("miny"), (x + 1.0).alias("maxx"), F.lit(1.0).alias("maxy"))
     k = F.col("id")
