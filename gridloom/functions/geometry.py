@@ -27,7 +27,7 @@ def bounds(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
 
 
-def _edges(ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
     """(a, b) of each side."""
     n = F.size(ring)
     tail = F.slice(ring, 2, F.greatest(n - 1, F.lit(0)))
@@ -37,7 +37,7 @@ def _edges(ring: Column) -> Column:
 
 def area(ring: Column) -> Column:
     """Shoelace area; NULL for a NULL ring."""
-    twice = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    twice = F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
     return F.abs(twice) / 2
 
 
@@ -64,7 +64,7 @@ def clip_to_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
             now, then = depth(a) >= 0, depth(b) >= 0
             return F.when(now & then, F.array(b)).when(now, F.array(crossing(a, b))).when(then, F.array(crossing(a, b), b)).otherwise(F.slice(F.array(b), 1, 0))
 
-        out = F.flatten(F.transform(_edges(r), side))
+        out = F.flatten(F.transform(ring_edges(r), side))
         closed = F.transform(F.array(out), lambda o: F.when(F.size(o) > 0, F.concat(F.slice(o, -1, 1), o)).otherwise(o))
         return F.element_at(closed, 1)
 
@@ -91,7 +91,7 @@ def area_in_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
         part = above(y0) - above(y1)
         return F.when(width <= 0, 0.0).when(a["x"] < b["x"], part).otherwise(-part)
 
-    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + under(e)))
+    return F.abs(F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + under(e)))
 
 
 def box_overlap_area(a: Column, b: Column) -> Column:
@@ -113,14 +113,17 @@ def boxes_touch(a: Column, b: Column) -> Column:
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Whether a point is inside a ring (crossings of a ray; lower and left sides belong to it)."""
+    return _sides_contain(ring_edges(ring), x, y)
 
+
+def _sides_contain(edges: Column, x: Column, y: Column) -> Column:
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
         spans = (a["y"] <= y) != (b["y"] <= y)
         at = a["x"] + F.try_divide(y - a["y"], b["y"] - a["y"]) * (b["x"] - a["x"])
         return F.when(spans & (x < at), 1).otherwise(0)
 
-    return F.aggregate(_edges(ring), F.lit(0), lambda s, e: s + crosses(e)) % 2 == 1
+    return F.aggregate(edges, F.lit(0), lambda s, e: s + crosses(e)) % 2 == 1
 
 
 def _turn(a: Column, b: Column, c: Column) -> Column:
@@ -147,11 +150,28 @@ def near_sides(edges: Column, box: Column) -> Column:
 
 def intersects(a: Column, b: Column) -> Column:
     """Whether two rings share a point: sides meet, or one holds the other."""
-    near = F.transform(F.array(bounds(a)), lambda box: near_sides(_edges(b), box))[0]
-    meet = F.exists(_edges(a), lambda e: F.exists(near, lambda f: sides_meet(e, f)))
+    near = F.transform(F.array(bounds(a)), lambda box: near_sides(ring_edges(b), box))[0]
+    meet = F.exists(ring_edges(a), lambda e: F.exists(near, lambda f: sides_meet(e, f)))
     return meet | contains(a, _first(b)["x"], _first(b)["y"]) | contains(b, _first(a)["x"], _first(a)["y"])
 
 
+def sides_meet_box(edges: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether an area, given by the sides of its rings, shares a point with a rectangle.
+
+    A side does unless their bounds are apart or the rectangle lies on one side of its line; else
+    the area holds the rectangle whole or not at all.  One pass, no pairs of sides.
+    """
+
+    def meets(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        over = lambda k, low, high: (F.least(a[k], b[k]) <= high) & (F.greatest(a[k], b[k]) >= low)
+        u = [(b["x"] - a["x"]) * (y - a["y"]) for y in (y0, y1)]
+        v = [(b["y"] - a["y"]) * (x - a["x"]) for x in (x0, x1)]
+        return over("x", x0, x1) & over("y", y0, y1) & (F.least(*u) <= F.greatest(*v)) & (F.greatest(*u) >= F.least(*v))
+
+    return F.exists(edges, meets) | _sides_contain(edges, x0, y0)
+
+
 def _first(ring: Column) -> Column:
     return F.try_element_at(ring, F.lit(1))
 
@@ -167,7 +187,7 @@ def rings_bounds(rings: Column) -> Column:
 
 def rings_edges(rings: Column) -> Column:
     """(a, b) of each side of each ring."""
-    return F.flatten(F.transform(rings, _edges))
+    return F.flatten(F.transform(rings, ring_edges))
 
 
 def rings_contain(rings: Column, x: Column, y: Column) -> Column:
@@ -178,7 +198,7 @@ def rings_contain(rings: Column, x: Column, y: Column) -> Column:
 def rings_intersect(ring: Column, rings: Column) -> Column:
     """Whether a ring's area and a polygon of several rings share a point."""
     near = F.transform(F.array(bounds(ring)), lambda box: near_sides(rings_edges(rings), box))[0]
-    meet = F.exists(_edges(ring), lambda e: F.exists(near, lambda f: sides_meet(e, f)))
+    meet = F.exists(ring_edges(ring), lambda e: F.exists(near, lambda f: sides_meet(e, f)))
     held = F.exists(rings, lambda r: contains(ring, _first(r)["x"], _first(r)["y"]))
     return meet | held | rings_contain(rings, _first(ring)["x"], _first(ring)["y"])
 

@@ -39,6 +39,15 @@ def touched(low: Column, high: Column, origin: Column, size: Column, n: Column)
     return F.sequence(first, F.greatest(first, F.least(F.floor((high - origin) / size).cast("long"), n - 1)))
 
 
+def _several(shapes: DataFrame, ring: str) -> bool:
+    """Whether the column holds arrays of rings."""
+    return isinstance(shapes.schema[ring].dataType.elementType, T.ArrayType)
+
+
+def _sides(shapes: DataFrame, ring: str) -> Column:
+    return (G.rings_edges if _several(shapes, ring) else G.ring_edges)(F.col(ring))
+
+
 def cells_of(shapes: DataFrame, sizes: Sequence[float], extent: DataFrame, box: str = "bbox", ring: str | None = None) -> DataFrame:
     """Each shape once for every cell (size, ix, iy) of a closed fishnet that it touches.
 
@@ -46,6 +55,8 @@ def cells_of(shapes: DataFrame, sizes: Sequence[float], extent: DataFrame, box:
     """
     b = F.col(box)
     size = F.col("size")
+    if ring:
+        shapes = shapes.withColumn("_sides", _sides(shapes, ring))  # once a shape, before its cells
     many = shapes.withColumn("size", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
     met = many.join(F.broadcast(extent.select(*[F.col(c).alias(f"_{c}") for c in ("minx", "miny", "maxx", "maxy")])))  # one row
     nx, ny = (fishnet_size(F.col(f"_min{a}"), F.col(f"_max{a}"), size, True) for a in "xy")
@@ -53,7 +64,7 @@ def cells_of(shapes: DataFrame, sizes: Sequence[float], extent: DataFrame, box:
     met = met.withColumn("iy", F.explode(touched(b["miny"], b["maxy"], F.col("_miny"), size, ny)))
     if ring:
         x0, y0 = F.col("_minx") + F.col("ix") * size, F.col("_miny") + F.col("iy") * size
-        met = met.where(G.intersects(F.col(ring), G.box_ring(x0, y0, x0 + size, y0 + size)))
+        met = met.where(G.sides_meet_box(F.col("_sides"), x0, y0, x0 + size, y0 + size)).drop("_sides")
     return met.drop("_minx", "_miny", "_maxx", "_maxy")
 
 
@@ -120,7 +131,7 @@ def coverage(shapes: DataFrame, pixel: float, height: str, ring: str | None = No
     cells = lambda a: F.sequence(F.floor(b[f"min{a}"] / s), F.greatest(F.floor(b[f"min{a}"] / s), (F.ceil(b[f"max{a}"] / s) - 1).cast("long")))
     met = shapes.withColumn("col", F.explode(cells("x"))).withColumn("row", F.explode(cells("y")))
     x0, y0 = F.col("col") * s, F.col("row") * s
-    if ring and isinstance(shapes.schema[ring].dataType.elementType, T.ArrayType):
+    if ring and _several(shapes, ring):
         area = G.rings_area_in_box(F.col(ring), x0, y0, x0 + s, y0 + s)
     elif ring:
         area = G.area_in_box(F.col(ring), x0, y0, x0 + s, y0 + s)
@@ -139,13 +150,14 @@ def burn(shapes: DataFrame, pixel: float, value: str, order: str, box: str = "bb
     """
     b, s = F.col(box), F.lit(float(pixel))
     cells = lambda a: F.sequence(F.floor(b[f"min{a}"] / s), F.floor(b[f"max{a}"] / s))
-    met = shapes.withColumn("col", F.explode(cells("x"))).withColumn("row", F.explode(cells("y")))
+    met = shapes
+    if ring and touched_too:
+        met = met.withColumn("_sides", _sides(met, ring))  # once a shape, before its pixels
+    met = met.withColumn("col", F.explode(cells("x"))).withColumn("row", F.explode(cells("y")))
     if ring:
-        several = isinstance(shapes.schema[ring].dataType.elementType, T.ArrayType)
         x0, y0 = F.col("col") * s, F.col("row") * s
         if touched_too:
-            pixel_ring = G.box_ring(x0, y0, x0 + s, y0 + s)
-            met = met.where(G.rings_intersect(pixel_ring, F.col(ring)) if several else G.intersects(pixel_ring, F.col(ring)))
+            met = met.where(G.sides_meet_box(F.col("_sides"), x0, y0, x0 + s, y0 + s))
         else:
-            met = met.where((G.rings_contain if several else G.contains)(F.col(ring), x0 + s / 2, y0 + s / 2))
+            met = met.where((G.rings_contain if _several(met, ring) else G.contains)(F.col(ring), x0 + s / 2, y0 + s / 2))
     return met.groupBy("row", "col").agg(F.max_by(value, order).alias("value"))

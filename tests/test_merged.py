@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from gridloom.functions import geometry as G
 from gridloom.functions import nesting, noding
 from gridloom.operators import repair, stats, vector
 from gridloom.plans import fixtures, pipelines
@@ -63,6 +64,18 @@ def test_texts_that_are_no_footprints(spark):
     assert [(r["id"], r["area"]) for r in pipelines.building_volumes(df).collect()] == [(1, 3.0)]
 
 
+def test_sides_against_boxes_as_in_pairs(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    closed = lambda n: [tuple(p) for p in (lambda r: r + r[:1])(rng.integers(0, 9, (n, 2)).astype(float).tolist())]
+    rows = [(k, [closed(3) for _ in range(1 + k % 2)], *(float(v) for v in rng.integers(-2, 9, 2)), *(float(v) for v in rng.integers(1, 5, 2))) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, rings array<array<struct<x: double, y: double>>>, x double, y double, w double, h double")
+    x, y, x1, y1 = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    got = df.select(G.sides_meet_box(G.rings_edges("rings"), x, y, x1, y1).alias("a"), G.rings_intersect(G.box_ring(x, y, x1, y1), F.col("rings")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and 50 < sum(r["a"] for r in got) < 350
+    plan = QUERIES["geo_burn_rings"][0](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "SIGNUM" not in plan and plan.count("exists(") == 1
+
+
 def test_copies_of_bounds_are_compared_once(spark, monkeypatch):
     box = lambda x: F.struct(x.alias("minx"), F.lit(0.0).alias("miny"), (x + 1.0).alias("maxx"), F.lit(1.0).alias("maxy"))
     k = F.col("id")
